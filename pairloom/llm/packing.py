@@ -146,5 +146,5 @@ def pack(docs: DataFrame, limit: int = 4096, vocabulary: str = tokens.VOCABULARY
                 [*(b.column(c) for c in columns[:5]), pa.array(seg[at, 2] + number - seg[at, 1]), pa.array(seg[at, 3])], [*columns[:5], "sequence_id", "offset"]
             )
 
-    placed = cut.join(bases.select("length", "part", "base"), ["length", "part"]).select(*columns[:5], (F.col("base") + F.col("own")).alias("number"))
+    placed = cut.join(bases.select("length", "part", "base").hint("merge"), ["length", "part"]).select(*columns[:5], (F.col("base") + F.col("own")).alias("number"))
     return placed.mapInArrow(place, f"key {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long").withColumnRenamed("key", key)
