@@ -1,4 +1,448 @@
-"""Named queries over the driver's tables."""
+"""Named queries over the driver's tables, each with the same query in DuckDB's SQL."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import constants as C
+from ..functions import scores as S
+from ..functions import text as T
+from ..operators import curation, evaluation, extraction, matching
 
 QUERIES: dict = {}
 ORACLES: dict = {}
+
+
+def query(sql: str):
+    def add(f):
+        QUERIES[f.__name__] = f
+        ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _cv(spark, d):
+    return _table(spark, d, "documents").select(F.col("doc_id").alias("cv_id"), F.col("text").alias("cv_text"), F.col("lang").alias("resume_group"), F.col("source").alias("source_dataset"))
+
+
+def _jd(spark, d):
+    return _table(spark, d, "benchmark").select(F.col("item_id").alias("jd_id"), F.col("text").alias("jd_text"))
+
+
+# DuckDB forms of the text functions
+def _clean(x):
+    return rf"regexp_replace(regexp_replace(regexp_replace(replace(coalesce({x}, ''), chr(160), ' '), '[ \t]+', ' ', 'g'), '\n{{3,}}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g')"
+
+
+def _match(x):
+    return rf"trim(regexp_replace(regexp_replace(strip_accents(lower({_clean(x)})), '[^a-z0-9+#.\s-]', ' ', 'g'), '\s+', ' ', 'g'))"
+
+
+def _key(x):
+    return rf"trim(regexp_replace(lower({_clean(x)}), '[^a-z0-9+#.]+', ' ', 'g'))"
+
+
+def _sentences(x):
+    cut = rf"regexp_replace(regexp_replace({_clean(x)}, '([.!?])\s+', '\1' || chr(1), 'g'), '\n+|[•·]\s*', chr(1), 'g')"
+    return rf"list_filter(list_transform(string_split({cut}, chr(1)), lambda x: regexp_replace(x, '^[ \-:\t]+|[ \-:\t]+$', '', 'g')), lambda x: x <> '')"
+
+
+def _words(x):
+    return rf"(CASE WHEN regexp_replace(coalesce({x}, ''), '^\s+|\s+$', '', 'g') = '' THEN 0 ELSE len(string_split_regex(regexp_replace({x}, '^\s+|\s+$', '', 'g'), '\s+')) END)"
+
+
+def _has(x, words):
+    return "(" + " OR ".join(f"contains({x}, '{w}')" for w in words) + ")"
+
+
+def _rules(x, rules, default):
+    return "CASE " + " ".join(f"WHEN {_has(x, words)} THEN '{name}'" for name, words in rules) + f" ELSE '{default}' END"
+
+
+def _list(words):
+    return "[" + ", ".join(f"'{w}'" for w in words) + "]"
+
+
+# ---------------------------------------------------------------- text
+@query(f"SELECT doc_id, {_clean('text')} AS cleaned FROM documents")
+def q_clean_text(spark, d):
+    return _table(spark, d, "documents").select("doc_id", T.clean_text(F.col("text")).alias("cleaned"))
+
+
+@query(f"SELECT doc_id, {_key('text')} AS key FROM documents")
+def q_normalize_key(spark, d):
+    return _table(spark, d, "documents").select("doc_id", T.normalize_key(F.col("text")).alias("key"))
+
+
+@query(f"SELECT doc_id, {_match('text')} AS normalized FROM documents")
+def q_normalize_matching(spark, d):
+    return _table(spark, d, "documents").select("doc_id", T.normalize_for_matching(F.col("text")).alias("normalized"))
+
+
+@query(f"SELECT doc_id, CAST(len({_sentences('text')}) AS INTEGER) AS sentences, array_to_string({_sentences('text')}, '|') AS joined FROM documents")
+def q_sentence_split(spark, d):
+    s = T.sentence_split(F.col("text"))
+    return _table(spark, d, "documents").select("doc_id", F.size(s).alias("sentences"), F.array_join(s, "|").alias("joined"))
+
+
+@query(f"SELECT doc_id, CAST({_words('text')} AS INTEGER) AS words FROM documents WHERE {_words('text')} BETWEEN 180 AND 3000")
+def q_word_count_filter(spark, d):
+    return _table(spark, d, "documents").select("doc_id", T.word_count(F.col("text")).alias("words")).filter(F.col("words").between(180, 3000))
+
+
+# ---------------------------------------------------------------- curation
+@query(f"SELECT doc_id, lang, source FROM (SELECT *, row_number() OVER (PARTITION BY {_key('text')} ORDER BY doc_id) AS rn FROM documents WHERE {_key('text')} <> '') WHERE rn = 1")
+def q_dedup_documents(spark, d):
+    return curation.deduplicate(_table(spark, d, "documents"), "text", "doc_id").select("doc_id", "lang", "source")
+
+
+def _quality(x, target, most, markers):
+    w = f"regexp_extract_all({x}, '[A-Za-z0-9+#.]+')"
+    n = f"len({w})"
+    length = f"(CASE WHEN {n} <= {target} THEN {n} / {target}.0::DOUBLE ELSE greatest(0.0::DOUBLE, 1 - ({n} - {target}) / {most}.0::DOUBLE) END)"
+    found = "(" + " + ".join(f"CAST(contains(lower({x}), '{m}') AS INTEGER)" for m in markers) + ")"
+    marks = f"(length(regexp_replace({x}, '[^\\n•]', '', 'g')) + len(string_split({x}, '- ')) - 1)"
+    unique = f"(len(list_distinct(list_transform({w}, lambda x: lower(x)))) / {n}::DOUBLE)"
+    score = f"0.45::DOUBLE * {length} + 0.25::DOUBLE * least(1.0::DOUBLE, {found} / 5.0::DOUBLE) + 0.20::DOUBLE * least(1.0::DOUBLE, 2 * {unique}) + 0.10::DOUBLE * least(1.0::DOUBLE, {marks} / 12.0::DOUBLE)"
+    return f"CASE WHEN {n} = 0 THEN 0.0::DOUBLE ELSE round({score}, 6) END"
+
+
+@query(f"SELECT doc_id, {_quality('text', 850, 3000, C.CV_MARKERS)} AS quality_score FROM documents")
+def q_quality_score(spark, d):
+    _, target, most = C.QUALITY["cv"]
+    return _table(spark, d, "documents").select("doc_id", curation.quality_score(F.col("text"), target, most, C.CV_MARKERS).alias("quality_score"))
+
+
+@query(f"SELECT doc_id, {_rules(_key('text'), C.JOB_GROUPS, 'Other')} AS occupation_group, {_rules(_key('text'), C.RESUME_GROUPS, 'Other Technology')} AS resume_group FROM documents")
+def q_infer_group(spark, d):
+    t = F.col("text")
+    return _table(spark, d, "documents").select("doc_id", curation.job_group(t).alias("occupation_group"), curation.resume_group(t).alias("resume_group"))
+
+
+@query("SELECT lang, source, CAST(count(*) AS BIGINT) AS n FROM documents GROUP BY lang, source")
+def q_value_counts(spark, d):
+    return _table(spark, d, "documents").groupBy("lang", "source").agg(F.count("*").alias("n"))
+
+
+@query("""
+WITH g AS (SELECT lang, count(*) AS size FROM documents GROUP BY lang),
+r AS (SELECT d.doc_id, d.lang, d.n_chars, g.size, row_number() OVER (PARTITION BY d.lang ORDER BY d.n_chars DESC, d.doc_id) AS rn,
+      greatest(1, ceil(100.0 / (SELECT count(*) FROM g)) * 2) AS cap FROM documents d JOIN g ON d.lang = g.lang)
+SELECT doc_id, lang, n_chars FROM r ORDER BY (rn <= cap) DESC, CASE WHEN rn <= cap THEN rn END, CASE WHEN rn <= cap THEN -least(size, 100) END, CASE WHEN rn <= cap THEN lang END, n_chars DESC, doc_id LIMIT 100""")
+def q_select_diverse(spark, d):
+    return curation.select_diverse(_table(spark, d, "documents").select("doc_id", "lang", "n_chars"), 100, "lang", "n_chars", "doc_id")
+
+
+@query("""
+WITH r AS (SELECT doc_id, lang, source, n_chars, row_number() OVER (PARTITION BY lang ORDER BY source, n_chars DESC, doc_id) AS rn FROM documents)
+SELECT doc_id, lang, source, n_chars FROM r ORDER BY rn, lang LIMIT 50""")
+def q_select_diverse_jds(spark, d):
+    return curation.round_robin(_table(spark, d, "documents").select("doc_id", "lang", "source", "n_chars"), 50, "lang", [F.asc("source"), F.desc("n_chars"), F.asc("doc_id")])
+
+
+@query("""
+WITH r AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY md5('42|' || doc_id), doc_id) AS rn FROM documents)
+SELECT doc_id, lang FROM r ORDER BY rn, lang LIMIT 100""")
+def q_sample_diverse(spark, d):
+    return curation.round_robin(_table(spark, d, "documents").select("doc_id", "lang"), 100, "lang", [curation.seeded(42, "doc_id"), F.asc("doc_id")])
+
+
+# ---------------------------------------------------------------- extraction
+def _sectioned(spark, d):
+    """Requirement texts with headings, from the conversations: roles stand for headings."""
+    head = F.when(F.col("role") == "user", "Requirements").when(F.col("role") == "assistant", "Responsibilities:").otherwise("About the role")
+    more = F.when(F.col("turn") % 3 == 0, F.concat(F.lit("\nAt least "), (F.col("turn") % 7 + 1).cast("string"), F.lit("+ years of experience"))).otherwise("")
+    part = F.concat(head, F.lit("\n"), F.coalesce("text", F.lit("")), more)
+    return _table(spark, d, "conversations").groupBy(F.col("conv_id").alias("jd_id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", part.alias("p")))), lambda x: x["p"]), "\n").alias("jd_text"))
+
+
+_SECTIONED = r"""jd AS (SELECT conv_id AS jd_id, string_agg(CASE role WHEN 'user' THEN 'Requirements' WHEN 'assistant' THEN 'Responsibilities:' ELSE 'About the role' END || chr(10) || coalesce(text, '')
+  || CASE WHEN turn % 3 = 0 THEN chr(10) || 'At least ' || (turn % 7 + 1) || '+ years of experience' ELSE '' END, chr(10) ORDER BY turn) AS jd_text FROM conversations GROUP BY conv_id)"""
+_HEADS = "CASE " + " ".join(f"WHEN n IN ({', '.join(repr(x) for x in names)}) THEN '{k}'" for k, names in C.JD_HEADINGS.items()) + " END"
+_SECTIONS = rf"""{_SECTIONED},
+l0 AS (SELECT jd_id, unnest(string_split({_clean('jd_text')}, chr(10))) AS line, generate_subscripts(string_split({_clean('jd_text')}, chr(10)), 1) AS pos FROM jd),
+l1 AS (SELECT jd_id, pos, regexp_replace(line, '^\s+|\s+$', '', 'g') AS line FROM l0),
+l2 AS (SELECT *, {_match('line')} AS n FROM l1 WHERE line <> ''),
+l3 AS (SELECT *, CASE WHEN length(n) <= 40 THEN {_HEADS} END AS head FROM l2),
+l4 AS (SELECT *, coalesce(last_value(head IGNORE NULLS) OVER (PARTITION BY jd_id ORDER BY pos ROWS UNBOUNDED PRECEDING), 'summary') AS section FROM l3),
+s0 AS (SELECT jd_id, section, min(pos) AS first, string_agg(line, chr(10) ORDER BY pos) AS content FROM l4 WHERE head IS NULL GROUP BY jd_id, section),
+s AS (SELECT jd_id, section, CAST(row_number() OVER (PARTITION BY jd_id ORDER BY section <> 'summary', first) AS INTEGER) AS ord, content FROM s0)"""
+
+
+@query(f"WITH {_SECTIONS} SELECT * FROM s")
+def q_sections(spark, d):
+    return extraction.sections(_sectioned(spark, d), "jd_id", "jd_text", C.JD_HEADINGS)
+
+
+_YEARS = r"TRY_CAST(nullif(regexp_extract({}, '(?i)(\d+)\+?\s*(?:years?|yrs?|metai|metų|metu)', 1), '') AS BIGINT)"
+_LIKE = "(length({n}) >= 4 AND CASE WHEN {k} IN ('must_have', 'experience') THEN {m} OR {w} <= 12 ELSE {w} >= 3 END)"
+_KINDS = "CASE section " + " ".join(f"WHEN '{s}' THEN '{t}'" for s, t in C.SECTION_TYPES) + " END"
+_PLACES = "CASE section " + " ".join(f"WHEN '{s}' THEN {i}" for i, (s, _) in enumerate(C.SECTION_TYPES)) + " END"
+_REQUIREMENTS = rf"""{{head}},
+q0 AS (SELECT jd_id, {_KINDS} AS kind, {_PLACES} AS place, unnest({_sentences('content')}) AS requirement, generate_subscripts({_sentences('content')}, 1) AS pos FROM s WHERE {_KINDS} IS NOT NULL),
+q1 AS (SELECT *, {_match('requirement')} AS n FROM q0),
+q2 AS (SELECT *, CASE WHEN {_YEARS.format('requirement')} IS NOT NULL THEN 'experience' ELSE kind END AS requirement_type FROM q1 WHERE {_LIKE.format(n='n', k='kind', m=_has('n', C.MARKERS), w=_words('n'))}),
+f0 AS (SELECT jd_id, unnest(({_sentences('jd_text')})[1:20]) AS requirement, generate_subscripts(({_sentences('jd_text')})[1:20], 1) AS pos FROM jd WHERE jd_id NOT IN (SELECT jd_id FROM q2)),
+f1 AS (SELECT *, {_match('requirement')} AS n FROM f0),
+q3 AS (SELECT jd_id, place, pos, requirement, requirement_type FROM q2 UNION ALL SELECT jd_id, 0, pos, requirement, 'must_have' FROM f1 WHERE {_LIKE.format(n='n', k="'must_have'", m=_has('n', C.MARKERS), w=_words('n'))}),
+r AS (SELECT jd_id, CAST(row_number() OVER (PARTITION BY jd_id ORDER BY place, pos) AS INTEGER) AS ord, requirement, requirement_type FROM q3)"""
+_REQ_TEXT = _REQUIREMENTS.replace("{head}", _SECTIONS)
+
+
+@query(f"WITH {_REQ_TEXT} SELECT jd_id, printf('req_%03d', ord) AS requirement_id, ord, requirement, requirement_type FROM r")
+def q_extract_requirements(spark, d):
+    return extraction.extract_requirements(_sectioned(spark, d), "jd_id", "jd_text")
+
+
+_TOKENS = f"list_filter(regexp_extract_all({_match('requirement')}, '[a-z0-9+#.]{{2,}}'), lambda x: NOT list_contains({_list(C.TOKEN_STOPS)}, x))"
+
+
+@query(f"WITH {_REQ_TEXT} SELECT jd_id, ord, {_YEARS.format('requirement')} AS years, array_to_string({_TOKENS}, ' ') AS tokens FROM r")
+def q_years_tokens(spark, d):
+    r = extraction.prepare_requirements(extraction.extract_requirements(_sectioned(spark, d), "jd_id", "jd_text"))
+    return r.select("jd_id", "ord", "years", F.array_join("tokens", " ").alias("tokens"))
+
+
+_BENCH = _SECTIONS.replace(_SECTIONED, "jd AS (SELECT item_id AS jd_id, text AS jd_text FROM benchmark)")
+_MATCHES = rf"""{_REQUIREMENTS.replace('{head}', _BENCH)},
+t AS (SELECT jd_id, ord, requirement_type, {_YEARS.format('requirement')} AS years, {_TOKENS} AS tokens FROM r),
+c AS (SELECT doc_id AS cv_id, {_match('text')} AS cv_norm FROM documents),
+y AS (SELECT cv_id, cv_norm, coalesce(list_max(list_transform(regexp_extract_all(cv_norm, '(?i)(\d+)\+?\s*(?:years?|yrs?|metai|metų|metu)', 1), lambda x: TRY_CAST(x AS BIGINT))), 0) AS cv_years FROM c),
+m AS (SELECT cv_id, jd_id, ord, requirement_type, years, cv_years, len(tokens) AS total, len(list_filter(tokens, lambda x: contains(cv_norm, x))) AS matched FROM y, t),
+v AS (SELECT *, CASE WHEN years IS NOT NULL THEN CASE WHEN cv_years >= years THEN 1.0 WHEN cv_years >= greatest(1, years - 1) THEN 0.5 ELSE 0.0 END
+  WHEN total = 0 THEN 0.0 WHEN 4 * matched >= 3 * total THEN 1.0 WHEN 20 * matched >= 7 * total THEN 0.5 ELSE 0.0 END::DOUBLE AS match_score FROM m)"""
+_PARTS = ", ".join(f"round(coalesce(avg(match_score) FILTER (requirement_type = '{k}'), 0.0), 6) AS {k}" for k in C.WEIGHTS)
+_SUM = " + ".join(f"{k} * {w}::DOUBLE" for k, w in C.WEIGHTS.items())
+
+
+@query(f"WITH {_MATCHES}, p AS (SELECT cv_id, jd_id, {_PARTS} FROM v GROUP BY cv_id, jd_id) SELECT *, round(greatest(0.0, least(1.0, {_SUM})), 6) AS requirement_score FROM p")
+def q_requirement_score(spark, d):
+    r = extraction.extract_requirements(_jd(spark, d), "jd_id", "jd_text")
+    return extraction.requirement_scores(_cv(spark, d), r, "cv_id", "jd_id", "cv_text")
+
+
+def flagship(spark: SparkSession, d: str) -> DataFrame:
+    from pyspark.sql import Window as W
+
+    w = W.partitionBy("jd_id").orderBy(F.desc("requirement_score"), "cv_id")
+    return q_requirement_score(spark, d).withColumn("rank", F.row_number().over(w)).filter("rank <= 5")
+
+
+@query(f"WITH {_MATCHES}, p AS (SELECT cv_id, jd_id, {_PARTS} FROM v GROUP BY cv_id, jd_id), z AS (SELECT *, round(greatest(0.0, least(1.0, {_SUM})), 6) AS requirement_score FROM p), o AS (SELECT *, CAST(row_number() OVER (PARTITION BY jd_id ORDER BY requirement_score DESC, cv_id) AS INTEGER) AS rank FROM z) SELECT * FROM o WHERE rank <= 5")
+def q_top_candidates(spark, d):
+    return flagship(spark, d)
+
+
+# ---------------------------------------------------------------- similarity
+STOPS = ["the", "of", "and", "to", "in", "is", "that", "it", "for", "on", "was", "be", "as", "with", "by", "this", "an", "are"]
+_WORDS = f"list_filter(regexp_extract_all(strip_accents(lower(coalesce(text, ''))), '[a-z0-9_]{{2,}}'), lambda x: NOT list_contains({_list(STOPS)}, x))"
+
+
+def _terms(name, table, key):
+    return f"""{name}_w AS (SELECT {key}, {_WORDS} AS w FROM {table}),
+{name}_t AS (SELECT {key}, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS term FROM {name}_w),
+{name} AS (SELECT {key}, term, count(*) AS tf FROM {name}_t GROUP BY ALL)"""
+
+
+_BOTH = _terms("a", "documents", "doc_id") + ",\n" + _terms("b", "benchmark", "item_id")
+
+
+def _sides(spark, d):
+    return _table(spark, d, "documents").select("doc_id", "text"), _table(spark, d, "benchmark").select("item_id", "text")
+
+
+@query(f"""WITH {_BOTH}, n AS (SELECT (SELECT count(*) FROM documents) + (SELECT count(*) FROM benchmark) AS n),
+i AS (SELECT term, ln((n + 1) / (count(*) + 1)::DOUBLE) + 1 AS idf FROM (SELECT term FROM a UNION ALL SELECT term FROM b), n GROUP BY term, n),
+x AS (SELECT doc_id, term, tf * idf AS x FROM a JOIN i USING (term)), y AS (SELECT item_id, term, tf * idf AS y FROM b JOIN i USING (term)),
+nx AS (SELECT doc_id, sqrt(sum(x * x)) AS na FROM x GROUP BY doc_id), ny AS (SELECT item_id, sqrt(sum(y * y)) AS nb FROM y GROUP BY item_id),
+p AS (SELECT doc_id, item_id, sum(x * y) AS dot FROM x JOIN y USING (term) GROUP BY doc_id, item_id)
+SELECT doc_id, item_id, round(dot / na / nb, 6) AS tfidf_score FROM p JOIN nx USING (doc_id) JOIN ny USING (item_id)""")
+def q_tfidf_corpus(spark, d):
+    return matching.tfidf_corpus(*_sides(spark, d), "doc_id", "item_id", "text", STOPS)
+
+
+@query(f"""WITH {_BOTH}, na AS (SELECT doc_id, sum(tf * tf) AS aa FROM a GROUP BY doc_id), nb AS (SELECT item_id, sum(tf * tf) AS bb FROM b GROUP BY item_id),
+p AS (SELECT doc_id, item_id, sum(a.tf * b.tf) AS dot, sum(a.tf * a.tf) AS sa, sum(b.tf * b.tf) AS sb FROM a JOIN b USING (term) GROUP BY doc_id, item_id)
+SELECT doc_id, item_id, round(least(1.0, dot / (sqrt(sa + pow(ln(1.5::DOUBLE) + 1, 2) * (aa - sa)) * sqrt(sb + pow(ln(1.5::DOUBLE) + 1, 2) * (bb - sb)))), 6) AS tfidf_score
+FROM p JOIN na USING (doc_id) JOIN nb USING (item_id)""")
+def q_tfidf_pair(spark, d):
+    return matching.tfidf_pair(*_sides(spark, d), "doc_id", "item_id", "text", STOPS)
+
+
+@query(f"""WITH {_BOTH.replace(_list(STOPS), _list(STOPS + C.TERM_STOPS))}, p AS (SELECT doc_id, item_id, term, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY a.tf * b.tf DESC, term) AS rn FROM a JOIN b USING (term) WHERE NOT contains(term, ' '))
+SELECT doc_id, item_id, string_agg(term, ', ' ORDER BY rn) AS shared_terms FROM p WHERE rn <= 12 GROUP BY doc_id, item_id""")
+def q_top_shared_terms(spark, d):
+    return matching.top_shared_terms(*_sides(spark, d), "doc_id", "item_id", "text", STOPS)
+
+
+def _vectors(spark, d):
+    e = _table(spark, d, "embeddings")
+    return e.filter("vec_id >= 50").withColumnRenamed("vec_id", "a"), e.filter("vec_id < 50").withColumnRenamed("vec_id", "b")
+
+
+_DOT = "list_inner_product(x.embedding::DOUBLE[], y.embedding::DOUBLE[])"
+
+
+@query(f"SELECT x.vec_id AS a, y.vec_id AS b, round(greatest(0.0, least(1.0, {_DOT})), 6) AS score FROM embeddings x, embeddings y WHERE x.vec_id >= 50 AND y.vec_id < 50")
+def q_embed_cosine(spark, d):
+    return matching.embedding_scores(*_vectors(spark, d))
+
+
+@query(f"SELECT x.vec_id AS a, y.vec_id AS b, round(greatest(0.0, least(1.0, ({_DOT} + 1) / 2)), 6) AS score FROM embeddings x, embeddings y WHERE x.vec_id >= 50 AND y.vec_id < 50")
+def q_embed_rescaled(spark, d):
+    return matching.embedding_scores(*_vectors(spark, d), rescale=True)
+
+
+# ---------------------------------------------------------------- candidates, blending, labels
+def _scored(spark, d):
+    """All pairs with a score made from the ids, and whether the document's language is in the likely and medium pools."""
+    p = _table(spark, d, "documents").select("doc_id", "lang").crossJoin(_table(spark, d, "benchmark").select("item_id"))
+    return p.select("doc_id", "item_id", "lang", ((F.col("doc_id") * 37 + F.col("item_id") * 101) % 1000 / 10.0).alias("score"), F.element_at(F.array(*(F.lit(x) for x in ("de", "en", "es", "fr"))), (F.col("item_id") % 4 + 1).cast("int")).alias("own")).select("doc_id", "item_id", "lang", "score", (F.col("lang") == F.col("own")).alias("likely"), (F.col("lang") != "en").alias("medium"))
+
+
+_SCORED = "p AS (SELECT doc_id, item_id, lang, (doc_id * 37 + item_id * 101) % 1000 / 10.0::DOUBLE AS score, lang = ['de', 'en', 'es', 'fr'][item_id % 4 + 1] AS likely, lang <> 'en' AS medium FROM documents, benchmark)"
+
+
+def _staged():
+    steps, taken = [_SCORED], []
+    for i, kind in enumerate(C.PAIR_TYPES):
+        rest = "p" if not taken else "(SELECT p.* FROM p ANTI JOIN (" + " UNION ALL ".join(f"SELECT doc_id, item_id FROM {t}" for t in taken) + ") USING (doc_id, item_id))"
+        pool = {"likely_good": "likely", "medium": "medium"}.get(kind, "NOT likely")
+        order = "md5('42|' || item_id || '|' || doc_id), doc_id" if kind == "random_negative" else "score DESC, doc_id"
+        shift = " - least(count(*) OVER (PARTITION BY item_id) - 1, greatest(5, count(*) OVER (PARTITION BY item_id) // 3))" if kind == "medium" else ""
+        steps.append(f"t{i} AS (SELECT * FROM (SELECT item_id, doc_id, score, '{kind}' AS pair_type, CAST(row_number() OVER (PARTITION BY item_id ORDER BY {order}){shift} AS INTEGER) AS selection_rank FROM {rest} WHERE {pool}) WHERE selection_rank BETWEEN 1 AND 5)")
+        taken.append(f"t{i}")
+    return ",\n".join(steps), " UNION ALL ".join(f"SELECT * FROM {t}" for t in taken)
+
+
+_STEPS, _ALL = _staged()
+
+
+@query(f"WITH {_STEPS} {_ALL}")
+def q_pairs_all(spark, d):
+    return matching.build_pairs(_scored(spark, d), "item_id", "doc_id")
+
+
+@query(f"WITH {_STEPS}, k AS ({_ALL}) SELECT k.*, d.lang, d.source, length(b.text) AS jd_chars FROM k LEFT JOIN documents d USING (doc_id) LEFT JOIN benchmark b USING (item_id)")
+def q_enrich_pairs(spark, d):
+    pairs = matching.build_pairs(_scored(spark, d), "item_id", "doc_id")
+    return pairs.join(_table(spark, d, "documents").select("doc_id", "lang", "source"), "doc_id", "left").join(_table(spark, d, "benchmark").select("item_id", F.char_length("text").cast("long").alias("jd_chars")), "item_id", "left")
+
+
+@query(f"WITH {_STEPS}, k AS ({_ALL}), r AS (SELECT *, row_number() OVER (PARTITION BY pair_type ORDER BY md5('7|' || item_id || '|' || doc_id), item_id, doc_id) <= 25 AS own FROM k) SELECT item_id, doc_id, pair_type FROM r ORDER BY own DESC, md5('7|' || item_id || '|' || doc_id), item_id, doc_id LIMIT 100")
+def q_human_review(spark, d):
+    pairs = matching.build_pairs(_scored(spark, d), "item_id", "doc_id").select("item_id", "doc_id", "pair_type")
+    return evaluation.stratified_sample(pairs, "pair_type", 100, 7, "item_id", "doc_id")
+
+
+def _methods(spark, d):
+    """Pairs with three scores from the ids; some are missing."""
+    p = _scored(spark, d).select("doc_id", "item_id", F.col("score").alias("m1"), F.when((F.col("doc_id") + F.col("item_id")) % 5 != 0, (F.col("doc_id") * 53 + F.col("item_id") * 11) % 1000 / 10.0).alias("m2"), F.when(F.col("doc_id") % 7 != 0, (F.col("doc_id") * 17 + F.col("item_id") * 29) % 1000 / 10.0).alias("m3"))
+    m = [F.col("m1"), F.col("m2"), F.col("m3")]
+    return p.withColumn("final_score", S.mean_available(m)).withColumn("method_disagreement", S.disagreement(m))
+
+
+_METHODS = f"""{_SCORED}, m0 AS (SELECT doc_id, item_id, score AS m1, CASE WHEN (doc_id + item_id) % 5 <> 0 THEN (doc_id * 53 + item_id * 11) % 1000 / 10.0::DOUBLE END AS m2, CASE WHEN doc_id % 7 <> 0 THEN (doc_id * 17 + item_id * 29) % 1000 / 10.0::DOUBLE END AS m3 FROM p),
+m1 AS (SELECT *, list_filter([m1, m2, m3], lambda x: x IS NOT NULL) AS v FROM m0),
+m AS (SELECT doc_id, item_id, m1, m2, m3, round(list_sum(v) / len(v), 4) AS final_score, CASE WHEN len(v) > 1 THEN round(list_stddev_samp(v), 4) ELSE 0.0::DOUBLE END AS method_disagreement FROM m1)"""
+
+
+@query(f"WITH {_METHODS} SELECT * FROM m")
+def q_blend(spark, d):
+    return _methods(spark, d)
+
+
+@query(f"""WITH {_METHODS}, r AS (SELECT doc_id, item_id, final_score, method_disagreement, row_number() OVER (PARTITION BY item_id ORDER BY final_score, doc_id) / count(final_score) OVER (PARTITION BY item_id)::DOUBLE AS rank_share FROM m),
+q AS (SELECT quantile_cont(method_disagreement, 0.75) AS q75 FROM m)
+SELECT r.*, CASE WHEN rank_share >= 0.3 AND rank_share < 0.8 AND method_disagreement >= q75 THEN 'uncertain' WHEN rank_share >= 0.8 THEN 'good' WHEN rank_share >= 0.4 THEN 'average' ELSE 'bad' END AS pseudo_label FROM r, q""")
+def q_pseudo_labels(spark, d):
+    return evaluation.pseudo_labels(_methods(spark, d).drop("m1", "m2", "m3"), "item_id", "doc_id", "final_score", "method_disagreement")
+
+
+@query(f"""WITH {_SCORED} SELECT doc_id, item_id, score, CAST(CASE WHEN score / 100 >= 0.8 THEN 3 WHEN score / 100 >= 0.6 THEN 2 WHEN score / 100 >= 0.35 THEN 1 ELSE 0 END AS INTEGER) AS unit_label,
+CAST(CASE WHEN score <= 20 THEN 0 WHEN score <= 40 THEN 1 WHEN score <= 60 THEN 2 WHEN score <= 80 THEN 3 ELSE 4 END AS INTEGER) AS percent_label,
+CASE WHEN score BETWEEN 0 AND 20 THEN 'poor fit' WHEN score BETWEEN 21 AND 40 THEN 'weak fit' WHEN score BETWEEN 41 AND 60 THEN 'moderate fit' WHEN score BETWEEN 61 AND 80 THEN 'good fit' ELSE 'strong fit' END AS band FROM p""")
+def q_bands(spark, d):
+    s = F.col("score")
+    return _scored(spark, d).select("doc_id", "item_id", "score", S.unit_label(s / 100).alias("unit_label"), S.percent_label(s).alias("percent_label"), S.gap_band(s).alias("band"))
+
+
+@query(f"WITH {_METHODS} SELECT count(m2) AS n, round(avg(m2), 6) AS mean, round(stddev_samp(m2), 6) AS std, min(m2) AS min, quantile_cont(m2, 0.25) AS p25, quantile_cont(m2, 0.5) AS p50, quantile_cont(m2, 0.75) AS p75, max(m2) AS max FROM m")
+def q_describe_scores(spark, d):
+    return evaluation.describe(_methods(spark, d), "m2").withColumn("mean", F.round("mean", 6)).withColumn("std", F.round("std", 6))
+
+
+@query("SELECT doc_id, n_chars, cume_dist() OVER (ORDER BY n_chars) AS calibrated FROM documents")
+def q_quantile_calibration(spark, d):
+    return evaluation.quantile_calibration(_table(spark, d, "documents").select("doc_id", "n_chars"), "n_chars").select("doc_id", "n_chars", "calibrated")
+
+
+# ---------------------------------------------------------------- evaluation
+def _judged(spark, d):
+    """Documents with a human label of 0 to 3 and a predicted score from their id."""
+    lab = _table(spark, d, "labels").select("doc_id", (2 * F.col("quality") + (1 - F.col("toxic"))).alias("human_label"))
+    return _table(spark, d, "documents").select("doc_id", "lang", ((F.col("doc_id") * 37) % 1000 / 1000.0).alias("final_score")).join(lab, "doc_id").withColumn("predicted", S.unit_label(F.col("final_score")))
+
+
+_JUDGED = "j AS (SELECT d.doc_id, d.lang, d.doc_id * 37 % 1000 / 1000.0::DOUBLE AS final_score, 2 * quality + (1 - toxic) AS human_label FROM documents d JOIN labels USING (doc_id)), k AS (SELECT *, CASE WHEN final_score >= 0.8 THEN 3 WHEN final_score >= 0.6 THEN 2 WHEN final_score >= 0.35 THEN 1 ELSE 0 END AS predicted FROM j)"
+
+
+@query(f"""WITH {_JUDGED}, l AS (SELECT human_label AS label FROM k UNION SELECT predicted FROM k),
+c AS (SELECT label, (SELECT count(*) FROM k WHERE human_label = label AND predicted = label) AS hit, (SELECT count(*) FROM k WHERE human_label = label) AS actual, (SELECT count(*) FROM k WHERE predicted = label) AS said FROM l),
+e AS (SELECT *, CASE WHEN said > 0 THEN hit / said::DOUBLE ELSE 0 END AS p, CASE WHEN actual > 0 THEN hit / actual::DOUBLE ELSE 0 END AS r FROM c)
+SELECT round(sum(hit) / sum(actual)::DOUBLE, 6) AS accuracy, round(avg(p), 6) AS macro_precision, round(avg(r), 6) AS macro_recall, round(avg(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END), 6) AS macro_f1 FROM e""")
+def q_classification(spark, d):
+    return evaluation.classification(_judged(spark, d), "human_label", "predicted")
+
+
+@query(f"""WITH {_JUDGED}, r AS (SELECT rank() OVER (ORDER BY human_label) + (count(*) OVER (PARTITION BY human_label) - 1) / 2.0 AS a, rank() OVER (ORDER BY final_score) + (count(*) OVER (PARTITION BY final_score) - 1) / 2.0 AS b FROM k)
+SELECT round(corr(a, b), 6) AS spearman FROM r""")
+def q_spearman(spark, d):
+    return evaluation.spearman(_judged(spark, d), "human_label", "final_score")
+
+
+@query(f"""WITH {_JUDGED}, a AS (SELECT *, sum((human_label > 0)::INT) OVER (PARTITION BY lang) AS al, row_number() OVER (PARTITION BY lang ORDER BY final_score DESC, doc_id) AS rn FROM k),
+t AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY human_label DESC, rn) AS best FROM a WHERE rn <= 10),
+g AS (SELECT lang, sum((human_label > 0)::INT) / count(*)::DOUBLE AS p, sum((human_label > 0)::INT) / greatest(1, max(al))::DOUBLE AS r, sum((pow(2.0::DOUBLE, human_label) - 1) / log2(rn + 1)) AS dcg, sum((pow(2.0::DOUBLE, human_label) - 1) / log2(best + 1)) AS ideal,
+coalesce(1 / min(CASE WHEN human_label > 0 THEN rn END)::DOUBLE, 0) AS rr FROM t GROUP BY lang)
+SELECT round(avg(p), 6) AS precision_at_k, round(avg(r), 6) AS recall_at_k, round(avg(CASE WHEN ideal > 0 THEN dcg / ideal ELSE 0 END), 6) AS ndcg_at_k, round(avg(rr), 6) AS mrr FROM g""")
+def q_ranking(spark, d):
+    return evaluation.ranking(_judged(spark, d), "lang", "final_score", "human_label", "doc_id", 10)
+
+
+@query(f"WITH {_JUDGED} SELECT doc_id, human_label, round(abs(final_score - human_label / greatest(1, (SELECT max(human_label) FROM k))::DOUBLE), 6) AS error FROM k ORDER BY 3 DESC, doc_id LIMIT 25")
+def q_top_errors(spark, d):
+    j = _judged(spark, d)
+    top = j.agg(F.greatest(F.lit(1), F.max("human_label")).alias("most"))
+    return j.crossJoin(F.broadcast(top)).select("doc_id", "human_label", F.round(F.abs(F.col("final_score") - F.col("human_label") / F.col("most")), 6).alias("error")).orderBy(F.desc("error"), "doc_id").limit(25)
+
+
+@query("SELECT l.doc_id FROM labels l SEMI JOIN documents d ON l.doc_id = d.doc_id AND d.lang = 'en'")
+def q_semi_join(spark, d):
+    return _table(spark, d, "labels").select("doc_id").join(_table(spark, d, "documents").filter("lang = 'en'"), "doc_id", "left_semi")
+
+
+@query("SELECT d.doc_id FROM documents d ANTI JOIN labels l ON l.doc_id = d.doc_id")
+def q_anti_join(spark, d):
+    return _table(spark, d, "documents").select("doc_id").join(_table(spark, d, "labels"), "doc_id", "left_anti")
+
+
+@query("""SELECT doc_id, round(CASE WHEN x > 1 THEN least(1.0, x / 100) ELSE greatest(0.0, x) END, 6) AS unit, round(greatest(0.0, least(100.0, x)), 2) AS clamped FROM
+(SELECT doc_id, coalesce(TRY_CAST(CASE WHEN doc_id % 4 = 0 THEN 'abc' ELSE CAST(doc_id % 130 AS VARCHAR) END AS DOUBLE), 0.0) AS x FROM documents)""")
+def q_percent_to_unit(spark, d):
+    t = F.when(F.col("doc_id") % 4 == 0, "abc").otherwise((F.col("doc_id") % 130).cast("string"))
+    return _table(spark, d, "documents").select("doc_id", S.percent_to_unit(t).alias("unit"), S.clamp_score(t).alias("clamped"))
+
+
+@query("""SELECT doc_id, CASE WHEN doc_id % 3 = 2 THEN NULL ELSE CAST(doc_id % 100 AS DOUBLE) END AS fit_score, CASE WHEN doc_id % 3 = 2 THEN NULL ELSE lang END AS category FROM documents""")
+def q_llm_json(spark, d):
+    body = F.concat(F.lit('{"fit_score": '), (F.col("doc_id") % 100).cast("string"), F.lit(', "category": "'), F.col("lang"), F.lit('"}'))
+    reply = F.when(F.col("doc_id") % 3 == 0, body).when(F.col("doc_id") % 3 == 1, F.concat(F.lit("Here it is:\n"), body, F.lit("\nDone."))).otherwise("no answer")
+    j = S.judge_json(reply)
+    return _table(spark, d, "documents").select("doc_id", j["fit_score"].alias("fit_score"), j["category"].alias("category"))
