@@ -4,16 +4,18 @@ A document's set holds the hashes of its distinct shingles.  Under any global or
 two sets with Jaccard at least t share a token among the first ``n - ceil(t * n) + 1`` of each.  A
 pair is therefore a candidate only if it shares prefix tokens under *every* one of several orders:
 
-* order 1 ranks frequent tokens last (ties and all other tokens by hash), so that passages common to
+* order 1 (with the shorter prefix for the smaller set of a pair) ranks frequent tokens last (ties and all other tokens by hash), so that passages common to
   many documents stay out of the prefixes.  Its postings are exchanged in packed blocks and grouped
   by token;
 * orders 2 and 3 rank by re-seeded hashes.  Candidates of order 1 are dropped unless they share a
   prefix token under each of them; only what is left has its sets intersected exactly.
 
 Documents with equal sets are one node from the start, so groups of exact copies cost one node.
-Posting lists are not expanded into all pairs: first each list links its members to a few pivots
-(linear); links verified so far are contracted to components; only members of one list that lie in
-different components are then paired.  Such pairs are all verified, so no component is missed.
+Posting lists of order 1 are not expanded into pairs: each joins its members, in order of
+set size, to their neighbours, which is enough to tell clusters, the components of the candidate graph.  Any two candidates of order 1 are in one
+cluster.  A cluster's sets are sent to one task (a large cluster is split to blocks of BLOCK_BYTES, each
+pair of blocks a task), which goes on with orders 2 and 3 and the exact intersection in memory, skips
+pairs that verified links have already joined, and returns a spanning forest of the links.
 """
 
 from __future__ import annotations
@@ -31,19 +33,27 @@ from . import core
 from .core import U64
 
 #: Shingles that occur this often in one block of BLOCK shingles are counted for the frequency order.
-LOCAL_COUNT = 4
+LOCAL_COUNT = 2
 BLOCK = 8_000_000
 #: The frequency order knows at most so many of the most frequent shingles (16 bytes each, broadcast).
-KNOWN = 1 << 17
+KNOWN = 1 << 20
 #: Bits of the filter that spares most documents without candidates from being sent again.
 FILTER_BITS = 1 << 24
-PIVOTS = 3
+#: Marks postings beyond the prefix of the smaller set of a pair.
+PROBE = np.uint32(1 << 31)
+#: Bytes of sets of a block of a large cluster.
+BLOCK_BYTES = 32 << 20
 
 
 def prefix_length(n: np.ndarray | int, percent: int):
     return n - (n * percent + 99) // 100 + 1
 
 
+def index_length(n: int, percent: int) -> int:
+    """Prefix of the smaller set of a pair: it alone has this many tokens less than any link can lack."""
+    return n - -(-2 * percent * n // (100 + percent)) + 1
+
+
 def shingle_sets(column: pa.Array, size: int):
     """For each row its sorted distinct shingle hashes (empty without words)."""
     for _, _, data, offs in core.text_slices(column):
@@ -107,7 +117,7 @@ def _postings(size: int, percent: int, blocks: int, table):
             lens = np.array([len(t) for t in toks])
             t = np.concatenate(toks)
             s = np.repeat(np.array(sigs, U64), lens)
-            n = np.repeat(np.array(sizes, np.uint32), lens)
+            n = np.concatenate(sizes)
             block = ((t >> U64(32)) * U64(blocks)) >> U64(32)
             o = np.argsort(block, kind="stable")
             ids, first = np.unique(block[o], return_index=True)
@@ -126,7 +136,9 @@ def _postings(size: int, percent: int, blocks: int, table):
                     seen.add(g)
                 p = int(prefix_length(len(x), percent))
                 sigs.append(g)
-                sizes.append(len(x))
+                own = np.full(p, len(x), np.uint32)
+                own[index_length(len(x), percent) :] |= PROBE
+                sizes.append(own)
                 toks.append(_order(x, known, counts)[:p])
                 rows += p
                 if rows >= 2_000_000:
@@ -138,11 +150,13 @@ def _postings(size: int, percent: int, blocks: int, table):
     return run
 
 
-_RUN = pa.schema([("kind", pa.int32()), ("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64()), ("list", pa.int64())])
-
-
 def _lists(percent: int):
-    """Groups a block's postings by token.  kind 0: candidate pair (a, b); kind 1: member a of a list of three or more."""
+    """Groups a block's postings by token; gives pairs (a, b) that join the members of every list.
+
+    A list is sorted by set size.  Of two candidates the smaller one has the token in its short (index)
+    prefix, so every member is joined to the index member before it, if their sizes allow a link.  If they
+    do for an earlier index member, they do for all between, so its candidates are all joined.
+    """
 
     def run(batches):
         got: dict[int, list] = {}
@@ -151,58 +165,21 @@ def _lists(percent: int):
                 got.setdefault(k, []).append((np.frombuffer(t.as_buffer(), U64), np.frombuffer(s.as_buffer(), U64), np.frombuffer(n.as_buffer(), np.uint32)))
         for k in list(got):
             t, s, n = (np.concatenate(x) for x in zip(*got.pop(k), strict=True))
-            o = np.lexsort((s, t))
-            t, s, n = t[o], s[o], n[o]
-            new = np.concatenate(([True], (t[1:] != t[:-1]) | (s[1:] != s[:-1])))
-            t, s, n = t[new], s[new], n[new].astype(np.int64)
-            first = np.flatnonzero(np.concatenate(([True], t[1:] != t[:-1])))
-            length = np.diff(np.append(first, len(t)))
-            two = first[length == 2]
-            if len(two):
-                yield from _pairs(s[two], s[two + 1], n[two], n[two + 1], percent)
-            seen = set()
-            for a, m in zip(first[length > 2].tolist(), length[length > 2].tolist(), strict=True):
-                ids, sizes = s[a : a + m], n[a : a + m]
-                name = xxhash.xxh3_64_intdigest(ids.tobytes(), m)
-                if name in seen:
-                    continue
-                seen.add(name)
-                salt = U64((int(t[a]) % PIVOTS + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
-                p = int(np.argmin(core.mix64(ids ^ salt)))
-                yield from _pairs(np.full(m, ids[p], U64), ids, np.full(m, sizes[p]), sizes, percent)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.ones(m, np.int32)), pa.array(core.signed(ids)), pa.nulls(m, pa.int64()), pa.array(sizes), pa.array(np.full(m, np.array(name, U64).view(np.int64)))], schema=_RUN
-                )
+            probe, n = n >= PROBE, (n & ~PROBE).astype(np.int64)
+            o = np.lexsort((s, n, t))
+            t, s, n, probe = t[o], s[o], n[o], probe[o]
+            at = np.maximum.accumulate(np.where(probe, -1, np.arange(len(t))))[:-1]
+            pair = (at >= 0) & (t[at] == t[1:]) & (s[at] != s[1:]) & (100 * n[at] >= percent * n[1:])
+            a, b = s[at[pair]], s[1:][pair]
+            if len(a):
+                o = np.lexsort((b, a))
+                a, b = a[o], b[o]
+                new = np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])))
+                yield pa.RecordBatch.from_arrays([pa.array(core.signed(a[new])), pa.array(core.signed(b[new]))], ["a", "b"])
 
     return run
 
 
-def _pairs(a, b, na, nb, percent):
-    ok = (a != b) & (100 * np.minimum(na, nb) >= percent * np.maximum(na, nb))
-    a, b = np.minimum(a[ok], b[ok]), np.maximum(a[ok], b[ok])
-    if not len(a):
-        return
-    o = np.lexsort((b, a))
-    a, b = a[o], b[o]
-    new = np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])))
-    a, b = a[new], b[new]
-    z = len(a)
-    yield pa.RecordBatch.from_arrays([pa.array(np.zeros(z, np.int32)), pa.array(core.signed(a)), pa.array(core.signed(b)), pa.nulls(z, pa.int64()), pa.nulls(z, pa.int64())], schema=_RUN)
-
-
-def _batched(batches, rows: int = 65_536):
-    """Joins small record batches."""
-    held, n = [], 0
-    for b in batches:
-        held.append(b)
-        n += b.num_rows
-        if n >= rows:
-            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-            held, n = [], 0
-    if n:
-        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-
-
 def _filter_bits(batches):
     bits = np.zeros(FILTER_BITS // 8, np.uint8)
     for b in batches:
@@ -238,64 +215,92 @@ def _sets(size: int, wanted):
     return run
 
 
-def _share_prefix(x: np.ndarray, y: np.ndarray, percent: int, seed: int) -> bool:
-    """Whether two sets share a prefix token under the order of re-seeded hashes."""
+class _Lists:
+    """Posting lists of the token sets of one task, for counting what a set has in common with all others."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        n = np.array([len(x) for x in sets])
+        tokens, number = np.unique(np.concatenate(sets), return_inverse=True)
+        owner = np.repeat(np.arange(len(sets)), n)
+        o = np.argsort(number, kind="stable")
+        self.owner = owner[o]
+        self.first = np.searchsorted(number[o], np.arange(len(tokens) + 1))
+        self.number, self.at = number, np.concatenate(([0], np.cumsum(n)))
+        self.m = len(sets)
+
+    def common(self, i: int) -> np.ndarray:
+        t = self.number[self.at[i] : self.at[i + 1]]
+        out = np.zeros(self.m, np.int64)
+        have = self.first[t + 1] - self.first[t]
+        ends = np.cumsum(have)
+        cut = 0
+        while cut < len(t):  # some million entries at a time
+            end = max(cut + 1, int(np.searchsorted(ends, (ends[cut - 1] if cut else 0) + 4_000_000, "right")))
+            h = have[cut:end]
+            e = np.cumsum(h)
+            out += np.bincount(self.owner[np.repeat(self.first[t[cut:end]] - (e - h), h) + np.arange(e[-1])], minlength=self.m)
+            cut = end
+        return out
+
+
+def _prefixes(sets: list[np.ndarray], percent: int, seed: int) -> _Lists:
+    """Lists of the prefixes under the order of re-seeded hashes."""
     salt = U64(seed * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
-    hx, hy = core.mix64(x ^ salt), core.mix64(y ^ salt)
-    px, py = int(prefix_length(len(x), percent)), int(prefix_length(len(y), percent))
-    hx = np.partition(hx, px - 1)[:px] if px < len(hx) else hx
-    hy = np.partition(hy, py - 1)[:py] if py < len(hy) else hy
-    return bool(np.isin(hx, hy).any())
+    out = []
+    for x in sets:
+        h = core.mix64(x ^ salt)
+        p = int(prefix_length(len(x), percent))
+        out.append(np.partition(h, p - 1)[:p] if p < len(h) else h)
+    return _Lists(out)
+
+
+def _joined(sigs: list[int], side: np.ndarray, sets: list[np.ndarray], percent: int, cross: bool):
+    """Links that join the sets of a cluster; of two blocks (``cross``) only pairs of different sides count."""
+    n = np.array([len(x) for x in sets])
+    root = np.arange(len(sets))
+    filters = [_prefixes(sets, percent, 2), _prefixes(sets, percent, 3)]
+    whole = _Lists(sets)
+    out = []
+    for i in range(len(sets)):
+        ok = (100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i])) & (root != root[i])
+        if cross:
+            ok &= side != side[i]
+        ok[: i + 1] = False
+        for f in filters:
+            if ok.any():
+                ok &= f.common(i) > 0
+        if not ok.any():
+            continue
+        common = whole.common(i)
+        for j in np.flatnonzero(ok & (100 * common >= percent * (n + n[i] - common))).tolist():
+            if root[j] != root[i]:
+                out.append((sigs[i], sigs[j]))
+                root[root == root[j]] = root[i]
+    return out
+
+
+def _clusters(percent: int):
+    """Verifies clusters; rows come sorted by their task's name."""
 
-
-def _verify(percent: int):
     def run(batches):
+        def done(held):
+            sigs = [h[0] for h in held]
+            side = np.array([h[1] for h in held])
+            cross = bool(held[0][3])
+            links = _joined(sigs, side, [h[2] for h in held], percent, cross) if len(held) > 1 else []
+            return pa.RecordBatch.from_arrays([pa.array([x for x, _ in links], pa.int64()), pa.array([y for _, y in links], pa.int64())], ["a", "b"])
+
+        name, held = None, []
         for b in batches:
-            ok = []
-            for u, v in zip(b.column("x"), b.column("y"), strict=True):
-                x = np.frombuffer(u.as_buffer(), U64)
-                y = np.frombuffer(v.as_buffer(), U64)
-                good = _share_prefix(x, y, percent, 2) and _share_prefix(x, y, percent, 3)
-                if good:
-                    both = np.concatenate((x, y))
-                    both.sort()
-                    common = int((both[1:] == both[:-1]).sum())
-                    good = 100 * common >= percent * (len(both) - common)
-                ok.append(good)
-            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(ok, pa.bool_())], ["a", "b", "ok"])
-
-    return run
-
-
-def _across(percent: int):
-    """Pairs of members of one list in different components; rows come sorted by list and size."""
-
-    def pairs(members):
-        c = np.array([m[2] for m in members])
-        if (c == c[0]).all():
-            return
-        s = np.array([m[0] for m in members], np.int64).view(U64)
-        n = np.array([m[1] for m in members])
-        for i in range(len(s) - 1):
-            end = int(np.searchsorted(n, n[i] * 100 // percent, "right"))
-            other = np.flatnonzero(c[i + 1 : end] != c[i]) + i + 1
-            if len(other):
-                yield from _pairs(np.full(len(other), s[i], U64), s[other], np.full(len(other), n[i]), n[other], percent)
-
-    def run(batches):
-        def rows():
-            name, members = None, []
-            for b in batches:
-                for r in zip(*(b.column(k).to_pylist() for k in ("list", "a", "n", "component")), strict=True):
-                    if r[0] != name:
-                        if members:
-                            yield from pairs(members)
-                        name, members = r[0], []
-                    members.append(r[1:])
-            if members:
-                yield from pairs(members)
-
-        yield from _batched(rows())
+            for c, i, j, side, sig, tokens in zip(*(b.column(k).to_pylist() for k in ("cluster", "i", "j", "side", "sig", "tokens")), strict=True):
+                if (c, i, j) != name:
+                    if held:
+                        yield done(held)
+                    name, held = (c, i, j), []
+                if not held or held[-1][:2] != (sig, side):  # equal sets of several scan tasks
+                    held.append((sig, side, np.frombuffer(tokens, U64), i != j))
+        if held:
+            yield done(held)
 
     return run
 
@@ -324,8 +329,9 @@ def _contract(batches):
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, component) for every node of the edges (a, b); component is the smallest node reached.
 
-    Each round every node takes the smallest label beside it, then the label of its label; paths halve
-    in length, so a round count is logarithmic.  Tables of a round go to the shared folder.
+    Each round every node takes the smallest label beside it, labels in use take the smallest that their
+    holders met, and every node takes the label of its label, so paths contract.  Tables of a round go to
+    the shared folder.
     """
     edges = core.keep(edges.select("a", "b").mapInArrow(_contract, "a long, b long"), "edges")
     both = edges.union(edges.select("b", "a")).distinct()
@@ -334,7 +340,10 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     for _ in range(rounds):
         near = both.join(labels.select(F.col("node").alias("b"), "component"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("m"))
         new = labels.join(near, "node").select("node", F.col("component").alias("old"), F.least("component", "m").alias("component"))
-        jump = labels.select(F.col("node").alias("component"), F.col("component").alias("further"))
+        # a label's own node takes the smallest label that any holder of it has met
+        hook = new.groupBy(F.col("old").alias("node")).agg(F.min("component").alias("h"))
+        new = new.join(hook, "node", "left").select("node", "old", F.least("component", F.coalesce("h", "component")).alias("component"))
+        jump = new.select(F.col("node").alias("component"), F.col("component").alias("further"))
         new = new.join(jump, "component", "left").select("node", "old", F.least("component", F.coalesce("further", "component")).alias("component"))
         new = core.keep(new, "labels")
         done = new.filter("old <> component").isEmpty()
@@ -357,10 +366,10 @@ def near_components(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     spark = docs.sparkSession
     core.prepare(spark)
     texts = docs.select(F.col(text).alias("text"))
-    counted = texts.mapInArrow(_frequent(size), "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "token").limit(KNOWN).collect()
-    known = np.array([r[0] for r in counted], np.int64).view(U64)
+    counted = texts.mapInArrow(_frequent(size), "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "token").limit(KNOWN).toArrow()
+    known = counted.column("token").to_numpy().view(U64)
     order = np.argsort(known)
-    table = spark.sparkContext.broadcast((known[order], np.array([r[1] for r in counted], np.int64)[order]))
+    table = spark.sparkContext.broadcast((known[order], counted.column("n").to_numpy()[order]))
 
     def rows(batches):
         for b in batches:
@@ -375,29 +384,19 @@ def near_components(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     shingles = nodes.agg(F.sum("n_shingles")).first()[0] or 0
     blocks = max(core.tasks(spark), math.ceil(shingles * (101 - percent) / 100 / 1_000_000))
     postings = texts.mapInArrow(_postings(size, percent, blocks, table), "block int, tokens binary, sigs binary, sizes binary")
-    runs = postings.repartitionById(blocks, "block").mapInArrow(lambda b: _batched(_lists(percent)(b)), "kind int, a long, b long, n long, list long")
-    runs = core.keep(runs, "lists")
-    found = core.keep(runs.filter("kind = 0").select("a", "b").distinct(), "pairs")
-    some = found.select(F.explode(F.array("a", "b")).alias("sig"))
+    found = core.keep(postings.repartitionById(blocks, "block").mapInArrow(_lists(percent), "a long, b long").distinct(), "pairs")
+    cluster = components(found).select(F.col("node").alias("sig"), F.col("component").alias("cluster"))
     bits = np.zeros(FILTER_BITS // 8, np.uint8)
-    for r in some.coalesce(16).mapInArrow(_filter_bits, "bits binary").toLocalIterator():
+    for r in cluster.coalesce(16).mapInArrow(_filter_bits, "bits binary").toLocalIterator():
         bits |= np.frombuffer(zlib.decompress(r[0]), np.uint8)
     wanted = spark.sparkContext.broadcast(bits.tobytes())
-    sets = core.keep(texts.mapInArrow(_sets(size, wanted), "sig long, tokens binary"), "sets").dropDuplicates(["sig"])
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        both = pairs.join(sets.select(F.col("sig").alias("a"), F.col("tokens").alias("x")), "a").join(sets.select(F.col("sig").alias("b"), F.col("tokens").alias("y")), "b")
-        return both.mapInArrow(_verify(percent), "a long, b long, ok boolean").filter("ok").select("a", "b")
-
-    links = core.keep(verified(found), "links")
+    own = nodes.filter("n_shingles > 0").groupBy("sig").agg(F.max("n_shingles").alias("n")).join(cluster.hint("merge"), "sig")
+    parts = own.groupBy("cluster").agg(F.ceil(F.sum("n") * 8 / BLOCK_BYTES).cast("int").alias("parts"))
+    placed = own.join(parts.hint("merge"), "cluster").withColumn("own", F.pmod(F.xxhash64("sig"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    placed = placed.select("sig", "cluster", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.when(F.col("own") <= F.col("other"), 0).otherwise(1).alias("side"))
+    dealt = texts.mapInArrow(_sets(size, wanted), "sig long, tokens binary").join(core.keep(placed, "placed").hint("merge"), "sig")
+    links = dealt.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "side", "sig").mapInArrow(_clusters(percent), "a long, b long")
     labels = components(links)
-    members = runs.filter("kind = 1").select("list", "a", "n").distinct().join(labels.withColumnRenamed("node", "a"), "a", "left").withColumn("component", F.coalesce("component", "a"))
-    rest = members.repartition("list").sortWithinPartitions("list", "n", "a").mapInArrow(_across(percent), "kind int, a long, b long, n long, list long")
-    rest = core.keep(rest.select("a", "b").distinct().join(found, ["a", "b"], "left_anti"), "rest")
-    if not rest.isEmpty():
-        more = core.keep(verified(rest), "links")
-        if not more.isEmpty():
-            labels = components(links.union(more))
     named = nodes.filter("n_shingles > 0").join(labels.withColumnRenamed("node", "sig"), "sig", "left").select("key", "sig", F.coalesce("component", "sig").alias("component"))
     least = named.groupBy("component").agg(F.min("key").alias("component_id"))
     heads = named.select("sig", "component").distinct().join(least, "component").select("sig", "component_id")
