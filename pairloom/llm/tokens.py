@@ -146,7 +146,7 @@ class Encoder:
 class _Table:
     """Ids by 64-bit hash, in flat arrays with open addressing; at most MOST pieces, older ones stay."""
 
-    SLOTS, MOST = 1 << 22, 1_500_000
+    SLOTS, MOST = 1 << 21, 700_000
 
     def __init__(self):
         self.clear()
