@@ -177,6 +177,23 @@ def test_lines(spark, docs, monkeypatch):
     assert {r.doc_id: r.text for r in line_templates.drop_lines(df).collect()} == {k: r.text for k, r in out.items()}
 
 
+def test_large_leaves_are_divided(spark, monkeypatch):
+    names = ["".join(chr(97 + (i * 7 + j) % 26) for j in range(5)) for i in range(8)]
+    rows = [(i * 2 + k, f"own {names[i]} opening words {i} here\nthe log entry {what} by user {n} on this host\nown {names[-i]} closing words") for i, n in enumerate(names) for k, what in enumerate(("opened", "closed"))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    whole = {r.doc_id: r.n_dropped for r in line_templates.drop_lines(df).collect()}
+    monkeypatch.setattr(line_templates, "BLOCK", 8)
+    parts = {r.doc_id: r.n_dropped for r in line_templates.drop_lines(df).collect()}
+    assert all(parts[k] >= 1 for k in range(2, 16)) and len(whole) == 16
+    entries = [(m, 5, bytes([1, 0, m % 3 + 1, 0, m + 1, 0]), 1, 1, 1) for m in range(30)] + [(99, 6, b"\x01\x00", 1, 1, 1)]
+    for block in (1, 4, 30):
+        monkeypatch.setattr(line_templates, "BLOCK", block)
+        out = line_templates._divide(spark.createDataFrame(entries, "member long, leaf long, places binary, contexts long, texts long, first long")).collect()
+        sizes = Counter(r.block for r in out)
+        assert sorted(r.member for r in out) == sorted(e[0] for e in entries) and max(sizes.values()) <= block
+        assert block < 30 or len(sizes) == 2
+
+
 RULES = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
 
