@@ -75,3 +75,35 @@ RESUME_GROUPS = [
 PAIR_TYPES = ["likely_good", "medium", "hard_negative", "random_negative"]
 PAIR_COUNT = 5
 METHODS = ["tfidf", "bge", "e5", "gte", "sbert", "section", "requirement", "llm"]
+
+# fixed values: résumé groups for the titles of technology jobs (first match), for other groups, and the pools between
+TECH_TITLES = [
+    (["database", "data", "machine learning", "analyst"], ["Data and Database", "Software Development", "Information Technology"]),
+    (["network", "systems", "devops", "administrator"], ["Infrastructure and Systems", "Data and Database", "Information Technology"]),
+    (["security", "cyber"], ["Cybersecurity", "Infrastructure and Systems", "Information Technology"]),
+    (["project", "product", "scrum"], ["Project Management", "Business Development", "Information Technology"]),
+]
+TECH_DEFAULT = ["Software Development", "Other Technology", "Information Technology"]
+GROUP_POOLS = {
+    "Healthcare": ["Healthcare"],
+    "Finance": ["Finance", "Accountant", "Banking"],
+    "Sales": ["Sales", "Business Development"],
+    "Marketing": ["Public Relations", "Digital Media", "Business Development"],
+    "Operations": ["Business Development", "Consultant", "Project Management"],
+    "Manufacturing": ["Engineering", "Construction", "Automobile"],
+    "Logistics": ["Aviation", "Automobile", "Business Development"],
+    "Customer Support": ["Hr", "Sales", "Business Development"],
+    "Hospitality": ["Chef", "Fitness"],
+    "Engineering": ["Engineering", "Construction"],
+    "Construction": ["Construction", "Engineering"],
+    "Education": ["Teacher", "Arts"],
+    "Legal": ["Advocate"],
+    "Human Resources": ["Hr", "Business Development"],
+    "Administrative": ["Business Development", "Hr"],
+    "Science": ["Healthcare", "Agriculture", "Engineering"],
+    "Security": ["Cybersecurity", "Information Technology"],
+    "Creative Media": ["Designer", "Arts", "Digital Media"],
+}
+POOL_DEFAULT = ["Business Development", "Consultant", "Sales"]
+MEDIUM_TECH = ["Software Development", "Data and Database", "Infrastructure and Systems", "Cybersecurity", "Project Management", "Other Technology", "Information Technology"]
+MEDIUM_OTHER = ["Business Development", "Consultant", "Sales", "Project Management", "Other Technology"]

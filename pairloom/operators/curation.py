@@ -56,3 +56,32 @@ def job_group(text: Column) -> Column:
 
 def resume_group(label: Column) -> Column:
     return T.first_rule(T.normalize_key(F.regexp_replace(label, "_", " ")), C.RESUME_GROUPS, "Other Technology")
+
+
+def _names(names: list[str]) -> Column:
+    return F.array(*(F.lit(n) for n in names))
+
+
+def likely_groups(title: Column, group: Column) -> Column:
+    """The résumé groups that suit a job, in order: by words of the title for technology, else by its group."""
+    low = F.lower(F.coalesce(title, F.lit("")))
+    tech = F.when(F.lit(False), _names(C.TECH_DEFAULT))
+    for words, names in C.TECH_TITLES:
+        tech = tech.when(T.contains_any(low, words), _names(names))
+    other = F.when(F.lit(False), _names(C.POOL_DEFAULT))
+    for name, names in C.GROUP_POOLS.items():
+        other = other.when(group == name, _names(names))
+    return F.when(group == "Technology", tech.otherwise(_names(C.TECH_DEFAULT))).otherwise(other.otherwise(_names(C.POOL_DEFAULT)))
+
+
+def medium_groups(group: Column) -> Column:
+    return F.when(group == "Technology", _names(C.MEDIUM_TECH)).otherwise(_names(C.MEDIUM_OTHER))
+
+
+def group_pool(jd: DataFrame, cv: DataFrame, groups: str, jd_key: str, cv_key: str, cv_group: str) -> DataFrame:
+    """(jd, cv): candidates whose group is in the list of the requirement text; all of them if no group has any."""
+    names = jd.select(jd_key, F.explode(F.array_distinct(groups)).alias("_g"))
+    side = cv.select(cv_key, F.col(cv_group).alias("_g"))
+    found = names.join(cv.select(F.col(cv_group).alias("_g")).distinct(), "_g", "left_semi")
+    without = jd.select(jd_key).join(found.select(jd_key).distinct(), jd_key, "left_anti")
+    return found.join(side, "_g").select(jd_key, cv_key).unionByName(without.crossJoin(cv.select(cv_key)))

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from ..functions import constants as C
 from ..functions import scores as S
 from ..functions import text as T
-from ..operators import curation, evaluation, extraction, matching
+from ..operators import curation, evaluation, extraction, judge, matching, methods
+from ..sources import writers
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -446,3 +447,86 @@ def q_llm_json(spark, d):
     reply = F.when(F.col("doc_id") % 3 == 0, body).when(F.col("doc_id") % 3 == 1, F.concat(F.lit("Here it is:\n"), body, F.lit("\nDone."))).otherwise("no answer")
     j = S.judge_json(reply)
     return _table(spark, d, "documents").select("doc_id", j["fit_score"].alias("fit_score"), j["category"].alias("category"))
+
+
+# ---------------------------------------------------------------- groups, sections, all methods, reports
+def _likely(title, group):
+    tech = "CASE " + " ".join(f"WHEN {_has(f'lower({title})', w)} THEN {_list(n)}" for w, n in C.TECH_TITLES) + f" ELSE {_list(C.TECH_DEFAULT)} END"
+    other = " ".join(f"WHEN {group} = '{g}' THEN {_list(n)}" for g, n in C.GROUP_POOLS.items())
+    return f"CASE WHEN {group} = 'Technology' THEN {tech} {other} ELSE {_list(C.POOL_DEFAULT)} END"
+
+
+_JOBS = f"j AS (SELECT item_id, coalesce(text, '') AS title, {_rules(_key('text'), C.JOB_GROUPS, 'Other')} AS g FROM benchmark)"
+
+
+@query(f"WITH {_JOBS} SELECT item_id, array_to_string({_likely('title', 'g')}, ', ') AS likely, array_to_string(CASE WHEN g = 'Technology' THEN {_list(C.MEDIUM_TECH)} ELSE {_list(C.MEDIUM_OTHER)} END, ', ') AS medium FROM j")
+def q_job_pools(spark, d):
+    g = curation.job_group(F.col("text"))
+    return _table(spark, d, "benchmark").select("item_id", F.array_join(curation.likely_groups(F.col("text"), g), ", ").alias("likely"), F.array_join(curation.medium_groups(g), ", ").alias("medium"))
+
+
+@query("""WITH b AS (SELECT item_id, unnest(list_distinct(CASE item_id % 3 WHEN 0 THEN ['en', 'de'] WHEN 1 THEN ['fr', 'xx'] ELSE ['xx'] END)) AS g FROM benchmark),
+h AS (SELECT b.item_id, d.doc_id FROM b JOIN documents d ON d.lang = b.g)
+SELECT item_id, CAST(count(*) AS BIGINT) AS candidates, CAST(sum(doc_id) AS BIGINT) AS ids FROM (SELECT * FROM h UNION ALL SELECT x.item_id, d.doc_id FROM benchmark x, documents d WHERE x.item_id NOT IN (SELECT item_id FROM h)) GROUP BY item_id""")
+def q_group_pool(spark, d):
+    n = F.col("item_id") % 3
+    jd = _table(spark, d, "benchmark").select("item_id", F.when(n == 0, F.array(F.lit("en"), F.lit("de"))).when(n == 1, F.array(F.lit("fr"), F.lit("xx"))).otherwise(F.array(F.lit("xx"))).alias("groups"))
+    pool = curation.group_pool(jd, _table(spark, d, "documents").select("doc_id", "lang"), "groups", "item_id", "doc_id", "lang")
+    return pool.groupBy("item_id").agg(F.count("*").alias("candidates"), F.sum("doc_id").alias("ids"))
+
+
+#: Which sections have a vector, by id: name, step to the vector, and a divisor of ids without it (0: all have it)
+_CV_SLOTS = [("text", 0, 0), ("relevant", 1, 3), ("skills_experience", 2, 2), ("experience", 3, 5), ("experience_projects", 4, 4)]
+_JD_SLOTS = [("text", 5, 0), ("requirements", 6, 3), ("experience", 7, 2), ("responsibilities", 8, 5), ("nice_to_have", 9, 4), ("summary", 10, 7)]
+
+
+def _slots(spark, d, table, key, slots):
+    """Vectors of the embeddings table as those of sections of documents."""
+    vectors = _table(spark, d, "embeddings")
+    n = vectors.agg(F.count("*").alias("n"))
+    each = _table(spark, d, table).select(key, F.explode(F.array(*(F.when(F.col(key) % m != 0, F.struct(F.lit(s).alias("section"), F.lit(k).alias("step"))) if m else F.struct(F.lit(s).alias("section"), F.lit(k).alias("step")) for s, k, m in slots))).alias("s")).filter("s is not null")
+    return each.select(key, "s.section", "s.step").crossJoin(n).withColumn("vec_id", (F.col(key) * 7 + F.col("step")) % F.col("n")).join(vectors, "vec_id").select(key, "section", F.col("embedding").alias("vector"))
+
+
+def _slot_sql(key, slots, sections):
+    has = {s: (k, m) for s, k, m in slots}
+    pick = lambda s: f"CASE WHEN {key} % {has[s][1]} <> 0 THEN ({key} * 7 + {has[s][0]}) % (SELECT count(*) FROM embeddings) END" if has[s][1] else f"({key} * 7 + {has[s][0]}) % (SELECT count(*) FROM embeddings)"
+    return "coalesce(" + ", ".join(pick(s) for s in dict.fromkeys(sections)) + ")"
+
+
+def _section_sql():
+    out, joins = [], []
+    for i, (name, (a, b)) in enumerate(C.SECTION_PAIRS.items()):
+        joins.append(f"JOIN embeddings a{i} ON a{i}.vec_id = {_slot_sql('q.doc_id', _CV_SLOTS, (a, 'relevant', 'text'))} JOIN embeddings b{i} ON b{i}.vec_id = {_slot_sql('q.item_id', _JD_SLOTS, (b, 'requirements', 'text'))}")
+        out.append(f"round(greatest(0.0, least(1.0, (list_inner_product(a{i}.embedding::DOUBLE[], b{i}.embedding::DOUBLE[]) + 1) / 2)), 6) AS {name}")
+    total = " + ".join(f"{k} * {w}::DOUBLE" for k, w in C.WEIGHTS.items())
+    return f"WITH {_STEPS}, q AS ({_ALL}), s AS (SELECT q.item_id, q.doc_id, {', '.join(out)} FROM q {' '.join(joins)}) SELECT *, round(greatest(0.0, least(1.0, {total})), 6) AS section_score FROM s"
+
+
+@query(_section_sql())
+def q_section_score(spark, d):
+    pairs = matching.build_pairs(_scored(spark, d), "item_id", "doc_id")
+    return methods.section_scores(pairs, _slots(spark, d, "documents", "doc_id", _CV_SLOTS), _slots(spark, d, "benchmark", "item_id", _JD_SLOTS), "doc_id", "item_id")
+
+
+@query(f"""WITH {_METHODS}, u AS (SELECT doc_id, item_id, round(m1 / 100 * 100, 4) AS tfidf_score, round(m2 / 100 * 100, 4) AS sbert_score, round(m3 / 100 * 100, 4) AS requirement_score FROM m)
+SELECT doc_id, item_id, tfidf_score, NULL::DOUBLE AS bge_score, NULL::DOUBLE AS e5_score, NULL::DOUBLE AS gte_score, sbert_score, NULL::DOUBLE AS section_score, requirement_score, NULL::DOUBLE AS llm_score, 'gte: no trained model' AS method_errors,
+round(list_sum(list_filter([tfidf_score, sbert_score, requirement_score], lambda x: x IS NOT NULL)) / len(list_filter([tfidf_score, sbert_score, requirement_score], lambda x: x IS NOT NULL)), 4) AS final_score FROM u""")
+def q_all_methods(spark, d):
+    scored = _methods(spark, d)
+    method = lambda c: lambda pairs: pairs.join(scored.select("doc_id", "item_id", (F.col(c) / 100).alias("score")), ["doc_id", "item_id"])
+    return methods.score_all(scored.select("doc_id", "item_id"), {"tfidf": method("m1"), "sbert": method("m2"), "requirement": method("m3"), "gte": methods.supervised}, "doc_id", "item_id")
+
+
+@query("""WITH c AS (SELECT coalesce(source, '') AS k, count(*) AS n FROM documents GROUP BY 1), l AS (SELECT 1 + row_number() OVER (ORDER BY n DESC, k) AS position, '- ' || k || ': ' || format('{:,}', n) AS line FROM c)
+SELECT CAST(position AS INTEGER) AS position, line FROM l UNION ALL SELECT 0, '## Sources' UNION ALL SELECT 1, ''""")
+def q_count_report(spark, d):
+    return writers.count_lines(_table(spark, d, "documents"), "source", "Sources")
+
+
+@query("""SELECT doc_id, CASE WHEN doc_id % 3 < 2 THEN (doc_id % 100)::DOUBLE / CASE WHEN doc_id % 100 > 1 THEN 100 ELSE 1 END END AS final_score, CASE WHEN doc_id % 3 = 2 THEN 'no JSON in the reply: no answer' END AS error FROM documents""")
+def q_judge_reply(spark, d):
+    body = F.concat(F.lit('{"final_score": '), (F.col("doc_id") % 100).cast("string"), F.lit("}"))
+    reply = F.when(F.col("doc_id") % 3 == 0, body).when(F.col("doc_id") % 3 == 1, F.concat(F.lit("Result:\n"), body)).otherwise("no answer")
+    rows = _table(spark, d, "documents").select("doc_id", reply.alias("reply"), F.lit(None).cast("string").alias("error"))
+    return judge.parsed(rows).select("doc_id", "final_score", "error")
