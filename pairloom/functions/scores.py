@@ -59,6 +59,12 @@ def weighted_score(parts: dict[str, Column]) -> Column:
     return F.round(clip(total), 6)
 
 
+def weighted_exact(parts: dict[str, Column]) -> Column:
+    """weighted_score of components of at most six decimals, in decimal arithmetic, so that halves round up."""
+    total = sum((F.coalesce(parts[k], F.lit(0.0)).cast("decimal(9,6)") * F.lit(str(w)).cast("decimal(3,2)") for k, w in WEIGHTS.items() if k in parts), F.lit(0).cast("decimal(1,0)"))
+    return clip(F.round(total, 6).cast("double"))
+
+
 def normalize_weights(weights: dict[str, float]) -> dict[str, float]:
     kept = {k: float(w) for k, w in weights.items() if w >= 0}
     total = sum(kept.values())

@@ -499,8 +499,8 @@ def _section_sql():
     for i, (name, (a, b)) in enumerate(C.SECTION_PAIRS.items()):
         joins.append(f"JOIN embeddings a{i} ON a{i}.vec_id = {_slot_sql('q.doc_id', _CV_SLOTS, (a, 'relevant', 'text'))} JOIN embeddings b{i} ON b{i}.vec_id = {_slot_sql('q.item_id', _JD_SLOTS, (b, 'requirements', 'text'))}")
         out.append(f"round(greatest(0.0, least(1.0, (list_inner_product(a{i}.embedding::DOUBLE[], b{i}.embedding::DOUBLE[]) + 1) / 2)), 6) AS {name}")
-    total = " + ".join(f"{k} * {w}::DOUBLE" for k, w in C.WEIGHTS.items())
-    return f"WITH {_STEPS}, q AS ({_ALL}), s AS (SELECT q.item_id, q.doc_id, {', '.join(out)} FROM q {' '.join(joins)}) SELECT *, round(greatest(0.0, least(1.0, {total})), 6) AS section_score FROM s"
+    total = " + ".join(f"CAST({k} AS DECIMAL(9,6)) * CAST({w} AS DECIMAL(3,2))" for k, w in C.WEIGHTS.items())
+    return f"WITH {_STEPS}, q AS ({_ALL}), s AS (SELECT q.item_id, q.doc_id, {', '.join(out)} FROM q {' '.join(joins)}) SELECT *, greatest(0.0, least(1.0, round({total}, 6)::DOUBLE)) AS section_score FROM s"
 
 
 @query(_section_sql())
