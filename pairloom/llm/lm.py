@@ -1,13 +1,16 @@
 """Language-model scoring with a log-frequency Bloom filter.
 
-Counting: words are 64-bit hashes; each training task sums its own counts, then one exchange adds them.
-The filter holds n-grams of the training texts with quantised counts: a count c is level
+Counting: words and pairs of neighbouring words are 64-bit hashes; each training task sums its own counts,
+then one exchange adds them.  The filter holds all of them with quantised counts: a count c is level
 ``1 + floor(log_BASE(c))`` and the items (n-gram, 1) ... (n-gram, level) are members.  A count is read
-back by probing level after level until one is missing.  The filter has FILTER_BITS bits whatever the
-corpus; it holds the UNIGRAMS most frequent words and the BIGRAMS most frequent pairs of words among the
-CONTEXT most frequent ones.
+back by probing level after level until one is missing.
 
-Model: P(w | h) is ``0.5 c(h w) / c(h) + 0.5 u(w)`` after a context word h, else u(w), with
+The filter has ITEM_BITS bits for each item, in parts of PART_BITS bits; the hash of an n-gram tells its
+part, and each part is built by one task.  Up to SENT_PARTS parts are broadcast.  With more, the n-grams of
+every slice of text go to the parts by an exchange and their counts come back to the slice by another.  Both
+ways read the same bits, so scores do not depend on the way.
+
+Model: P(w | h) is ``0.5 c(h w) / c(h) + 0.5 u(w)`` after a word h that the filter holds, else u(w), with
 ``u(w) = (c(w) + 1) / (N + V + 1)`` and counts read from the filter.
 
 The base score needs every word's exact count.  Counts of the UNIGRAMS most frequent words are broadcast
@@ -27,24 +30,28 @@ from pyspark.sql import functions as F
 from . import core
 from .core import U64
 
-FILTER_BITS, PROBES, BASE = 1 << 26, 3, 1.5
-UNIGRAMS, CONTEXT, BIGRAMS = 1 << 18, 1 << 10, 1 << 19
+PART_BITS, ITEM_BITS, PROBES, BASE = 1 << 23, 20, 3, 1.5
+#: Parts of the filter that may be sent to every task (1 MB each); more are probed by an exchange.
+SENT_PARTS = 64
+#: Words whose exact counts are sent to every task; the counts of all others are joined.
+UNIGRAMS = 1 << 18
 END = np.int64(0x656E64)
 LEVELS = 64
 
 
 class LogFrequencyFilter:
-    """Bloom filter of (n-gram, level)."""
+    """Bloom filter of (n-gram, level), in parts of ``bits`` bits."""
 
-    def __init__(self, bits: int = FILTER_BITS):
-        self.bits = bits
-        self.field = np.zeros(bits // 8, np.uint8)
+    def __init__(self, bits: int = PART_BITS, parts: int = 1, field: np.ndarray | None = None):
+        self.bits, self.parts = bits, parts
+        self.field = np.zeros(parts * (bits // 8), np.uint8) if field is None else field
 
     def _places(self, grams: np.ndarray, level: int):
         h = core.mix64(grams ^ U64(level * 0x9E3779B97F4A7C15 & (1 << 64) - 1))
         g = (h >> U64(32)) | U64(1)
+        base = (grams >> U64(20)) % U64(self.parts) * U64(self.bits)
         for k in range(PROBES):
-            yield (h + U64(k) * g) % U64(self.bits)
+            yield base + (h + U64(k) * g) % U64(self.bits)
 
     def add(self, grams: np.ndarray, counts: np.ndarray) -> None:
         level = 1 + np.floor(np.log(counts) / math.log(BASE) + 1e-9).astype(np.int64)
@@ -112,34 +119,76 @@ def count_words(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.select(F.col(text).alias("t")).mapInArrow(lambda x: _spread_counts(x, parts), "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
 
 
-def count_pairs(docs: DataFrame, context, text: str = "text") -> DataFrame:
-    """(h, c): occurrences of each pair of neighbouring words that are both among ``context`` (broadcast, sorted)."""
+def count_pairs(docs: DataFrame, text: str = "text") -> DataFrame:
+    """(h, c): occurrences of each pair of neighbouring words of a text."""
 
     def parts(b):
-        known = context.value
         for _, _, data, offs in core.text_slices(b.column("t")):
             w, rows = core.word_hashes(data, offs)
-            if len(w) < 2 or not len(known):
-                continue
-            inside = known[np.minimum(np.searchsorted(known, w), len(known) - 1)] == w
-            both = inside[1:] & inside[:-1]
-            both[rows[1:-1][(rows[1:-1] > 0) & (rows[1:-1] < len(w))] - 1] = False
-            yield np.unique(_pair(w[:-1][both], w[1:][both]), return_counts=True)
+            q = _followers(w, rows)
+            if len(q):
+                yield np.unique(_pair(w[q - 1], w[q]), return_counts=True)
 
+    core.prepare(docs.sparkSession)
     return docs.select(F.col(text).alias("t")).mapInArrow(lambda x: _spread_counts(x, parts), "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
 
 
+def _followers(w: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Indices of the words that have a word before them in their row."""
+    after = np.ones(len(w), bool)
+    after[rows[:-1][rows[:-1] < len(w)]] = False
+    return np.flatnonzero(after)
+
+
+def _part(parts: int):
+    """The part that holds the n-gram ``h``, as LogFrequencyFilter deals them out."""
+    return (F.shiftrightunsigned("h", 20) % parts).cast("int")
+
+
+def _fields(bits: int):
+    """Builds the parts of the filter from (part, h, c), rows sorted by part."""
+
+    def run(batches):
+        now, made = None, None
+        for b in batches:
+            part, h, c = (b.column(x).to_numpy() for x in ("part", "h", "c"))
+            cuts = np.flatnonzero(np.diff(part)) + 1
+            for i, j in zip([0, *cuts], [*cuts, len(part)], strict=True):
+                if j == i:
+                    continue
+                if part[i] != now:
+                    if made is not None:
+                        yield _field(now, made)
+                    now, made = int(part[i]), LogFrequencyFilter(bits)
+                made.add(h[i:j].view(U64), c[i:j])
+        if made is not None:
+            yield _field(now, made)
+
+    return run
+
+
+def _field(part: int, made: LogFrequencyFilter) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([made.field.tobytes()], pa.binary())], ["part", "field"])
+
+
 class Model:
-    def __init__(self, words: np.ndarray, counts: np.ndarray, pairs: np.ndarray, pair_counts: np.ndarray, tokens: int, distinct: int, context: np.ndarray):
+    """Exact counts of frequent words, and the filter: in memory, or a table of parts where it is too large."""
+
+    def __init__(self, words: np.ndarray, counts: np.ndarray, tokens: int, distinct: int, bits: int, parts: int, filter: LogFrequencyFilter | None, end: float):
         order = np.argsort(words)
         self.words, self.counts = words[order], counts[order]
-        self.context, self.tokens, self.distinct = context, tokens, distinct
-        self.filter = LogFrequencyFilter()
-        self.filter.add(words, counts)
-        self.filter.add(pairs, pair_counts)
+        self.tokens, self.distinct = tokens, distinct
+        self.bits, self.parts, self.filter, self.end = bits, parts, filter, end
+        self.fields: DataFrame | None = None  # stays with the driver
 
-    def rows(self, data: np.ndarray, offs: np.ndarray):
-        """Per row: words, known words and log10(c + 1) of frequent words, model score; and the rare words."""
+    def __getstate__(self):
+        return self.__dict__ | {"fields": None}
+
+    def rows(self, data: np.ndarray, offs: np.ndarray, count):
+        """Per row: words, known words and log10(c + 1) of frequent words, model score; and the rare words.
+
+        ``count`` gives the estimated counts of distinct n-grams.
+        """
         w, rows = core.word_hashes(data, offs)
         n = len(rows) - 1
         total = self.tokens + self.distinct + 1.0
@@ -149,23 +198,18 @@ class Model:
             at = np.minimum(np.searchsorted(self.words, u), len(self.words) - 1)
             hit = self.words[at] == u
             exact[hit] = self.counts[at[hit]]
-        guess = self.filter.count(u)
+        guess = count(u)
         p = ((guess + 1) / total)[back]
-        if len(w) > 1 and len(self.context):
-            inside = (self.context[np.minimum(np.searchsorted(self.context, u), len(self.context) - 1)] == u)[back]
-            after = np.zeros(len(w), bool)
-            after[1:] = inside[:-1]
-            after[rows[:-1][rows[:-1] < len(w)]] = False
-            q = np.flatnonzero(after)
-            joint = np.zeros(len(q))
-            two = inside[q]
-            pu, pback = np.unique(_pair(w[q[two] - 1], w[q[two]]), return_inverse=True)
-            joint[two] = self.filter.count(pu)[pback]
-            p[q] = 0.5 * joint / np.maximum(np.maximum(guess[back[q - 1]], joint), 1) + 0.5 * p[q]
-        end = (float(self.filter.count(np.array([END]).view(U64))[0]) + 1) / total
+        q = _followers(w, rows)
+        if len(q):
+            before = guess[back[q - 1]]
+            q, before = q[before > 0], before[before > 0]
+            pu, pback = np.unique(_pair(w[q - 1], w[q]), return_inverse=True)
+            joint = count(pu)[pback]
+            p[q] = 0.5 * joint / np.maximum(before, joint) + 0.5 * p[q]
         sums = lambda x: (lambda t: t[rows[1:]] - t[rows[:-1]])(np.concatenate(([0], np.cumsum(x))))
         known = exact[back]
-        score = sums(np.log10(p)) + math.log10(end)
+        score = sums(np.log10(p)) + math.log10((self.end + 1) / total)
         logs = sums(np.where(known > 0, np.log10(np.maximum(known, 0) + 1.0), 0.0))
         rare = np.flatnonzero(known < 0)
         owner = np.repeat(np.arange(n), np.diff(rows))[rare]
@@ -176,13 +220,134 @@ def train(docs: DataFrame, text: str = "text") -> tuple[Model, DataFrame]:
     """The model and the table (h, c) of all exact counts."""
     spark = docs.sparkSession
     counts = core.keep(count_words(docs, text), "counts")
+    grams = counts.union(core.keep(count_pairs(docs, text), "pairs"))
     tokens, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
+    items = grams.agg(F.coalesce(F.sum(1 + F.floor(F.log("c") / math.log(BASE) + 1e-9)), F.lit(0))).first()[0]
     top = counts.orderBy(F.desc("c"), "h").limit(UNIGRAMS).toArrow()
-    words, n = top.column("h").to_numpy().view(U64), top.column("c").to_numpy()
-    context = np.sort(words[: CONTEXT + 1][words[: CONTEXT + 1] != np.array([END]).view(U64)[0]][:CONTEXT])
-    shared = spark.sparkContext.broadcast(context)
-    pairs = count_pairs(docs, shared, text).orderBy(F.desc("c"), "h").limit(BIGRAMS).toArrow()
-    return Model(words, n, pairs.column("h").to_numpy().view(U64), pairs.column("c").to_numpy(), int(tokens), int(distinct), context), counts
+    bits, parts = PART_BITS, max(1, -(-int(items) * ITEM_BITS // PART_BITS))
+    dealt = grams.select(_part(parts).alias("part"), "h", "c").repartition("part").sortWithinPartitions("part")
+    fields = core.keep(dealt.mapInArrow(_fields(bits), "part int, field binary"), "filter")
+    made = None
+    if parts <= SENT_PARTS:
+        table = fields.toArrow()
+        made = LogFrequencyFilter(bits, parts)
+        for i, x in zip(table.column("part").to_pylist(), table.column("field"), strict=True):
+            made.field[i * (bits // 8) : (i + 1) * (bits // 8)] = np.frombuffer(x.as_buffer(), np.uint8)
+    end = fields.filter(F.col("part") == (int(END) >> 20) % parts).first()
+    end = float(LogFrequencyFilter(bits, 1, np.frombuffer(end.field, np.uint8)).count(np.array([END]).view(U64))[0]) if end else 0.0
+    model = Model(top.column("h").to_numpy().view(U64), top.column("c").to_numpy(), int(tokens), int(distinct), bits, parts, made, end)
+    model.fields = fields
+    return model, counts
+
+
+_ROWS = ["key", "row", "h", "n", "known", "logs", "score"]
+
+
+def _scores(m: Model, keys: pa.Array, texts: pa.Array, number: int, count):
+    """Batches of _ROWS for texts, numbered from ``number``: one row a text, and one for each rare word of it."""
+    kt = keys.type
+    for at, end, data, offs in core.text_slices(texts):
+        n, known, logs, s, owner, rare = m.rows(data, offs, count)
+        z = end - at
+        ids = number + np.arange(z)
+        number += z
+        yield pa.RecordBatch.from_arrays([keys.slice(at, z), pa.array(ids), pa.nulls(z, pa.int64()), pa.array(n + 1), pa.array(known), pa.array(logs), pa.array(s)], _ROWS)
+        if len(rare):
+            o = np.lexsort((rare, owner))
+            owner, rare = owner[o], rare[o]
+            new = np.flatnonzero(np.concatenate(([True], (owner[1:] != owner[:-1]) | (rare[1:] != rare[:-1]))))
+            times = np.diff(np.append(new, len(rare)))
+            q = len(new)
+            yield pa.RecordBatch.from_arrays([pa.nulls(q, kt), pa.array(ids[owner[new]]), pa.array(core.signed(rare[new])), pa.array(times), pa.nulls(q, pa.int64()), pa.nulls(q, pa.float64()), pa.nulls(q, pa.float64())], _ROWS)
+
+
+def _probes(batches):
+    """Texts and the distinct n-grams of each slice of them: (slice, key, text, h), h null for a text."""
+    number = TaskContext.get().partitionId() << 40
+    for b in batches:
+        keys, texts = b.column("key"), b.column("text")
+        for at, end, data, offs in core.text_slices(texts):
+            w, rows = core.word_hashes(data, offs)
+            q = _followers(w, rows)
+            z = end - at
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(z, number)), keys.slice(at, z), texts.slice(at, z), pa.nulls(z, pa.int64())], ["slice", "key", "text", "h"])
+            grams = np.union1d(w, _pair(w[q - 1], w[q]))
+            for i in range(0, len(grams), 50_000):
+                g = grams[i : i + 50_000]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(g), number)), pa.nulls(len(g), keys.type), pa.nulls(len(g), texts.type), pa.array(core.signed(g))], ["slice", "key", "text", "h"])
+            number += 1
+
+
+def _probed(bits: int):
+    """(slice, h, c) of the n-grams that a part holds; the row with the part's field comes before its n-grams."""
+
+    def run(batches):
+        field = None
+        for b in batches:
+            fields, slices, h = b.column("field"), b.column("slice").fill_null(0).to_numpy(), b.column("h").fill_null(0).to_numpy()
+            there = np.flatnonzero(fields.is_valid().to_numpy(zero_copy_only=False)).tolist()
+            for i, j in zip([-1, *there], [*there, len(h)], strict=True):
+                if i >= 0:
+                    field = LogFrequencyFilter(bits, 1, np.frombuffer(fields[i].as_py(), np.uint8))
+                if j > i + 1 and field is not None:
+                    c = field.count(h[i + 1 : j].view(U64))
+                    got = np.flatnonzero(c)
+                    yield pa.RecordBatch.from_arrays([pa.array(slices[i + 1 : j][got]), pa.array(h[i + 1 : j][got]), pa.array(c[got])], ["slice", "h", "c"])
+
+    return run
+
+
+def _exchanged(docs: DataFrame, model: Model, shared) -> DataFrame:
+    """The rows of _ROWS with the n-grams sent to the parts of the filter and back.
+
+    A part is sent to several tasks where there are fewer parts than tasks; ``salt`` tells which of them a
+    slice asks.
+    """
+    kind = docs.schema["key"].dataType.simpleString()
+    salts = max(1, core.tasks(docs.sparkSession) // model.parts)
+    asked = core.keep(docs.mapInArrow(_probes, f"slice long, key {kind}, text string, h long"), "probes")
+    probes = asked.filter("h is not null").select(_part(model.parts).alias("part"), F.pmod(F.xxhash64("slice"), F.lit(salts)).cast("int").alias("salt"), "slice", "h", F.lit(None).cast("binary").alias("field"))
+    fields = model.fields.select("part", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"), F.lit(None).cast("long").alias("slice"), F.lit(None).cast("long").alias("h"), "field")
+    # An n-gram of a part that has no field is in no training text: a part without n-grams makes no row.
+    empty = docs.sparkSession.range(model.parts).select(F.col("id").cast("int").alias("part")).join(model.fields.select("part"), "part", "left_anti").select("part", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"), F.lit(None).cast("long").alias("slice"), F.lit(None).cast("long").alias("h"), F.lit(bytes(model.bits // 8)).alias("field"))
+    both = probes.unionByName(fields).unionByName(empty).repartition("part", "salt").sortWithinPartitions("part", "salt", F.col("field").isNull())
+    found = both.select("slice", "h", "field").mapInArrow(_probed(model.bits), "slice long, h long, c double")
+    texts = asked.filter("h is null").select("slice", "key", "text", F.lit(None).cast("long").alias("h"), F.lit(None).cast("double").alias("c"))
+    found = found.select("slice", F.lit(None).cast(kind).alias("key"), F.lit(None).cast("string").alias("text"), "h", "c")
+
+    def run(batches):
+        m = shared.value
+        number = TaskContext.get().partitionId() << 40
+        now, held, ready = None, [], None
+        for b in batches:
+            slices, h, c = b.column("slice").to_numpy(), b.column("h"), b.column("c")
+            gram = h.is_valid().to_numpy(zero_copy_only=False)
+            h, c = h.fill_null(0).to_numpy(), c.fill_null(0).to_numpy()
+            cuts = (np.flatnonzero((slices[1:] != slices[:-1]) | (gram[1:] != gram[:-1])) + 1).tolist()
+            for i, j in zip([0, *cuts], [*cuts, len(slices)], strict=True):
+                if j == i:
+                    continue
+                if slices[i] != now:
+                    now, held, ready = slices[i], [], None
+                if gram[i]:
+                    held.append((h[i:j].view(U64).copy(), c[i:j].copy()))
+                    continue
+                if ready is None:
+                    g = np.concatenate([np.zeros(0, U64), *(x for x, _ in held)])
+                    order = np.argsort(g)
+                    ready, held = (g[order], np.concatenate([np.zeros(0), *(x for _, x in held)])[order]), []
+
+                def count(u, g=ready[0], n=ready[1]):
+                    if not len(g):
+                        return np.zeros(len(u))
+                    at = np.minimum(np.searchsorted(g, u), len(g) - 1)
+                    return np.where(g[at] == u, n[at], 0.0)
+
+                yield from _scores(m, b.column("key").slice(i, j - i), b.column("text").slice(i, j - i), number, count)
+                number += j - i
+
+    back = texts.unionByName(found).repartition("slice").sortWithinPartitions("slice", F.col("h").isNull())
+    return back.mapInArrow(run, f"key {kind}, row long, h long, n long, known long, logs double, score double")
 
 
 def score(docs: DataFrame, model: Model, counts: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -191,27 +356,17 @@ def score(docs: DataFrame, model: Model, counts: DataFrame, key: str = "doc_id",
     core.prepare(spark)
     kind = docs.schema[key].dataType.simpleString()
     shared = spark.sparkContext.broadcast(model)
+    inner = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
 
     def run(batches):
         m = shared.value
         number = TaskContext.get().partitionId() << 40
         for b in batches:
-            kt = b.column("key").type
-            for at, end, data, offs in core.text_slices(b.column("text")):
-                n, known, logs, s, owner, rare = m.rows(data, offs)
-                z = end - at
-                ids = number + np.arange(z)
-                number += z
-                yield pa.RecordBatch.from_arrays([b.column("key").slice(at, z), pa.array(ids), pa.nulls(z, pa.int64()), pa.array(n + 1), pa.array(known), pa.array(logs), pa.array(s)], ["key", "row", "h", "n", "known", "logs", "score"])
-                if len(rare):
-                    o = np.lexsort((rare, owner))
-                    owner, rare = owner[o], rare[o]
-                    new = np.flatnonzero(np.concatenate(([True], (owner[1:] != owner[:-1]) | (rare[1:] != rare[:-1]))))
-                    times = np.diff(np.append(new, len(rare)))
-                    q = len(new)
-                    yield pa.RecordBatch.from_arrays([pa.nulls(q, kt), pa.array(ids[owner[new]]), pa.array(core.signed(rare[new])), pa.array(times), pa.nulls(q, pa.int64()), pa.nulls(q, pa.float64()), pa.nulls(q, pa.float64())], ["key", "row", "h", "n", "known", "logs", "score"])
-
-    made = core.keep(docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, f"key {kind}, row long, h long, n long, known long, logs double, score double"), "scored")
+            yield from _scores(m, b.column("key"), b.column("text"), number, m.filter.count)
+            number += b.num_rows
+
+    made = inner.mapInArrow(run, f"key {kind}, row long, h long, n long, known long, logs double, score double") if model.filter is not None else _exchanged(inner, model, shared)
+    made = core.keep(made, "scored")
     rare = made.filter("h is not null").select("row", "h", "n").join(counts, "h").groupBy("row").agg(F.sum("n").alias("more"), F.sum(F.col("n") * F.log10(F.col("c") + 1)).alias("more_logs"))
     ends = counts.filter(F.col("h") == int(END)).agg(F.coalesce(F.max("c"), F.lit(0))).first()[0]
     base = F.col("logs") + F.coalesce("more_logs", F.lit(0.0)) + math.log10(ends + 1) - F.col("n") * math.log10(model.tokens + model.distinct + 1)

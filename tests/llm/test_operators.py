@@ -143,6 +143,38 @@ def test_lm_base(docs, rows):
     assert all(math.isfinite(r.score) and r.score < 0 for r in out)
 
 
+def test_lm_counts_all_pairs(docs, rows, monkeypatch):
+    """Every word and pair of the training texts counts, and the exchange gives what the broadcast gives."""
+    held = core.held(F.col("doc_id"), 7, 2)
+    monkeypatch.setattr(lm, "PART_BITS", 1 << 16, raising=False)
+    monkeypatch.setattr(lm, "SENT_PARTS", 1 << 10, raising=False)
+    out = lm.score(docs, *lm.train(docs.filter(~held))).collect()
+    train = [words(t) for k, t in rows if zlib.crc32(str(k if k is not None else "").encode()) % 7 != 2]
+    one, two = Counter(w for t in train for w in t), Counter(p for t in train for p in zip(t, t[1:]))  # noqa: B905
+    total = sum(one.values()) + len(train) + len(one) + 2
+
+    def quantised(c):
+        level = math.floor(math.log(c) / math.log(1.5) + 1e-9) if c else -1
+        return 1.0 if level == 0 else 1.5**level * 1.25 if c else 0.0
+
+    expected: dict = {}
+    for k, t in rows:
+        w, s = words(t), math.log10((quantised(len(train)) + 1) / total)
+        for i, x in enumerate(w):
+            p = (quantised(one[x]) + 1) / total
+            h = quantised(one[w[i - 1]]) if i else 0
+            j = quantised(two[w[i - 1], x]) if i else 0
+            s += math.log10(0.5 * j / max(h, j) + 0.5 * p if h else p)
+        expected.setdefault((k, len(w) + 1), []).append(s)
+    # members of the filter that were never added make a word likelier, a few in a thousand
+    close = [min(abs(r.score - s) for s in expected[r.doc_id, r.n_tokens]) / r.n_tokens for r in out]
+    assert sum(x < 0.02 for x in close) >= 0.95 * len(close)
+    monkeypatch.setattr(lm, "SENT_PARTS", 0)
+    same = lm.score(docs, *lm.train(docs.filter(~held))).collect()
+    line = lambda r: (r.doc_id, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6), round(r.score, 6))
+    assert Counter(map(line, same)) == Counter(map(line, out))
+
+
 def test_log_frequency_filter():
     f = lm.LogFrequencyFilter(1 << 20)
     grams, counts = core._stream(1, 500), np.arange(1, 501)
