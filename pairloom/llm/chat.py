@@ -15,7 +15,6 @@ from . import core
 
 #: JSON schema types and the types that a parsed value of them may have.
 TYPES = {"string": "STRING", "integer": "BIGINT", "number": "BIGINT|DOUBLE|DECIMAL.*", "boolean": "BOOLEAN", "object": "OBJECT.*", "array": "ARRAY.*"}
-_ROUNDS = 200
 
 
 def canonical(text: Column) -> Column:
@@ -72,7 +71,8 @@ def levels(calls: DataFrame) -> DataFrame:
     """Calls with level: 0 without dependencies, else one more than the highest level it depends on.
 
     Dependencies that name no call are ignored.  Calls on a cycle, or behind one, have level null.  One
-    round of joins settles a level; each round is written to the shared folder.
+    round of joins settles a level, until a round settles none; each round is written to the shared folder
+    and takes the place of the one before.
     """
     ids = calls.select("conv_id", "call_id").filter(F.col("call_id").isNotNull()).distinct()
     edges = calls.select("conv_id", "call_id", F.explode(F.array_distinct("depends_on")).alias("on")).join(ids.withColumnRenamed("call_id", "on"), ["conv_id", "on"], "left_semi")
@@ -80,14 +80,16 @@ def levels(calls: DataFrame) -> DataFrame:
     if edges.isEmpty():
         return calls.withColumn("level", F.lit(0))
     done = core.keep(ids.join(edges.select("conv_id", "call_id"), ["conv_id", "call_id"], "left_anti").withColumn("level", F.lit(0)), "levels")
-    for k in range(1, _ROUNDS + 1):
+    while True:
         settled = done.select("conv_id", F.col("call_id").alias("on"), F.col("level").alias("below"))
         open_ = edges.join(done.select("conv_id", "call_id"), ["conv_id", "call_id"], "left_anti").join(settled, ["conv_id", "on"], "left")
         ready = open_.groupBy("conv_id", "call_id").agg(F.count("*").alias("n"), F.count("below").alias("m"), F.max("below").alias("below")).filter("n = m").select("conv_id", "call_id", (F.col("below") + 1).alias("level"))
         ready = core.keep(ready, "ready")
         if ready.isEmpty():
             break
-        done = core.keep(done.union(ready), "levels")
+        last, done = done, core.keep(done.union(ready), "levels")
+        core.drop_kept(last)
+        core.drop_kept(ready)
     return calls.join(done, ["conv_id", "call_id"], "left")
 
 

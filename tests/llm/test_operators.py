@@ -264,6 +264,14 @@ def test_chat(spark):
     assert chat.format_calls(df.limit(0)).count() == 0
 
 
+def test_chat_levels_of_long_chains(spark, monkeypatch):
+    """Levels go on as long as a round settles calls, and calls on a cycle stay without one."""
+    monkeypatch.setattr(chat, "_ROUNDS", 3, raising=False)  # the limit of rounds there once was
+    rows = [(1, f"c{i}", [f"c{i - 1}", "c0"] if i else []) for i in range(12)] + [(2, "x", ["y"]), (2, "y", ["x"]), (2, "z", ["y"])]
+    out = chat.levels(spark.createDataFrame(rows, "conv_id long, call_id string, depends_on array<string>"))
+    assert {(r.conv_id, r.call_id): r.level for r in out.collect()} == {(1, f"c{i}"): i for i in range(12)} | {(2, k): None for k in "xyz"}
+
+
 def test_decontamination(spark, docs, rows, monkeypatch):
     bench = spark.read.parquet(f"{SF}/benchmark.parquet").union(spark.createDataFrame([(900, None), (901, ""), (902, "one two")], "item_id long, text string"))
     alnum = re.compile(rb"[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
