@@ -11,10 +11,11 @@ position that has the fewest values, but more than one.  Such a position tells t
 holding a variable field.  Lines that agree at all compared positions are one entry.  So no task groups
 more than BLOCK entries at a time, whatever a leaf holds.
 
-A template recurs if it stands in LEAST_CONTEXTS or more different contexts (pairs of leaves of the lines
-before and after it), and these are at least half as many as the different texts that hold it.  So the
-lines of copies and near copies of one document, which keep their neighbours, do not recur.  Recurring
-templates are dropped from all documents but the first (the smallest key) that holds them.
+A template recurs if it stands in two or more different documents, wherever it stands there.  Copies and
+near copies of a document (the groups of ``jaccard.near_components`` over whole texts) count as one, so a
+document's lines do not recur because it was copied.  Recurring templates are dropped from all documents but
+the first (the smallest key) that holds them.  Whether there are two needs no count: the smallest and the
+largest group differ.
 
 Lines end at newlines.  Shorter lines are never dropped.  Null texts stay null.
 """
@@ -23,14 +24,13 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import core
+from . import core, jaccard
 from .core import U64
 
-LEAST, LEAD, SIMILAR, PLACES, LEAST_CONTEXTS = 4, 3, 0.7, 16, 3
+LEAST, LEAD, SIMILAR, PLACES = 4, 3, 0.7, 16
 #: Entries of a leaf that one task groups; larger leaves are divided first.
 BLOCK = 20_000
 #: Recurring lines that may be sent to every task (16 bytes each); more go by an exchange.
@@ -82,21 +82,13 @@ def _lines(batches):
         text = b.column("text")
         for at, end, data, offs in core.text_slices(text):
             row, number, size, leaf, member, (words, begin) = parse(data, offs)
-            z = len(row)
-            if not z:
+            pick = np.flatnonzero(size >= LEAST)
+            if not len(pick):
                 continue
-            long = size >= LEAST
-            before, after = np.zeros(z, U64), np.zeros(z, U64)
-            same = row[1:] == row[:-1]
-            before[1:] = np.where(same, leaf[:-1], 0)
-            after[:-1] = np.where(same, leaf[1:], 0)
-            with np.errstate(over="ignore"):
-                context = core.mix64(before * core._STEP + after)
-            pick = np.flatnonzero(long)
-            whole = np.array([xxhash.xxh3_64_intdigest(data[a:e].tobytes()) for a, e in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True)], U64)
+            own = pa.array(row[pick])
             yield pa.RecordBatch.from_arrays(
-                [b.column("key").slice(at, end - at).take(pa.array(row[pick])), *(pa.array(core.signed(x[pick])) for x in (leaf, member, context)), pa.array(core.signed(whole[row[pick]])), pa.array(_places(words, begin, size, pick), pa.binary())],
-                ["key", "leaf", "member", "context", "whole", "places"],
+                [b.column("key").slice(at, end - at).take(own), *(pa.array(core.signed(x[pick])) for x in (leaf, member)), b.column("whole").slice(at, end - at).take(own), pa.array(_places(words, begin, size, pick), pa.binary())],
+                ["key", "leaf", "member", "whole", "places"],
             )
 
 
@@ -107,10 +99,10 @@ def _templates(batches):
 
     def batch():
         c = list(zip(*out, strict=True))
-        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in c], ["member", "template", "contexts", "texts"])
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in c], ["member", "template"])
 
     for b in batches:
-        for block, member, contexts, texts, places in zip(*(b.column(c).to_pylist() for c in ("block", "member", "contexts", "texts", "places")), strict=True):
+        for block, member, places in zip(*(b.column(c).to_pylist() for c in ("block", "member", "places")), strict=True):
             p = np.frombuffer(places, "<u2")
             if block != now or forms.shape[1] != len(p):
                 now, forms, names = block, np.zeros((0, len(p)), np.uint16), []
@@ -124,7 +116,7 @@ def _templates(batches):
                 names.append(member)
             else:
                 forms[at] = np.where(forms[at] == p, p, 0)
-            out.append((member, names[at], contexts, texts))
+            out.append((member, names[at]))
         if out:
             yield batch()
             out = []
@@ -163,20 +155,23 @@ def recurring(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
     """(member, template, first): the lines of recurring templates and the smallest key that holds each."""
     core.prepare(docs.sparkSession)
     kind = docs.schema[key].dataType.simpleString()
-    found = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(_lines, f"key {kind}, leaf long, member long, context long, whole long, places binary")
-    found = core.keep(found, "lines")
-    near = found.groupBy("leaf", "member", "context").agg(F.min("places").alias("places")).groupBy("leaf", "member").agg(F.count("*").alias("contexts"), F.min("places").alias("places"))
-    texts = found.groupBy("leaf", "member", "whole").agg(F.min("key").alias("first")).groupBy("leaf", "member").agg(F.count("*").alias("texts"), F.min("first").alias("first"))
-    leaves = near.groupBy("leaf").agg(F.sum("contexts").alias("n")).filter(F.col("n") >= LEAST_CONTEXTS).select("leaf")
-    busy = near.join(leaves, "leaf").join(texts, ["leaf", "member"]).select("leaf", "member", "contexts", "texts", "places", "first")
-    busy = core.keep(busy, "busy")
-    heads = busy.groupBy("leaf", "places").agg(F.sum("contexts").alias("contexts"), F.sum("texts").alias("texts"), F.min("first").alias("first"), F.min("member").alias("member"))
-    heads = core.keep(heads, "heads")
-    parted = _divide(heads).repartition("block").sortWithinPartitions("block", F.desc("contexts"), "member")
-    named = parted.select("block", "member", "contexts", "texts", "places").mapInArrow(_templates, "member long, template long, contexts long, texts long")
-    named = core.keep(named.join(heads.select("member", "leaf", "places", "first"), "member"), "named")
-    sums = named.groupBy("template").agg(F.sum("contexts").alias("contexts"), F.sum("texts").alias("texts"), F.min("first").alias("first"))
-    sums = sums.filter((F.col("contexts") >= LEAST_CONTEXTS) & (2 * F.col("contexts") >= F.col("texts")))
+    texts = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("whole"))
+    found = texts.mapInArrow(_lines, f"key {kind}, leaf long, member long, whole long, places binary")
+    held = core.keep(found.groupBy("leaf", "member", "whole").agg(F.min("key").alias("first"), F.min("places").alias("places"), F.count("*").alias("n")), "lines")
+    # a group of copies, by the smallest hash of its texts
+    group = core.keep(jaccard.near_components(texts.filter("text is not null"), "whole").select("whole", F.col("component_id").alias("group")).distinct(), "groups")
+    span = [F.min("low").alias("low"), F.max("high").alias("high"), F.sum("n").alias("n"), F.min("first").alias("first")]
+    near = held.join(group, "whole").select("leaf", "member", "places", "n", "first", F.col("group").alias("low"), F.col("group").alias("high"))
+    near = core.keep(near.groupBy("leaf", "member").agg(*span, F.min("places").alias("places")), "near")
+    leaves = near.groupBy("leaf").agg(F.min("low").alias("low"), F.max("high").alias("high")).filter("low < high").select("leaf")
+    busy = core.keep(near.join(leaves, "leaf"), "busy")
+    core.drop_kept(held)
+    core.drop_kept(near)
+    heads = core.keep(busy.groupBy("leaf", "places").agg(*span, F.min("member").alias("member")), "heads")
+    parted = _divide(heads).repartition("block").sortWithinPartitions("block", F.desc("n"), "member")
+    named = parted.select("block", "member", "places").mapInArrow(_templates, "member long, template long")
+    named = core.keep(named.join(heads, "member"), "named")
+    sums = named.groupBy("template").agg(*span).filter("low < high")
     found = named.select("leaf", "places", "template").join(sums.select("template", "first"), "template")
     return core.keep(busy.select("leaf", "places", "member").join(found, ["leaf", "places"]).select("member", "template", "first"), "recurring")
 

@@ -209,6 +209,21 @@ def test_lines(spark, docs, monkeypatch):
     assert {r.doc_id: r.text for r in line_templates.drop_lines(df).collect()} == {k: r.text for k, r in out.items()}
 
 
+def test_lines_count_documents(spark):
+    """Blocks of lines, paragraphs between blank lines and passages of two documents go; those of copies stay."""
+    own = lambda i: "\n".join(" ".join(hashlib.md5(f"{i} {k} {j}".encode()).hexdigest()[:6].translate({48 + d: 103 + d for d in range(10)}) for j in range(9)) for k in range(6))
+    block = "permission is granted to any person\nwithout limits of any sort to use\nsubject to the terms that follow here\nprovided as it stands without warranty"
+    alone = "a paragraph of its own between blank lines"
+    two = "this passage stands in just two of them"
+    texts = {i: f"{own(i)}\n{block}\n{own(i + 50)}\n\n{alone}\n\n" + (two if i < 2 else "") for i in range(4)}
+    texts |= {10 + i: own(99) + f"\ncopy {i}" for i in range(5)} | {20 + i: own(98) for i in range(3)}
+    out = {r.doc_id: r for r in line_templates.drop_lines(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    assert out[0].n_dropped == 0 and out[0].text == texts[0]
+    for i in (1, 2, 3):
+        assert out[i].text == f"{own(i)}\n{own(i + 50)}\n\n" + ("\n" if i > 1 else "")
+    assert all(out[k].n_dropped == 0 for k in texts if k >= 10)
+
+
 def test_large_leaves_are_divided(spark, monkeypatch):
     names = ["".join(chr(97 + (i * 7 + j) % 26) for j in range(5)) for i in range(8)]
     rows = [(i * 2 + k, f"own {names[i]} opening words {i} here\nthe log entry {what} by user {n} on this host\nown {names[-i]} closing words") for i, n in enumerate(names) for k, what in enumerate(("opened", "closed"))]
