@@ -7,9 +7,10 @@ that differ become variable.  (Positions are compared by 16-bit hashes, at most
 evenly.)
 
 A leaf with more than BLOCK different lines is divided before that, as often as it takes: by the compared
-position that has the fewest values, but more than one.  Such a position tells templates apart rather than
-holding a variable field.  Lines that agree at all compared positions are one entry.  So no task groups
-more than BLOCK entries at a time, whatever a leaf holds.
+position that has the fewest values, but more than one.  Lines that agree at all compared positions are one
+entry.  So no task groups more than BLOCK entries at a time.  Then the templates of each leaf, divided or
+not, are grouped like lines, until no two of a leaf agree at SIMILAR or more (positions that are variable in
+both agree).
 
 A template recurs if it stands in two or more different documents, wherever it stands there.  Copies and
 near copies of a document (the groups of ``jaccard.near_components`` over whole texts) count as one, so a
@@ -92,20 +93,30 @@ def _lines(batches):
             )
 
 
+_MADE = "member long, template long, leaf long, form binary"
+
+
 def _templates(batches):
-    """Groups the lines of each block (rows sorted by block) to templates, one line after another."""
-    now, forms, out = None, np.zeros((0, 0), np.uint16), []
+    """Groups the lines of each block (rows sorted by block) to templates, one line after another.
+
+    Gives the template of each member and, with a null member, the form of each template.
+    """
+    now, own, forms, out = None, None, np.zeros((0, 0), np.uint16), []
     names: list[int] = []
 
     def batch():
         c = list(zip(*out, strict=True))
-        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in c], ["member", "template"])
+        return pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in c[:3]), pa.array(c[3], pa.binary())], ["member", "template", "leaf", "form"])
+
+    def ended():
+        return [(None, name, own, form.tobytes()) for name, form in zip(names, forms, strict=True)]
 
     for b in batches:
-        for block, member, places in zip(*(b.column(c).to_pylist() for c in ("block", "member", "places")), strict=True):
+        for leaf, block, member, places in zip(*(b.column(c).to_pylist() for c in ("leaf", "block", "member", "places")), strict=True):
             p = np.frombuffer(places, "<u2")
             if block != now or forms.shape[1] != len(p):
-                now, forms, names = block, np.zeros((0, len(p)), np.uint16), []
+                out += ended()
+                now, own, forms, names = block, leaf, np.zeros((0, len(p)), np.uint16), []
             at = -1
             if len(forms):
                 agree = ((forms == p) | (forms == 0) & (p == 0)).mean(1)
@@ -116,10 +127,25 @@ def _templates(batches):
                 names.append(member)
             else:
                 forms[at] = np.where(forms[at] == p, p, 0)
-            out.append((member, names[at]))
+            out.append((member, names[at], None, None))
         if out:
             yield batch()
             out = []
+    out = ended()
+    if out:
+        yield batch()
+
+
+def _merged(made: DataFrame) -> DataFrame:
+    """(member, template) of ``_templates``, with templates of a leaf merged until no two of them agree."""
+    named = made.filter("member is not null").select("member", "template")
+    while True:
+        forms = made.filter("member is null").select("leaf", F.col("leaf").alias("block"), F.col("template").alias("member"), F.col("form").alias("places"))
+        made = core.keep(forms.repartition("leaf").sortWithinPartitions("leaf", "member").mapInArrow(_templates, _MADE), "merged")
+        step = made.filter("member <> template").select(F.col("member").alias("template"), F.col("template").alias("into"))
+        if step.isEmpty():
+            return named
+        named = core.keep(named.join(step, "template", "left").select("member", F.coalesce("into", "template").alias("template")), "named")
 
 
 def _divide(heads: DataFrame) -> DataFrame:
@@ -169,7 +195,7 @@ def recurring(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
     core.drop_kept(near)
     heads = core.keep(busy.groupBy("leaf", "places").agg(*span, F.min("member").alias("member")), "heads")
     parted = _divide(heads).repartition("block").sortWithinPartitions("block", F.desc("n"), "member")
-    named = parted.select("block", "member", "places").mapInArrow(_templates, "member long, template long")
+    named = _merged(core.keep(parted.select("leaf", "block", "member", "places").mapInArrow(_templates, _MADE), "templates"))
     named = core.keep(named.join(heads, "member"), "named")
     sums = named.groupBy("template").agg(*span).filter("low < high")
     found = named.select("leaf", "places", "template").join(sums.select("template", "first"), "template")

@@ -241,6 +241,14 @@ def test_large_leaves_are_divided(spark, monkeypatch):
         assert block < 30 or len(sizes) == 2
 
 
+def test_divided_leaves_are_merged(spark, monkeypatch):
+    """A template whose variable word divides its leaf is one template all the same."""
+    names = ["".join(chr(97 + (i * 7 + j) % 26) for j in range(5)) for i in range(10)]
+    df = spark.createDataFrame([(i, f"the log entry opened by user {n} on this host") for i, n in enumerate(names)], "doc_id long, text string")
+    monkeypatch.setattr(line_templates, "BLOCK", 4)
+    assert {r.doc_id: r.n_dropped for r in line_templates.drop_lines(df).collect()} == {i: int(i > 0) for i in range(10)}
+
+
 RULES = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
 
