@@ -144,34 +144,40 @@ class Encoder:
 
 
 class _Table:
-    """Ids by 64-bit hash, in flat arrays with open addressing; at most MOST pieces, older ones stay."""
+    """Ids by 64-bit hash, in flat arrays with open addressing, at most half full.
 
-    SLOTS, MOST = 1 << 21, 700_000
+    It grows as long as one slice of text needs; between slices more than MOST pieces are cut to the older half.
+    """
+
+    SLOTS, MOST = 1 << 18, 700_000
 
     def __init__(self):
         self.clear()
 
     def clear(self) -> None:
-        self.key = np.zeros(self.SLOTS, U64)
-        self.slot_value = np.zeros(self.SLOTS, np.int32)
+        self._slots(self.SLOTS)
         self.keys, self.n = np.zeros(1 << 16, U64), 0
         self.start, self.count = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
         self.ids, self.used = np.zeros(1 << 18, "<u4"), 0
 
+    def _slots(self, n: int) -> None:
+        self.last = n - 1
+        self.key, self.slot_value = np.zeros(n, U64), np.zeros(n, np.int32)
+
     def find(self, keys: np.ndarray) -> np.ndarray:
         out = np.full(len(keys), -1, np.int64)
         left = np.arange(len(keys))
-        slot = (keys >> U64(20)).astype(np.int64) & self.SLOTS - 1
+        slot = (keys >> U64(20)).astype(np.int64) & self.last
         while len(left):
             got = self.key[slot]
             hit = got == keys
             out[left[hit]] = self.slot_value[slot[hit]]
             on = ~hit & (got != 0)
-            left, keys, slot = left[on], keys[on], slot[on] + 1 & self.SLOTS - 1
+            left, keys, slot = left[on], keys[on], slot[on] + 1 & self.last
         return out
 
     def _place(self, keys: np.ndarray, values: np.ndarray) -> None:
-        slot = (keys >> U64(20)).astype(np.int64) & self.SLOTS - 1
+        slot = (keys >> U64(20)).astype(np.int64) & self.last
         while len(keys):
             free = np.flatnonzero(self.key[slot] == 0)
             _, one = np.unique(slot[free], return_index=True)
@@ -179,7 +185,7 @@ class _Table:
             self.key[slot[put]], self.slot_value[slot[put]] = keys[put], values[put]
             on = np.ones(len(keys), bool)
             on[put] = False
-            keys, values, slot = keys[on], values[on], slot[on] + 1 & self.SLOTS - 1
+            keys, values, slot = keys[on], values[on], slot[on] + 1 & self.last
 
     def add(self, keys: np.ndarray, ids: list[int], counts: list[int]) -> None:
         m, z = self.n + len(keys), self.used + len(ids)
@@ -193,7 +199,11 @@ class _Table:
         self.keys[self.n : m], self.count[self.n : m] = keys, c
         self.start[self.n : m] = self.used + np.cumsum(c) - c
         self.ids[self.used : z] = ids
-        self._place(keys, np.arange(self.n, m, dtype=np.int32))
+        if 2 * m > self.last:
+            self._slots(1 << (4 * m).bit_length())
+            self._place(self.keys[:m], np.arange(m, dtype=np.int32))
+        else:
+            self._place(keys, np.arange(self.n, m, dtype=np.int32))
         self.n, self.used = m, z
 
     def trim(self) -> None:
@@ -220,8 +230,26 @@ def encoded(column: pa.Array, name: str = VOCABULARY, end: int | None = END):
     enc = encoder(name)
     tail = b"" if end is None else np.array([end], "<u4").tobytes()
     for _, _, data, offs in core.text_slices(column):
-        for ids in enc.encode_rows(data, offs):
-            yield ids + tail
+        if len(data) > 2 * core.SLICE_BYTES:  # one very long text, part by part
+            yield b"".join(enc.encode_rows(x, np.array([0, len(x)]))[0] for x in _parts(data)) + tail
+        else:
+            for ids in enc.encode_rows(data, offs):
+                yield ids + tail
+
+
+def _parts(data: np.ndarray, limit: int = core.SLICE_BYTES):
+    """A long text cut before white space, which no token crosses."""
+    at = 0
+    while at < len(data):
+        end = at + limit
+        while end < len(data):
+            space = np.flatnonzero(core.SPACE[data[end : end + limit]])
+            if len(space):
+                end += int(space[0])
+                break
+            end += limit
+        yield data[at:end]
+        at = end
 
 
 def crc(data: bytes) -> int:
