@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -15,6 +16,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -146,20 +148,26 @@ def signed(x: np.ndarray) -> np.ndarray:
 
 # ---------------------------------------------------------------- session and shared tables
 _made: list[tuple[SparkSession, str]] = []
+#: Rows and bytes of one Arrow batch, so that a worker's memory does not grow with the length of texts.
+BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
 
 
 def prepare(spark: SparkSession) -> None:
-    """Lets Python workers import this package where they run beside the driver."""
+    """Lets Python workers import this package where they run beside the driver, and keeps Arrow batches small."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     env = spark.sparkContext.environment
     if _ROOT not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (_ROOT, env.get("PYTHONPATH", ""), os.environ.get("PYTHONPATH", "")) if x)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; one of this machine only where that is unset (local runs, tests)."""
+    """The folder of spark.checkpoint.dir; one of this machine only where that is unset and Spark runs in one process."""
     prepare(spark)
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not at:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         at = f"file://{tempfile.gettempdir()}/checkpoints"
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
@@ -201,6 +209,24 @@ def _clean() -> None:
             continue
 
 
+_sent: list[Broadcast] = []
+
+
+def send(spark: SparkSession, value) -> Broadcast:
+    """A broadcast that :func:`release` frees later."""
+    _sent.append(spark.sparkContext.broadcast(value))
+    return _sent[-1]
+
+
+def release() -> None:
+    """Frees the executors' copies of all broadcasts sent so far; one that is still used is sent again."""
+    while _sent:
+        try:
+            _sent.pop().unpersist()
+        except Exception:  # noqa: BLE001, S112  its session may be gone
+            continue
+
+
 def tasks(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
