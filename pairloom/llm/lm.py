@@ -1,136 +1,96 @@
 """Language-model scoring with a log-frequency Bloom filter.
 
 Counting: words and pairs of neighbouring words are 64-bit hashes; each training task sums its own counts,
-then one exchange adds them.  The filter holds all of them with quantised counts: a count c is level
-``1 + floor(log_BASE(c))`` and the items (n-gram, 1) ... (n-gram, level) are members.  A count is read
-back by probing level after level until one is missing.
+then one exchange of packed lists brings every n-gram to its part, a range of hashes.  A part holds the exact
+counts of its words and a filter of all its n-grams with quantised counts: a count c is level
+``1 + floor(log_BASE(c))`` and the items (n-gram, 1) ... (n-gram, level) are members.  A count is read back by
+probing level after level until one is missing.  The filter has ITEM_BITS bits for each item, so it grows with
+the corpus: there are more parts, not larger ones.
 
-The filter has ITEM_BITS bits for each item, in parts of PART_BITS bits; the hash of an n-gram tells its
-part, and each part is built by one task.  Up to SENT_PARTS parts are broadcast.  With more, the n-grams of
-every slice of text go to the parts by an exchange and their counts come back to the slice by another.  Both
-ways read the same bits, so scores do not depend on the way.
+Scoring: a filter that grows cannot be sent whole to all workers.  Each slice of texts asks every part for its
+distinct n-grams in one packed list, the worker that has the part probes it, and the levels come back in the
+order in which they were asked.
 
 Model: P(w | h) is ``0.5 c(h w) / c(h) + 0.5 u(w)`` after a word h that the filter holds, else u(w), with
-``u(w) = (c(w) + 1) / (N + V + 1)`` and counts read from the filter.
-
-The base score needs every word's exact count.  Counts of the UNIGRAMS most frequent words are broadcast
-(a bounded table); all other words of a text go to the counts by an exchange on their hash.
+``u(w) = (c(w) + 1) / (N + V + 1)`` and counts read from the filter.  The base score reads the exact counts.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+import xxhash
+import zstandard
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import core
 from .core import U64
 
-PART_BITS, ITEM_BITS, PROBES, BASE = 1 << 23, 20, 3, 1.5
-#: Parts of the filter that may be sent to every task (1 MB each); more are probed by an exchange.
-SENT_PARTS = 64
-#: Words whose exact counts are sent to every task; the counts of all others are joined.
-UNIGRAMS = 1 << 18
-END = np.int64(0x656E64)
+ITEM_BITS, PROBES, BASE = 16, 4, 1.5
+#: Bytes of text of a slice, and of training text for each part of the model.
+SLICE_TEXT, PART_TEXT = 4 << 20, 16 << 20
+#: Entries that a counting task holds before it gives them out.
+HELD = 2_000_000
 LEVELS = 64
 
 
 class LogFrequencyFilter:
-    """Bloom filter of (n-gram, level), in parts of ``bits`` bits."""
+    """Bloom filter of (n-gram, level)."""
 
-    def __init__(self, bits: int = PART_BITS, parts: int = 1, field: np.ndarray | None = None):
-        self.bits, self.parts = bits, parts
-        self.field = np.zeros(parts * (bits // 8), np.uint8) if field is None else field
+    def __init__(self, bits: int, field: np.ndarray | None = None):
+        self.bits = bits
+        self.field = np.zeros(-(-bits // 8), np.uint8) if field is None else field
 
-    def _places(self, grams: np.ndarray, level: int):
+    def _places(self, grams: np.ndarray, level: int) -> Iterator[np.ndarray]:
         h = core.mix64(grams ^ U64(level * 0x9E3779B97F4A7C15 & (1 << 64) - 1))
         g = (h >> U64(32)) | U64(1)
-        base = (grams >> U64(20)) % U64(self.parts) * U64(self.bits)
         for k in range(PROBES):
-            yield base + (h + U64(k) * g) % U64(self.bits)
+            yield ((h + U64(k) * g) % U64(self.bits)).astype(np.int64)
 
     def add(self, grams: np.ndarray, counts: np.ndarray) -> None:
-        level = 1 + np.floor(np.log(counts) / math.log(BASE) + 1e-9).astype(np.int64)
+        level = levels_of(counts)
+        flags = np.unpackbits(self.field, bitorder="little").astype(bool)
         for j in range(1, int(level.max(initial=0)) + 1):
             for p in self._places(grams[level >= j], j):
-                np.bitwise_or.at(self.field, (p >> U64(3)).astype(np.int64), np.uint8(1) << (p & U64(7)).astype(np.uint8))
+                flags[p] = True
+        self.field = np.packbits(flags, bitorder="little")
 
-    def count(self, grams: np.ndarray) -> np.ndarray:
-        """Estimated counts: the middle of the level's range, 0 for no member."""
-        level = np.zeros(len(grams), np.int64)
+    def level(self, grams: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(grams), np.uint8)
         left = np.arange(len(grams))
         for j in range(1, LEVELS):
-            ok = np.ones(len(left), bool)
-            for p in self._places(grams[left], j):
-                ok &= (self.field[(p >> U64(3)).astype(np.int64)] >> (p & U64(7)).astype(np.uint8) & 1).astype(bool)
-            left = left[ok]
+            left = self._held(grams, left, j)
             if not len(left):
                 break
-            level[left] = j
-        low = BASE ** (level - 1.0)
-        return np.where(level > 0, np.where(level == 1, 1.0, low * (1 + BASE) / 2), 0.0)
-
-
-def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return core.mix64(a * core._STEP + b + U64(77))
+            out[left] = j
+        return out
 
+    def _held(self, grams: np.ndarray, left: np.ndarray, level: int) -> np.ndarray:
+        ok = np.ones(len(left), bool)
+        for p in self._places(grams[left], level):
+            ok &= (self.field[p >> 3] >> (p & 7).astype(np.uint8) & 1).astype(bool)
+        return left[ok]
 
-def _spread_counts(batches, parts, most: int = 3_000_000):
-    """Sums (hash, count) pairs of a task, giving them out when there are many."""
-    held: list[tuple[np.ndarray, np.ndarray]] = []
-    size = 0
-
-    def merged():
-        h = np.concatenate([x for x, _ in held])
-        c = np.concatenate([x for _, x in held])
-        u, back = np.unique(h, return_inverse=True)
-        return u, np.bincount(back, weights=c, minlength=len(u)).astype(np.int64)
-
-    for b in batches:
-        for h, c in parts(b):
-            held.append((h, c))
-            size += len(h)
-            if size > most:
-                held = [merged()]
-                size = len(held[0][0])
-                if size > most // 2:
-                    yield pa.RecordBatch.from_arrays([pa.array(core.signed(held[0][0])), pa.array(held[0][1])], ["h", "c"])
-                    held, size = [], 0
-    if held:
-        u, c = merged()
-        yield pa.RecordBatch.from_arrays([pa.array(core.signed(u)), pa.array(c)], ["h", "c"])
-
-
-def count_words(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(h, c): occurrences of each word of all texts, and of the end of text."""
+    def count(self, grams: np.ndarray) -> np.ndarray:
+        """Estimated counts: the middle of the level's range, 0 for no member."""
+        return ESTIMATE[self.level(grams)]
 
-    def parts(b):
-        column = b.column("t")
-        for at, end, data, offs in core.text_slices(column):
-            yield np.unique(core.word_hashes(data, offs)[0], return_counts=True)
-        if len(column):
-            yield np.array([END]).view(U64), np.array([len(column)])
 
-    core.prepare(docs.sparkSession)
-    return docs.select(F.col(text).alias("t")).mapInArrow(lambda x: _spread_counts(x, parts), "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
+def levels_of(counts: np.ndarray) -> np.ndarray:
+    return 1 + np.floor(np.log(counts) / math.log(BASE) + 1e-9).astype(np.int64)
 
 
-def count_pairs(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(h, c): occurrences of each pair of neighbouring words of a text."""
+ESTIMATE = np.array([0.0, 1.0, *(BASE ** (j - 1) * (1 + BASE) / 2 for j in range(2, LEVELS + 1))])
 
-    def parts(b):
-        for _, _, data, offs in core.text_slices(b.column("t")):
-            w, rows = core.word_hashes(data, offs)
-            q = _followers(w, rows)
-            if len(q):
-                yield np.unique(_pair(w[q - 1], w[q]), return_counts=True)
 
-    core.prepare(docs.sparkSession)
-    return docs.select(F.col(text).alias("t")).mapInArrow(lambda x: _spread_counts(x, parts), "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
+def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return core.mix64(a * core._STEP + b + U64(77))
 
 
 def _followers(w: np.ndarray, rows: np.ndarray) -> np.ndarray:
@@ -140,236 +100,261 @@ def _followers(w: np.ndarray, rows: np.ndarray) -> np.ndarray:
     return np.flatnonzero(after)
 
 
-def _part(parts: int):
-    """The part that holds the n-gram ``h``, as LogFrequencyFilter deals them out."""
-    return (F.shiftrightunsigned("h", 20) % parts).cast("int")
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about SLICE_TEXT bytes of text."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for b in batches:
+        held.append(b)
+        size += b.nbytes
+        if size >= SLICE_TEXT:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held, size = [], 0
+    if size or any(b.num_rows for b in held):
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()[:1]
+
+
+def _cuts(sorted_hashes: np.ndarray, parts: int) -> np.ndarray:
+    """Where each part's range begins in sorted hashes (one more entry than parts)."""
+    part = ((sorted_hashes >> U64(32)) * U64(parts)) >> U64(32)
+    return np.searchsorted(part, np.arange(parts + 1, dtype=U64))
 
 
-def _fields(bits: int):
-    """Builds the parts of the filter from (part, h, c), rows sorted by part."""
+def _merged(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    h = np.concatenate([np.zeros(0, U64), *(x for x, _ in held)])
+    c = np.concatenate([np.zeros(0, np.int64), *(x for _, x in held)])
+    u, back = np.unique(h, return_inverse=True)
+    return u, np.bincount(back, weights=c, minlength=len(u)).astype(np.int64)
 
+
+_COUNTED = "part int, words binary, times binary, pairs binary, pair_times binary"
+
+
+def _counts(parts: int):
     def run(batches):
-        now, made = None, None
-        for b in batches:
-            part, h, c = (b.column(x).to_numpy() for x in ("part", "h", "c"))
-            cuts = np.flatnonzero(np.diff(part)) + 1
-            for i, j in zip([0, *cuts], [*cuts, len(part)], strict=True):
-                if j == i:
-                    continue
-                if part[i] != now:
-                    if made is not None:
-                        yield _field(now, made)
-                    now, made = int(part[i]), LogFrequencyFilter(bits)
-                made.add(h[i:j].view(U64), c[i:j])
-        if made is not None:
-            yield _field(now, made)
+        words: list[tuple[np.ndarray, np.ndarray]] = []
+        pairs: list[tuple[np.ndarray, np.ndarray]] = []
+        size = 0
+
+        def out():
+            (w, c), (p, q) = _merged(words), _merged(pairs)
+            at, to = _cuts(w, parts), _cuts(p, parts)
+            some = [k for k in range(parts) if at[k] < at[k + 1] or to[k] < to[k + 1]]
+            blob = lambda x, cut, kind: pa.array([x[cut[k] : cut[k + 1]].astype(kind).tobytes() for k in some], pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), blob(w, at, U64), blob(c, at, "<u4"), blob(p, to, U64), blob(q, to, "<u4")], ["part", "words", "times", "pairs", "pair_times"])
+
+        for b in _runs(batches):
+            for _, _, data, offs in core.text_slices(b.column("text"), SLICE_TEXT):
+                w, rows = core.word_hashes(data, offs)
+                q = _followers(w, rows)
+                words.append(np.unique(w, return_counts=True))
+                pairs.append(np.unique(_pair(w[q - 1], w[q]), return_counts=True))
+                size += len(words[-1][0]) + len(pairs[-1][0])
+                if size >= HELD:
+                    yield out()
+                    words, pairs, size = [], [], 0
+        if size:
+            yield out()
 
     return run
 
 
-def _field(part: int, made: LogFrequencyFilter) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([made.field.tobytes()], pa.binary())], ["part", "field"])
+def _read(b: pa.RecordBatch, name: str, kind) -> list[np.ndarray]:
+    return [np.frombuffer(x.as_buffer(), kind) if x.is_valid and len(x.as_buffer()) else np.zeros(0, kind) for x in b.column(name)]
+
+
+_PART = "part int, tokens long, words binary, counts binary, bits long, field binary"
+
 
+def _part(batches):
+    """Sums the lists of one part and builds its filter."""
+    now, words, pairs = None, [], []
 
+    def done():
+        (w, c), (p, q) = _merged(words), _merged(pairs)
+        items = int(levels_of(c).sum() + levels_of(q).sum())
+        made = LogFrequencyFilter(max(64, -(-items * ITEM_BITS // 8) * 8))
+        made.add(np.concatenate([w, p]), np.concatenate([c, q]))
+        row = [[now], [int(c.sum())], [w.tobytes()], [c.astype("<i8").tobytes()], [made.bits], [made.field.tobytes()]]
+        kinds = [pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.binary()]
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(row, kinds, strict=True)], ["part", "tokens", "words", "counts", "bits", "field"])
+
+    for b in batches:
+        rows = zip(b.column("part").to_pylist(), _read(b, "words", U64), _read(b, "times", "<u4"), _read(b, "pairs", U64), _read(b, "pair_times", "<u4"), strict=True)
+        for part, w, c, p, q in rows:
+            if part != now:
+                if now is not None:
+                    yield done()
+                now, words, pairs = part, [], []
+            words.append((w, c.astype(np.int64)))
+            pairs.append((p, q.astype(np.int64)))
+    if now is not None:
+        yield done()
+
+
+@dataclass(frozen=True)
 class Model:
-    """Exact counts of frequent words, and the filter: in memory, or a table of parts where it is too large."""
-
-    def __init__(self, words: np.ndarray, counts: np.ndarray, tokens: int, distinct: int, bits: int, parts: int, filter: LogFrequencyFilter | None, end: float):
-        order = np.argsort(words)
-        self.words, self.counts = words[order], counts[order]
-        self.tokens, self.distinct = tokens, distinct
-        self.bits, self.parts, self.filter, self.end = bits, parts, filter, end
-        self.fields: DataFrame | None = None  # stays with the driver
-
-    def __getstate__(self):
-        return self.__dict__ | {"fields": None}
-
-    def rows(self, data: np.ndarray, offs: np.ndarray, count):
-        """Per row: words, known words and log10(c + 1) of frequent words, model score; and the rare words.
-
-        ``count`` gives the estimated counts of distinct n-grams.
-        """
-        w, rows = core.word_hashes(data, offs)
-        n = len(rows) - 1
-        total = self.tokens + self.distinct + 1.0
-        u, back = np.unique(w, return_inverse=True)
-        exact = np.full(len(u), -1, np.int64)
-        if len(self.words):
-            at = np.minimum(np.searchsorted(self.words, u), len(self.words) - 1)
-            hit = self.words[at] == u
-            exact[hit] = self.counts[at[hit]]
-        guess = count(u)
-        p = ((guess + 1) / total)[back]
-        q = _followers(w, rows)
-        if len(q):
-            before = guess[back[q - 1]]
-            q, before = q[before > 0], before[before > 0]
-            pu, pback = np.unique(_pair(w[q - 1], w[q]), return_inverse=True)
-            joint = count(pu)[pback]
-            p[q] = 0.5 * joint / np.maximum(before, joint) + 0.5 * p[q]
-        sums = lambda x: (lambda t: t[rows[1:]] - t[rows[:-1]])(np.concatenate(([0], np.cumsum(x))))
-        known = exact[back]
-        score = sums(np.log10(p)) + math.log10((self.end + 1) / total)
-        logs = sums(np.where(known > 0, np.log10(np.maximum(known, 0) + 1.0), 0.0))
-        rare = np.flatnonzero(known < 0)
-        owner = np.repeat(np.arange(n), np.diff(rows))[rare]
-        return np.diff(rows), sums(known > 0).astype(np.int64), logs, score, owner, w[rare]
+    """What is known of the training texts as a whole; their counts are in the table of parts."""
+
+    parts: int
+    tokens: int
+    distinct: int
+    texts: int
 
 
 def train(docs: DataFrame, text: str = "text") -> tuple[Model, DataFrame]:
-    """The model and the table (h, c) of all exact counts."""
+    """The model and the table of its parts (exact counts of words, filter of all n-grams).
+
+    Every row counts, repeated ones each time; a null text is its end alone.  Counts are sums, so nothing
+    depends on the order of rows or of equal counts.  An empty table gives a model without parts' rows.
+    """
     spark = docs.sparkSession
-    counts = core.keep(count_words(docs, text), "counts")
-    grams = counts.union(core.keep(count_pairs(docs, text), "pairs"))
-    tokens, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    items = grams.agg(F.coalesce(F.sum(1 + F.floor(F.log("c") / math.log(BASE) + 1e-9)), F.lit(0))).first()[0]
-    top = counts.orderBy(F.desc("c"), "h").limit(UNIGRAMS).toArrow()
-    bits, parts = PART_BITS, max(1, -(-int(items) * ITEM_BITS // PART_BITS))
-    dealt = grams.select(_part(parts).alias("part"), "h", "c").repartition("part").sortWithinPartitions("part")
-    fields = core.keep(dealt.mapInArrow(_fields(bits), "part int, field binary"), "filter")
-    made = None
-    if parts <= SENT_PARTS:
-        table = fields.toArrow()
-        made = LogFrequencyFilter(bits, parts)
-        for i, x in zip(table.column("part").to_pylist(), table.column("field"), strict=True):
-            made.field[i * (bits // 8) : (i + 1) * (bits // 8)] = np.frombuffer(x.as_buffer(), np.uint8)
-    end = fields.filter(F.col("part") == (int(END) >> 20) % parts).first()
-    end = float(LogFrequencyFilter(bits, 1, np.frombuffer(end.field, np.uint8)).count(np.array([END]).view(U64))[0]) if end else 0.0
-    model = Model(top.column("h").to_numpy().view(U64), top.column("c").to_numpy(), int(tokens), int(distinct), bits, parts, made, end)
-    model.fields = fields
-    return model, counts
-
-
-_ROWS = ["key", "row", "h", "n", "known", "logs", "score"]
-
-
-def _scores(m: Model, keys: pa.Array, texts: pa.Array, number: int, count):
-    """Batches of _ROWS for texts, numbered from ``number``: one row a text, and one for each rare word of it."""
-    kt = keys.type
-    for at, end, data, offs in core.text_slices(texts):
-        n, known, logs, s, owner, rare = m.rows(data, offs, count)
-        z = end - at
-        ids = number + np.arange(z)
-        number += z
-        yield pa.RecordBatch.from_arrays([keys.slice(at, z), pa.array(ids), pa.nulls(z, pa.int64()), pa.array(n + 1), pa.array(known), pa.array(logs), pa.array(s)], _ROWS)
-        if len(rare):
-            o = np.lexsort((rare, owner))
-            owner, rare = owner[o], rare[o]
-            new = np.flatnonzero(np.concatenate(([True], (owner[1:] != owner[:-1]) | (rare[1:] != rare[:-1]))))
-            times = np.diff(np.append(new, len(rare)))
-            q = len(new)
-            yield pa.RecordBatch.from_arrays([pa.nulls(q, kt), pa.array(ids[owner[new]]), pa.array(core.signed(rare[new])), pa.array(times), pa.nulls(q, pa.int64()), pa.nulls(q, pa.float64()), pa.nulls(q, pa.float64())], _ROWS)
-
-
-def _probes(batches):
-    """Texts and the distinct n-grams of each slice of them: (slice, key, text, h), h null for a text."""
-    number = TaskContext.get().partitionId() << 40
-    for b in batches:
-        keys, texts = b.column("key"), b.column("text")
-        for at, end, data, offs in core.text_slices(texts):
-            w, rows = core.word_hashes(data, offs)
-            q = _followers(w, rows)
-            z = end - at
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(z, number)), keys.slice(at, z), texts.slice(at, z), pa.nulls(z, pa.int64())], ["slice", "key", "text", "h"])
-            grams = np.union1d(w, _pair(w[q - 1], w[q]))
-            for i in range(0, len(grams), 50_000):
-                g = grams[i : i + 50_000]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(g), number)), pa.nulls(len(g), keys.type), pa.nulls(len(g), texts.type), pa.array(core.signed(g))], ["slice", "key", "text", "h"])
-            number += 1
-
-
-def _probed(bits: int):
-    """(slice, h, c) of the n-grams that a part holds; the row with the part's field comes before its n-grams."""
+    core.prepare(spark)
+    texts, size = docs.agg(F.count("*"), F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()
+    parts = max(core.tasks(spark), -(-size // PART_TEXT))
+    counted = docs.select(F.col(text).alias("text")).mapInArrow(_counts(parts), _COUNTED)
+    table = core.keep(counted.repartitionById(parts, "part").sortWithinPartitions("part").mapInArrow(_part, _PART), "parts")
+    tokens, distinct = table.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum(F.octet_length("words") / 8), F.lit(0))).first()
+    return Model(parts, int(tokens) + texts, int(distinct) + (texts > 0), texts), table
+
+
+def _asked(data: np.ndarray, offs: np.ndarray):
+    """Words and pairs of a slice: all, and the distinct ones in order."""
+    w, rows = core.word_hashes(data, offs)
+    q = _followers(w, rows)
+    u, back = np.unique(w, return_inverse=True)
+    p, pback = np.unique(_pair(w[q - 1], w[q]), return_inverse=True)
+    return rows, u, back, p, pback, q
+
+
+_ASKED = "part int, slice long, words binary, pairs binary"
+
+
+def _numbered(batches):
+    """(number, rows, bytes, offsets) of the slices of a task; equal slices have one number, a hash of their texts."""
+    for b in _runs(batches):
+        for at, end, data, offs in core.text_slices(b.column("text"), SLICE_TEXT):
+            number = xxhash.xxh3_64_intdigest(np.ascontiguousarray(data), xxhash.xxh3_64_intdigest(offs.tobytes()))
+            yield number - (1 << 63), b.slice(at, end - at), data, offs
+
 
+def _ask(parts: int):
     def run(batches):
-        field = None
-        for b in batches:
-            fields, slices, h = b.column("field"), b.column("slice").fill_null(0).to_numpy(), b.column("h").fill_null(0).to_numpy()
-            there = np.flatnonzero(fields.is_valid().to_numpy(zero_copy_only=False)).tolist()
-            for i, j in zip([-1, *there], [*there, len(h)], strict=True):
-                if i >= 0:
-                    field = LogFrequencyFilter(bits, 1, np.frombuffer(fields[i].as_py(), np.uint8))
-                if j > i + 1 and field is not None:
-                    c = field.count(h[i + 1 : j].view(U64))
-                    got = np.flatnonzero(c)
-                    yield pa.RecordBatch.from_arrays([pa.array(slices[i + 1 : j][got]), pa.array(h[i + 1 : j][got]), pa.array(c[got])], ["slice", "h", "c"])
+        for number, _, data, offs in _numbered(batches):
+            _, u, _, p, _, _ = _asked(data, offs)
+            at, to = _cuts(u, parts), _cuts(p, parts)
+            some = [k for k in range(parts) if at[k] < at[k + 1] or to[k] < to[k + 1]]
+            blob = lambda x, cut, some=some: pa.array([x[cut[k] : cut[k + 1]].tobytes() for k in some], pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([number] * len(some), pa.int64()), blob(u, at), blob(p, to)], ["part", "slice", "words", "pairs"])
 
     return run
 
 
-def _exchanged(docs: DataFrame, model: Model, shared) -> DataFrame:
-    """The rows of _ROWS with the n-grams sent to the parts of the filter and back.
+_FOUND = "slice long, part int, counts binary, levels binary, pair_levels binary"
 
-    A part is sent to several tasks where there are fewer parts than tasks; ``salt`` tells which of them a
-    slice asks.
-    """
-    kind = docs.schema["key"].dataType.simpleString()
-    salts = max(1, core.tasks(docs.sparkSession) // model.parts)
-    asked = core.keep(docs.mapInArrow(_probes, f"slice long, key {kind}, text string, h long"), "probes")
-    probes = asked.filter("h is not null").select(_part(model.parts).alias("part"), F.pmod(F.xxhash64("slice"), F.lit(salts)).cast("int").alias("salt"), "slice", "h", F.lit(None).cast("binary").alias("field"))
-    fields = model.fields.select("part", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"), F.lit(None).cast("long").alias("slice"), F.lit(None).cast("long").alias("h"), "field")
-    # An n-gram of a part that has no field is in no training text: a part without n-grams makes no row.
-    empty = docs.sparkSession.range(model.parts).select(F.col("id").cast("int").alias("part")).join(model.fields.select("part"), "part", "left_anti").select("part", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"), F.lit(None).cast("long").alias("slice"), F.lit(None).cast("long").alias("h"), F.lit(bytes(model.bits // 8)).alias("field"))
-    both = probes.unionByName(fields).unionByName(empty).repartition("part", "salt").sortWithinPartitions("part", "salt", F.col("field").isNull())
-    found = both.select("slice", "h", "field").mapInArrow(_probed(model.bits), "slice long, h long, c double")
-    texts = asked.filter("h is null").select("slice", "key", "text", F.lit(None).cast("long").alias("h"), F.lit(None).cast("double").alias("c"))
-    found = found.select("slice", F.lit(None).cast(kind).alias("key"), F.lit(None).cast("string").alias("text"), "h", "c")
+
+def _answer(batches):
+    """Exact counts and levels for the lists that a part is asked; the part's own row comes before them."""
+    now, have, exact, made = None, np.zeros(0, U64), np.zeros(0, np.int64), None
+    squeeze = zstandard.ZstdCompressor(level=1)
+    for b in batches:
+        out = []
+        rows = zip(b.column("part").to_pylist(), b.column("slice").to_pylist(), _read(b, "words", U64), _read(b, "pairs", U64), _read(b, "counts", "<i8"), b.column("bits").to_pylist(), _read(b, "field", np.uint8), strict=True)
+        for part, number, words, pairs, counts, bits, field in rows:
+            if number is None:
+                now, have, exact, made = part, words, counts, LogFrequencyFilter(bits, field)
+                continue
+            if part != now:
+                now, have, exact, made = part, np.zeros(0, U64), np.zeros(0, np.int64), LogFrequencyFilter(64)
+            c = np.zeros(len(words), np.int64)
+            if len(have):
+                at = np.minimum(np.searchsorted(have, words), len(have) - 1)
+                c = np.where(have[at] == words, exact[at], 0)
+            out.append((number, part, *(squeeze.compress(x.tobytes()) for x in (c, made.level(words), made.level(pairs)))))
+        cols = list(zip(*out, strict=True)) or [[]] * 5
+        kinds = [pa.int64(), pa.int32(), *[pa.binary()] * 3]
+        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, kinds, strict=True)], ["slice", "part", "counts", "levels", "pair_levels"])
+
+
+def _texts(batches):
+    """The slices themselves, squeezed: (slice, keys and learned as an Arrow stream, texts)."""
+    squeeze = zstandard.ZstdCompressor(level=1)
+    for number, b, _, _ in _numbered(batches):
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, b.schema) as w:
+            w.write_batch(b)
+        yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([squeeze.compress(sink.getvalue().to_pybytes())], pa.binary())], ["slice", "body"])
+
+
+def _scores(model: Model, names: list[str]):
+    total = model.tokens + model.distinct + 1.0
+    end = float(ESTIMATE[levels_of(np.array([model.texts]))][0]) if model.texts else 0.0
+
+    def rows(b, found):
+        learned = pc.fill_null(b.column("learned"), False).to_numpy(zero_copy_only=False)
+        ((_, _, data, offs),) = core.text_slices(b.column("text"), 1 << 62)
+        w_rows, u, back, p, pback, q = _asked(data, offs)
+        get = lambda k, kind: np.frombuffer(b"".join(zstandard.ZstdDecompressor().decompress(found[part][k]) for part in sorted(found)), kind)
+        exact, level, pair_level = get(0, "<i8"), get(1, np.uint8), get(2, np.uint8)
+        if len(exact) != len(u) or len(level) != len(u) or len(pair_level) != len(p):
+            raise ValueError("the documents gave other rows, or another order, when they were read again; store them first")
+        n = len(w_rows) - 1
+        guess, joint = ESTIMATE[level], ESTIMATE[pair_level]
+        prob = ((guess + 1) / total)[back]
+        before, both = guess[back[q - 1]], joint[pback]
+        ok = before > 0
+        prob[q[ok]] = 0.5 * both[ok] / np.maximum(before[ok], both[ok]) + 0.5 * prob[q[ok]]
+        sums = lambda x, r=w_rows: (lambda t: t[r[1:]] - t[r[:-1]])(np.concatenate(([0], np.cumsum(x))))
+        c = exact[back]
+        size = np.diff(w_rows) + 1
+        known = sums(c > 0).astype(np.int64) + (model.texts > 0)
+        base = sums(np.log10(c + 1.0)) + math.log10(model.texts + 1) - size * math.log10(total)
+        score = sums(np.log10(prob)) + math.log10((end + 1) / total)
+        # pairs that training texts hold besides the text's own occurrences
+        owner = np.repeat(np.arange(n), np.diff(w_rows))[q]
+        order = np.lexsort((pback, owner))
+        o, k = owner[order], pback[order]
+        new = np.flatnonzero(np.concatenate(([True], (o[1:] != o[:-1]) | (k[1:] != k[:-1])))) if len(o) else np.zeros(0, np.int64)
+        own = np.diff(np.append(new, len(o)))
+        other = joint[k[new]] - np.where(learned[o[new]], own, 0) >= 0.5
+        pairs = np.bincount(o[new], minlength=n)
+        share = np.bincount(o[new], weights=other, minlength=n) / np.maximum(1, pairs)
+        made = [b.column("key"), *(pa.array(x) for x in (size, known, np.full(n, model.tokens, np.int64), base, score, share))]
+        return pa.RecordBatch.from_arrays(made, names)
 
     def run(batches):
-        m = shared.value
-        number = TaskContext.get().partitionId() << 40
-        now, held, ready = None, [], None
+        now, found = None, {}
         for b in batches:
-            slices, h, c = b.column("slice").to_numpy(), b.column("h"), b.column("c")
-            gram = h.is_valid().to_numpy(zero_copy_only=False)
-            h, c = h.fill_null(0).to_numpy(), c.fill_null(0).to_numpy()
-            cuts = (np.flatnonzero((slices[1:] != slices[:-1]) | (gram[1:] != gram[:-1])) + 1).tolist()
-            for i, j in zip([0, *cuts], [*cuts, len(slices)], strict=True):
-                if j == i:
-                    continue
-                if slices[i] != now:
-                    now, held, ready = slices[i], [], None
-                if gram[i]:
-                    held.append((h[i:j].view(U64).copy(), c[i:j].copy()))
-                    continue
-                if ready is None:
-                    g = np.concatenate([np.zeros(0, U64), *(x for x, _ in held)])
-                    order = np.argsort(g)
-                    ready, held = (g[order], np.concatenate([np.zeros(0), *(x for _, x in held)])[order]), []
-
-                def count(u, g=ready[0], n=ready[1]):
-                    if not len(g):
-                        return np.zeros(len(u))
-                    at = np.minimum(np.searchsorted(g, u), len(g) - 1)
-                    return np.where(g[at] == u, n[at], 0.0)
-
-                yield from _scores(m, b.column("key").slice(i, j - i), b.column("text").slice(i, j - i), number, count)
-                number += j - i
-
-    back = texts.unionByName(found).repartition("slice").sortWithinPartitions("slice", F.col("h").isNull())
-    return back.mapInArrow(run, f"key {kind}, row long, h long, n long, known long, logs double, score double")
-
-
-def score(docs: DataFrame, model: Model, counts: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, n_tokens, n_known, train_tokens, base_score, score) per row; a null text is its end token alone."""
+            for number, body, part, *lists in zip(*(b.column(x).to_pylist() for x in ("slice", "body", "part", "counts", "levels", "pair_levels")), strict=True):
+                if number != now:
+                    now, found = number, {}
+                if body is None:
+                    found[part] = lists
+                else:
+                    for own in pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(body)):
+                        yield rows(own, found)
+
+    return run
+
+
+def score(docs: DataFrame, model: Model, parts: DataFrame, key: str = "doc_id", text: str = "text", learned: Column | None = None) -> DataFrame:
+    """(key, n_tokens, n_known, train_tokens, base_score, score, seen_elsewhere) per row of ``docs``.
+
+    ``seen_elsewhere`` is the share of the text's distinct pairs of neighbouring words that the training texts
+    hold, without the text's own occurrences where ``learned`` says that it is one of them (0 without pairs).
+    A null text is its end token alone; repeated rows each have a row; a model of no texts knows nothing.
+    ``docs`` is read twice and must give the same rows in the same order, as a stored table does (else an error).
+    """
     spark = docs.sparkSession
     core.prepare(spark)
     kind = docs.schema[key].dataType.simpleString()
-    shared = spark.sparkContext.broadcast(model)
-    inner = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
-
-    def run(batches):
-        m = shared.value
-        number = TaskContext.get().partitionId() << 40
-        for b in batches:
-            yield from _scores(m, b.column("key"), b.column("text"), number, m.filter.count)
-            number += b.num_rows
-
-    made = inner.mapInArrow(run, f"key {kind}, row long, h long, n long, known long, logs double, score double") if model.filter is not None else _exchanged(inner, model, shared)
-    made = core.keep(made, "scored")
-    rare = made.filter("h is not null").select("row", "h", "n").join(counts, "h").groupBy("row").agg(F.sum("n").alias("more"), F.sum(F.col("n") * F.log10(F.col("c") + 1)).alias("more_logs"))
-    ends = counts.filter(F.col("h") == int(END)).agg(F.coalesce(F.max("c"), F.lit(0))).first()[0]
-    base = F.col("logs") + F.coalesce("more_logs", F.lit(0.0)) + math.log10(ends + 1) - F.col("n") * math.log10(model.tokens + model.distinct + 1)
-    return made.filter("h is null").join(rare, "row", "left").select(
-        F.col("key").alias(key), F.col("n").alias("n_tokens"), (F.col("known") + F.coalesce("more", F.lit(0)) + int(ends > 0)).alias("n_known"), F.lit(model.tokens).cast("long").alias("train_tokens"), base.alias("base_score"), "score"
-    )
+    inner = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), (F.lit(False) if learned is None else learned).alias("learned"))
+    none = lambda name, kind: F.lit(None).cast(kind).alias(name)
+    asked = inner.mapInArrow(_ask(model.parts), _ASKED).select("part", "slice", "words", "pairs", none("counts", "binary"), none("bits", "long"), none("field", "binary"))
+    own = parts.select("part", none("slice", "long"), "words", none("pairs", "binary"), "counts", "bits", "field")
+    both = own.union(asked).repartitionById(model.parts, "part").sortWithinPartitions("part", F.col("slice").asc_nulls_first())
+    found = both.mapInArrow(_answer, _FOUND).select("slice", none("body", "binary"), "part", "counts", "levels", "pair_levels")
+    texts = inner.mapInArrow(_texts, "slice long, body binary").select("slice", "body", none("part", "int"), none("counts", "binary"), none("levels", "binary"), none("pair_levels", "binary"))
+    back = texts.union(found).repartition("slice").sortWithinPartitions("slice", F.col("part").asc_nulls_last())
+    names = [key, "n_tokens", "n_known", "train_tokens", "base_score", "score", "seen_elsewhere"]
+    return back.mapInArrow(_scores(model, names), f"`{key}` {kind}, n_tokens long, n_known long, train_tokens long, base_score double, score double, seen_elsewhere double")

@@ -54,9 +54,9 @@ def op5_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = core.documents(spark, sf_dir)
     held = core.held(F.col("doc_id"), 7, 2)
-    model, counts = lm.train(docs.filter(~held))
-    out = lm.score(docs, model, counts)
-    return out.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    model, parts = lm.train(docs.filter(~held))
+    out = lm.score(docs, model, parts, learned=~held)
+    return out.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "seen_elsewhere")
 
 
 def op7_quartile_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
