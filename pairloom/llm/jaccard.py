@@ -189,6 +189,14 @@ def _filter_bits(batches):
         yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(bits.tobytes(), 1)], pa.binary())], ["bits"])
 
 
+def filter_bits(hashes: DataFrame) -> bytes:
+    """FILTER_BITS bits, those of the hashes ``sig`` set: a bounded filter that spares most rows without one."""
+    bits = np.zeros(FILTER_BITS // 8, np.uint8)
+    for r in hashes.select("sig").coalesce(16).mapInArrow(_filter_bits, "bits binary").toLocalIterator():
+        bits |= np.frombuffer(zlib.decompress(r[0]), np.uint8)
+    return bits.tobytes()
+
+
 def _sets(size: int, wanted):
     def run(batches):
         bits = np.frombuffer(wanted.value, np.uint8)
@@ -386,10 +394,7 @@ def near_components(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     postings = texts.mapInArrow(_postings(size, percent, blocks, table), "block int, tokens binary, sigs binary, sizes binary")
     found = core.keep(postings.repartitionById(blocks, "block").mapInArrow(_lists(percent), "a long, b long").distinct(), "pairs")
     cluster = components(found).select(F.col("node").alias("sig"), F.col("component").alias("cluster"))
-    bits = np.zeros(FILTER_BITS // 8, np.uint8)
-    for r in cluster.coalesce(16).mapInArrow(_filter_bits, "bits binary").toLocalIterator():
-        bits |= np.frombuffer(zlib.decompress(r[0]), np.uint8)
-    wanted = spark.sparkContext.broadcast(bits.tobytes())
+    wanted = core.send(spark, filter_bits(cluster))
     own = nodes.filter("n_shingles > 0").groupBy("sig").agg(F.max("n_shingles").alias("n")).join(cluster.hint("merge"), "sig")
     parts = own.groupBy("cluster").agg(F.ceil(F.sum("n") * 8 / BLOCK_BYTES).cast("int").alias("parts"))
     placed = own.join(parts.hint("merge"), "cluster").withColumn("own", F.pmod(F.xxhash64("sig"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))

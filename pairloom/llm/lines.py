@@ -1,22 +1,21 @@
 """Line deduplication by a log-template tree.
 
 Every line of at least LEAST words walks a tree of fixed depth: its number of words, then its LEAD first
-words, where words with a digit stand for any value.  Within the leaf, lines are grouped to templates:
-a line joins the template with which it agrees at SIMILAR or more of the compared positions, and positions
-that differ become variable.  (Positions are compared by 16-bit hashes, at most PLACES of them, spread
-evenly.)
-
-A leaf with more than BLOCK different lines is divided before that, as often as it takes: by the compared
-position that has the fewest values, but more than one.  Lines that agree at all compared positions are one
-entry.  So no task groups more than BLOCK entries at a time.  Then the templates of each leaf, divided or
-not, are grouped like lines, until no two of a leaf agree at SIMILAR or more (positions that are variable in
-both agree).
+words, where words with a digit stand for any value.  Within a leaf, lines that agree at SIMILAR or more of
+their positions are one template.  Lines of n words may differ at ``floor((1 - SIMILAR) * n)`` positions, so
+if the positions behind the lead are cut into one part more than that, two such lines have a part in common.
+Lines are therefore compared, word by word, only with those of their leaf that share a part: in each group
+of a shared part a line joins the first line, in the order of hashes, with which it agrees, or else waits for
+others to join it.  (Groups are dealt out by SALTS hashes, and the lines that joined none meet once more.)
+Templates are the components of these links.  A leaf of any size is dealt out by its parts, nothing is
+sampled, and no size changes the rule.
 
 A template recurs if it stands in two or more different documents, wherever it stands there.  Copies and
-near copies of a document (the groups of ``jaccard.near_components`` over whole texts) count as one, so a
-document's lines do not recur because it was copied.  Recurring templates are dropped from all documents but
-the first (the smallest key) that holds them.  Whether there are two needs no count: the smallest and the
-largest group differ.
+near copies of a document count as one: texts that share one of BANDS bands of ROWS minima of hashed
+five-word shingles (two texts with a Jaccard similarity of 0.8 share one with a chance of 0.997) are joined to
+groups.  So a document's lines do not recur because it was copied.  Recurring templates are dropped from all
+documents but the first (the smallest key) that holds them.  Whether there are two needs no count: the
+smallest and the largest group differ.
 
 Lines end at newlines.  Shorter lines are never dropped.  Null texts stay null.
 """
@@ -31,16 +30,18 @@ from pyspark.sql import functions as F
 from . import core, jaccard
 from .core import U64
 
-LEAST, LEAD, SIMILAR, PLACES = 4, 3, 0.7, 16
-#: Entries of a leaf that one task groups; larger leaves are divided first.
-BLOCK = 20_000
+LEAST, LEAD, SIMILAR = 4, 3, 0.7
+SHINGLE, BANDS, ROWS, SALTS = 5, 8, 3, 16
 #: Recurring lines that may be sent to every task (16 bytes each); more go by an exchange.
 SENT = 2_000_000
+#: Hashes that a task remembers so as not to give the same row twice; more only cost rows.
+REMEMBERED = 1_000_000
 _ANY = U64(0x5F3759DF5F3759DF)
+_SEEDS = core._stream(61, BANDS * ROWS)
 
 
 def parse(data: np.ndarray, offs: np.ndarray):
-    """Lines of many texts: (row, line number, words, leaf, member, places) for every line, blank ones too."""
+    """Lines of many texts: (row, line number, words, leaf, member, (words, begin)) for every line, blank ones too."""
     n = len(data)
     words, rows = core.word_hashes(data, offs)
     first, stop, _ = core.word_spans(data, offs)
@@ -68,138 +69,169 @@ def parse(data: np.ndarray, offs: np.ndarray):
     return row, number, size, leaf, member, (words, begin)
 
 
-def _places(words, begin, size, lines) -> list[bytes]:
-    out = []
-    for i in lines.tolist():
-        m = int(size[i])
-        take = np.arange(m) if m <= PLACES else np.arange(PLACES) * (m - 1) // (PLACES - 1)
-        w = words[begin[i] + take]
-        out.append(np.where(w == _ANY, 0, (w >> U64(48)).astype(np.uint16) | 1).astype("<u2").tobytes())
+def _bands(data: np.ndarray, offs: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """BANDS hashes of each of the texts ``rows``: of minima of its shingles (a shorter text is one shingle)."""
+    words, first = core.word_hashes(data, offs)
+    grams = core.gram_hashes(words, SHINGLE)
+    out = np.zeros((len(rows), BANDS), U64)
+    size = np.diff(first)[rows]
+    long = np.flatnonzero(size >= SHINGLE)
+    for i in np.flatnonzero((size > 0) & (size < SHINGLE)).tolist():
+        r = rows[i]
+        out[i] = core.mix64(_SEEDS[:BANDS] ^ U64(core.short_hash(words[first[r] : first[r + 1]])))
+    if len(long):
+        begin = first[:-1][rows[long]]
+        # runs [begin, begin + size - 4) of the shingles, those across texts left out
+        edges = np.stack([begin, begin + size[long] - SHINGLE + 1], 1).ravel()
+        padded = np.append(grams, U64(0))
+        for band in range(BANDS):
+            with np.errstate(over="ignore"):
+                h = np.zeros(len(long), U64)
+                for k in range(ROWS):
+                    h = core.mix64(h * core._STEP + np.minimum.reduceat((padded ^ _SEEDS[band * ROWS + k]) * core._LEN, edges)[::2])
+            out[long, band] = h
     return out
 
 
+_PARSED = "key {kind}, whole long, leaf long, member long, bands array<long>"
+
+
 def _lines(batches):
+    """Lines, and for each text with such lines its bands (leaf and member null)."""
     for b in batches:
-        text = b.column("text")
-        for at, end, data, offs in core.text_slices(text):
-            row, number, size, leaf, member, (words, begin) = parse(data, offs)
+        for at, end, data, offs in core.text_slices(b.column("text")):
+            row, _, size, leaf, member, _ = parse(data, offs)
             pick = np.flatnonzero(size >= LEAST)
             if not len(pick):
                 continue
+            key = b.column("key").slice(at, end - at)
+            whole = b.column("whole").slice(at, end - at)
             own = pa.array(row[pick])
-            yield pa.RecordBatch.from_arrays(
-                [b.column("key").slice(at, end - at).take(own), *(pa.array(core.signed(x[pick])) for x in (leaf, member)), b.column("whole").slice(at, end - at).take(own), pa.array(_places(words, begin, size, pick), pa.binary())],
-                ["key", "leaf", "member", "whole", "places"],
-            )
+            yield pa.RecordBatch.from_arrays([key.take(own), whole.take(own), *(pa.array(core.signed(x[pick])) for x in (leaf, member)), pa.nulls(len(pick), pa.list_(pa.int64()))], ["key", "whole", "leaf", "member", "bands"])
+            texts = np.unique(row[pick])
+            n = len(texts)
+            bands = pa.ListArray.from_arrays(pa.array(np.arange(0, n * BANDS + 1, BANDS, dtype=np.int32)), pa.array(core.signed(_bands(data, offs, texts).ravel())))
+            yield pa.RecordBatch.from_arrays([pa.nulls(n, key.type), whole.take(pa.array(texts)), *[pa.nulls(n, pa.int64())] * 2, bands], ["key", "whole", "leaf", "member", "bands"])
 
 
-_MADE = "member long, template long, leaf long, form binary"
+def _groups(parsed: DataFrame) -> DataFrame:
+    """(whole, group) of the texts that have copies: ``group`` is the smallest hash of its texts."""
+    bands = parsed.filter("bands is not null").select("whole", "bands").dropDuplicates(["whole"]).select("whole", F.posexplode("bands").alias("band", "value"))
+    least = bands.groupBy("band", "value").agg(F.min("whole").alias("a"), F.max("whole").alias("last")).filter("a < last").drop("last")
+    edges = bands.join(least, ["band", "value"]).filter("whole <> a").select("a", F.col("whole").alias("b")).distinct()
+    return jaccard.components(edges).select(F.col("node").alias("whole"), F.col("component").alias("group"))
 
 
-def _templates(batches):
-    """Groups the lines of each block (rows sorted by block) to templates, one line after another.
+def _words(wanted):
+    """The words of the lines of wanted leaves: (member, leaf, words)."""
 
-    Gives the template of each member and, with a null member, the form of each template.
-    """
-    now, own, forms, out = None, None, np.zeros((0, 0), np.uint16), []
-    names: list[int] = []
+    def run(batches):
+        bits = np.frombuffer(wanted.value, np.uint8)
+        seen: set[int] = set()
+        for b in batches:
+            out = []
+            for _, _, data, offs in core.text_slices(b.column("text")):
+                _, _, size, leaf, member, (words, begin) = parse(data, offs)
+                x = leaf % U64(jaccard.FILTER_BITS)
+                pick = np.flatnonzero((size >= LEAST) & ((bits[(x >> U64(3)).astype(np.int64)] >> (x & U64(7)).astype(np.uint8) & 1) > 0))
+                for i, m in zip(pick.tolist(), core.signed(member[pick]).tolist(), strict=True):
+                    if m not in seen:
+                        if len(seen) < REMEMBERED:
+                            seen.add(m)
+                        out.append((m, int(leaf[i].view(np.int64)), words[begin[i] : begin[i] + size[i]].tobytes()))
+            cols = list(zip(*out, strict=True)) or [[]] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [pa.int64(), pa.int64(), pa.binary()], strict=True)], ["member", "leaf", "words"])
+
+    return run
 
-    def batch():
-        c = list(zip(*out, strict=True))
-        return pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in c[:3]), pa.array(c[3], pa.binary())], ["member", "template", "leaf", "form"])
 
-    def ended():
-        return [(None, name, own, form.tobytes()) for name, form in zip(names, forms, strict=True)]
+def allowed(n: int) -> int:
+    """Positions at which two lines of n words of one template may differ."""
+    return int((1 - SIMILAR) * n + 1e-9)
 
+
+def _parts(batches):
+    """(part, member) for the parts of each line; a part's hash holds its leaf, its number and its words."""
     for b in batches:
-        for leaf, block, member, places in zip(*(b.column(c).to_pylist() for c in ("leaf", "block", "member", "places")), strict=True):
-            p = np.frombuffer(places, "<u2")
-            if block != now or forms.shape[1] != len(p):
-                out += ended()
-                now, own, forms, names = block, leaf, np.zeros((0, len(p)), np.uint16), []
-            at = -1
-            if len(forms):
-                agree = ((forms == p) | (forms == 0) & (p == 0)).mean(1)
-                at = int(agree.argmax())
-                at = at if agree[at] >= SIMILAR else -1
-            if at < 0:
-                forms = np.concatenate((forms, p[None]))
-                names.append(member)
-            else:
-                forms[at] = np.where(forms[at] == p, p, 0)
-            out.append((member, names[at], None, None))
-        if out:
-            yield batch()
-            out = []
-    out = ended()
-    if out:
-        yield batch()
+        parts, owners = [], []
+        for m, leaf, raw in zip(b.column("member").to_pylist(), b.column("leaf").to_numpy(), b.column("words").to_pylist(), strict=True):
+            w = np.frombuffer(raw, U64)
+            k = allowed(len(w)) + 1
+            cut = LEAD + np.arange(k + 1) * (len(w) - LEAD) // k
+            with np.errstate(over="ignore"):
+                total = np.concatenate((np.zeros(1, U64), np.cumsum(core.mix64(w + np.arange(len(w), dtype=U64) * core._STEP))))
+                h = core.mix64(total[cut[1:]] - total[cut[:-1]] + leaf.view(U64) + np.arange(1, k + 1, dtype=U64) * core._LEN)
+            parts.append(h)
+            owners.append(np.full(k, m))
+        yield pa.RecordBatch.from_arrays([pa.array(core.signed(np.concatenate([np.zeros(0, U64), *parts]))), pa.array(np.concatenate([np.zeros(0, np.int64), *owners]))], ["part", "member"])
 
 
-def _merged(made: DataFrame) -> DataFrame:
-    """(member, template) of ``_templates``, with templates of a leaf merged until no two of them agree."""
-    named = made.filter("member is not null").select("member", "template")
-    while True:
-        forms = made.filter("member is null").select("leaf", F.col("leaf").alias("block"), F.col("template").alias("member"), F.col("form").alias("places"))
-        made = core.keep(forms.repartition("leaf").sortWithinPartitions("leaf", "member").mapInArrow(_templates, _MADE), "merged")
-        step = made.filter("member <> template").select(F.col("member").alias("template"), F.col("template").alias("into"))
-        if step.isEmpty():
-            return named
-        named = core.keep(named.join(step, "template", "left").select("member", F.coalesce("into", "template").alias("template")), "named")
+_ALIKE = "a long, b long, part long, words binary"
 
 
-def _divide(heads: DataFrame) -> DataFrame:
-    """``heads`` with the column block: a leaf, or the part of it that its dividing positions give.
+def _alike(batches):
+    """Links (a, b) of each line to the first line of its slot with which it agrees; rows sorted by slot.
 
-    A round divides all blocks of more than BLOCK rows at one position each.  Rows of a block differ at
-    some position, so a block is divided at most PLACES times.  Rows that need no more division wait in
-    their own table.
+    Lines that agree with none before them come out with their part and words, and without b.
     """
-    spark = heads.sparkSession
-    left, done, turn = heads.withColumn("block", F.col("leaf")), [], 0
-    while True:
-        sizes = left.groupBy("block").agg(F.count("*").alias("n"))
-        large = core.keep(sizes.filter(F.col("n") > BLOCK).select("block"), f"large-{turn}")
-        if not large.head(1):
-            done.append(left)
-            break
-        done.append(left.join(large, "block", "left_anti"))
-        left = core.keep(left.join(large, "block"), f"divide-{turn}")
-        value = F.expr("transform(sequence(0, int(octet_length(places) / 2) - 1), i -> struct(i AS position, substring(places, 2 * i + 1, 2) AS value))")
-        values = left.select("block", F.inline(value)).distinct().groupBy("block", "position").agg(F.count("*").alias("n"))
-        best = values.filter("n > 1").groupBy("block").agg(F.min(F.struct("n", "position")).getField("position").alias("position"))
-        left = left.join(best, "block").withColumn("block", F.xxhash64("block", "position", F.expr("substring(places, 2 * position + 1, 2)"))).drop("position")
-        left = core.keep(left, f"divided-{turn}")
-        turn += 1
-    out = done[0]
-    for x in done[1:]:
-        out = out.unionByName(x)
-    return out
+    now, size, names, n = None, 0, [], 0
+    table = np.zeros((0, 0), U64)
+    for b in batches:
+        out = []
+        for slot, part, member, raw in zip(*(b.column(c).to_pylist() for c in ("slot", "part", "member", "words")), strict=True):
+            w = np.frombuffer(raw, U64)
+            if slot != now or size != len(w):
+                now, size, names, n = slot, len(w), [], 0
+                table = np.zeros((4, size), U64)
+            at = np.flatnonzero((table[:n] != w).sum(1) <= allowed(size)) if n else ()
+            if len(at):
+                out.append((names[at[0]], member, None, None))
+                continue
+            out.append((member, None, part, raw))
+            if n == len(table):
+                table = np.concatenate((table, np.zeros_like(table)))
+            table[n], n = w, n + 1
+            names.append(member)
+        cols = list(zip(*out, strict=True)) or [[]] * 4
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [*[pa.int64()] * 3, pa.binary()], strict=True)], ["a", "b", "part", "words"])
+
+
+def _links(met: DataFrame, name: str) -> DataFrame:
+    dealt = met.repartition("slot").sortWithinPartitions("slot", F.octet_length("words"), "member")
+    return core.keep(dealt.select("slot", "part", "member", "words").mapInArrow(_alike, _ALIKE), name)
 
 
 def recurring(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(member, template, first): the lines of recurring templates and the smallest key that holds each."""
-    core.prepare(docs.sparkSession)
+    spark = docs.sparkSession
+    core.prepare(spark)
     kind = docs.schema[key].dataType.simpleString()
     texts = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("whole"))
-    found = texts.mapInArrow(_lines, f"key {kind}, leaf long, member long, whole long, places binary")
-    held = core.keep(found.groupBy("leaf", "member", "whole").agg(F.min("key").alias("first"), F.min("places").alias("places"), F.count("*").alias("n")), "lines")
-    # a group of copies, by the smallest hash of its texts
-    group = core.keep(jaccard.near_components(texts.filter("text is not null"), "whole").select("whole", F.col("component_id").alias("group")).distinct(), "groups")
-    span = [F.min("low").alias("low"), F.max("high").alias("high"), F.sum("n").alias("n"), F.min("first").alias("first")]
-    near = held.join(group, "whole").select("leaf", "member", "places", "n", "first", F.col("group").alias("low"), F.col("group").alias("high"))
-    near = core.keep(near.groupBy("leaf", "member").agg(*span, F.min("places").alias("places")), "near")
-    leaves = near.groupBy("leaf").agg(F.min("low").alias("low"), F.max("high").alias("high")).filter("low < high").select("leaf")
-    busy = core.keep(near.join(leaves, "leaf"), "busy")
-    core.drop_kept(held)
-    core.drop_kept(near)
-    heads = core.keep(busy.groupBy("leaf", "places").agg(*span, F.min("member").alias("member")), "heads")
-    parted = _divide(heads).repartition("block").sortWithinPartitions("block", F.desc("n"), "member")
-    named = _merged(core.keep(parted.select("leaf", "block", "member", "places").mapInArrow(_templates, _MADE), "templates"))
-    named = core.keep(named.join(heads, "member"), "named")
-    sums = named.groupBy("template").agg(*span).filter("low < high")
-    found = named.select("leaf", "places", "template").join(sums.select("template", "first"), "template")
-    return core.keep(busy.select("leaf", "places", "member").join(found, ["leaf", "places"]).select("member", "template", "first"), "recurring")
+    parsed = core.keep(texts.mapInArrow(_lines, _PARSED.format(kind=kind)), "parsed")
+    group = core.keep(_groups(parsed), "groups")
+    span = [F.min("low").alias("low"), F.max("high").alias("high"), F.min("first").alias("first")]
+    held = parsed.filter("member is not null").groupBy("leaf", "member", "whole").agg(F.min("key").alias("first"))
+    named = held.join(group.hint("merge"), "whole", "left").withColumn("low", F.coalesce("group", "whole"))
+    heads = core.keep(named.groupBy("leaf", "member").agg(F.min("low").alias("low"), F.max("low").alias("high"), F.min("first").alias("first")), "heads")
+    leaves = heads.groupBy("leaf").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.min("member").alias("one"), F.max("member").alias("other")).filter("low < high")
+    mixed = core.keep(leaves.filter("one < other").select(F.col("leaf").alias("sig")), "mixed")
+    wanted = core.send(spark, jaccard.filter_bits(mixed))
+    # lines of leaves that hold different lines, with all their words
+    words = texts.select("text").mapInArrow(_words(wanted), "member long, leaf long, words binary").groupBy("member", "leaf").agg(F.first("words").alias("words"))
+    words = core.keep(words.join(mixed.select(F.col("sig").alias("leaf")), "leaf", "left_semi"), "words")
+    parts = core.keep(words.mapInArrow(_parts, "part long, member long"), "line-parts")
+    shared = parts.groupBy("part").agg(F.min("member").alias("one"), F.max("member").alias("other")).filter("one < other").select("part")
+    met = parts.join(shared, "part").join(words.select("member", "words").hint("merge"), "member").withColumn("slot", F.xxhash64("part", F.pmod(F.xxhash64("member"), F.lit(SALTS))))
+    first = _links(met, "links")
+    second = _links(first.filter("b is null").select(F.col("part").alias("slot"), "part", F.col("a").alias("member"), "words"), "links")
+    links = first.union(second).filter("b is not null").select("a", "b")
+    template = jaccard.components(links).select(F.col("node").alias("member"), F.col("component").alias("template"))
+    core.drop_kept(parsed)
+    busy = heads.join(leaves.select("leaf"), "leaf", "left_semi").join(template.hint("merge"), "member", "left").withColumn("template", F.coalesce("template", "member"))
+    busy = core.keep(busy, "busy")
+    core.drop_kept(heads)
+    found = busy.groupBy("template").agg(*span).filter("low < high").select("template", "first")
+    return core.keep(busy.select("member", "template").join(found, "template"), "recurring")
 
 
 def _strip(columns, at, schema, drop):

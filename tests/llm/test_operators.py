@@ -224,28 +224,60 @@ def test_lines_count_documents(spark):
     assert all(out[k].n_dropped == 0 for k in texts if k >= 10)
 
 
-def test_large_leaves_are_divided(spark, monkeypatch):
+def test_templates_of_one_leaf(spark):
     names = ["".join(chr(97 + (i * 7 + j) % 26) for j in range(5)) for i in range(8)]
     rows = [(i * 2 + k, f"own {names[i]} opening words {i} here\nthe log entry {what} by user {n} on this host\nown {names[-i]} closing words") for i, n in enumerate(names) for k, what in enumerate(("opened", "closed"))]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    whole = {r.doc_id: r.n_dropped for r in line_templates.drop_lines(df).collect()}
-    monkeypatch.setattr(line_templates, "BLOCK", 8)
-    parts = {r.doc_id: r.n_dropped for r in line_templates.drop_lines(df).collect()}
-    assert all(parts[k] >= 1 for k in range(2, 16)) and len(whole) == 16
-    entries = [(m, 5, bytes([1, 0, m % 3 + 1, 0, m + 1, 0]), 1, 1, 1) for m in range(30)] + [(99, 6, b"\x01\x00", 1, 1, 1)]
-    for block in (1, 4, 30):
-        monkeypatch.setattr(line_templates, "BLOCK", block)
-        out = line_templates._divide(spark.createDataFrame(entries, "member long, leaf long, places binary, contexts long, texts long, first long")).collect()
-        sizes = Counter(r.block for r in out)
-        assert sorted(r.member for r in out) == sorted(e[0] for e in entries) and max(sizes.values()) <= block
-        assert block < 30 or len(sizes) == 2
-
-
-def test_divided_leaves_are_merged(spark, monkeypatch):
-    """A template whose variable word divides its leaf is one template all the same."""
+    dropped = {r.doc_id: r.n_dropped for r in line_templates.drop_lines(df).collect()}
+    assert all(dropped[k] >= 1 for k in range(2, 16)) and len(dropped) == 16
+
+
+def test_lines_against_brute_force(spark):
+    """Templates as components of all pairs of lines of a leaf that differ at few enough words."""
+    import random
+
+    r = random.Random(5)
+    name = lambda: "".join(r.choice("abcdefghijklmnop") for _ in range(6))
+    bases = [[name() for _ in range(n)] for n in (4, 5, 7, 10, 13, 20, 33, 60) for _ in range(3)]
+    for b in bases[1::3]:
+        b[:3] = bases[bases.index(b) - 1][:3]  # two templates in one leaf
+    texts = {}
+    for i in range(60):
+        lines = []
+        for b in r.sample(bases, 5):
+            w = list(b)
+            for p in r.sample(range(3, len(w)), min(len(w) - 3, r.randint(0, line_templates.allowed(len(w)) // 2 + 1))):
+                w[p] = name() if r.random() < 0.7 else f"{name()}{i}"
+            lines.append(" ".join(w))
+        lines += [" ".join(name() for _ in range(9)) for _ in range(6)]
+        texts[i] = "\n".join(lines)
+    flat = [(i, n, ["#" if re.search("[0-9]", x) else x for x in t.split()]) for i, text in texts.items() for n, t in enumerate(text.split("\n"))]
+    root = list(range(len(flat)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for x in range(len(flat)):
+        for y in range(x):
+            a, b = flat[x][2], flat[y][2]
+            if len(a) == len(b) and a[:3] == b[:3] and sum(p != q for p, q in zip(a, b, strict=True)) <= 0.3 * len(a) + 1e-9:
+                root[find(x)] = find(y)
+    first: dict = {}
+    for x, (i, _, _) in enumerate(flat):
+        first[find(x)] = min(first.get(find(x), i), i)
+    expected = {i: "\n".join(t for n, t in enumerate(text.split("\n")) if first[find(i * 11 + n)] == i) for i, text in texts.items()}
+    out = {x.doc_id: x.text for x in line_templates.drop_lines(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    assert sum(out[i] != expected[i] for i in texts) <= 2  # of a chain of likenesses one link may be missing
+    kept = [sum(map(len, (t.split("\n") for t in x.values()))) for x in (out, expected)]
+    assert 0 <= kept[0] - kept[1] <= 2 and kept[1] < 0.7 * len(flat)
+
+
+def test_variable_words_are_one_template(spark):
+    """A template whose variable word is another in each line is one template all the same."""
     names = ["".join(chr(97 + (i * 7 + j) % 26) for j in range(5)) for i in range(10)]
     df = spark.createDataFrame([(i, f"the log entry opened by user {n} on this host") for i, n in enumerate(names)], "doc_id long, text string")
-    monkeypatch.setattr(line_templates, "BLOCK", 4)
     assert {r.doc_id: r.n_dropped for r in line_templates.drop_lines(df).collect()} == {i: int(i > 0) for i in range(10)}
 
 
