@@ -116,12 +116,17 @@ def word_hashes(data: np.ndarray, offs: np.ndarray, kind: np.ndarray = WORD_BYTE
     together with its length.
     """
     first, stop, rows = word_spans(data, offs, kind)
+    return span_hashes(data, first, stop), rows
+
+
+def span_hashes(data: np.ndarray, first: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """The hashes of words given by their starts and ends."""
     n = len(data)
     with np.errstate(over="ignore"):
         total = np.zeros(n + 1, U64)
         np.cumsum(_BYTE[data] * _power(_STEP, "step", n), out=total[1:])
         h = (total[stop] - total[first]) * _power(_BACK, "back", n)[first]
-        return mix64(h + (stop - first).astype(U64) * _LEN), rows
+        return mix64(h + (stop - first).astype(U64) * _LEN)
 
 
 def gram_hashes(words: np.ndarray, n: int, seed: int = 5) -> np.ndarray:

@@ -41,22 +41,19 @@ _SEEDS = core._stream(61, BANDS * ROWS)
 
 
 def parse(data: np.ndarray, offs: np.ndarray):
-    """Lines of many texts: (row, line number, words, leaf, member, (words, begin)) for every line, blank ones too."""
-    n = len(data)
-    words, rows = core.word_hashes(data, offs)
-    first, stop, _ = core.word_spans(data, offs)
-    digits = np.concatenate(([0], np.cumsum((data >= 48) & (data <= 57))))
-    words = np.where(digits[stop] > digits[first], _ANY, words) if n else words
-    mark = np.zeros(n + 1, np.int64)
-    mark[1:] = data == 10
-    breaks = np.cumsum(mark)  # newlines before a byte
-    base = breaks[offs[:-1]]
-    count = breaks[offs[1:]] - base + 1  # lines of each row
+    """Lines of many texts: (row, line number, words, leaf, member, (words, begin, rows)) for every line, blank ones too."""
+    first, stop, rows = core.word_spans(data, offs)
+    words = core.span_hashes(data, first, stop)
+    digits = np.flatnonzero((data >= 48) & (data <= 57))
+    words[np.searchsorted(first, digits, "right") - 1] = _ANY
+    newlines = np.flatnonzero(data == 10)
+    base = np.searchsorted(newlines, offs[:-1])
+    count = np.searchsorted(newlines, offs[1:]) - base + 1  # lines of each row
     ends = np.cumsum(count)
     row = np.repeat(np.arange(len(count)), count)
     number = np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - count, count)
     owner = np.repeat(np.arange(len(count)), np.diff(rows))
-    line = (ends - count)[owner] + breaks[first] - base[owner] if len(words) else np.zeros(0, np.int64)
+    line = (ends - count - base)[owner] + np.searchsorted(newlines, first)
     size = np.bincount(line, minlength=len(row))
     begin = np.cumsum(size) - size
     at = np.arange(len(words)) - begin[line]
@@ -66,12 +63,11 @@ def parse(data: np.ndarray, offs: np.ndarray):
         member = core.mix64(total[begin + size] - total[begin] + size.astype(U64))
         lead = np.minimum(size, LEAD)
         leaf = core.mix64(total[begin + lead] - total[begin] + size.astype(U64) * U64(0xD1B54A32D192ED03))
-    return row, number, size, leaf, member, (words, begin)
+    return row, number, size, leaf, member, (words, begin, rows)
 
 
-def _bands(data: np.ndarray, offs: np.ndarray, rows: np.ndarray) -> np.ndarray:
+def _bands(words: np.ndarray, first: np.ndarray, rows: np.ndarray) -> np.ndarray:
     """BANDS hashes of each of the texts ``rows``: of minima of its shingles (a shorter text is one shingle)."""
-    words, first = core.word_hashes(data, offs)
     grams = core.gram_hashes(words, SHINGLE)
     out = np.zeros((len(rows), BANDS), U64)
     size = np.diff(first)[rows]
@@ -100,7 +96,7 @@ def _lines(batches):
     """Lines, and for each text with such lines its bands (leaf and member null)."""
     for b in batches:
         for at, end, data, offs in core.text_slices(b.column("text")):
-            row, _, size, leaf, member, _ = parse(data, offs)
+            row, _, size, leaf, member, (words, _, first) = parse(data, offs)
             pick = np.flatnonzero(size >= LEAST)
             if not len(pick):
                 continue
@@ -110,7 +106,7 @@ def _lines(batches):
             yield pa.RecordBatch.from_arrays([key.take(own), whole.take(own), *(pa.array(core.signed(x[pick])) for x in (leaf, member)), pa.nulls(len(pick), pa.list_(pa.int64()))], ["key", "whole", "leaf", "member", "bands"])
             texts = np.unique(row[pick])
             n = len(texts)
-            bands = pa.ListArray.from_arrays(pa.array(np.arange(0, n * BANDS + 1, BANDS, dtype=np.int32)), pa.array(core.signed(_bands(data, offs, texts).ravel())))
+            bands = pa.ListArray.from_arrays(pa.array(np.arange(0, n * BANDS + 1, BANDS, dtype=np.int32)), pa.array(core.signed(_bands(words, first, texts).ravel())))
             yield pa.RecordBatch.from_arrays([pa.nulls(n, key.type), whole.take(pa.array(texts)), *[pa.nulls(n, pa.int64())] * 2, bands], ["key", "whole", "leaf", "member", "bands"])
 
 
@@ -131,7 +127,7 @@ def _words(wanted):
         for b in batches:
             out = []
             for _, _, data, offs in core.text_slices(b.column("text")):
-                _, _, size, leaf, member, (words, begin) = parse(data, offs)
+                _, _, size, leaf, member, (words, begin, _) = parse(data, offs)
                 x = leaf % U64(jaccard.FILTER_BITS)
                 pick = np.flatnonzero((size >= LEAST) & ((bits[(x >> U64(3)).astype(np.int64)] >> (x & U64(7)).astype(np.uint8) & 1) > 0))
                 for i, m in zip(pick.tolist(), core.signed(member[pick]).tolist(), strict=True):
