@@ -41,9 +41,10 @@ _SEEDS = core._stream(61, BANDS * ROWS)
 
 
 def parse(data: np.ndarray, offs: np.ndarray):
-    """Lines of many texts: (row, line number, words, leaf, member, (words, begin, rows)) for every line, blank ones too."""
+    """Lines of many texts: (row, line number, words, leaf, member, (words, begin)) for every line, blank ones too; (exact words, rows)."""
     first, stop, rows = core.word_spans(data, offs)
-    words = core.span_hashes(data, first, stop)
+    exact = core.span_hashes(data, first, stop)
+    words = exact.copy()
     digits = np.flatnonzero((data >= 48) & (data <= 57))
     words[np.searchsorted(first, digits, "right") - 1] = _ANY
     newlines = np.flatnonzero(data == 10)
@@ -63,7 +64,7 @@ def parse(data: np.ndarray, offs: np.ndarray):
         member = core.mix64(total[begin + size] - total[begin] + size.astype(U64))
         lead = np.minimum(size, LEAD)
         leaf = core.mix64(total[begin + lead] - total[begin] + size.astype(U64) * U64(0xD1B54A32D192ED03))
-    return row, number, size, leaf, member, (words, begin, rows)
+    return (row, number, size, leaf, member, (words, begin)), (exact, rows)
 
 
 def _bands(words: np.ndarray, first: np.ndarray, rows: np.ndarray) -> np.ndarray:
@@ -96,7 +97,7 @@ def _lines(batches):
     """Lines, and for each text with such lines its bands (leaf and member null)."""
     for b in batches:
         for at, end, data, offs in core.text_slices(b.column("text")):
-            row, _, size, leaf, member, (words, _, first) = parse(data, offs)
+            (row, _, size, leaf, member, _), (words, first) = parse(data, offs)
             pick = np.flatnonzero(size >= LEAST)
             if not len(pick):
                 continue
@@ -127,7 +128,7 @@ def _words(wanted):
         for b in batches:
             out = []
             for _, _, data, offs in core.text_slices(b.column("text")):
-                _, _, size, leaf, member, (words, begin, _) = parse(data, offs)
+                _, _, size, leaf, member, (words, begin) = parse(data, offs)[0]
                 x = leaf % U64(jaccard.FILTER_BITS)
                 pick = np.flatnonzero((size >= LEAST) & ((bits[(x >> U64(3)).astype(np.int64)] >> (x & U64(7)).astype(np.uint8) & 1) > 0))
                 for i, m in zip(pick.tolist(), core.signed(member[pick]).tolist(), strict=True):
@@ -238,7 +239,7 @@ def _strip(columns, at, schema, drop):
             texts = b.column(at)
             new, lines, gone = [], [], []
             for a, e, data, offs in core.text_slices(texts):
-                row, number, size, _, member, _ = parse(data, offs)
+                row, number, size, _, member, _ = parse(data, offs)[0]
                 away = np.flatnonzero((size >= LEAST) & drop(b, row + a, number, member))
                 per: dict[int, set] = {}
                 for r, k in zip(row[away].tolist(), number[away].tolist(), strict=True):
@@ -295,7 +296,7 @@ def drop_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
         def where(batches):
             for b in batches:
                 for a, e, data, offs in core.text_slices(b.column("text")):
-                    row, number, size, _, member, _ = parse(data, offs)
+                    row, number, size, _, member, _ = parse(data, offs)[0]
                     pick = np.flatnonzero(size >= LEAST)
                     yield pa.RecordBatch.from_arrays([b.column("key").slice(a, e - a).take(pa.array(row[pick])), b.column("whole").slice(a, e - a).take(pa.array(row[pick])), pa.array(core.signed(member[pick]))], ["key", "whole", "member"])
 
