@@ -1,25 +1,28 @@
 """Benchmark decontamination over a distributed positional inverted index.
 
-``build_index`` stores, for segments of a few MB of text each, the postings (term, positions) of the
-training tokens that occur in the benchmark; positions of a segment run through its documents.
-``search`` sums the terms' frequencies over all segments, then looks every benchmark window up in every
-segment: the positions of its rarest term, less that term's offset, are candidate starts; the offset-
-adjusted lists of the other terms are intersected with them in order of rarity.  What is left are exact
-phrases; with ``slack`` it also counts proximity matches: all terms of a window within its length plus
-``slack`` words around the rarest one.
-
-Benchmark texts are sent to all tasks in blocks of about BLOCK_WORDS words at most (more items: more
-blocks, each with an index of its own terms), so no broadcast grows without bound.
+``build_index`` stores, for segments of a MB of text each, the postings of all their tokens: sorted term
+hashes, their counts, and the positions of each term, which run through the segment's documents.  It does not
+depend on the benchmark and is stored once, whatever is looked up in it.  ``search`` sums the frequencies of
+the benchmark's terms over all segments, then looks every benchmark window up in every segment: the positions
+of its rarest term, less that term's offset, are candidate starts; the offset-adjusted lists of the other
+terms are intersected with them in order of rarity.  What is left are exact phrases.  With ``slack`` it also
+counts proximity matches: windows all of whose terms stand, in any order, within the window's place and
+``slack`` words on both sides of it, for some occurrence of the rarest term.
+
+Benchmark texts are sent to all tasks in blocks of about BLOCK_WORDS words (more items: more blocks, each
+looked up in the stored index), so no broadcast grows with the benchmark.  The blocks' results are put together
+by the documents' places in the index.
 """
 
 from __future__ import annotations
 
-import hashlib
 import math
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -57,55 +60,64 @@ class Phrases:
         self.first = np.searchsorted(pairs[:, 0], np.arange(len(self.windows) + 1))
         self.owner = pairs[:, 1]
         self.ids = ids
-        self.sieve = np.zeros(1 << 20, bool)
-        self.sieve[(self.terms >> U64(44)).astype(np.int64)] = True
+        with np.errstate(over="ignore"):  # a name of each window, the same in every block
+            w = np.where(self.windows >= 0, self.terms[self.windows] if len(self.terms) else U64(0), U64(0))
+            self.names = core.signed(core.mix64((w * core._stream(17, window)).sum(1, dtype=U64))).tolist()
 
-    def number(self, words: np.ndarray) -> np.ndarray:
-        """Term numbers of words, -1 for those that no window holds."""
-        out = np.full(len(words), -1, np.int32)
-        some = np.flatnonzero(self.sieve[(words >> U64(44)).astype(np.int64)])
-        if len(some):
-            at = np.minimum(np.searchsorted(self.terms, words[some]), len(self.terms) - 1)
-            hit = self.terms[at] == words[some]
-            out[some[hit]] = at[hit]
-        return out
+    def postings(self, terms: np.ndarray, counts: np.ndarray, where: np.ndarray):
+        """A segment's postings of the terms of these phrases: (term number, count), and positions in that order."""
+        at = np.minimum(np.searchsorted(terms, self.terms), len(terms) - 1) if len(terms) else np.zeros(0, np.int64)
+        own = np.flatnonzero(terms[at] == self.terms) if len(terms) else at
+        begin = np.cumsum(counts) - counts
+        n = counts[at[own]] if len(own) else np.zeros(0, np.int64)
+        ends = np.cumsum(n)
+        total = int(ends[-1]) if len(ends) else 0
+        take = np.repeat((begin[at[own]] if len(own) else n) - (ends - n), n) + np.arange(total)
+        return own, n, where[take]
 
 
-_SEGMENT = "keys array<{kind}>, starts binary, terms binary, counts binary, positions binary"
+_SEGMENT = "segment long, keys array<{kind}>, starts binary, terms binary, counts binary, positions binary"
 
 
-def build_index(docs: DataFrame, phrases, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Segments of the index; ``phrases`` is a broadcast :class:`Phrases`."""
+def build_index(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Segments of the index: (segment, keys, starts, terms, counts, positions)."""
     core.prepare(docs.sparkSession)
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches):
-        p = phrases.value
+        number = TaskContext.get().partitionId() << 33
         squeeze = zstandard.ZstdCompressor(level=1)
         for b in batches:
             out = []
             for at, end, data, offs in core.text_slices(b.column("text")):
                 w, rows = core.word_hashes(data, offs, core.ALNUM_BYTES)
-                n = p.number(w)
-                where = np.flatnonzero(n >= 0)
-                where = where[np.argsort(n[where], kind="stable")]
-                terms, counts = np.unique(n[where], return_counts=True)
-                out.append((b.column("key").slice(at, end - at).to_pylist(), rows.astype(np.int64).tobytes(), terms.astype(np.int32).tobytes(), counts.astype(np.int64).tobytes(), squeeze.compress(where.astype(np.int32).tobytes())))
-            cols = list(zip(*out, strict=True)) or [[]] * 5
-            types = [pa.list_(b.column("key").type), *[pa.binary()] * 4]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["keys", "starts", "terms", "counts", "positions"])
+                where = np.argsort(w, kind="stable")
+                terms, counts = np.unique(w, return_counts=True)
+                out.append((number, b.column("key").slice(at, end - at).to_pylist(), rows.astype(np.int64).tobytes(), terms.tobytes(), squeeze.compress(counts.astype("<u4").tobytes()), squeeze.compress(where.astype("<u4").tobytes())))
+                number += 1
+            cols = list(zip(*out, strict=True)) or [[]] * 6
+            types = [pa.int64(), pa.list_(b.column("key").type), *[pa.binary()] * 4]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["segment", "keys", "starts", "terms", "counts", "positions"])
 
     return docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, _SEGMENT.format(kind=kind))
 
 
-def frequencies(index: DataFrame, n: int) -> np.ndarray:
-    """Occurrences of each of the n terms over all segments."""
+def _unpacked(raw: bytes) -> np.ndarray:
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), "<u4").astype(np.int64)
+
+
+def frequencies(index: DataFrame, phrases, n: int) -> np.ndarray:
+    """Occurrences of each of the n terms of ``phrases`` (a broadcast :class:`Phrases`) over all segments."""
 
     def run(batches):
+        p = phrases.value
         total = np.zeros(n, np.int64)
         for b in batches:
             for t, c in zip(b.column("terms").to_pylist(), b.column("counts").to_pylist(), strict=True):
-                total[np.frombuffer(t, np.int32)] += np.frombuffer(c, np.int64)
+                t = np.frombuffer(t, U64)
+                if len(t):
+                    at = np.minimum(np.searchsorted(t, p.terms), len(t) - 1)
+                    total += np.where(t[at] == p.terms, _unpacked(c)[at], 0)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int64)), pa.array(total[at])], ["term", "n"])
 
@@ -129,32 +141,30 @@ def _candidates(p: Phrases, frequency: np.ndarray, terms: np.ndarray, counts: np
     return window, at - rarity[window, 0], rarity
 
 
-def _search(phrases, frequency, slack: int):
+_FOUND = "segment long, row int, key {kind}, n_words long, n_hit long, items array<string>, spans array<long>, near array<long>"
+
+
+def _search(phrases, frequency, slack: int, block: int):
     def run(batches):
         p, f = phrases.value, frequency.value
         size = p.windows.shape[1]
         length = (p.windows >= 0).sum(1)
-        expand = zstandard.ZstdDecompressor()
         for b in batches:
             out = []
-            for keys, starts, terms, counts, positions in zip(*(b.column(c).to_pylist() for c in ("keys", "starts", "terms", "counts", "positions")), strict=True):
+            for segment, keys, starts, terms, counts, positions in zip(*(b.column(c).to_pylist() for c in ("segment", "keys", "starts", "terms", "counts", "positions")), strict=True):
                 rows = np.frombuffer(starts, np.int64)
-                terms, counts = np.frombuffer(terms, np.int32), np.frombuffer(counts, np.int64)
-                where = np.frombuffer(expand.decompress(positions), np.int32).astype(np.int64)
-                held = np.full(rows[-1] + size, -1, np.int32)  # the postings by position
+                terms, counts, where = p.postings(np.frombuffer(terms, U64), _unpacked(counts), _unpacked(positions))
+                held = np.full(rows[-1] + size + 2 * slack, -1, np.int32)  # the postings by position
                 held[where] = np.repeat(terms, counts)
                 window, start, rarity = _candidates(p, f, terms, counts, where)
-                near = np.zeros(len(keys), np.int64)
                 row = np.searchsorted(rows, start + rarity[window, 0], "right") - 1
+                near = _near(p, window, start, row, held, rows, length, slack) if slack else np.zeros((0, 2), np.int64)
                 ok = (start >= rows[row]) & (start + length[window] <= rows[row + 1])
-                everything = (window, start, row)
                 window, start, row = window[ok], start[ok], row[ok]
                 for k in range(1, size):
                     term = p.windows[window, rarity[window, k]]
                     ok = (term < 0) | (held[start + np.where(term < 0, 0, rarity[window, k])] == term)
                     window, start, row = window[ok], start[ok], row[ok]
-                if slack:
-                    near = _near(p, rarity, everything, held, rows, length, slack, len(keys))
                 cover = np.zeros(rows[-1] + size + 1, np.int64)
                 np.add.at(cover, start, 1)
                 np.add.at(cover, start + length[window], -1)
@@ -166,12 +176,16 @@ def _search(phrases, frequency, slack: int):
                 spans: dict[int, list] = {}
                 for r, s, e in zip(row.tolist(), start.tolist(), (start + length[window]).tolist(), strict=True):
                     spans.setdefault(r, []).append((s - int(rows[r]), e - int(rows[r])))
+                close: dict[int, list] = {}
+                for r, w in near.tolist():
+                    close.setdefault(r, []).append(p.names[w])
                 for i, k in enumerate(keys):
-                    names = sorted({str(p.ids[o]) for o in items.get(i, ())})
-                    out.append((k, int(rows[i + 1] - rows[i]), int(n_hit[i]), names, _merged(spans.get(i, [])), int(near[i])))
-            cols = list(zip(*out, strict=True)) or [[]] * 6
-            types = [b.column("keys").type.value_type, pa.int64(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.int64()), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["key", "n_words", "n_hit", "items", "spans", "n_near"])
+                    if not block or i in items or i in close:  # later blocks give only what they find
+                        names = sorted({str(p.ids[o]) for o in items.get(i, ())})
+                        out.append((segment, i, k, int(rows[i + 1] - rows[i]), int(n_hit[i]), names, _merged(spans.get(i, [])), close.get(i, [])))
+            cols = list(zip(*out, strict=True)) or [[]] * 8
+            types = [pa.int64(), pa.int32(), b.column("keys").type.value_type, pa.int64(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.int64()), pa.list_(pa.int64())]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["segment", "row", "key", "n_words", "n_hit", "items", "spans", "near"])
 
     return run
 
@@ -187,60 +201,71 @@ def _merged(spans: list[tuple[int, int]]) -> list[int]:
     return out
 
 
-def _near(p, rarity, everything, held, rows, length, slack, n) -> np.ndarray:
-    window, start, row = everything
-    at = start + rarity[window, 0]
-    low, high = np.maximum(rows[row], start - slack), np.minimum(rows[row + 1], start + length[window] + slack)
+def _near(p, window, start, row, held, rows, length, slack: int) -> np.ndarray:
+    """Distinct (row, window) all of whose terms stand within its place and ``slack`` words beside it."""
+    low = np.maximum(rows[row], start - slack)
+    high = np.minimum(rows[row + 1], start + length[window] + slack)
     ok = np.ones(len(window), bool)
-    for i in np.flatnonzero((at >= low) & (at < high)):
-        terms = p.windows[window[i]]
-        terms = terms[terms >= 0]
-        ok[i] = np.isin(terms, held[low[i] : high[i]]).all()
-    return np.bincount(row[ok], minlength=n)
-
-
-def decontaminate(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", window: int = WINDOW, slack: int = 0) -> DataFrame:
-    """Per row of ``docs``: key, n_words, n_hit, items (ids as sorted strings), spans (word ranges), n_near.
-
-    A word is hit inside any occurrence of a window of ``window`` consecutive item words (an item of fewer
-    is one window).  Null or wordless texts have no words; null or wordless items no windows; repeated items
-    and equal ids count once.  Repeated rows of ``docs`` each get a row.
-    """
-    spark = docs.sparkSession
+    reach = np.arange(p.windows.shape[1] + 2 * slack)
+    for a in range(0, len(window), 50_000):
+        part = slice(a, a + 50_000)
+        at = low[part, None] + reach
+        there = np.where(at < high[part, None], held[np.minimum(at, len(held) - 1)], -2)
+        for k in range(p.windows.shape[1]):
+            term = p.windows[window[part], k]
+            ok[part] &= (term < 0) | (there == term[:, None]).any(1)
+    return np.unique(np.stack([row[ok], window[ok]], 1), axis=0)
+
+
+def search(index: DataFrame, benchmark: DataFrame, item: str = "item_id", item_text: str = "text", window: int = WINDOW, slack: int = 0) -> DataFrame:
+    """(segment, row, key, n_words, n_hit, items, spans, n_near) of every document of a stored index."""
+    spark = index.sparkSession
     core.prepare(spark)
-    texts = benchmark.select(F.col(item).alias("i"), F.col(item_text).alias("t"))
+    kind = index.schema["keys"].dataType.elementType.simpleString()
+    texts = core.keep(benchmark.select(F.col(item).alias("i"), F.col(item_text).alias("t")).distinct(), "items")
     words = texts.agg(F.sum(F.length("t") / 2)).first()[0] or 0
     blocks = max(1, math.ceil(words / BLOCK_WORDS))
     found = []
     for k in range(blocks):
         own = texts.filter(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == k) if blocks > 1 else texts
         p = Phrases([(r[0], r[1]) for r in own.orderBy("i", "t").collect()], window)
-        shared = spark.sparkContext.broadcast(p)
-        index = core.keep(build_index(docs, shared, key, text), "index")
-        f = spark.sparkContext.broadcast(frequencies(index, len(p.terms)))
-        kind = docs.schema[key].dataType.simpleString()
-        found.append(index.mapInArrow(_search(shared, f, slack), f"key {kind}, n_words long, n_hit long, items array<string>, spans array<long>, n_near long"))
+        shared = core.send(spark, p)
+        f = core.send(spark, frequencies(index, shared, len(p.terms)))
+        one = index.mapInArrow(_search(shared, f, slack, k), _FOUND.format(kind=kind))
+        found.append(core.keep(one, "block") if blocks > 1 else one)
+    columns = ["segment", "row", "key", "n_words", "n_hit", "items", "spans"]
     if blocks == 1:
-        return found[0].withColumnRenamed("key", key)
-    return _together(found).withColumnRenamed("key", key)
+        return found[0].select(*columns, F.size("near").cast("long").alias("n_near"))
+    every = reduce(DataFrame.union, found).groupBy("segment", "row", "key", "n_words").agg(
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.collect_list("spans").alias("all"), F.size(F.array_distinct(F.flatten(F.collect_list("near")))).cast("long").alias("n_near")
+    )
+    pairs = "array_sort(flatten(transform(filter(all, s -> size(s) > 0), s -> transform(sequence(0, size(s) - 1, 2), i -> struct(s[i] as a, s[i + 1] as b)))))"
+    merged = f"aggregate({pairs}, cast(array() as array<bigint>), (o, x) -> if(size(o) > 0 and x.a <= o[size(o) - 1], concat(slice(o, 1, size(o) - 1), array(greatest(o[size(o) - 1], x.b))), concat(o, array(x.a, x.b))))"
+    every = every.withColumn("spans", F.expr(merged))
+    return every.withColumn("n_hit", F.expr("aggregate(transform(spans, (x, i) -> if(i % 2 = 1, x, -x)), 0L, (s, x) -> s + x)")).select(*columns, "n_near")
 
 
-def _together(found: list[DataFrame]) -> DataFrame:
-    """One row per document from those of each block; rows of equal key and length differ by an order number."""
-    from functools import reduce
+def decontaminate(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", window: int = WINDOW, slack: int = 0) -> DataFrame:
+    """Per row of ``docs``: key, n_words, n_hit, items (ids as sorted strings), spans (word ranges), n_near.
 
-    from pyspark.sql import Window as W
+    A word is hit inside any occurrence of a window of ``window`` consecutive item words (an item of fewer
+    is one window).  ``n_near`` counts the distinct windows with a proximity match (exact ones are some of
+    them; 0 without ``slack``); of terms equally frequent the first in the window is the rarest.  Null or
+    wordless texts have no words; null or wordless items no windows; repeated items and equal ids count once.
+    Repeated rows and null keys of ``docs`` each get a row of their own.
+    """
+    index = core.keep(build_index(docs, key, text), "index")
+    return search(index, benchmark, item, item_text, window, slack).drop("segment", "row").withColumnRenamed("key", key)
 
-    marked = [x.withColumn("again", F.row_number().over(W.partitionBy("key", "n_words").orderBy("n_hit"))) for x in found]
-    every = reduce(DataFrame.union, marked)
-    rows = every.groupBy("key", "n_words", "again").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.collect_list("spans").alias("all"), F.sum("n_near").alias("n_near"))
-    pairs = "array_sort(flatten(transform(all, s -> transform(sequence(0, size(s) - 1, 2), i -> struct(s[i] as a, s[i + 1] as b)))))"
-    pairs = pairs.replace("transform(all,", "transform(filter(all, s -> size(s) > 0),")
-    merged = f"aggregate({pairs}, cast(array() as array<bigint>), (o, x) -> if(size(o) > 0 and x.a <= o[size(o) - 1], concat(slice(o, 1, size(o) - 1), array(greatest(o[size(o) - 1], x.b))), concat(o, array(x.a, x.b))))"
-    rows = rows.withColumn("spans", F.expr(merged))
-    hit = F.expr("aggregate(transform(spans, (x, i) -> if(i % 2 = 1, x, -x)), 0L, (s, x) -> s + x)")
-    return rows.select("key", "n_words", hit.alias("n_hit"), "items", "spans", "n_near")
 
+def clean_rows(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """The rows of ``docs`` in which no benchmark passage stands.
 
-def items_digest(items) -> str:
-    return hashlib.sha256(",".join(items).encode()).hexdigest()
+    A row goes by its key and text, so others that share its key, null ones too, stay if they are clean.
+    """
+    texts = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
+    named = texts.select(F.struct("key", F.sha2("text", 256).alias("digest")).alias("name"), "text")
+    bad = decontaminate(named, benchmark, "name", "text", **options).filter("n_hit > 0").select(F.col("name.key").alias("bad_key"), F.col("name.digest").alias("bad_digest")).distinct()
+    inner = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))
+    k, t = (f"c{docs.columns.index(x)}" for x in (key, text))
+    return inner.join(bad, F.col(k).eqNullSafe(F.col("bad_key")) & (F.sha2(F.col(t), 256) == F.col("bad_digest")), "left_anti").toDF(*docs.columns)

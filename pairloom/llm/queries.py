@@ -75,9 +75,9 @@ def op9_tool_call_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_positional_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hits = decontam.decontaminate(core.documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    hits = decontam.decontaminate(core.documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), slack=2)
     return hits.select(
-        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated")
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"), "n_near"
     )
 
 

@@ -351,6 +351,44 @@ def test_decontamination(spark, docs, rows, monkeypatch):
     assert count(decontam.decontaminate(docs, bench)) == expected
 
 
+def test_decontamination_of_repeated_keys(spark, monkeypatch):
+    """Rows that share a key, or have none, keep their own hits, in one block as in many."""
+    items = [(i, " ".join(f"item{i}word{j}" for j in range(12))) for i in range(4)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    texts = [("x y " + items[i][1] + " z") for i in range(4)] + ["x y z " + "w " * 11]
+    df = spark.createDataFrame([(k, t) for k in (7, None) for t in texts], "doc_id long, text string")
+    expected = Counter((k, (str(i),) if i < 4 else (), 12 if i < 4 else 0, 3 if i < 4 else 0) for k in (7, None) for i in range(5))
+    for words in (1000, 20):
+        monkeypatch.setattr(decontam, "BLOCK_WORDS", words)
+        assert Counter((r.doc_id, tuple(r["items"]), r.n_hit, r.n_near) for r in decontam.decontaminate(df, bench, slack=1).collect()) == expected
+        assert sorted(str(r.doc_id) for r in decontam.clean_rows(df, bench).collect()) == ["7", "None"]
+
+
+def test_proximity(spark, monkeypatch):
+    import random
+
+    r = random.Random(3)
+    vocabulary = [f"w{i}" for i in range(14)]
+    texts = [" ".join(r.choices(vocabulary, k=r.randint(0, 60))) for _ in range(60)]
+    items = [" ".join(r.choices(vocabulary, k=n)) for n in (5, 4, 6, 3, 5, 8)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    count = Counter(" ".join(texts).split())
+    windows = {tuple(x[k : k + 5]) for x in map(str.split, items) for k in range(max(1, len(x) - 4))}
+    for slack in (1, 3):
+        expected = {}
+        for i, t in enumerate(texts):
+            w, n = t.split(), 0
+            for x in windows:
+                o = min(range(len(x)), key=lambda j: (count[x[j]], j))
+                n += any(w[p] == x[o] and set(x) <= set(w[max(0, p - o - slack) : max(0, p - o + len(x) + slack)]) for p in range(len(w)))
+            expected[i] = n
+        for words in (1000, 6):
+            monkeypatch.setattr(decontam, "BLOCK_WORDS", words)
+            got = {x.doc_id: x.n_near for x in decontam.decontaminate(docs, bench, window=5, slack=slack).collect()}
+            assert got == expected and sum(got.values()) > 20
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
