@@ -7,15 +7,18 @@ pair is therefore a candidate only if it shares prefix tokens under *every* one
 * order 1 (with the shorter prefix for the smaller set of a pair) ranks frequent tokens last (ties and all other tokens by hash), so that passages common to
   many documents stay out of the prefixes.  Its postings are exchanged in packed blocks and grouped
   by token;
-* orders 2 and 3 rank by re-seeded hashes.  Candidates of order 1 are dropped unless they share a
-  prefix token under each of them; only what is left has its sets intersected exactly.
+* orders 2 and 3 rank by re-seeded hashes.
+
+The filters of the three orders are intersected pair by pair; only pairs that share a prefix token under each
+of them have their sets intersected exactly.
 
 Documents with equal sets are one node from the start, so groups of exact copies cost one node.
 Posting lists of order 1 are not expanded into pairs: each joins its members, in order of
 set size, to their neighbours, which is enough to tell clusters, the components of the candidate graph.  Any two candidates of order 1 are in one
-cluster.  A cluster's sets are sent to one task (a large cluster is split to blocks of BLOCK_BYTES, each
-pair of blocks a task), which goes on with orders 2 and 3 and the exact intersection in memory, skips
-pairs that verified links have already joined, and returns a spanning forest of the links.
+cluster.  A cluster's sets are sent to one task (a large cluster is split to blocks of BLOCK_BYTES and
+BLOCK_SETS at most, each pair of blocks a task), which intersects the three filters of every pair and the sets
+of the pairs left in memory, skips pairs that verified links have already joined, and returns a spanning
+forest of the links.
 """
 
 from __future__ import annotations
@@ -41,8 +44,8 @@ KNOWN = 1 << 20
 FILTER_BITS = 1 << 24
 #: Marks postings beyond the prefix of the smaller set of a pair.
 PROBE = np.uint32(1 << 31)
-#: Bytes of sets of a block of a large cluster.
-BLOCK_BYTES = 32 << 20
+#: Bytes and number of the sets of a block of a large cluster.
+BLOCK_BYTES, BLOCK_SETS = 32 << 20, 20_000
 
 
 def prefix_length(n: np.ndarray | int, percent: int):
@@ -262,11 +265,12 @@ def _prefixes(sets: list[np.ndarray], percent: int, seed: int) -> _Lists:
     return _Lists(out)
 
 
-def _joined(sigs: list[int], side: np.ndarray, sets: list[np.ndarray], percent: int, cross: bool):
+def _joined(sigs: list[int], side: np.ndarray, sets: list[np.ndarray], percent: int, cross: bool, known: np.ndarray, counts: np.ndarray):
     """Links that join the sets of a cluster; of two blocks (``cross``) only pairs of different sides count."""
     n = np.array([len(x) for x in sets])
     root = np.arange(len(sets))
-    filters = [_prefixes(sets, percent, 2), _prefixes(sets, percent, 3)]
+    first = _Lists([_order(x, known, counts)[: int(prefix_length(len(x), percent))] for x in sets])
+    filters = [first, _prefixes(sets, percent, 2), _prefixes(sets, percent, 3)]
     whole = _Lists(sets)
     out = []
     for i in range(len(sets)):
@@ -287,15 +291,17 @@ def _joined(sigs: list[int], side: np.ndarray, sets: list[np.ndarray], percent:
     return out
 
 
-def _clusters(percent: int):
+def _clusters(percent: int, table):
     """Verifies clusters; rows come sorted by their task's name."""
 
     def run(batches):
+        known, counts = table.value
+
         def done(held):
             sigs = [h[0] for h in held]
             side = np.array([h[1] for h in held])
             cross = bool(held[0][3])
-            links = _joined(sigs, side, [h[2] for h in held], percent, cross) if len(held) > 1 else []
+            links = _joined(sigs, side, [h[2] for h in held], percent, cross, known, counts) if len(held) > 1 else []
             return pa.RecordBatch.from_arrays([pa.array([x for x, _ in links], pa.int64()), pa.array([y for _, y in links], pa.int64())], ["a", "b"])
 
         name, held = None, []
@@ -374,10 +380,12 @@ def near_components(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     spark = docs.sparkSession
     core.prepare(spark)
     texts = docs.select(F.col(text).alias("text"))
-    counted = texts.mapInArrow(_frequent(size), "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "token").limit(KNOWN).toArrow()
-    known = counted.column("token").to_numpy().view(U64)
+    counted = core.keep(texts.mapInArrow(_frequent(size), "token long, n long").groupBy("token").agg(F.sum("n").alias("n")), "counted")
+    counts = core.most_frequent(counted, KNOWN).toArrow()
+    core.drop_kept(counted)
+    known = counts.column("token").to_numpy().view(U64)
     order = np.argsort(known)
-    table = spark.sparkContext.broadcast((known[order], counted.column("n").to_numpy()[order]))
+    table = core.send(spark, (known[order], counts.column("n").to_numpy()[order]))
 
     def rows(batches):
         for b in batches:
@@ -396,11 +404,11 @@ def near_components(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     cluster = components(found).select(F.col("node").alias("sig"), F.col("component").alias("cluster"))
     wanted = core.send(spark, filter_bits(cluster))
     own = nodes.filter("n_shingles > 0").groupBy("sig").agg(F.max("n_shingles").alias("n")).join(cluster.hint("merge"), "sig")
-    parts = own.groupBy("cluster").agg(F.ceil(F.sum("n") * 8 / BLOCK_BYTES).cast("int").alias("parts"))
+    parts = own.groupBy("cluster").agg(F.greatest(F.ceil(F.sum("n") * 8 / BLOCK_BYTES), F.ceil(F.count("*") / BLOCK_SETS)).cast("int").alias("parts"))
     placed = own.join(parts.hint("merge"), "cluster").withColumn("own", F.pmod(F.xxhash64("sig"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     placed = placed.select("sig", "cluster", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.when(F.col("own") <= F.col("other"), 0).otherwise(1).alias("side"))
     dealt = texts.mapInArrow(_sets(size, wanted), "sig long, tokens binary").join(core.keep(placed, "placed").hint("merge"), "sig")
-    links = dealt.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "side", "sig").mapInArrow(_clusters(percent), "a long, b long")
+    links = dealt.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "side", "sig").mapInArrow(_clusters(percent, table), "a long, b long")
     labels = components(links)
     named = nodes.filter("n_shingles > 0").join(labels.withColumnRenamed("node", "sig"), "sig", "left").select("key", "sig", F.coalesce("component", "sig").alias("component"))
     least = named.groupBy("component").agg(F.min("key").alias("component_id"))
@@ -412,9 +420,13 @@ def near_components(docs: DataFrame, key: str = "doc_id", text: str = "text", si
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """``docs`` with one document of each group of near duplicates: the one with the smallest key.
 
-    Rows without words stay.  Of rows that repeat both key and text one stays; rows with a null key stay
-    if their group has no key at all.
+    Rows without words stay.  Of rows that share a key the one with the smallest hash of its text comes first,
+    and of rows that repeat both one stays.  A row with a null key stays if its group has no key at all.
     """
-    near = near_components(docs, key, text, **options)
-    stay = near.filter(F.col("component_id").eqNullSafe(F.col(key))).select(F.col(key).alias("_key")).distinct()
-    return docs.join(stay, F.col(key).eqNullSafe(F.col("_key")), "left_semi").dropDuplicates([key, text])
+    name = F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("key"), F.sha2(F.coalesce(text, F.lit("")), 256).alias("digest"))
+    near = near_components(docs.select(name.alias("name"), F.col(text).alias("text")), "name", "text", **options)
+    stay = near.filter("component_id = name").select(F.col("name.key").alias("stay_key"), F.col("name.digest").alias("stay_digest")).distinct()
+    inner = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))
+    k, t = (f"c{docs.columns.index(x)}" for x in (key, text))
+    same = F.col(k).eqNullSafe(F.col("stay_key")) & (F.sha2(F.coalesce(t, F.lit("")), 256) == F.col("stay_digest"))
+    return inner.join(stay, same, "left_semi").dropDuplicates([k, t]).toDF(*docs.columns)
