@@ -15,7 +15,11 @@ LEAST_SCORE = 0.2
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents whose language is recognised; a missing label gets the predicted one."""
+    """Keeps documents whose language is recognised; a missing label gets the predicted one.
+
+    Null, empty and letterless texts go, and so does all if no row has a label.
+    """
+    core.release()
     model = langid.train(docs)
     found = langid.predict(docs, model)
     kept = found.filter((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SCORE))
@@ -23,25 +27,27 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Takes recurring lines out; a document that had nothing else goes."""
+    """Takes recurring lines out; a document that had nothing else goes.  Null and empty texts stay."""
+    core.release()
     done = line_templates.drop_lines(docs).filter((F.col("n_dropped") == 0) | (F.col("text") != ""))
     return done.withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))).select(docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays."""
+    """One document of each group of near duplicates stays, as do all without words."""
+    core.release()
     return jaccard.keep_one(docs).select(docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark passage go."""
-    hits = decontam.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).filter("n_hit > 0")
-    bad = hits.select(F.col("doc_id").alias("_bad"), F.col("n_words").alias("_n")).distinct()
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("_bad")), "left_anti").select(docs.columns)
+    """Documents that hold a benchmark passage go; others stay, whatever their key."""
+    core.release()
+    return decontam.clean_rows(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents and their places in sequences."""
+    """The pieces of all documents and their places in sequences; null and empty texts have their end id."""
+    core.release()
     return packing.pack(docs)
 
 
