@@ -7,6 +7,7 @@ handful of NumPy passes over the bytes of many texts at once, so no Python objec
 from __future__ import annotations
 
 import atexit
+import ctypes
 import os
 import re
 import tempfile
@@ -184,11 +185,18 @@ def new_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def keep(df: DataFrame, name: str) -> DataFrame:
-    """Writes a table to the shared folder and reads it back: cuts lineage and survives lost executors."""
+#: Sizes of Parquet's row groups and pages are looked at after few rows, as a row may hold a megabyte.
+SMALL_PAGES = {"parquet.block.size": str(16 << 20), "parquet.page.size.row.check.min": "2", "parquet.page.size.row.check.max": "1000", "parquet.block.size.row.check.min": "8"}
+
+
+def keep(df: DataFrame, name: str, packed: bool = False) -> DataFrame:
+    """Writes a table to the shared folder and reads it back: cuts lineage and survives lost executors.
+
+    ``packed`` tables hold squeezed or random bytes and are not compressed again.
+    """
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.parquet(path)
+    df.write.options(**SMALL_PAGES).option("compression", "uncompressed" if packed else "snappy").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -255,5 +263,24 @@ def held(key, modulus: int, remainder: int):
     return F.coalesce(F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")) % modulus == remainder, F.lit(False))
 
 
+def tidy(run):
+    """``run`` of mapInArrow, after which the worker, which lives on, gives its free memory back."""
+
+    def out(batches):
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return out
+
+
+def give_back() -> None:
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # not in every C library
+    if trim is not None:
+        trim(0)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")

@@ -1,6 +1,6 @@
 """Benchmark decontamination over a distributed positional inverted index.
 
-``build_index`` stores, for segments of a MB of text each, the postings of all their tokens: sorted term
+``build_index`` stores, for segments of SEGMENT bytes of text each, the postings of all their tokens: sorted term
 hashes, their counts, and the positions of each term, which run through the segment's documents.  It does not
 depend on the benchmark and is stored once, whatever is looked up in it.  ``search`` sums the frequencies of
 the benchmark's terms over all segments, then looks every benchmark window up in every segment: the positions
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from . import core
 from .core import U64
 
-WINDOW = 10
+WINDOW, SEGMENT = 10, 1 << 18
 BLOCK_WORDS = 2_000_000
 
 
@@ -89,7 +89,7 @@ def build_index(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
         squeeze = zstandard.ZstdCompressor(level=1)
         for b in batches:
             out = []
-            for at, end, data, offs in core.text_slices(b.column("text")):
+            for at, end, data, offs in core.text_slices(b.column("text"), SEGMENT):
                 w, rows = core.word_hashes(data, offs, core.ALNUM_BYTES)
                 where = np.argsort(w, kind="stable")
                 terms, counts = np.unique(w, return_counts=True)
@@ -99,7 +99,7 @@ def build_index(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
             types = [pa.int64(), pa.list_(b.column("key").type), *[pa.binary()] * 4]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["segment", "keys", "starts", "terms", "counts", "positions"])
 
-    return docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, _SEGMENT.format(kind=kind))
+    return docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(core.tidy(run), _SEGMENT.format(kind=kind))
 
 
 def _unpacked(raw: bytes) -> np.ndarray:
@@ -122,7 +122,7 @@ def frequencies(index: DataFrame, phrases, n: int) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int64)), pa.array(total[at])], ["term", "n"])
 
     out = np.zeros(n, np.int64)
-    for r in index.select("terms", "counts").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect():
+    for r in index.select("terms", "counts").mapInArrow(core.tidy(run), "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect():
         out[r[0]] = r[1]
     return out
 
@@ -231,7 +231,7 @@ def search(index: DataFrame, benchmark: DataFrame, item: str = "item_id", item_t
         p = Phrases([(r[0], r[1]) for r in own.orderBy("i", "t").collect()], window)
         shared = core.send(spark, p)
         f = core.send(spark, frequencies(index, shared, len(p.terms)))
-        one = index.mapInArrow(_search(shared, f, slack, k), _FOUND.format(kind=kind))
+        one = index.mapInArrow(core.tidy(_search(shared, f, slack, k)), _FOUND.format(kind=kind))
         found.append(core.keep(one, "block") if blocks > 1 else one)
     columns = ["segment", "row", "key", "n_words", "n_hit", "items", "spans"]
     if blocks == 1:
@@ -254,7 +254,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", te
     wordless texts have no words; null or wordless items no windows; repeated items and equal ids count once.
     Repeated rows and null keys of ``docs`` each get a row of their own.
     """
-    index = core.keep(build_index(docs, key, text), "index")
+    index = core.keep(build_index(docs, key, text), "index", packed=True)
     return search(index, benchmark, item, item_text, window, slack).drop("segment", "row").withColumnRenamed("key", key)
 
 

@@ -112,7 +112,7 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names)
 
     sorted_ = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).repartitionByRange(core.tasks(spark), "key").sortWithinPartitions("key", "text")
-    made = core.keep(sorted_.mapInArrow(run, _OUT.format(kind=kind)), "digests")
+    made = core.keep(sorted_.mapInArrow(core.tidy(run), _OUT.format(kind=kind)), "digests")
     ends = made.filter("part is not null")
     order = W.orderBy("part")  # one narrow row per task
     places = ends.select("part").withColumn("follower", F.coalesce(F.lead("part").over(order), F.first("part").over(order)))
@@ -126,5 +126,5 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
             types = [b.column("key").type, pa.int64(), *[pa.string()] * 3, *[pa.float64()] * 2]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names[:7])
 
-    out = made.filter("part is null").select(*names[:7]).union(last.mapInArrow(close, ", ".join(_OUT.format(kind=kind).split(", ")[:7])))
+    out = made.filter("part is null").select(*names[:7]).union(last.mapInArrow(core.tidy(close), ", ".join(_OUT.format(kind=kind).split(", ")[:7])))
     return out.withColumnRenamed("key", key)

@@ -37,7 +37,9 @@ from .core import U64
 
 #: Shingles that occur this often in one block of BLOCK shingles are counted for the frequency order.
 LOCAL_COUNT = 2
-BLOCK = 8_000_000
+BLOCK = 2_000_000
+#: Postings that a task packs at a time, and sets that it remembers so as not to send them twice.
+PACKED, REMEMBERED = 500_000, 200_000
 #: The frequency order knows at most so many of the most frequent shingles (16 bytes each, broadcast).
 KNOWN = 1 << 20
 #: Bits of the filter that spares most documents without candidates from being sent again.
@@ -45,7 +47,7 @@ FILTER_BITS = 1 << 24
 #: Marks postings beyond the prefix of the smaller set of a pair.
 PROBE = np.uint32(1 << 31)
 #: Bytes and number of the sets of a block of a large cluster.
-BLOCK_BYTES, BLOCK_SETS = 32 << 20, 20_000
+BLOCK_BYTES, BLOCK_SETS = 12 << 20, 10_000
 
 
 def prefix_length(n: np.ndarray | int, percent: int):
@@ -135,7 +137,7 @@ def _postings(size: int, percent: int, blocks: int, table):
             for x in shingle_sets(b.column("text"), size):
                 if not len(x) or (g := signature(x)) in seen:
                     continue
-                if len(seen) < 2_000_000:
+                if len(seen) < REMEMBERED:
                     seen.add(g)
                 p = int(prefix_length(len(x), percent))
                 sigs.append(g)
@@ -144,7 +146,7 @@ def _postings(size: int, percent: int, blocks: int, table):
                 sizes.append(own)
                 toks.append(_order(x, known, counts)[:p])
                 rows += p
-                if rows >= 2_000_000:
+                if rows >= PACKED:
                     yield out()
                     sigs, sizes, toks, rows = [], [], [], 0
         if toks:
@@ -213,7 +215,8 @@ def _sets(size: int, wanted):
                 h = g % FILTER_BITS
                 if g in seen or not bits[h >> 3] >> (h & 7) & 1:
                     continue
-                seen.add(g)
+                if len(seen) < REMEMBERED:
+                    seen.add(g)
                 sig.append(g)
                 blob.append(x.tobytes())
                 held += x.nbytes
@@ -231,12 +234,16 @@ class _Lists:
 
     def __init__(self, sets: list[np.ndarray]):
         n = np.array([len(x) for x in sets])
-        tokens, number = np.unique(np.concatenate(sets), return_inverse=True)
-        owner = np.repeat(np.arange(len(sets)), n)
-        o = np.argsort(number, kind="stable")
-        self.owner = owner[o]
-        self.first = np.searchsorted(number[o], np.arange(len(tokens) + 1))
-        self.number, self.at = number, np.concatenate(([0], np.cumsum(n)))
+        tokens = np.concatenate(sets)
+        order = np.argsort(tokens, kind="stable").astype(np.int32)
+        tokens = tokens[order]
+        new = np.concatenate(([True], tokens[1:] != tokens[:-1]))
+        del tokens
+        self.number = np.empty(len(order), np.int32)
+        self.number[order] = np.cumsum(new, dtype=np.int32) - 1
+        self.first = np.append(np.flatnonzero(new), len(order))
+        self.owner = np.repeat(np.arange(len(sets), dtype=np.int32), n)[order]
+        self.at = np.concatenate(([0], np.cumsum(n)))
         self.m = len(sets)
 
     def common(self, i: int) -> np.ndarray:
@@ -347,7 +354,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     holders met, and every node takes the label of its label, so paths contract.  Tables of a round go to
     the shared folder.
     """
-    edges = core.keep(edges.select("a", "b").mapInArrow(_contract, "a long, b long"), "edges")
+    edges = core.keep(edges.select("a", "b").mapInArrow(core.tidy(_contract), "a long, b long"), "edges")
     both = edges.union(edges.select("b", "a")).distinct()
     labels = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("component"))
     labels = core.keep(labels, "labels")
@@ -380,7 +387,7 @@ def near_components(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     spark = docs.sparkSession
     core.prepare(spark)
     texts = docs.select(F.col(text).alias("text"))
-    counted = core.keep(texts.mapInArrow(_frequent(size), "token long, n long").groupBy("token").agg(F.sum("n").alias("n")), "counted")
+    counted = core.keep(texts.mapInArrow(core.tidy(_frequent(size)), "token long, n long").groupBy("token").agg(F.sum("n").alias("n")), "counted")
     counts = core.most_frequent(counted, KNOWN).toArrow()
     core.drop_kept(counted)
     known = counts.column("token").to_numpy().view(U64)
@@ -396,20 +403,20 @@ def near_components(docs: DataFrame, key: str = "doc_id", text: str = "text", si
             yield pa.RecordBatch.from_arrays([b.column("key"), pa.array(n, pa.int64()), pa.array(core.signed(np.array(sig, U64)))], ["key", "n_shingles", "sig"])
 
     kind = docs.schema[key].dataType.simpleString()
-    nodes = core.keep(docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(rows, f"key {kind}, n_shingles long, sig long"), "nodes")
+    nodes = core.keep(docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(core.tidy(rows), f"key {kind}, n_shingles long, sig long"), "nodes")
     shingles = nodes.agg(F.sum("n_shingles")).first()[0] or 0
     blocks = max(core.tasks(spark), math.ceil(shingles * (101 - percent) / 100 / 1_000_000))
-    postings = texts.mapInArrow(_postings(size, percent, blocks, table), "block int, tokens binary, sigs binary, sizes binary")
-    found = core.keep(postings.repartitionById(blocks, "block").mapInArrow(_lists(percent), "a long, b long").distinct(), "pairs")
+    postings = texts.mapInArrow(core.tidy(_postings(size, percent, blocks, table)), "block int, tokens binary, sigs binary, sizes binary")
+    found = core.keep(postings.repartitionById(blocks, "block").mapInArrow(core.tidy(_lists(percent)), "a long, b long").distinct(), "pairs")
     cluster = components(found).select(F.col("node").alias("sig"), F.col("component").alias("cluster"))
     wanted = core.send(spark, filter_bits(cluster))
     own = nodes.filter("n_shingles > 0").groupBy("sig").agg(F.max("n_shingles").alias("n")).join(cluster.hint("merge"), "sig")
     parts = own.groupBy("cluster").agg(F.greatest(F.ceil(F.sum("n") * 8 / BLOCK_BYTES), F.ceil(F.count("*") / BLOCK_SETS)).cast("int").alias("parts"))
     placed = own.join(parts.hint("merge"), "cluster").withColumn("own", F.pmod(F.xxhash64("sig"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     placed = placed.select("sig", "cluster", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.when(F.col("own") <= F.col("other"), 0).otherwise(1).alias("side"))
-    dealt = texts.mapInArrow(_sets(size, wanted), "sig long, tokens binary").join(core.keep(placed, "placed").hint("merge"), "sig")
-    links = dealt.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "side", "sig").mapInArrow(_clusters(percent, table), "a long, b long")
-    labels = components(links)
+    dealt = texts.mapInArrow(core.tidy(_sets(size, wanted)), "sig long, tokens binary").join(core.keep(placed, "placed").hint("merge"), "sig")
+    links = dealt.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "side", "sig").mapInArrow(core.tidy(_clusters(percent, table)), "a long, b long")
+    labels = components(core.keep(links, "links"))
     named = nodes.filter("n_shingles > 0").join(labels.withColumnRenamed("node", "sig"), "sig", "left").select("key", "sig", F.coalesce("component", "sig").alias("component"))
     least = named.groupBy("component").agg(F.min("key").alias("component_id"))
     heads = named.select("sig", "component").distinct().join(least, "component").select("sig", "component_id")

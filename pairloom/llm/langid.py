@@ -111,7 +111,7 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", label: str =
                 g, c = np.unique(np.concatenate(got), return_counts=True) if got else (np.zeros(0, np.uint32), np.zeros(0, np.int64))
                 yield pa.RecordBatch.from_arrays([pa.array([name] * len(g), pa.string()), pa.array(g.astype(np.int64)), pa.array(c.astype(np.int64))], ["label", "gram", "n"])
 
-    counted = chosen.select(F.col(label).alias("label"), F.col(text).alias("text")).mapInArrow(count, "label string, gram long, n long").groupBy("label", "gram").agg(F.sum("n").alias("n"))
+    counted = chosen.select(F.col(label).alias("label"), F.col(text).alias("text")).mapInArrow(core.tidy(count), "label string, gram long, n long").groupBy("label", "gram").agg(F.sum("n").alias("n"))
     counted = core.keep(counted, "grams")
     sums = {r[0]: r[1] for r in counted.groupBy("label").agg(F.sum("n")).collect()}
     rate = F.create_map(*(x for k in languages for x in (F.lit(k), F.lit(float(sums.get(k, 0) or 1)))))
@@ -156,5 +156,5 @@ def predict(docs: DataFrame, model: Filter, keep: list[str] | None = None, text:
             pred = names[np.where(lettered, best, len(names) - 1)]
             yield pa.RecordBatch.from_arrays([*(b.column(f"k{i}") for i in range(len(keep))), pa.array(pred.tolist(), pa.string()), pa.array(np.where(lettered, score, 0.0))], [*(f"k{i}" for i in range(len(keep))), "lang_pred", "score"])
 
-    out = docs.select(*sent).mapInArrow(run, schema)
+    out = docs.select(*sent).mapInArrow(core.tidy(run), schema)
     return out.withColumnsRenamed({f"k{i}": c for i, c in enumerate(keep)})

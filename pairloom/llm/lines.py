@@ -195,7 +195,7 @@ def _alike(batches):
 
 def _links(met: DataFrame, name: str) -> DataFrame:
     dealt = met.repartition("slot").sortWithinPartitions("slot", F.octet_length("words"), "member")
-    return core.keep(dealt.select("slot", "part", "member", "words").mapInArrow(_alike, _ALIKE), name)
+    return core.keep(dealt.select("slot", "part", "member", "words").mapInArrow(core.tidy(_alike), _ALIKE), name)
 
 
 def recurring(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -204,7 +204,7 @@ def recurring(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
     core.prepare(spark)
     kind = docs.schema[key].dataType.simpleString()
     texts = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("whole"))
-    parsed = core.keep(texts.mapInArrow(_lines, _PARSED.format(kind=kind)), "parsed")
+    parsed = core.keep(texts.mapInArrow(core.tidy(_lines), _PARSED.format(kind=kind)), "parsed")
     group = core.keep(_groups(parsed), "groups")
     span = [F.min("low").alias("low"), F.max("high").alias("high"), F.min("first").alias("first")]
     held = parsed.filter("member is not null").groupBy("leaf", "member", "whole").agg(F.min("key").alias("first"))
@@ -214,9 +214,9 @@ def recurring(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
     mixed = core.keep(leaves.filter("one < other").select(F.col("leaf").alias("sig")), "mixed")
     wanted = core.send(spark, jaccard.filter_bits(mixed))
     # lines of leaves that hold different lines, with all their words
-    words = texts.select("text").mapInArrow(_words(wanted), "member long, leaf long, words binary").groupBy("member", "leaf").agg(F.first("words").alias("words"))
+    words = texts.select("text").mapInArrow(core.tidy(_words(wanted)), "member long, leaf long, words binary").groupBy("member", "leaf").agg(F.first("words").alias("words"))
     words = core.keep(words.join(mixed.select(F.col("sig").alias("leaf")), "leaf", "left_semi"), "words")
-    parts = core.keep(words.mapInArrow(_parts, "part long, member long"), "line-parts")
+    parts = core.keep(words.mapInArrow(core.tidy(_parts), "part long, member long"), "line-parts")
     shared = parts.groupBy("part").agg(F.min("member").alias("one"), F.max("member").alias("other")).filter("one < other").select("part")
     met = parts.join(shared, "part").join(words.select("member", "words").hint("merge"), "member").withColumn("slot", F.xxhash64("part", F.pmod(F.xxhash64("member"), F.lit(SALTS))))
     first = _links(met, "links")
@@ -289,7 +289,7 @@ def drop_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
                     out[i] = keys[row[i]] != firsts[p[i]]
             return out
 
-        done = inner.mapInArrow(_strip(len(names), at, out_names, drop), schema)
+        done = inner.mapInArrow(core.tidy(_strip(len(names), at, out_names, drop)), schema)
     else:
         ct = f"c{at}"
 
@@ -313,5 +313,5 @@ def drop_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
             sets = [set(x) if x else None for x in held]
             return np.array([sets[r] is not None and x in sets[r] for r, x in zip(row.tolist(), m, strict=True)], bool)
 
-        done = joined.mapInArrow(_strip(len(names), at, out_names, drop), schema)
+        done = joined.mapInArrow(core.tidy(_strip(len(names), at, out_names, drop)), schema)
     return done.toDF(*names, "n_lines", "n_dropped")

@@ -212,8 +212,8 @@ def train(docs: DataFrame, text: str = "text") -> tuple[Model, DataFrame]:
     core.prepare(spark)
     texts, size = docs.agg(F.count("*"), F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()
     parts = max(core.tasks(spark), -(-size // PART_TEXT))
-    counted = docs.select(F.col(text).alias("text")).mapInArrow(_counts(parts), _COUNTED)
-    table = core.keep(counted.repartitionById(parts, "part").sortWithinPartitions("part").mapInArrow(_part, _PART), "parts")
+    counted = docs.select(F.col(text).alias("text")).mapInArrow(core.tidy(_counts(parts)), _COUNTED)
+    table = core.keep(counted.repartitionById(parts, "part").sortWithinPartitions("part").mapInArrow(core.tidy(_part), _PART), "parts", packed=True)
     tokens, distinct = table.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum(F.octet_length("words") / 8), F.lit(0))).first()
     return Model(parts, int(tokens) + texts, int(distinct) + (texts > 0), texts), table
 
@@ -350,11 +350,11 @@ def score(docs: DataFrame, model: Model, parts: DataFrame, key: str = "doc_id",
     kind = docs.schema[key].dataType.simpleString()
     inner = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), (F.lit(False) if learned is None else learned).alias("learned"))
     none = lambda name, kind: F.lit(None).cast(kind).alias(name)
-    asked = inner.mapInArrow(_ask(model.parts), _ASKED).select("part", "slice", "words", "pairs", none("counts", "binary"), none("bits", "long"), none("field", "binary"))
+    asked = inner.mapInArrow(core.tidy(_ask(model.parts)), _ASKED).select("part", "slice", "words", "pairs", none("counts", "binary"), none("bits", "long"), none("field", "binary"))
     own = parts.select("part", none("slice", "long"), "words", none("pairs", "binary"), "counts", "bits", "field")
     both = own.union(asked).repartitionById(model.parts, "part").sortWithinPartitions("part", F.col("slice").asc_nulls_first())
-    found = both.mapInArrow(_answer, _FOUND).select("slice", none("body", "binary"), "part", "counts", "levels", "pair_levels")
-    texts = inner.mapInArrow(_texts, "slice long, body binary").select("slice", "body", none("part", "int"), none("counts", "binary"), none("levels", "binary"), none("pair_levels", "binary"))
+    found = both.mapInArrow(core.tidy(_answer), _FOUND).select("slice", none("body", "binary"), "part", "counts", "levels", "pair_levels")
+    texts = inner.mapInArrow(core.tidy(_texts), "slice long, body binary").select("slice", "body", none("part", "int"), none("counts", "binary"), none("levels", "binary"), none("pair_levels", "binary"))
     back = texts.union(found).repartition("slice").sortWithinPartitions("slice", F.col("part").asc_nulls_last())
     names = [key, "n_tokens", "n_known", "train_tokens", "base_score", "score", "seen_elsewhere"]
-    return back.mapInArrow(_scores(model, names), f"`{key}` {kind}, n_tokens long, n_known long, train_tokens long, base_score double, score double, seen_elsewhere double")
+    return back.mapInArrow(core.tidy(_scores(model, names)), f"`{key}` {kind}, n_tokens long, n_known long, train_tokens long, base_score double, score double, seen_elsewhere double")

@@ -108,14 +108,17 @@ FROM w JOIN r ON r.x = w.doc_id LEFT JOIN n ON n.doc_id = w.doc_id GROUP BY w.do
     "op9_tool_call_linking": r"""
 WITH u AS (
   SELECT conv_id, turn, text, 'call_' || conv_id || '_' || turn AS call_id FROM conversations WHERE role = 'user'),
+o AS (SELECT DISTINCT conv_id, turn FROM u WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
+i AS (SELECT conv_id, turn, turn // 2 - row_number() OVER (PARTITION BY conv_id, turn % 2 ORDER BY turn) AS island FROM o),
+l AS (SELECT conv_id, turn, CAST(row_number() OVER (PARTITION BY conv_id, turn % 2, island ORDER BY turn) - 1 AS INTEGER) AS level FROM i),
 r AS (
   SELECT conv_id, 'call_' || conv_id || '_' || (turn - 1) AS call_id, min(turn) AS result_turn, arg_min(coalesce(text, ''), turn) AS content
   FROM conversations WHERE role = 'assistant' GROUP BY 1, 2)
-SELECT u.conv_id, u.turn, u.call_id, 'reply' AS name, CAST(0 AS INTEGER) AS level, u.text IS NOT NULL AS valid, r.result_turn,
+SELECT u.conv_id, u.turn, u.call_id, 'reply' AS name, coalesce(l.level, 0) AS level, u.text IS NOT NULL AS valid, r.result_turn,
   '{"arguments":{' || CASE WHEN u.text IS NULL THEN '' ELSE '"prompt":' || to_json(u.text)::VARCHAR || ',' END || '"turn":' || u.turn
-  || '},"conversation":' || u.conv_id || ',"id":"' || u.call_id || '","level":0,"name":"reply"'
+  || '},"conversation":' || u.conv_id || ',"id":"' || u.call_id || '","level":' || coalesce(l.level, 0) || ',"name":"reply"'
   || CASE WHEN r.call_id IS NULL THEN '' ELSE ',"result":{"text":' || to_json(r.content)::VARCHAR || '},"result_turn":' || r.result_turn END
   || ',"turn":' || u.turn || ',"valid":' || CASE WHEN u.text IS NULL THEN 'false' ELSE 'true' END || '}' AS json
-FROM u LEFT JOIN r ON u.conv_id = r.conv_id AND u.call_id = r.call_id
+FROM u LEFT JOIN r ON u.conv_id = r.conv_id AND u.call_id = r.call_id LEFT JOIN l ON u.conv_id = l.conv_id AND u.turn = l.turn
 """,
 }

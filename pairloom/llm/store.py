@@ -153,7 +153,7 @@ def write_store(docs: DataFrame, path: str, vocabulary: str = tokens.VOCABULARY,
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(c, types, strict=True)], ["key", "part", "own", "n_tokens", "digests", "digest", "n", "payload"])
 
     both = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(
-        cut, f"key {kind}, part int, own long, n_tokens long, digests array<binary>, digest binary, n long, payload binary"
+        core.tidy(cut), f"key {kind}, part int, own long, n_tokens long, digests array<binary>, digest binary, n long, payload binary"
     )
     # one pass over the texts: chunks go out by digest, recipes by the hash of their place
     where = F.when(F.col("payload").isNotNull(), F.col("digest")).otherwise(F.concat_ws(":", "part", "own").cast("binary"))
@@ -170,7 +170,7 @@ def write_store(docs: DataFrame, path: str, vocabulary: str = tokens.VOCABULARY,
             yield b.filter(pa.array(stay))
 
     staged = f"{path}/staged"
-    spread.mapInArrow(once, both.schema).withColumn("of", F.when(F.col("payload").isNotNull(), "chunks").otherwise("recipes")).write.partitionBy("of").option("compression", "zstd").parquet(staged)
+    spread.mapInArrow(core.tidy(once), both.schema).withColumn("of", F.when(F.col("payload").isNotNull(), "chunks").otherwise("recipes")).write.partitionBy("of").option("compression", "zstd").parquet(staged)
     jvm = spark.sparkContext._jvm
     old, new = jvm.org.apache.hadoop.fs.Path(f"{staged}/of=chunks"), jvm.org.apache.hadoop.fs.Path(f"{path}/chunks")
     fs = new.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
@@ -211,7 +211,7 @@ def _manifest(spark: SparkSession, path: str) -> None:
             yield out(now, held)
 
     rows = spark.read.parquet(f"{path}/recipes").select("piece", "line", "root", "n_tokens").repartition("piece").sortWithinPartitions("piece", "line")
-    rows.mapInArrow(roots, "piece int, documents long, ids long, root binary").write.parquet(f"{path}/manifest")
+    rows.mapInArrow(core.tidy(roots), "piece int, documents long, ids long, root binary").write.parquet(f"{path}/manifest")
 
 
 def store_root(spark: SparkSession, path: str) -> bytes:
@@ -252,13 +252,13 @@ def read_index(spark: SparkSession, path: str, key: str = "doc_id") -> DataFrame
     those of its chunks in order, and its recipe is checked against its Merkle root, so no payload moves.
     """
     core.prepare(spark)
-    facts = spark.read.parquet(f"{path}/chunks").select("digest", "payload").mapInArrow(_facts, "digest binary, sound boolean, n long, crc long")
+    facts = spark.read.parquet(f"{path}/chunks").select("digest", "payload").mapInArrow(core.tidy(_facts), "digest binary, sound boolean, n long, crc long")
     recipes = spark.read.parquet(f"{path}/recipes")
     steps = recipes.select("line", F.posexplode("digests").alias("at", "digest"))
     parts = steps.join(facts, "digest", "left").groupBy("line").agg(F.collect_list(F.struct("at", "digest", F.coalesce("sound", F.lit(False)).alias("sound"), F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("crc", F.lit(0)).alias("crc"))).alias("parts"))
     kind = recipes.schema["key"].dataType.simpleString()
     whole = recipes.join(parts, "line", "left").select("key", "start", "n_tokens", "root", F.coalesce("parts", F.expr("cast(array() as array<struct<at:int,digest:binary,sound:boolean,n:bigint,crc:bigint>>)")).alias("parts"))
-    return whole.mapInArrow(_rebuild, f"key {kind}, start long, n_tokens long, ids_crc32 long").withColumnRenamed("key", key)
+    return whole.mapInArrow(core.tidy(_rebuild), f"key {kind}, start long, n_tokens long, ids_crc32 long").withColumnRenamed("key", key)
 
 
 def read_documents(spark: SparkSession, path: str, key: str = "doc_id") -> DataFrame:
@@ -273,4 +273,4 @@ def read_documents(spark: SparkSession, path: str, key: str = "doc_id") -> DataF
             yield pa.RecordBatch.from_arrays([b.column("key"), b.column("start"), pa.array(ids, pa.binary())], ["key", "start", "ids"])
 
     kind = parts.schema["key"].dataType.simpleString()
-    return parts.select("key", "start", "parts").mapInArrow(whole, f"key {kind}, start long, ids binary").withColumnRenamed("key", key)
+    return parts.select("key", "start", "parts").mapInArrow(core.tidy(whole), f"key {kind}, start long, ids binary").withColumnRenamed("key", key)

@@ -22,7 +22,7 @@ from .core import U64
 
 VOCABULARY = "word_bpe_49k.json"
 END = 1
-KNOWN_WORDS = 400_000
+KNOWN_WORDS = 100_000
 
 #: The pre-tokenizer's pattern (fixed values of the public vocabulary file).
 PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")

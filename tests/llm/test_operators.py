@@ -327,6 +327,37 @@ def test_chat_levels_of_long_chains(spark, monkeypatch):
     assert {(r.conv_id, r.call_id): r.level for r in out.collect()} == {(1, f"c{i}"): i for i in range(12)} | {(2, k): None for k in "xyz"}
 
 
+def test_chat_levels_against_brute_force(spark):
+    import random
+
+    r = random.Random(11)
+    rows = []
+    for conv in range(30):
+        n = r.randint(1, 25)
+        for i in range(n):
+            deps = r.sample(range(n), min(n, r.choice([0, 1, 1, 1, 2, 3]))) if conv % 3 == 0 else r.sample(range(i), min(i, r.choice([0, 1, 1, 1, 2, 3])))
+            rows.append((conv, f"c{i}", [f"c{d}" for d in deps] + (["none"] if r.random() < 0.2 else [])))
+    rows += [(None, "c0", ["c0"]), (1, None, ["c0"])]
+    edges = {(c, k): {(c, d) for d in deps if d != "none"} for c, k, deps in rows if c is not None and k is not None}
+    level: dict = {}
+    while new := {k: 1 + max((level[d] for d in v), default=-1) for k, v in edges.items() if k not in level and all(d in level for d in v)}:
+        level |= new
+    out = chat.levels(spark.createDataFrame(rows, "conv_id long, call_id string, depends_on array<string>")).collect()
+    assert {(x.conv_id, x.call_id): x.level for x in out} == {k: level.get(k) for k in edges} | {(None, "c0"): 0, (1, None): 0}
+    assert max(level.values()) > 6 and len(level) < len(edges)
+
+
+def test_schemas(spark):
+    schema = {
+        "type": "object", "required": ["a"], "additionalProperties": False,
+        "properties": {"a": {"type": "integer", "minimum": 1, "maximum": 5}, "b": {"enum": ["x", 2]}, "c": {"type": "array", "items": {"type": "object", "properties": {"d": {"type": "string", "minLength": 2}}, "required": ["d"]}}},
+    }
+    good = ['{"a":1}', '{"a":5,"b":"x"}', '{"a":2,"b":2}', '{"a":3,"c":[]}', '{"c":[{"d":"xy","e":1}],"a":3}']
+    bad = ["{", "[]", "{}", '{"a":0}', '{"a":6}', '{"a":"1"}', '{"a":1,"b":"y"}', '{"a":1,"z":1}', '{"a":1,"c":[{"d":"x"}]}', '{"a":1,"c":[{}]}', '{"a":1,"c":{}}', None]
+    df = spark.createDataFrame([("f", x) for x in good + bad] + [("g", good[0]), (None, good[0])], "name string, arguments string")
+    assert [x.valid for x in chat.validate(df, {"f": schema}).collect()] == [True] * len(good) + [False] * (len(bad) + 2)
+
+
 def test_decontamination(spark, docs, rows, monkeypatch):
     bench = spark.read.parquet(f"{SF}/benchmark.parquet").union(spark.createDataFrame([(900, None), (901, ""), (902, "one two")], "item_id long, text string"))
     alnum = re.compile(rb"[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
