@@ -1,10 +1,11 @@
 """Personal data by boosted trees over candidate spans, in DataFrame expressions only.
 
 Base rules find e-mail addresses, IPv4 addresses, card numbers and phone numbers, leftmost and without
-overlap within a kind; those spans always stay.  Generators with high recall then propose further,
-overlapping spans (written-out addresses, addresses with ports, other separators).  Boosted regression
-trees score each proposal from its format and the words before it, and the ones that reach a calibrated
-threshold and overlap no base span and no better proposal are added.
+overlap within a kind; those spans always stay.  Generators with high recall then propose further
+spans (written-out addresses, addresses with ports, other separators, long tokens that may be secrets), which
+overlap base spans and proposals of other kinds.  Boosted regression trees score each proposal from its format
+and the words before it.  Added are the ones that reach a calibrated threshold and overlap no better proposal
+and no base span, other than one of their kind that they extend.
 
 The trees are fitted by :func:`train` on a bounded, generated set of labelled examples; features of the
 examples are computed by the same expressions as those of documents, and the trees become one SQL
@@ -24,6 +25,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 KINDS = ["email", "ip", "card", "phone"]
+#: The kinds of proposals; the last has no base rule.
+ALL = [*KINDS, "secret"]
 MARK, OTHER = "\u0001", "\u0002"
 
 #: The base patterns; possessive and anchored so that long runs are scanned once (same matches).
@@ -39,12 +42,13 @@ WIDE = {
     "ip": r"(?<![0-9A-Za-z.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?::[0-9]{1,5})?|(?<![0-9A-Za-z:])(?:[0-9a-fA-F]{1,4}:){3,7}:?[0-9a-fA-F]{1,4}(?![0-9A-Za-z:])",
     "card": r"(?<![0-9])[0-9](?:[\x20._/-]{0,2}[0-9]){11,21}(?![0-9])",
     "phone": r"(?<![0-9A-Za-z])(?:\+|00|\()?[0-9](?:[\x20().\/-]{0,2}[0-9]){6,14}(?![0-9])",
+    "secret": r"(?<![0-9A-Za-z+\/_-])[A-Za-z0-9+\/_-]{16,}+",
 }
 #: A text without a match of these has no match of the pattern above.
 NEEDS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][\x20-]?[0-9]", "phone": r"\+[0-9]"}
-WIDE_NEEDS = {"email": r"@|[(\[]at[)\]]|\x20dot\x20", "ip": r"[0-9]\.[0-9]|:[0-9a-fA-F]{0,4}:", "card": r"(?:[0-9][\x20._/-]{0,2}){12}", "phone": r"(?:[0-9][\x20().\/-]{0,2}){7}"}
+WIDE_NEEDS = {"secret": r"[A-Za-z0-9+\/_-]{16}", "email": r"@|[(\[]at[)\]]|\x20at\x20", "ip": r"[0-9]\.[0-9]|:[0-9a-fA-F]{0,4}:", "card": r"(?:[0-9][\x20._/-]{0,2}){12}", "phone": r"(?:[0-9][\x20().\/-]{0,2}){7}"}
 #: Words that announce a kind.
-WORDS = {"email": r"mail|write to|contact", "ip": r"\bip\b|host|server|addr", "card": r"card|visa|pay|account", "phone": r"phone|call|\btel|mobile|fax"}
+WORDS = {"email": r"mail|write to|contact", "ip": r"\bip\b|host|server|addr", "card": r"card|visa|pay|account", "phone": r"phone|call|\btel|mobile|fax", "secret": r"(?:token|secret|passw(?:or)?d|api[ _-]?key|access[ _-]?key|bearer)[\"']?\s*[:=]?\s*[\"']?$"}
 
 _SPAN = "array<struct<s:bigint,e:bigint,m:string>>"
 
@@ -101,7 +105,7 @@ def _features(text: Column, kind: str, x: Column) -> Column:
     after = F.substring(text, (x["e"] + 1).cast("int"), F.lit(1))
     flag = lambda c: F.when(c, 1).otherwise(0)
     return F.struct(
-        F.lit(KINDS.index(kind)).alias("kind"),
+        F.lit(ALL.index(kind)).alias("kind"),
         F.char_length(d).alias("digits"),
         F.char_length(m).alias("chars"),
         F.char_length(F.regexp_replace(m, r"[0-9A-Za-z]", "")).alias("gaps"),
@@ -120,7 +124,7 @@ def proposals(text: Column) -> Column:
     def of(i, kind):
         return lambda x: F.struct(F.lit(i).alias("k"), x["s"].alias("s"), x["e"].alias("e"), _features(text, kind, x).alias("f"))
 
-    each = [F.transform(_matches(text, WIDE[k], WIDE_NEEDS[k]), of(i, k)) for i, k in enumerate(KINDS)]
+    each = [F.transform(_matches(text, WIDE[k], WIDE_NEEDS[k]), of(i, k)) for i, k in enumerate(ALL)]
     return F.concat(*each)
 
 
@@ -143,6 +147,7 @@ def examples(n: int = 160, seed: int = 7) -> list[tuple[int, str, int]]:
     def grouped(x, sep, size=4):
         return sep.join(x[i : i + size] for i in range(0, len(x), size))
 
+    code = lambda k, of="0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ": "".join(r.choice(of) for _ in range(k))
     plain = lambda: f"{word()} {word(9)} "
     zone = lambda: r.choice(["com", "org", "net", "de", "fr"])
     octets = lambda: ".".join(str(r.randint(1, 254)) for _ in range(4))
@@ -171,10 +176,20 @@ def examples(n: int = 160, seed: int = 7) -> list[tuple[int, str, int]]:
             (3, f"{plain()}{digits(2)}.{digits(2)}.{digits(4)} {word()}", 0),
             (3, f"{plain()}{luhn(16, False)[:15]} {word()}", 0),
             (3, f"{plain()}{octets()} {word()}", 0),
+            (4, f'{plain()}{r.choice(["token", "api_key", "secret"])} = "{code(40, "0123456789abcdef")}" {word()}', 1),
+            (4, f"{plain()}{r.choice(['password: ', 'access key ', 'Bearer '])}{code(r.randint(16, 40))} {word()}", 1),
+            (4, f"{plain()}{word(9)}{word(9)}{word(9)}{word(9)} {word()}", 0),
+            (4, f"{plain()}token {word(9)}_{word(9)}-{word(9)}/{word(9)} {word()}", 0),
+            (4, f"{plain()}revision {code(40, '0123456789abcdef')} {word()}", 0),
+            (4, f"{plain()}{r.choice(['token', 'order'])} {digits(r.randint(16, 24))} {word()}", 0),
         ]
     return rows
 
 
+#: Sorts of examples; each run of so many rows of :func:`examples` holds one of each.
+SORTS = 28
+
+
 def _grow(x, grad, depth, least=8):
     """A regression tree on the gradient: a leaf value, or (feature, threshold, low side, high side)."""
     value = float(grad.sum() / (len(grad) * 0.25 + 1.0))
@@ -230,7 +245,7 @@ def _fitted(spark: SparkSession, rounds: int, depth: int, rate: float, precision
     got = frame.select("i", "kind", "label", F.explode(proposals(F.col("text"))).alias("p")).select("i", "kind", "label", "p.k", "p.f.*").collect()
     x = np.array([[r[4 + j] for j in range(len(FEATURES))] for r in got], float)
     y = np.array([float(r[2] == 1 and r[1] == r[3]) for r in got])
-    fold = np.array([r[0] // 22 % 3 for r in got])  # every third run of examples calibrates
+    fold = np.array([r[0] // SORTS % 3 for r in got])  # every third run of examples calibrates
     fit = fold != 2
     margin, trees = np.zeros(fit.sum()), []
     for _ in range(rounds):
@@ -239,39 +254,60 @@ def _fitted(spark: SparkSession, rounds: int, depth: int, rate: float, precision
         margin += rate * _walk(t, x[fit])
     model = Boosted(trees, rate, [])
     held, truth, kind = model.margin(x[~fit]), y[~fit], x[~fit][:, 0]
-    for k in range(len(KINDS)):
+    for k in range(len(ALL)):
         own = kind == k
-        bounds = [b for b in np.unique(held[own]) if truth[own][held[own] >= b].mean() >= precision]
-        model.bounds.append(float(max(min(bounds, default=np.inf), 0.0)))
+        seen = np.unique(held[own])
+        good = [b for b in seen if truth[own][held[own] >= b].mean() >= precision]
+        least = min(good, default=np.inf)
+        below = max(seen[seen < least], default=least)  # the bound lies half way to the next margin below
+        model.bounds.append(float(max((least + below) / 2, 0.0)))
     return model
 
 
 def train(spark: SparkSession, rounds: int = 24, depth: int = 3, rate: float = 0.3, precision: float = 0.99) -> Boosted:
-    """Fits the trees on two thirds of the examples; on the rest, each kind's lowest margin of that precision is its bound."""
+    """Fits the trees on two thirds of the examples; on the rest, each kind's bound is the lowest margin of that precision."""
     return _fitted(spark, rounds, depth, rate, precision)
 
 
 # ---------------------------------------------------------------- whole operator
-def find(docs: DataFrame, model: Boosted | None = None, text: str = "text") -> DataFrame:
-    """``docs`` with the column ``pii``: base spans by kind, and added spans, each array sorted by start.
+def find(docs: DataFrame, model: Boosted | None = None, text: str = "text", into: str = "pii") -> DataFrame:
+    """``docs`` with the column ``into``: base spans by kind, and added spans, each array sorted by start.
 
-    A null text is empty and has none.  Repeated rows stay; other columns pass through.
+    A null text is empty and has none.  Repeated rows stay; other columns pass through (one named ``into`` is
+    replaced).  Of equally good proposals that overlap, the first kind and then the first start is added.
     """
     model = model or train(docs.sparkSession)
     t = F.coalesce(F.col(text), F.lit(""))
     base = {k: F.transform(base_spans(t, k), lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"))) for k in KINDS}
-    out = docs.withColumn("pii", F.struct(*(base[k].alias(k) for k in KINDS)))
-    taken = F.concat(*(F.col("pii")[k] for k in KINDS))
+    names = [c for c in docs.columns if c != into]
+    found, held, many = _fresh(docs.columns, 3)
+    out = docs.withColumn(found, F.struct(*(base[k].alias(k) for k in KINDS)))
+
+    def of(i):
+        return lambda x: F.struct(F.lit(i).alias("k"), x["s"].alias("s"), x["e"].alias("e"))
+
+    each = [F.transform(F.col(found)[k], of(i)) for i, k in enumerate(KINDS)]
     bound = F.array(*(F.lit(b if np.isfinite(b) else 1e9) for b in model.bounds))
-    scored = F.transform(F.filter(proposals(t), lambda p: ~F.exists(F.col("taken"), lambda b: (b["s"] < p["e"]) & (p["s"] < b["e"]))), lambda p: F.struct(p["k"].alias("k"), p["s"].alias("s"), p["e"].alias("e"), model.expression(p["f"]).alias("v")))
+    scored = F.transform(F.filter(proposals(t), lambda p: ~F.exists(F.col(held), lambda b: (b["s"] < p["e"]) & (p["s"] < b["e"]) & ~_extends(p, b))), lambda p: F.struct(p["k"].alias("k"), p["s"].alias("s"), p["e"].alias("e"), model.expression(p["f"]).alias("v")))
     # proposals are made only where the wide patterns can match at all
     any_wide = functools.reduce(lambda a, b: a | b, (t.rlike(x) for x in WIDE_NEEDS.values()))
     none = F.array().cast("array<struct<k:int,s:bigint,e:bigint,v:double>>")
-    out = out.withColumn("taken", taken).withColumn("more", F.when(any_wide, F.filter(scored, lambda p: p["v"] >= F.element_at(bound, p["k"] + 1))).otherwise(none))
+    out = out.withColumn(held, F.concat(*each)).withColumn(many, F.when(any_wide, F.filter(scored, lambda p: p["v"] >= F.element_at(bound, p["k"] + 1))).otherwise(none))
     better = lambda a, b: (a["v"] > b["v"]) | (a["v"] == b["v"]) & ((a["k"] < b["k"]) | (a["k"] == b["k"]) & (a["s"] < b["s"]))
-    more = F.filter(F.col("more"), lambda p: ~F.exists(F.col("more"), lambda q: (q["s"] < p["e"]) & (p["s"] < q["e"]) & better(q, p)))
+    more = F.filter(F.col(many), lambda p: ~F.exists(F.col(many), lambda q: (q["s"] < p["e"]) & (p["s"] < q["e"]) & better(q, p)))
     added = F.array_sort(F.transform(more, lambda p: F.struct(p["k"].alias("k"), p["s"].alias("s"), p["e"].alias("e"))))
-    return out.withColumn("pii", F.struct(*(F.col("pii")[k].alias(k) for k in KINDS), added.alias("added"))).drop("taken", "more")
+    return out.select(*(F.col(f"`{c}`") for c in names), F.struct(*(F.col(found)[k].alias(k) for k in KINDS), added.alias("added")).alias(into))
+
+
+def _fresh(columns: list[str], n: int) -> list[str]:
+    """Names that no column has."""
+    taken = {c.lower() for c in columns}
+    return [x for i in range(len(columns) + n) if (x := f"inner_{i}") not in taken][:n]
+
+
+def _extends(p: Column, b: Column) -> Column:
+    """Whether the proposal holds a base span of its kind and more."""
+    return (p["k"] == b["k"]) & (p["s"] <= b["s"]) & (p["e"] >= b["e"]) & (p["e"] - p["s"] > b["e"] - b["s"])
 
 
 def spans_text(spans: Column, kind: str) -> Column:
@@ -280,18 +316,18 @@ def spans_text(spans: Column, kind: str) -> Column:
 
 def redact(docs: DataFrame, model: Boosted | None = None, text: str = "text") -> DataFrame:
     """``docs`` with every span of the text replaced by its kind in brackets; overlapping spans join (the first kind names them)."""
-    found = find(docs, model, text)
-
+    (into,) = _fresh(docs.columns, 1)
+    found = find(docs, model, text, into)
 
     def numbered(i):
         return lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), F.lit(i).alias("k"))
 
-    every = F.concat(*(F.transform(F.col("pii")[k], numbered(i)) for i, k in enumerate(KINDS)), F.transform(F.col("pii")["added"], lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["k"].alias("k"))))
-    names = F.array(*(F.lit(f"[{k.upper()}]") for k in KINDS))
+    every = F.concat(*(F.transform(F.col(into)[k], numbered(i)) for i, k in enumerate(KINDS)), F.transform(F.col(into)["added"], lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["k"].alias("k"))))
+    names = F.array(*(F.lit(f"[{k.upper()}]") for k in ALL))
     t = F.coalesce(F.col(text), F.lit(""))
 
     def step(a, x):
         return F.when(x["s"] >= a["p"], F.struct(x["e"].alias("p"), F.concat(a["o"], F.substring(t, (a["p"] + 1).cast("int"), (x["s"] - a["p"]).cast("int")), F.element_at(names, x["k"] + 1)).alias("o"))).otherwise(F.struct(F.greatest(a["p"], x["e"]).alias("p"), a["o"].alias("o")))
 
     clean = F.aggregate(F.array_sort(every), F.struct(F.lit(0).cast("long").alias("p"), F.lit("").alias("o")), step, lambda a: F.concat(a["o"], F.substring(t, (a["p"] + 1).cast("int"), F.char_length(t))))
-    return found.withColumn(text, F.when(F.col(text).isNotNull(), clean)).drop("pii")
+    return found.withColumn(text, F.when(F.col(text).isNotNull(), clean)).drop(into)

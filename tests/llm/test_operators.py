@@ -303,11 +303,64 @@ def test_pii(spark, docs):
             assert [(x.s, x.e) for x in r.pii[k]] == [m.span() for m in re.finditer(RULES[k], t) if rule_ok(k, m[0])]
         if r.pii["added"]:
             added[t[:20]] = [t[x.s : x.e] for x in r.pii["added"]]
-    assert added[ODD[8][1][:20]] == ["bob at acme dot com"]
+    assert added[ODD[8][1][:20]] == ["bob at acme dot com", "10.0.0.1:8080"]
     clean = [r.text for r in pii.redact(df.filter("doc_id = 9009")).collect()]
     assert any("[EMAIL]" in x and "[CARD]" in x and "4111" not in x for x in clean)
 
 
+def test_pii_generators_are_not_narrowed(spark):
+    """The test that spares texts without candidates holds wherever the pattern matches, and ports extend addresses."""
+    texts = ["bob at acme.com", "bob at acme (dot) com", "bob at acme[dot]com", "bob (at) acme.com", "a@b dot c", "1.2.3.4:80", "fe80:0:0:1:2:3:4:5", "4111/1111/1111/1111", "(988) 555-2485", "token = " + "ab12" * 8]
+    kinds = [0, 0, 0, 0, 0, 1, 1, 2, 3, 4]
+    df = spark.createDataFrame(list(zip(kinds, texts, strict=True)), "k int, text string")
+    for r in df.select("k", "text", *(F.size(pii._matches(F.col("text"), pii.WIDE[x], pii.WIDE_NEEDS[x])).alias(x) for x in pii.ALL)).collect():
+        assert r[pii.ALL[r.k]] >= 1, r
+    said = "mail bob at acme.com, server 10.0.0.1:8080 here, token = \"04dbebab91ab85687d33eeaaf9ac699e1188f962\""
+    own = spark.createDataFrame([(said, 5, 6, 7)], "text string, pii int, taken int, more int")
+    r = pii.find(own, into="spans").first()
+    assert (r.pii, r.taken, r.more) == (5, 6, 7) and [(pii.ALL[x.k], said[x.s : x.e]) for x in r.spans.added] == [("email", "bob at acme.com"), ("ip", "10.0.0.1:8080"), ("secret", said[-41:-1])]
+    assert pii.redact(own).first().asDict() == {"text": 'mail [EMAIL], server [IP] here, token = "[SECRET]"', "pii": 5, "taken": 6, "more": 7}
+
+
+def test_pii_on_other_templates(spark):
+    """Precision and recall of the added spans on sentences that training does not have."""
+    import random
+
+    r = random.Random(23)
+    d = lambda k: "".join(r.choice("0123456789") for _ in range(k))
+    name = lambda: r.choice(["maria", "jon.smith", "k_lee", "anna", "rob42"])
+    host = lambda: r.choice(["example", "mail6", "corp-net", "uni"])
+
+    def card():
+        body = r.choice("345") + d(14)
+        s = sum(int(c) if i % 2 else (2 * int(c) - 9 if int(c) > 4 else 2 * int(c)) for i, c in enumerate(reversed(body)))
+        return body + str(-s % 10)
+
+    yes = {
+        0: [lambda: (f"you can write to {{}} today", f"{name()} at {host()} dot com"), lambda: ("my mail is {} ok", f"{name()}[at]{host()}.org"), lambda: ("or contact {} please", f"{name()} (at) {host()} (dot) net")],
+        1: [lambda: ("it runs on host {} now", f"10.{r.randint(0, 255)}.0.{r.randint(1, 250)}:{r.randint(1000, 9999)}"), lambda: ("our ip {} changed", ":".join(f"{r.randint(4096, 65535):x}" for _ in range(8)))],
+        2: [lambda: ("charge my card {} again", "/".join((lambda x: [x[i : i + 4] for i in range(0, 16, 4)])(card()))), lambda: ("pay with {} then", ".".join((lambda x: [x[i : i + 4] for i in range(0, 16, 4)])(card())))],
+        3: [lambda: ("please call {} soon", f"({d(3)}) {d(3)}-{d(4)}"), lambda: ("my mobile {} rings", f"{d(3)}-{d(3)}-{d(4)}"), lambda: ("fax 00{} works", None)],
+        4: [lambda: ("export API_KEY={} and go", "".join(r.choice("abcdefXYZ0123456789") for _ in range(32))), lambda: ("his password: {} leaked", "".join(r.choice("abcdefgh0123456789") for _ in range(24)))],
+    }
+    no = [lambda: f"we met at {host()} dot something else", lambda: f"build {r.randint(1, 9)}.{r.randint(300, 999)}.{r.randint(0, 9)}.{r.randint(0, 9)} is out", lambda: f"on {d(4)}-{d(2)}-{d(2)} it rained", lambda: f"a sum of {d(9)} units", lambda: "the Donaudampfschifffahrtsgesellschaft came", lambda: f"part no {d(14)} shipped"]
+    rows = []
+    for _ in range(40):
+        for k, makers in yes.items():
+            for make in makers:
+                shape, span = make()
+                if span:
+                    rows.append((shape.format(span), k, shape.index("{}"), shape.index("{}") + len(span)))
+        rows += [(make(), -1, 0, 0) for make in no]
+    got = pii.find(spark.createDataFrame(rows, "text string, k int, s int, e int")).collect()
+    for k, kind in enumerate(pii.ALL):
+        right = sum(any((x.k, x.s, x.e) == (k, r.s, r.e) for x in r.pii.added) for r in got if r.k == k)
+        given = sum(x.k == k for r in got for x in r.pii.added)
+        want = sum(r.k == k for r in got)
+        print(kind, "recall", right / want, "precision", right / max(1, given))
+        assert right >= 0.9 * want and right >= 0.9 * given, kind
+
+
 def test_chat(spark):
     said = '{"tool_calls":[{"id":"b","name":"add","arguments":{"y":2,"x":{"q":1,"a":[1.5,null]}},"depends_on":["a"]},{"id":"a","name":"add","arguments":{"x":1}},{"id":"c","name":"add","arguments":{},"depends_on":["d"]},{"id":"d","name":"add","arguments":{"x":"s"},"depends_on":["c"]}]}'
     df = spark.createDataFrame([(1, 0, "assistant", said), (1, 1, "tool", '{"call_id":"a","content":3}'), (2, 0, "user", None), (None, 1, "user", "x"), (3, 0, "user", "hi"), (3, 1, "assistant", "yo")], "conv_id long, turn long, role string, text string")
