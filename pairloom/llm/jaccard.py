@@ -37,7 +37,7 @@ from .core import U64
 
 #: Shingles that occur this often in one block of BLOCK shingles are counted for the frequency order.
 LOCAL_COUNT = 2
-BLOCK = 2_000_000
+BLOCK = 8_000_000
 #: Postings that a task packs at a time, and sets that it remembers so as not to send them twice.
 PACKED, REMEMBERED = 500_000, 200_000
 #: The frequency order knows at most so many of the most frequent shingles (16 bytes each, broadcast).
@@ -47,7 +47,7 @@ FILTER_BITS = 1 << 24
 #: Marks postings beyond the prefix of the smaller set of a pair.
 PROBE = np.uint32(1 << 31)
 #: Bytes and number of the sets of a block of a large cluster.
-BLOCK_BYTES, BLOCK_SETS = 12 << 20, 10_000
+BLOCK_BYTES, BLOCK_SETS = 32 << 20, 20_000
 
 
 def prefix_length(n: np.ndarray | int, percent: int):
