@@ -244,18 +244,21 @@ def tasks(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
-def most_frequent(counted: DataFrame, most: int) -> DataFrame:
-    """The rows of the largest ``n``, all that have the same n or none, at most ``most``: no global sort is needed.
+def most_frequent(counted: DataFrame, most: int, name: str = "token") -> DataFrame:
+    """About ``most`` rows of the largest ``n``: no global sort is needed.
 
-    The histogram that sets the bound has one row for each distinct n.
+    The histogram that sets the bound has one row for each distinct n.  Of the rows of the last n that does not
+    fit whole, a share by the hash of ``name`` is taken.
     """
     sizes = counted.groupBy("n").agg(F.count("*").alias("rows")).toArrow()
     n, rows = sizes.column("n").to_numpy(), sizes.column("rows").to_numpy()
     order = np.argsort(-n)
-    fits = np.cumsum(rows[order]) <= most
-    if not len(n) or not fits[0]:
-        return counted.limit(0)
-    return counted.filter(F.col("n") >= int(n[order][fits][-1]))
+    fits = int((np.cumsum(rows[order]) <= most).sum())
+    if fits == len(n):
+        return counted
+    last, of = int(n[order][fits]), int(rows[order][fits])
+    share = int(1_000_003 * (most - int(rows[order][:fits].sum())) / of)
+    return counted.filter((F.col("n") > last) | (F.col("n") == last) & (F.pmod(F.xxhash64(name), F.lit(1_000_003)) < share))
 
 
 def held(key, modulus: int, remainder: int):

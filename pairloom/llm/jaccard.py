@@ -41,7 +41,7 @@ BLOCK = 8_000_000
 #: Postings that a task packs at a time, and sets that it remembers so as not to send them twice.
 PACKED, REMEMBERED = 500_000, 200_000
 #: The frequency order knows at most so many of the most frequent shingles (16 bytes each, broadcast).
-KNOWN = 1 << 20
+KNOWN = 1 << 21
 #: Bits of the filter that spares most documents without candidates from being sent again.
 FILTER_BITS = 1 << 24
 #: Marks postings beyond the prefix of the smaller set of a pair.
