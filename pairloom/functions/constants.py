@@ -36,6 +36,17 @@ MARKERS = ["required", "must", "experience", "knowledge", "proficient", "skills"
 TOKEN_STOPS = ["and", "or", "the", "with", "for", "from", "have", "has", "must", "required", "knowledge", "experience", "skills", "ability", "work", "job", "team", "candidate", "you", "your"]
 TERM_STOPS = ["also", "etc", "job", "work", "team", "candidate"]
 
+# fixed values: names of the five percent bands
+LABEL_NAMES = ["poor fit", "weak fit", "possible fit", "good fit", "strong fit"]
+
+# fixed values: sections that make the views of a candidate document, and the scoring text of a requirement text
+CV_VIEWS = {
+    "relevant": ["summary", "skills", "experience", "projects", "certifications"],
+    "skills_experience": ["skills", "experience", "projects"],
+    "experience_projects": ["experience", "projects"],
+}
+JD_VIEW = ["summary", "requirements", "responsibilities", "nice_to_have", "experience"]
+
 # fixed values: quality configurations (fewest, target and most words) and markers
 QUALITY = {"jd": (80, 450, 1200), "title_jd": (60, 420, 1200), "cv": (180, 850, 3000)}
 JD_MARKERS = ["requirements", "responsibilities", "qualifications", "experience", "skills", "preferred", "benefits", "duties", "must", "required", "education"]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .constants import WEIGHTS
+from .constants import LABEL_NAMES, WEIGHTS
 
 
 def clip(c: Column, low: float = 0.0, high: float = 1.0) -> Column:
@@ -49,6 +49,16 @@ def percent_label(c: Column) -> Column:
     return F.when(c <= 20, 0).when(c <= 40, 1).when(c <= 60, 2).when(c <= 80, 3).otherwise(4)
 
 
+def label_name(c: Column) -> Column:
+    """The name of the percent label; null without a score."""
+    return F.when(c.isNotNull(), F.element_at(F.array(*(F.lit(x) for x in LABEL_NAMES)), percent_label(c) + 1))
+
+
+def category_text(c: Column) -> Column:
+    """The name of the band; empty for null or not a number."""
+    return F.when(c.isNull() | F.isnan(c), "").otherwise(label_name(c))
+
+
 def gap_band(c: Column) -> Column:
     """Closed whole-number ranges; a value between two ranges falls through to the last name (kept as it is)."""
     return F.when(c.between(0, 20), "poor fit").when(c.between(21, 40), "weak fit").when(c.between(41, 60), "moderate fit").when(c.between(61, 80), "good fit").otherwise("strong fit")
@@ -73,6 +83,26 @@ def normalize_weights(weights: dict[str, float]) -> dict[str, float]:
     return {k: w / total for k, w in kept.items()}
 
 
+def json_object(text: Column) -> Column:
+    """The text of a reply's JSON object: the reply itself, or else what stands from its first to its last brace.
+
+    Null if neither is a whole JSON object, as in replies that were cut off.
+    """
+    inner = F.regexp_extract(text, r"(?s)\{.*\}", 0)
+
+    def whole(t):  # the parser takes text behind a value, but inside a list and an object none is left over
+        parses = lambda before, after: F.try_parse_json(F.concat(F.lit(before), t, F.lit(after))).isNotNull()
+        return t.rlike(r"^\s*\{") & parses("[", "]") & parses('{"k":', "}")
+
+    return F.when(whole(text), text).when(whole(inner), inner)
+
+
 def judge_json(text: Column, schema: str = "fit_score double, category string") -> Column:
-    """The JSON object of a reply: the reply itself, or else what stands from its first to its last brace."""
-    return F.coalesce(F.when(text.rlike(r"^\s*\{"), F.from_json(text, schema)), F.from_json(F.nullif(F.regexp_extract(text, r"(?s)\{.*\}", 0), F.lit("")), schema))
+    """The fields of a reply's JSON object (see :func:`json_object`)."""
+    return F.from_json(json_object(text), schema)
+
+
+def list_text(value: Column) -> Column:
+    """A JSON value as text: the elements of a list joined by ``"; "``, anything else as it is."""
+    items = F.try_variant_get(value, "$", "array<string>")
+    return F.when(items.isNotNull(), F.array_join(items, "; ", "None")).otherwise(F.coalesce(F.try_variant_get(value, "$", "string"), F.to_json(value)))

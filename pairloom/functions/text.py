@@ -5,15 +5,23 @@ from __future__ import annotations
 import functools
 import unicodedata
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 NBSP = " "
 
 
-def clean_text(c: Column) -> Column:
-    """No-break spaces to spaces, runs of blanks to one, three or more newlines to two, ends stripped; null is empty."""
-    c = F.regexp_replace(F.coalesce(c, F.lit("")), NBSP, " ")
+@F.pandas_udf(StringType())
+def nfkc(values: pd.Series) -> pd.Series:
+    """Compatibility composition of Unicode; no built-in function has it, so texts go through Arrow once."""
+    return values.str.normalize("NFKC")
+
+
+def clean_text(c: Column, compose: bool = False) -> Column:
+    """NFKC if ``compose``, no-break spaces to spaces, runs of blanks to one, three or more newlines to two, ends stripped; null is empty."""
+    c = F.regexp_replace(F.coalesce(nfkc(c) if compose else c, F.lit("")), NBSP, " ")
     c = F.regexp_replace(F.regexp_replace(c, "[ \\t]+", " "), "\\n{3,}", "\n\n")
     return F.regexp_replace(c, "^\\s+|\\s+$", "")
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -24,19 +26,28 @@ def quality_score(text: Column, target: int, most: int, markers: list[str]) -> C
 
 
 def deduplicate(df: DataFrame, text: str, order: str) -> DataFrame:
-    """The first row of each non-empty normalised text; the key is hashed so that texts do not move twice."""
-    keyed = df.withColumn("_key", T.normalize_key(F.col(text))).filter("_key <> ''").withColumn("_key", F.sha2(F.col("_key").cast("binary"), 256))
-    first = keyed.groupBy("_key").agg(F.min(order).alias("_first"))
-    return keyed.join(first, (keyed["_key"] == first["_key"]) & (keyed[order] == first["_first"]), "left_semi").drop("_key")
+    """The first row of each non-empty normalised text: of equal orders the smallest row, nulls last.
+
+    Texts are normalised and hashed once, and one aggregate finds the first rows; nothing is joined.
+    """
+    hashed = F.sha2(T.normalize_key(F.col(text)).cast("binary"), 256)
+    empty = hashlib.sha256(b"").hexdigest()
+    row = F.struct(F.col(order).isNull().alias("none"), F.col(order).alias("order"), F.struct(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(df.columns))).alias("row"))
+    first = df.select(hashed.alias("key"), row.alias("r")).filter(F.col("key") != empty).groupBy("key").agg(F.min("r").alias("r"))
+    return first.select(*(F.col(f"r.row.c{i}").alias(c) for i, c in enumerate(df.columns)))
 
 
 def select_diverse(df: DataFrame, n: int, group: str, quality: str, key: str) -> DataFrame:
-    """n rows by rounds over groups (larger groups first), best quality first, at most a cap each; filled up by quality."""
+    """n rows by rounds over groups (larger groups first), best quality first, at most a cap each; filled up by quality.
+
+    Rows without a group are a group of their own, the last of its size.
+    """
     sizes = df.groupBy(group).agg(F.count("*").alias("_size"))
-    groups = df.select(F.count_distinct(F.coalesce(F.col(group), F.lit(""))).alias("_groups"))
+    groups = sizes.agg(F.count("*").alias("_groups"))
+    sizes = sizes.withColumnRenamed(group, "_group")
     cap = F.greatest(F.lit(1), F.ceil(F.lit(n) / F.col("_groups")) * 2)
-    ranked = df.withColumn("_rn", F.row_number().over(W.partitionBy(group).orderBy(F.desc(quality), key))).join(sizes, group).crossJoin(F.broadcast(groups)).withColumn("_in", F.col("_rn") <= cap)
-    order = [F.desc("_in"), F.when(F.col("_in"), F.col("_rn")), F.when(F.col("_in"), -F.least("_size", F.lit(n))), F.when(F.col("_in"), F.col(group)), F.desc(quality), F.asc(key)]
+    ranked = df.withColumn("_rn", F.row_number().over(W.partitionBy(group).orderBy(F.desc(quality), key))).join(sizes, F.col(group).eqNullSafe(F.col("_group"))).drop("_group").crossJoin(F.broadcast(groups)).withColumn("_in", F.col("_rn") <= cap)
+    order = [F.desc("_in"), F.when(F.col("_in"), F.col("_rn")), F.when(F.col("_in"), -F.least("_size", F.lit(n))), F.when(F.col("_in"), F.col(group)).asc_nulls_last(), F.desc(quality), F.asc(key)]
     return ranked.orderBy(*order).limit(n).drop("_rn", "_size", "_groups", "_in")
 
 
@@ -75,6 +86,7 @@ def likely_groups(title: Column, group: Column) -> Column:
 
 
 def medium_groups(group: Column) -> Column:
+    """The résumé groups of the medium pool."""
     return F.when(group == "Technology", _names(C.MEDIUM_TECH)).otherwise(_names(C.MEDIUM_OTHER))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .calibration import QuantileCalibrator, not_above
 from .curation import seeded
 
 
@@ -48,8 +49,7 @@ def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
 
     def ranks(c):
         counts = df.groupBy(c).agg(F.count("*").alias("n"))
-        before = F.coalesce(F.sum("n").over(W.orderBy(c).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-        return counts.select(c, (before + (F.col("n") + 1) / 2).alias(f"rank_{c}"))
+        return not_above(counts, c).select(c, (F.col("upto") - F.col("n") + (F.col("n") + 1) / 2).alias(f"rank_{c}"))
 
     both = df.join(ranks(x), x).join(ranks(y), y)
     return both.agg(F.round(F.coalesce(F.corr(f"rank_{x}", f"rank_{y}"), F.lit(0.0)), 6).alias("spearman"))
@@ -70,6 +70,4 @@ def ranking(df: DataFrame, group: str, score: str, relevance: str, key: str, k:
 
 def quantile_calibration(df: DataFrame, column: str) -> DataFrame:
     """``df`` with the share of values not above each value."""
-    counts = df.groupBy(column).agg(F.count("*").alias("_n"))
-    share = F.sum("_n").over(W.orderBy(column)) / F.sum("_n").over(W.partitionBy())
-    return df.join(counts.select(column, share.alias("calibrated")), column)
+    return QuantileCalibrator().fit(df, column).predict(df, column)

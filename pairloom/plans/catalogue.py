@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import constants as C
 from ..functions import scores as S
 from ..functions import text as T
-from ..operators import curation, evaluation, extraction, judge, matching, methods
+from ..operators import calibration, curation, evaluation, evidence, extraction, judge, labelling, matching, methods
 from ..sources import writers
 
 QUERIES: dict = {}
@@ -283,19 +283,20 @@ def q_top_shared_terms(spark, d):
 
 
 def _vectors(spark, d):
+    """All vectors against the query set: those whose id is divisible by 50."""
     e = _table(spark, d, "embeddings")
-    return e.filter("vec_id >= 50").withColumnRenamed("vec_id", "a"), e.filter("vec_id < 50").withColumnRenamed("vec_id", "b")
+    return e.withColumnRenamed("vec_id", "a"), e.filter("vec_id % 50 = 0").withColumnRenamed("vec_id", "b")
 
 
 _DOT = "list_inner_product(x.embedding::DOUBLE[], y.embedding::DOUBLE[])"
 
 
-@query(f"SELECT x.vec_id AS a, y.vec_id AS b, round(greatest(0.0, least(1.0, {_DOT})), 6) AS score FROM embeddings x, embeddings y WHERE x.vec_id >= 50 AND y.vec_id < 50")
+@query(f"SELECT x.vec_id AS a, y.vec_id AS b, round(greatest(0.0, least(1.0, {_DOT})), 6) AS score FROM embeddings x, embeddings y WHERE y.vec_id % 50 = 0")
 def q_embed_cosine(spark, d):
     return matching.embedding_scores(*_vectors(spark, d))
 
 
-@query(f"SELECT x.vec_id AS a, y.vec_id AS b, round(greatest(0.0, least(1.0, ({_DOT} + 1) / 2)), 6) AS score FROM embeddings x, embeddings y WHERE x.vec_id >= 50 AND y.vec_id < 50")
+@query(f"SELECT x.vec_id AS a, y.vec_id AS b, round(greatest(0.0, least(1.0, ({_DOT} + 1) / 2)), 6) AS score FROM embeddings x, embeddings y WHERE y.vec_id % 50 = 0")
 def q_embed_rescaled(spark, d):
     return matching.embedding_scores(*_vectors(spark, d), rescale=True)
 
@@ -441,10 +442,18 @@ def q_percent_to_unit(spark, d):
     return _table(spark, d, "documents").select("doc_id", S.percent_to_unit(t).alias("unit"), S.clamp_score(t).alias("clamped"))
 
 
+#: Replies that hold no whole JSON object: cut off, two objects, broken, none.
+_BROKEN = ['{"fit_score": 80, "category": "cut of', '{oops} {"fit_score": 80}', "{broken", "no answer"]
+
+
+def _broken():
+    return F.element_at(F.array(*(F.lit(x) for x in _BROKEN)), (F.col("doc_id") % 4 + 1).cast("int"))
+
+
 @query("""SELECT doc_id, CASE WHEN doc_id % 3 = 2 THEN NULL ELSE CAST(doc_id % 100 AS DOUBLE) END AS fit_score, CASE WHEN doc_id % 3 = 2 THEN NULL ELSE lang END AS category FROM documents""")
 def q_llm_json(spark, d):
     body = F.concat(F.lit('{"fit_score": '), (F.col("doc_id") % 100).cast("string"), F.lit(', "category": "'), F.col("lang"), F.lit('"}'))
-    reply = F.when(F.col("doc_id") % 3 == 0, body).when(F.col("doc_id") % 3 == 1, F.concat(F.lit("Here it is:\n"), body, F.lit("\nDone."))).otherwise("no answer")
+    reply = F.when(F.col("doc_id") % 3 == 0, body).when(F.col("doc_id") % 3 == 1, F.concat(F.lit("Here it is:\n"), body, F.lit("\nDone."))).otherwise(_broken())
     j = S.judge_json(reply)
     return _table(spark, d, "documents").select("doc_id", j["fit_score"].alias("fit_score"), j["category"].alias("category"))
 
@@ -524,9 +533,113 @@ def q_count_report(spark, d):
     return writers.count_lines(_table(spark, d, "documents"), "source", "Sources")
 
 
-@query("""SELECT doc_id, CASE WHEN doc_id % 3 < 2 THEN (doc_id % 100)::DOUBLE / CASE WHEN doc_id % 100 > 1 THEN 100 ELSE 1 END END AS final_score, CASE WHEN doc_id % 3 = 2 THEN 'no JSON in the reply: no answer' END AS error FROM documents""")
+@query("""SELECT doc_id, CASE WHEN doc_id % 3 < 2 THEN (doc_id % 100)::DOUBLE / CASE WHEN doc_id % 100 > 1 THEN 100 ELSE 1 END END AS final_score, CASE WHEN doc_id % 3 = 2 THEN 'no JSON in the reply: ' || [""" + ", ".join(f"'{x}'" for x in _BROKEN) + """][doc_id % 4 + 1] END AS error FROM documents""")
 def q_judge_reply(spark, d):
     body = F.concat(F.lit('{"final_score": '), (F.col("doc_id") % 100).cast("string"), F.lit("}"))
-    reply = F.when(F.col("doc_id") % 3 == 0, body).when(F.col("doc_id") % 3 == 1, F.concat(F.lit("Result:\n"), body)).otherwise("no answer")
+    reply = F.when(F.col("doc_id") % 3 == 0, body).when(F.col("doc_id") % 3 == 1, F.concat(F.lit("Result:\n"), body)).otherwise(_broken())
     rows = _table(spark, d, "documents").select("doc_id", reply.alias("reply"), F.lit(None).cast("string").alias("error"))
     return judge.parsed(rows).select("doc_id", "final_score", "error")
+
+
+# ---------------------------------------------------------------- views, evidence, labelling, calibrators
+def _cv_sectioned(spark, d):
+    """Candidate documents with headings: the roles of conversations stand for headings."""
+    head = F.when(F.col("role") == "user", "Skills").when(F.col("role") == "assistant", "Work experience:").otherwise("Education")
+    part = F.concat(head, F.lit("\n"), F.coalesce("text", F.lit("")))
+    return _table(spark, d, "conversations").groupBy(F.col("conv_id").alias("cv_id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", part.alias("p")))), lambda x: x["p"]), "\n").alias("cv_text"))
+
+
+_CV_HEADS = "CASE " + " ".join(f"WHEN n IN ({', '.join(repr(x) for x in names)}) THEN '{k}'" for k, names in C.CV_HEADINGS.items()) + " END"
+_CV_JD = "jd AS (SELECT conv_id AS jd_id, string_agg(CASE role WHEN 'user' THEN 'Skills' WHEN 'assistant' THEN 'Work experience:' ELSE 'Education' END || chr(10) || coalesce(text, ''), chr(10) ORDER BY turn) AS jd_text FROM conversations GROUP BY conv_id)"
+_CV_SECTIONS = _SECTIONS.replace(_SECTIONED, _CV_JD).replace(_HEADS, _CV_HEADS)
+
+
+def _view_sql(names):
+    return rf"nullif(regexp_replace(coalesce(string_agg(content, chr(10) ORDER BY ord) FILTER (section IN ({', '.join(repr(x) for x in names)})), ''), '^\s+|\s+$', '', 'g'), '')"
+
+
+@query(rf"""WITH {_CV_SECTIONS}, v AS (SELECT jd.jd_id, any_value(jd_text) AS t, {', '.join(f'{_view_sql(n)} AS {k}' for k, n in C.CV_VIEWS.items())} FROM jd LEFT JOIN s USING (jd_id) GROUP BY jd.jd_id),
+r AS (SELECT jd_id, coalesce(relevant, {_clean('t')}) AS relevant, skills_experience, experience_projects FROM v)
+SELECT jd_id AS cv_id, relevant, coalesce(skills_experience, relevant) AS skills_experience, coalesce(experience_projects, relevant) AS experience_projects FROM r""")
+def q_cv_views(spark, d):
+    return evidence.cv_views(_cv_sectioned(spark, d), "cv_id", "cv_text").drop("cv_text")
+
+
+@query(rf"WITH {_SECTIONS} SELECT jd.jd_id, coalesce({_view_sql(C.JD_VIEW)}, any_value({_clean('jd_text')})) AS scoring_text FROM jd LEFT JOIN s USING (jd_id) GROUP BY jd.jd_id")
+def q_scoring_text(spark, d):
+    return evidence.scoring_text(_sectioned(spark, d), "jd_id", "jd_text")
+
+
+_NORMAL_SENTENCES = f"list_transform({_sentences('text')}, lambda x: {{'s': x, 'n': {_match('x')}}})"
+
+
+@query(rf"""WITH p AS (SELECT a.doc_id, c.item_id, a.text, c.text AS requirement, {_match("coalesce(a.text, '')")} AS pool, {_match('c.text')} AS norm
+  FROM documents a JOIN benchmark c ON c.item_id = a.doc_id % (SELECT count(*) FROM benchmark)),
+t AS (SELECT *, list_filter(regexp_extract_all(norm, '[a-z0-9+#.]{{2,}}'), lambda x: NOT list_contains({_list(C.TOKEN_STOPS)}, x)) AS tokens, {_YEARS.format('norm')} AS needed,
+  coalesce(list_max(list_transform(regexp_extract_all(pool, '(?i)(\d+)\+?\s*(?:years?|yrs?|metai|metų|metu)', 1), lambda x: TRY_CAST(x AS BIGINT))), 0) AS best FROM p),
+m AS (SELECT *, list_filter(tokens, lambda x: contains(pool, x)) AS found FROM t),
+s AS (SELECT *, CASE WHEN needed IS NOT NULL THEN CASE WHEN best >= needed THEN 'yes' WHEN best >= greatest(1, needed - 1) THEN 'partial' ELSE 'no' END
+  WHEN len(tokens) = 0 THEN 'unknown' WHEN 4 * len(found) >= 3 * len(tokens) THEN 'yes' WHEN 20 * len(found) >= 7 * len(tokens) THEN 'partial' ELSE 'no' END AS status,
+  CASE WHEN needed IS NOT NULL THEN [best::VARCHAR] ELSE list_distinct(found) END AS words FROM m),
+e AS (SELECT *, list_transform({_NORMAL_SENTENCES}, lambda y: len(list_filter(words, lambda w: contains(y.n, w)))) AS hits, {_sentences('text')} AS said FROM s)
+SELECT doc_id, item_id, status, CASE status WHEN 'yes' THEN 1.0 WHEN 'partial' THEN 0.5 ELSE 0.0 END::DOUBLE AS match_score,
+  CASE WHEN status IN ('yes', 'partial') AND coalesce(list_max(hits), 0) > 0 THEN left(said[list_position(hits, list_max(hits))], 500) ELSE '' END AS evidence,
+  round(CASE WHEN needed IS NOT NULL THEN CASE status WHEN 'yes' THEN 0.9 WHEN 'partial' THEN 0.7 ELSE 0.8 END WHEN status = 'unknown' THEN 0 WHEN status = 'no' THEN 1 - len(found) / len(tokens)::DOUBLE ELSE len(found) / len(tokens)::DOUBLE END::DOUBLE, 6) AS confidence FROM e""")
+def q_evidence(spark, d):
+    """Every document against one requirement text; documents without headings are their own views."""
+    n = _table(spark, d, "benchmark").agg(F.count("*").alias("n"))
+    docs = _table(spark, d, "documents").select("doc_id", "text").crossJoin(F.broadcast(n)).withColumn("item_id", F.col("doc_id") % F.col("n")).drop("n")
+    pairs = docs.withColumn("relevant", F.lit("")).withColumn("skills_experience", F.lit("")).join(_table(spark, d, "benchmark").select("item_id", F.col("text").alias("requirement")), "item_id")
+    return evidence.match_with_evidence(pairs, "requirement", "text").select("doc_id", "item_id", "status", "match_score", "evidence", "confidence")
+
+
+@query("""SELECT doc_id, CASE doc_id % 5 WHEN 4 THEN NULL WHEN 3 THEN 0.0 ELSE least(100.0, doc_id % 120) END::DOUBLE AS llm_fit_score,
+CASE doc_id % 5 WHEN 0 THEN 'own' WHEN 3 THEN 'poor fit' WHEN 4 THEN NULL ELSE CASE WHEN least(100, doc_id % 120) <= 20 THEN 'poor fit' WHEN least(100, doc_id % 120) <= 40 THEN 'weak fit' WHEN least(100, doc_id % 120) <= 60 THEN 'moderate fit' WHEN least(100, doc_id % 120) <= 80 THEN 'good fit' ELSE 'strong fit' END END AS llm_fit_category,
+CASE doc_id % 5 WHEN 0 THEN 'sql; 5 years' WHEN 1 THEN 'none' WHEN 4 THEN NULL ELSE '' END AS llm_missing_requirements,
+CASE doc_id % 5 WHEN 0 THEN 'short' WHEN 2 THEN 'long' WHEN 3 THEN 'it does not fit' WHEN 4 THEN NULL ELSE '' END AS llm_explanation,
+CASE WHEN doc_id % 5 = 4 THEN 'no JSON in the reply: {"score": 5} and {' || chr(10) || '}' END AS error FROM documents""")
+def q_label_reply(spark, d):
+    n = (F.col("doc_id") % 120).cast("string")
+    shapes = [
+        F.concat(F.lit('{"score": '), n, F.lit(', "fit_category": "own", "missing_requirements": ["sql", "5 years"], "short_explanation": "short"}')),
+        F.concat(F.lit('Sure: {"fit_score": "'), n, F.lit('", "fit_category": "", "missing_requirements": "none"} ok')),
+        F.concat(F.lit('{"score": '), n, F.lit(', "fit_score": 1, "explanation": "long"}')),
+        F.lit("it does not fit"),
+        F.lit('{"score": 5} and {\n}'),
+    ]
+    rows = _table(spark, d, "documents").select("doc_id", F.element_at(F.array(*shapes), (F.col("doc_id") % 5 + 1).cast("int")).alias("reply"))
+    return labelling.parsed(rows).drop("reply")
+
+
+@query(f"WITH {_SCORED} SELECT doc_id, item_id, CASE WHEN score <= 20 THEN 'poor fit' WHEN score <= 40 THEN 'weak fit' WHEN score <= 60 THEN 'possible fit' WHEN score <= 80 THEN 'good fit' ELSE 'strong fit' END AS label_name, CASE WHEN doc_id % 3 = 0 THEN '' WHEN score <= 20 THEN 'poor fit' WHEN score <= 40 THEN 'weak fit' WHEN score <= 60 THEN 'possible fit' WHEN score <= 80 THEN 'good fit' ELSE 'strong fit' END AS category FROM p")
+def q_label_names(spark, d):
+    some = F.when(F.col("doc_id") % 3 != 0, F.col("score"))
+    return _scored(spark, d).select("doc_id", "item_id", S.label_name(F.col("score")).alias("label_name"), S.category_text(some).alias("category"))
+
+
+@query(f"""WITH {_STEPS}, z AS ({_ALL}), j AS (SELECT DISTINCT item_id FROM benchmark ORDER BY item_id LIMIT 50),
+r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY pair_type, selection_rank) AS rn FROM z SEMI JOIN j USING (item_id))
+SELECT item_id, doc_id, score, pair_type AS candidate_bucket, selection_rank, printf('cand_%05d', row_number() OVER (ORDER BY item_id, pair_type, selection_rank)) AS candidate_pair_id FROM r WHERE rn <= 20""")
+def q_candidate_pairs(spark, d):
+    pairs = matching.build_pairs(_scored(spark, d), "item_id", "doc_id")
+    return labelling.candidate_pairs(pairs, _table(spark, d, "benchmark"), "item_id").drop(*labelling.LABEL_COLUMNS)
+
+
+@query(f"""WITH {_STEPS}, z AS ({_ALL}), t AS (SELECT greatest(1, least(60, count(*)) // count(DISTINCT pair_type)) AS each FROM z),
+r AS (SELECT *, md5('42|' || item_id || '|' || doc_id) AS o, row_number() OVER (PARTITION BY pair_type ORDER BY md5('42|' || item_id || '|' || doc_id), item_id, doc_id) AS rn FROM z)
+SELECT item_id, doc_id, score, pair_type, selection_rank FROM r, t ORDER BY rn <= each DESC, CASE WHEN rn <= each THEN pair_type END, CASE WHEN rn <= each THEN rn END, o, item_id, doc_id LIMIT 60""")
+def q_choose_pairs(spark, d):
+    return labelling.choose_pairs(matching.build_pairs(_scored(spark, d), "item_id", "doc_id"), 60, "mixed", ("item_id", "doc_id"))
+
+
+@query("WITH f AS (SELECT n_chars::DOUBLE AS x FROM documents WHERE doc_id % 2 = 0), n AS (SELECT count(*) AS n FROM f) SELECT doc_id, n_chars, (SELECT count(*) FROM f WHERE x <= n_chars) / n::DOUBLE AS calibrated FROM documents, n")
+def q_calibrate_unseen(spark, d):
+    """A calibrator fitted on the documents of even ids, and applied to all."""
+    docs = _table(spark, d, "documents").select("doc_id", "n_chars")
+    return calibration.QuantileCalibrator().fit(docs.filter("doc_id % 2 = 0"), "n_chars").predict(docs, "n_chars")
+
+
+@query(f"SELECT doc_id, {_clean('nfc_normalize(text)')} AS cleaned FROM documents")
+def q_clean_nfkc(spark, d):
+    """NFKC; the tables hold no compatibility characters, so the SQL's NFC gives the same (see the tests for others)."""
+    return _table(spark, d, "documents").select("doc_id", T.clean_text(F.col("text"), compose=True).alias("cleaned"))
