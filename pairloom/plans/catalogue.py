@@ -643,3 +643,12 @@ def q_calibrate_unseen(spark, d):
 def q_clean_nfkc(spark, d):
     """NFKC; the tables hold no compatibility characters, so the SQL's NFC gives the same (see the tests for others)."""
     return _table(spark, d, "documents").select("doc_id", T.clean_text(F.col("text"), compose=True).alias("cleaned"))
+
+
+@query(f"SELECT x.vec_id AS cv_id, y.vec_id AS jd_id, round(100 * round(greatest(0.0, least(1.0, {_DOT})), 6), 4) AS score FROM embeddings x JOIN embeddings y ON y.vec_id = x.vec_id // 2")
+def q_pair_embedding(spark, d):
+    """Listed pairs only: every vector with the one of half its id."""
+    e = _table(spark, d, "embeddings")
+    cv, jd = (e.select(F.col("vec_id").alias(k), F.col("embedding").alias("vector")) for k in ("cv_id", "jd_id"))
+    pairs = cv.select("cv_id", F.floor(F.col("cv_id") / 2).alias("jd_id")).join(jd.select("jd_id"), "jd_id")
+    return methods.pair_scores(pairs, cv, jd, "cv_id", "jd_id")

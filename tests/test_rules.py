@@ -5,7 +5,8 @@ from pyspark.sql import functions as F
 
 from pairloom.functions import scores as S
 from pairloom.functions import text as T
-from pairloom.operators import calibration, curation, evidence, judge, labelling
+from pairloom.operators import calibration, curation, evidence, judge, labelling, methods
+from pairloom.sources import config
 
 
 def column(spark, values, make, kind="string"):
@@ -85,3 +86,20 @@ def test_choice_of_pairs(spark):
     assert labelling.errors(spark.createDataFrame([("x",), (" ",), (None,)], "method_errors string")).first()[0] == 1
     with pytest.raises(ValueError):
         pick("other")
+
+
+def test_weights_and_folders(tmp_path):
+    (tmp_path / "w.yaml").write_text("# weights\nweights:\n  must_have: 3\n  domain: 1.0  # rest\n")
+    assert config.load_weights(str(tmp_path / "w.yaml")) == {"must_have": 0.75, "domain": 0.25}
+    (tmp_path / "w.yaml").write_text("a: 1\n- b\n")
+    with pytest.raises(ValueError):
+        config.load_weights(str(tmp_path / "w.yaml"))
+    assert config.Paths("s3://b/").results == "s3://b/datasets/results"
+
+
+def test_registry_and_prefixes(spark):
+    assert list(methods.registry({"llm": None, "sbert": None, "tfidf": None})) == ["tfidf", "sbert"]
+    assert "llm" in methods.registry({"llm": None}, with_judge=True)
+    with pytest.raises(ValueError):
+        methods.registry({"other": None})
+    assert column(spark, ["x", None], lambda c: methods.prefixed(c, "e5", True)) == ["query: x", "query: "]
