@@ -486,3 +486,49 @@ def test_pipeline(spark):
     assert len({r.component_id for r in near}) == len(near)
     last = corpus_pipeline.STAGES[-1][1](spark, docs, SF)
     assert last.select("doc_id").distinct().count() == docs.count()
+
+
+def test_likeness_against_brute_force(docs, rows):
+    """Likeness from the hex digits alone: steps between lengths and quartiles, a checksum, at most FAR."""
+    steps = {0: 0, 1: 1, 2: 2, 3: 6}
+
+    def like(x, y):
+        if x == y:
+            return 1.0
+        bits = lambda s: [int(s[4 + 2 * i : 6 + 2 * i], 16) >> k & 3 for i in range(32) for k in (0, 2, 4, 6)]
+        far = sum(steps[abs(a - b)] for a, b in zip(bits(x), bits(y), strict=True)) + max(0, abs(int(x[:2], 16) - int(y[:2], 16)) - 1) + (x[2:4] != y[2:4])
+        return max(0.0, 1 - far / 200)
+
+    own = {t or "": digest.digest((t or "").encode()) for _, t in rows}
+    order = [t or "" for _, t in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or ""))]
+    expected = Counter()
+    for i, t in enumerate(order):
+        cut, after = len(t) // 4, order[(i + 1) % len(order)]
+        edited = digest.digest((t[: len(t) - cut] + after[:cut]).encode())
+        expected[(own[t], edited, round(like(own[t], edited), 9), round(like(own[t], own[after]), 9))] += 1
+    out = digest.fingerprints(docs).collect()
+    assert Counter((r.fingerprint, r.edited_fingerprint, round(r.near_edited, 9), round(r.near_next, 9)) for r in out) == expected
+
+
+def test_empty_tables(spark, docs):
+    """No row in, none out, and the columns stay."""
+    none = docs.limit(0)
+    bench = spark.read.parquet(f"{SF}/benchmark.parquet")
+    path = core.new_path(spark, "empty")
+    store.write_store(none, path)
+    made = [
+        jaccard.near_components(none), pii.find(none), pii.redact(none), store.read_index(spark, path), lm.score(none, *lm.train(none)), digest.fingerprints(none),
+        line_templates.drop_lines(none), decontam.decontaminate(none, bench), decontam.clean_rows(none, bench), jaccard.keep_one(none),
+    ]
+    assert all(df.count() == 0 for df in made)
+    clean = decontam.decontaminate(docs, bench.limit(0)).agg(F.sum("n_hit"), F.sum("n_near")).first()
+    assert tuple(clean) == (0, 0)
+    untrained = lm.score(docs, *lm.train(none)).collect()
+    assert all(r.n_known == 0 and r.train_tokens == 0 and math.isfinite(r.base_score) for r in untrained)
+
+
+def test_rows_that_share_a_key(spark):
+    """Of rows with one key, or none, each goes by its own text."""
+    text = "alpha beta gamma delta epsilon zeta eta theta"
+    df = spark.createDataFrame([(1, text), (1, "quite another text of some seven words"), (2, text), (None, text), (None, "words that stand only here and nowhere else")], "doc_id long, text string")
+    assert sorted((str(r.doc_id), r.text[:5]) for r in jaccard.keep_one(df).collect()) == [("1", "alpha"), ("1", "quite"), ("None", "words")]
