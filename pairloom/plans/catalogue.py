@@ -632,11 +632,11 @@ def q_choose_pairs(spark, d):
     return labelling.choose_pairs(matching.build_pairs(_scored(spark, d), "item_id", "doc_id"), 60, "mixed", ("item_id", "doc_id"))
 
 
-@query("WITH f AS (SELECT n_chars::DOUBLE AS x FROM documents WHERE doc_id % 2 = 0), n AS (SELECT count(*) AS n FROM f) SELECT doc_id, n_chars, (SELECT count(*) FROM f WHERE x <= n_chars) / n::DOUBLE AS calibrated FROM documents, n")
+@query("WITH f AS (SELECT n_chars::DOUBLE AS x FROM documents SEMI JOIN labels USING (doc_id)), n AS (SELECT count(*) AS n FROM f) SELECT doc_id, n_chars, (SELECT count(*) FROM f WHERE x <= n_chars) / n::DOUBLE AS calibrated FROM documents, n")
 def q_calibrate_unseen(spark, d):
-    """A calibrator fitted on the documents of even ids, and applied to all."""
+    """A calibrator fitted on the labelled documents, and applied to all."""
     docs = _table(spark, d, "documents").select("doc_id", "n_chars")
-    return calibration.QuantileCalibrator().fit(docs.filter("doc_id % 2 = 0"), "n_chars").predict(docs, "n_chars")
+    return calibration.QuantileCalibrator().fit(docs.join(_table(spark, d, "labels").select("doc_id"), "doc_id", "left_semi"), "n_chars").predict(docs, "n_chars")
 
 
 @query(f"SELECT doc_id, {_clean('nfc_normalize(text)')} AS cleaned FROM documents")
