@@ -242,7 +242,7 @@ def q_top_candidates(spark, d):
 
 # ---------------------------------------------------------------- similarity
 STOPS = ["the", "of", "and", "to", "in", "is", "that", "it", "for", "on", "was", "be", "as", "with", "by", "this", "an", "are"]
-_WORDS = f"list_filter(regexp_extract_all(strip_accents(lower(coalesce(text, ''))), '[a-z0-9_]{{2,}}'), lambda x: NOT list_contains({_list(STOPS)}, x))"
+_WORDS = f"list_filter(regexp_extract_all(strip_accents(lower(coalesce(text, ''))), '[\\p{{L}}\\p{{N}}_]{{2,}}'), lambda x: NOT list_contains({_list(STOPS)}, x))"
 
 
 def _terms(name, table, key):
@@ -259,7 +259,8 @@ def _sides(spark, d):
 
 
 @query(f"""WITH {_BOTH}, n AS (SELECT (SELECT count(*) FROM documents) + (SELECT count(*) FROM benchmark) AS n),
-i AS (SELECT term, ln((n + 1) / (count(*) + 1)::DOUBLE) + 1 AS idf FROM (SELECT term FROM a UNION ALL SELECT term FROM b), n GROUP BY term, n),
+e AS (SELECT term, count(*) AS df, rank() OVER (ORDER BY sum(tf) DESC) AS place FROM (SELECT term, tf FROM a UNION ALL SELECT term, tf FROM b) GROUP BY term),
+i AS (SELECT term, ln((n + 1) / (df + 1)::DOUBLE) + 1 AS idf FROM e, n WHERE place <= 80000),
 x AS (SELECT doc_id, term, tf * idf AS x FROM a JOIN i USING (term)), y AS (SELECT item_id, term, tf * idf AS y FROM b JOIN i USING (term)),
 nx AS (SELECT doc_id, sqrt(sum(x * x)) AS na FROM x GROUP BY doc_id), ny AS (SELECT item_id, sqrt(sum(y * y)) AS nb FROM y GROUP BY item_id),
 p AS (SELECT doc_id, item_id, sum(x * y) AS dot FROM x JOIN y USING (term) GROUP BY doc_id, item_id)
@@ -276,7 +277,13 @@ def q_tfidf_pair(spark, d):
     return matching.tfidf_pair(*_sides(spark, d), "doc_id", "item_id", "text", STOPS)
 
 
-@query(f"""WITH {_BOTH.replace(_list(STOPS), _list(STOPS + C.TERM_STOPS))}, p AS (SELECT doc_id, item_id, term, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY a.tf * b.tf DESC, term) AS rn FROM a JOIN b USING (term) WHERE NOT contains(term, ' '))
+def _skills(table, key, name):
+    runs = r"regexp_extract_all(coalesce(text, ''), '[\p{L}\p{N}_+#.-]+')"
+    return f"SELECT {key}, term, count(*) AS {name} FROM (SELECT {key}, lower(trim(unnest({runs}), '+#.-')) AS term FROM {table}) WHERE length(term) >= 2 AND NOT list_contains({_list(STOPS + C.TERM_STOPS)}, term) GROUP BY ALL"
+
+
+@query(f"""WITH a AS ({_skills('documents', 'doc_id', 'ta')}), b AS ({_skills('benchmark', 'item_id', 'tb')}),
+p AS (SELECT doc_id, item_id, term, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY ta * tb DESC, term) AS rn FROM a JOIN b USING (term))
 SELECT doc_id, item_id, string_agg(term, ', ' ORDER BY rn) AS shared_terms FROM p WHERE rn <= 12 GROUP BY doc_id, item_id""")
 def q_top_shared_terms(spark, d):
     return matching.top_shared_terms(*_sides(spark, d), "doc_id", "item_id", "text", STOPS)
