@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -9,6 +11,9 @@ from pyspark.sql import functions as F
 from .calibration import QuantileCalibrator, not_above
 from .curation import seeded
 
+#: Most terms of the continued fraction of a p-value.
+_TERMS = 10_000
+
 
 def pseudo_labels(df: DataFrame, group: str, key: str, score: str, spread: str) -> DataFrame:
     """good from rank share 0.8, average from 0.4, else bad; uncertain where the methods disagree most (upper quarter)."""
@@ -44,8 +49,40 @@ def classification(df: DataFrame, truth: str, predicted: str) -> DataFrame:
     return per.agg(F.round(F.sum("hit") / F.sum("actual"), 6).alias("accuracy"), F.round(F.avg("p"), 6).alias("macro_precision"), F.round(F.avg("r"), 6).alias("macro_recall"), F.round(F.avg("f"), 6).alias("macro_f1"))
 
 
+def _beta_share(x: float, a: float, b: float) -> float:
+    """The regularised incomplete beta function, by its continued fraction."""
+    if x <= 0 or x >= 1:
+        return float(x >= 1)
+    if x > (a + 1) / (a + b + 2):
+        return 1 - _beta_share(1 - x, b, a)
+    tiny, c, d = 1e-300, 1.0, 0.0
+    total = 1.0
+    for i in range(_TERMS):
+        m = i // 2
+        if i == 0:
+            step = 1.0
+        elif i % 2 == 0:
+            step = m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))
+        else:
+            step = -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
+        d = 1 / ((1 + step * d) or tiny)
+        c = (1 + step / c) or tiny
+        total *= c * d
+        if i and abs(c * d - 1) < 1e-15:
+            break
+    front = math.exp(a * math.log(x) + b * math.log1p(-x) + math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b))
+    return front * (total - 1) / a
+
+
+def spearman_p_value(rho: float, n: int) -> float:
+    """Two-sided p-value of a rank correlation of ``n`` rows, by Student's t with n - 2 degrees; 1 where undefined."""
+    if n < 3 or rho is None or math.isnan(rho):
+        return 1.0
+    return _beta_share(max(0.0, 1 - rho * rho), (n - 2) / 2, 0.5)
+
+
 def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
-    """Rank correlation with average ranks, from per-value counts; 0 where undefined."""
+    """Rank correlation with average ranks, from per-value counts; 0 where undefined (p-value: see spearman_p_value)."""
 
     def ranks(c):
         counts = df.groupBy(c).agg(F.count("*").alias("n"))
