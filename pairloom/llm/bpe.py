@@ -106,7 +106,7 @@ class Merges:
 
 
 class Transducer:
-    """Bytes of one piece in, tokens out once they are stable; it keeps at most ``lookahead + stride`` bytes and a push."""
+    """Bytes of one piece in, tokens out once they are stable; it keeps less than ``lookahead + stride`` bytes, a token and what was pushed last."""
 
     def __init__(self, merges: Merges, lookahead: int, stride: int = STRIDE):
         self.merges, self.ahead, self.window = merges, lookahead, lookahead + stride
