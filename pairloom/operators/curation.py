@@ -97,3 +97,32 @@ def group_pool(jd: DataFrame, cv: DataFrame, groups: str, jd_key: str, cv_key: s
     found = names.join(cv.select(F.col(cv_group).alias("_g")).distinct(), "_g", "left_semi")
     without = jd.select(jd_key).join(found.select(jd_key).distinct(), jd_key, "left_anti")
     return found.join(side, "_g").select(jd_key, cv_key).unionByName(without.crossJoin(cv.select(cv_key)))
+
+
+#: Candidates of one group that one part of a pool join holds.
+POOL_ROWS = 100_000
+_NO_GROUP = "\u0000"
+
+
+def candidate_pools(jd: DataFrame, cv: DataFrame, jd_key: str, cv_key: str, likely: str, medium: str, cv_group: str) -> DataFrame:
+    """(jd, cv, likely, medium): the candidates in a requirement text's likely pool, its medium pool, or both.
+
+    ``likely`` and ``medium`` are columns of group names.  A pool holds the candidates of those of its groups that there are.
+    Where there are none, the likely pool holds all candidates, and the medium pool is the likely one.  Candidates
+    without a group are only among all of them.  Rows that share a key count once.
+
+    Pools are joined by group.  A group of many candidates is dealt to parts of about POOL_ROWS by the candidates'
+    hash, and the texts that ask for it meet each part, so that no task holds a group.
+    """
+    side = cv.select(F.col(cv_key).alias("_cv"), F.coalesce(F.col(cv_group), F.lit(_NO_GROUP)).alias("_g")).distinct()
+    sizes = side.groupBy("_g").agg(F.ceil(F.count("*") / POOL_ROWS).cast("int").alias("_parts"))
+    there = sizes.agg(F.collect_list("_g").alias("_there"))  # the names of groups, not their rows
+    own = lambda c: F.array_intersect(F.coalesce(F.col(c), F.array().cast("array<string>")), F.array_except("_there", F.array(F.lit(_NO_GROUP))))
+    asked = jd.select(F.col(jd_key).alias("_jd"), likely, medium).dropDuplicates(["_jd"]).crossJoin(F.broadcast(there))
+    asked = asked.withColumn("_l", F.when(F.size(own(likely)) > 0, own(likely)).otherwise(F.col("_there")))
+    asked = asked.withColumn("_m", F.when(F.size(own(medium)) > 0, own(medium)).otherwise(F.col("_l")))
+    names = asked.select("_jd", "_l", "_m", F.explode(F.array_union("_l", "_m")).alias("_g"))
+    blocks = names.join(sizes, "_g").select("_jd", "_g", F.array_contains("_l", F.col("_g")).alias("likely"), F.array_contains("_m", F.col("_g")).alias("medium"), F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("_part"))
+    dealt = side.join(sizes, "_g").withColumn("_part", F.pmod(F.xxhash64("_cv"), F.col("_parts")).cast("int")).drop("_parts")
+    met = blocks.join(dealt, ["_g", "_part"]).groupBy("_jd", "_cv").agg(F.max("likely").alias("likely"), F.max("medium").alias("medium"))
+    return met.select(F.col("_jd").alias(jd_key), F.col("_cv").alias(cv_key), "likely", "medium")

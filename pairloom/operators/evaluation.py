@@ -10,23 +10,32 @@ from pyspark.sql import functions as F
 
 from .calibration import QuantileCalibrator, not_above
 from .curation import seeded
+from .ranks import order_statistics, ranked
 
 #: Most terms of the continued fraction of a p-value.
 _TERMS = 10_000
 
 
 def pseudo_labels(df: DataFrame, group: str, key: str, score: str, spread: str) -> DataFrame:
-    """good from rank share 0.8, average from 0.4, else bad; uncertain where the methods disagree most (upper quarter)."""
-    bound = df.agg(F.percentile(spread, F.lit(0.75)).alias("_q75"))
-    rank = F.row_number().over(W.partitionBy(group).orderBy(F.col(score).asc_nulls_last(), key)) / F.count(score).over(W.partitionBy(group))
-    r = df.withColumn("rank_share", F.when(F.col(score).isNotNull(), rank)).crossJoin(F.broadcast(bound))
-    label = F.when((F.col("rank_share") >= 0.3) & (F.col("rank_share") < 0.8) & (F.col(spread) >= F.col("_q75")), "uncertain").when(F.col("rank_share") >= 0.8, "good").when(F.col("rank_share") >= 0.4, "average").otherwise("bad")
+    """good from rank share 0.8, average from 0.4, else bad; uncertain where the methods disagree most (upper quarter).
+
+    Ranks are by score, then key; a row without a score has no rank and is bad.
+    """
+    bound = order_statistics(df, [spread], [0.75]).select(F.col("q0").alias("_q75"))
+    sizes = df.groupBy(F.col(group).alias("_group")).agg(F.count(score).alias("_size"))
+    r = ranked(df, [group], score, key, "_rank").join(sizes, F.col(group).eqNullSafe(F.col("_group"))).withColumn("rank_share", F.col("_rank") / F.col("_size"))
+    r = r.drop("_rank", "_size", "_group").crossJoin(F.broadcast(bound))
+    share = F.col("rank_share")
+    label = F.when((share >= 0.3) & (share < 0.8) & (F.col(spread) >= F.col("_q75")), "uncertain").when(share >= 0.8, "good").when(share >= 0.4, "average").otherwise("bad")
     return r.withColumn("pseudo_label", label).drop("_q75")
 
 
-def describe(df: DataFrame, column: str) -> DataFrame:
-    q = lambda p: F.percentile(column, F.lit(p))
-    return df.agg(F.count(column).alias("n"), F.avg(column).alias("mean"), F.stddev_samp(column).alias("std"), F.min(column).alias("min"), q(0.25).alias("p25"), q(0.5).alias("p50"), q(0.75).alias("p75"), F.max(column).alias("max"))
+def describe(df: DataFrame, *columns: str) -> DataFrame:
+    """(name, n, mean, std, min, p25, p50, p75, max): one row for each of these numeric columns; std is the sample's."""
+    one = F.explode(F.array(*(F.struct(F.lit(c).alias("name"), F.col(f"`{c}`").cast("double").alias("v")) for c in columns)))
+    moments = df.select(one.alias("x")).select("x.*").filter(~F.isnan("v")).groupBy("name").agg(F.avg("v").alias("mean"), F.stddev_samp("v").alias("std"))
+    at = order_statistics(df, list(columns), [0.25, 0.5, 0.75])
+    return at.join(moments, "name", "left").select("name", "n", "mean", "std", F.col("low").alias("min"), F.col("q0").alias("p25"), F.col("q1").alias("p50"), F.col("q2").alias("p75"), F.col("high").alias("max"))
 
 
 def stratified_sample(df: DataFrame, bucket: str, n: int, seed: int, *keys: str) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import constants as C
 from ..functions import scores as S
 from ..functions import text as T
-from ..operators import calibration, curation, evaluation, evidence, extraction, judge, labelling, matching, methods
+from ..operators import calibration, curation, documents, evaluation, evidence, extraction, judge, labelling, matching, matrices, methods, requirement_rows
 from ..sources import writers
 
 QUERIES: dict = {}
@@ -382,9 +382,15 @@ def q_bands(spark, d):
     return _scored(spark, d).select("doc_id", "item_id", "score", S.unit_label(s / 100).alias("unit_label"), S.percent_label(s).alias("percent_label"), S.gap_band(s).alias("band"))
 
 
-@query(f"WITH {_METHODS} SELECT count(m2) AS n, round(avg(m2), 6) AS mean, round(stddev_samp(m2), 6) AS std, min(m2) AS min, quantile_cont(m2, 0.25) AS p25, quantile_cont(m2, 0.5) AS p50, quantile_cont(m2, 0.75) AS p75, max(m2) AS max FROM m")
+def _describe_sql(column):
+    return f"""SELECT '{column}' AS name, count({column}) AS n, round(avg({column}), 6) AS mean, round(stddev_samp({column}), 6) AS std, min({column}) AS min, round(quantile_cont({column}, 0.25), 6) AS p25,
+round(quantile_cont({column}, 0.5), 6) AS p50, round(quantile_cont({column}, 0.75), 6) AS p75, max({column}) AS max FROM m"""
+
+
+@query(f"WITH {_METHODS} " + " UNION ALL ".join(map(_describe_sql, ("m1", "m2", "m3", "final_score", "method_disagreement"))))
 def q_describe_scores(spark, d):
-    return evaluation.describe(_methods(spark, d), "m2").withColumn("mean", F.round("mean", 6)).withColumn("std", F.round("std", 6))
+    out = evaluation.describe(_methods(spark, d), "m1", "m2", "m3", "final_score", "method_disagreement")
+    return out.withColumns({k: F.round(k, 6) for k in ("mean", "std", "p25", "p50", "p75")})
 
 
 @query("SELECT doc_id, n_chars, cume_dist() OVER (ORDER BY n_chars) AS calibrated FROM documents")
@@ -477,8 +483,9 @@ _JOBS = f"j AS (SELECT item_id, coalesce(text, '') AS title, {_rules(_key('text'
 
 @query(f"WITH {_JOBS} SELECT item_id, array_to_string({_likely('title', 'g')}, ', ') AS likely, array_to_string(CASE WHEN g = 'Technology' THEN {_list(C.MEDIUM_TECH)} ELSE {_list(C.MEDIUM_OTHER)} END, ', ') AS medium FROM j")
 def q_job_pools(spark, d):
-    g = curation.job_group(F.col("text"))
-    return _table(spark, d, "benchmark").select("item_id", F.array_join(curation.likely_groups(F.col("text"), g), ", ").alias("likely"), F.array_join(curation.medium_groups(g), ", ").alias("medium"))
+    g = F.col("g")
+    jobs = _table(spark, d, "benchmark").withColumn("g", curation.job_group(F.col("text")))
+    return jobs.select("item_id", F.array_join(curation.likely_groups(F.col("text"), g), ", ").alias("likely"), F.array_join(curation.medium_groups(g), ", ").alias("medium"))
 
 
 @query("""WITH b AS (SELECT item_id, unnest(list_distinct(CASE item_id % 3 WHEN 0 THEN ['en', 'de'] WHEN 1 THEN ['fr', 'xx'] ELSE ['xx'] END)) AS g FROM benchmark),
@@ -659,3 +666,171 @@ def q_pair_embedding(spark, d):
     cv, jd = (e.select(F.col("vec_id").alias(k), F.col("embedding").alias("vector")) for k in ("cv_id", "jd_id"))
     pairs = cv.select("cv_id", F.floor(F.col("cv_id") / 2).alias("jd_id")).join(jd.select("jd_id"), "jd_id")
     return methods.pair_scores(pairs, cv, jd, "cv_id", "jd_id")
+
+
+# ---------------------------------------------------------------- from texts to matrices, pools, evidence and the wide table
+_ASCII_LOW = "translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def _letters_sql(text):
+    """The letter encoder's vector: counts of a to z, of length 1."""
+    low = _ASCII_LOW.format(text)
+    counts = f"list_transform(string_split('abcdefghijklmnopqrstuvwxyz', ''), lambda c: CAST(length({low}) - length(replace({low}, c, '')) AS DOUBLE))"
+    return f"list_transform([{counts}], lambda v: list_transform(v, lambda x: CASE WHEN list_inner_product(v, v) > 0 THEN x / sqrt(list_inner_product(v, v)) ELSE 0.0::DOUBLE END))[1]"
+
+
+_LETTER_SIDES = f"x AS MATERIALIZED (SELECT doc_id, {_letters_sql('text')} AS v FROM documents), y AS MATERIALIZED (SELECT item_id, {_letters_sql('text')} AS w FROM benchmark)"
+
+
+def _letter_sides(spark, d):
+    side = lambda t, k, r: matrices.embed(_table(spark, d, t), [k], "text", matrices.letters, requirement=r)
+    return side("documents", "doc_id", False), side("benchmark", "item_id", True)
+
+
+@query(f"WITH {_LETTER_SIDES} SELECT doc_id, item_id, round(greatest(0.0, least(1.0, list_inner_product(v, w))) * 100, 4) AS score FROM x, y")
+def q_embedding_matrix(spark, d):
+    """Texts through an encoder, then the score of every document with every requirement text."""
+    return matrices.embedding_matrix(*_letter_sides(spark, d), "doc_id", "item_id")
+
+
+@query(f"""WITH {_LETTER_SIDES}, s AS (SELECT doc_id, item_id, round(greatest(0.0, least(1.0, list_inner_product(v, w))) * 100, 4) AS score FROM x, y)
+SELECT doc_id, item_id, score, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, item_id) AS INTEGER) AS rank FROM s QUALIFY rank <= 3""")
+def q_embedding_top(spark, d):
+    """The three requirement texts that suit each document best; cells keep three a document."""
+    return matrices.embedding_matrix(*_letter_sides(spark, d), "doc_id", "item_id", top=3)
+
+
+_CV_COMPONENTS = f"""cvx AS (WITH {_CV_SECTIONS}, v AS (SELECT jd.jd_id, any_value(jd_text) AS t, {', '.join(f'{_view_sql(n)} AS {k}' for k, n in C.CV_VIEWS.items())}, any_value(content) FILTER (section = 'experience') AS experience FROM jd LEFT JOIN s USING (jd_id) GROUP BY jd.jd_id)
+SELECT jd_id AS cv_id, {_clean('t')} AS text, coalesce(relevant, {_clean('t')}) AS relevant, coalesce(skills_experience, relevant, {_clean('t')}) AS skills_experience, coalesce(experience_projects, relevant, {_clean('t')}) AS experience_projects, experience FROM v)"""
+_JD_COMPONENTS = f"""jdx AS (WITH {_SECTIONS} SELECT jd.jd_id, any_value({_clean('jd_text')}) AS text, {', '.join(f"any_value(content) FILTER (section = '{k}') AS {k}" for k in ('requirements', 'experience', 'responsibilities', 'nice_to_have', 'summary'))}
+FROM jd LEFT JOIN s USING (jd_id) GROUP BY jd.jd_id)"""
+
+
+def _matrix_sql():
+    a = ", ".join(f"{_letters_sql(f'coalesce({p[0]}, relevant, text)')} AS a_{k}" for k, p in C.SECTION_PAIRS.items())
+    b = ", ".join(f"{_letters_sql(f'coalesce({p[1]}, requirements, text)')} AS b_{k}" for k, p in C.SECTION_PAIRS.items())
+    total = " + ".join(f"{w}::DOUBLE * greatest(0.0, least(1.0, (list_inner_product(a_{k}, b_{k}) + 1) / 2)) * 100" for k, w in C.WEIGHTS.items())
+    return f"WITH {_CV_COMPONENTS}, {_JD_COMPONENTS}, a AS MATERIALIZED (SELECT cv_id, {a} FROM cvx), b AS MATERIALIZED (SELECT jd_id, {b} FROM jdx) SELECT cv_id, jd_id, round({total}, 4) AS score FROM a, b"
+
+
+def _documents(spark, d):
+    """Candidate and requirement documents with sections, of the conversations' texts."""
+    return documents.cv_documents(_cv_sectioned(spark, d), "cv_id", "cv_text"), documents.jd_documents(_sectioned(spark, d), "jd_id", "jd_text")
+
+
+def _section_vectors(spark, d):
+    cv, jd = _documents(spark, d)
+    views = ["relevant", "skills_experience", "experience", "experience_projects"]
+    parts = ["requirements", "experience", "responsibilities", "nice_to_have", "summary"]
+    a = matrices.component_texts(cv.select("cv_id", "cv_text", *(documents.section(s).alias(s) for s in views)), "cv_id", 0, F.col("cv_text"))
+    b = matrices.component_texts(jd.select("jd_id", "jd_text", *(documents.section(s).alias(s) for s in parts)), "jd_id", 1, F.col("jd_text"))
+    return matrices.component_vectors(a, "cv_id", matrices.letters), matrices.component_vectors(b, "jd_id", matrices.letters)
+
+
+@query(_matrix_sql())
+def q_section_matrix(spark, d):
+    """Sectioned texts through an encoder, then the weighted section score of all pairs."""
+    return matrices.section_matrix(*_section_vectors(spark, d), "cv_id", "jd_id")
+
+
+@query(f"SELECT cv_id, relevant, skills_experience, experience_projects, experience FROM (WITH {_CV_COMPONENTS} SELECT * FROM cvx)")
+def q_cv_documents(spark, d):
+    cv, _ = _documents(spark, d)
+    return cv.select("cv_id", *(documents.section(s).alias(s) for s in ("relevant", "skills_experience", "experience_projects", "experience")))
+
+
+@query(f"WITH {_REQ_TEXT}, w AS (SELECT jd.jd_id, coalesce({_view_sql(C.JD_VIEW)}, any_value({_clean('jd_text')})) AS scoring_text FROM jd LEFT JOIN s USING (jd_id) GROUP BY jd.jd_id)"
+       " SELECT w.jd_id, any_value(scoring_text) AS scoring_text, coalesce(string_agg(printf('req_%03d', ord) || ' ' || requirement_type || ' ' || requirement, chr(10) ORDER BY ord), '') AS requirements FROM w LEFT JOIN r USING (jd_id) GROUP BY w.jd_id")
+def q_jd_documents(spark, d):
+    _, jd = _documents(spark, d)
+    lines = F.transform("requirements", lambda r: F.concat_ws(" ", r["requirement_id"], r["requirement_type"], r["requirement"]))
+    return jd.select("jd_id", documents.section("scoring_text").alias("scoring_text"), F.array_join(lines, "\n").alias("requirements"))
+
+
+_POOL_JD = f"j AS (SELECT item_id, coalesce(text, '') AS title, {_rules(_key('text'), C.JOB_GROUPS, 'Other')} AS g FROM benchmark), k AS (SELECT item_id, {_likely('title', 'g')} AS likely, CASE WHEN g = 'Technology' THEN {_list(C.MEDIUM_TECH)} ELSE {_list(C.MEDIUM_OTHER)} END AS medium FROM j)"
+_POOL_CV = f"c AS (SELECT doc_id, {_rules(_key('text'), C.RESUME_GROUPS, 'Other Technology')} AS g FROM documents)"
+_POOLS = f"""{_POOL_JD}, {_POOL_CV}, t AS (SELECT list(DISTINCT g) AS there FROM c), e AS (SELECT item_id, list_filter(likely, lambda x: list_contains(there, x)) AS likely, list_filter(medium, lambda x: list_contains(there, x)) AS medium FROM k, t),
+pool AS (SELECT item_id, doc_id, CASE WHEN len(likely) > 0 THEN list_contains(likely, g) ELSE true END AS likely, CASE WHEN len(medium) > 0 THEN list_contains(medium, g) WHEN len(likely) > 0 THEN list_contains(likely, g) ELSE true END AS medium FROM e, c)"""
+
+
+def _pools(spark, d):
+    """Pools of documents for requirement texts, by the groups that follow from their texts."""
+    jd = _table(spark, d, "benchmark").select("item_id", "text", curation.job_group(F.col("text")).alias("g"))
+    jd = jd.select("item_id", curation.likely_groups(F.col("text"), F.col("g")).alias("likely"), curation.medium_groups(F.col("g")).alias("medium"))
+    cv = _table(spark, d, "documents").select("doc_id", curation.resume_group(F.col("text")).alias("resume_group"))
+    return curation.candidate_pools(jd, cv, "item_id", "doc_id", "likely", "medium", "resume_group")
+
+
+@query(f"WITH {_POOLS} SELECT * FROM pool WHERE likely OR medium")
+def q_candidate_pools(spark, d):
+    return _pools(spark, d)
+
+
+_SOME_GROUPS = "a AS (SELECT item_id, CASE item_id % 4 WHEN 0 THEN ['en', 'xx'] WHEN 1 THEN ['xx'] WHEN 2 THEN ['de', 'fr'] ELSE ['none'] END AS likely, CASE item_id % 3 WHEN 0 THEN ['es'] WHEN 1 THEN ['xx'] ELSE ['en', 'de'] END AS medium FROM benchmark)"
+
+
+@query(f"""WITH {_SOME_GROUPS}, t AS (SELECT list(DISTINCT lang) AS there FROM documents), e AS (SELECT item_id, list_filter(likely, lambda x: list_contains(there, x)) AS likely, list_filter(medium, lambda x: list_contains(there, x)) AS medium FROM a, t),
+p AS (SELECT item_id, doc_id, CASE WHEN len(likely) > 0 THEN coalesce(list_contains(likely, lang), false) ELSE true END AS l, CASE WHEN len(medium) > 0 THEN coalesce(list_contains(medium, lang), false) WHEN len(likely) > 0 THEN coalesce(list_contains(likely, lang), false) ELSE true END AS m FROM e, documents)
+SELECT item_id, count(*) FILTER (l) AS n_likely, count(*) FILTER (m) AS n_medium, CAST(sum(doc_id) FILTER (l OR m) AS BIGINT) AS ids FROM p GROUP BY item_id""")
+def q_pool_fallbacks(spark, d):
+    """Pools in which some texts have no likely group, no medium group, or neither, among the documents."""
+    n = F.col("item_id")
+    names = lambda *x: F.array(*map(F.lit, x))
+    likely = F.when(n % 4 == 0, names("en", "xx")).when(n % 4 == 1, names("xx")).when(n % 4 == 2, names("de", "fr")).otherwise(names("none"))
+    medium = F.when(n % 3 == 0, names("es")).when(n % 3 == 1, names("xx")).otherwise(names("en", "de"))
+    jd = _table(spark, d, "benchmark").select("item_id", likely.alias("likely"), medium.alias("medium"))
+    pool = curation.candidate_pools(jd, _table(spark, d, "documents").select("doc_id", "lang"), "item_id", "doc_id", "likely", "medium", "lang")
+    return pool.groupBy("item_id").agg(F.count_if("likely").alias("n_likely"), F.count_if("medium").alias("n_medium"), F.sum("doc_id").alias("ids"))
+
+
+# ---------------------------------------------------------------- requirement rows, and the run from texts to the wide table
+_CONV_GROUPS = f"""cg AS (SELECT cv_id, any_value({_rules(_key('text'), C.RESUME_GROUPS, 'Other Technology')}) AS g FROM cvx GROUP BY cv_id),
+jg AS (SELECT jd_id, coalesce(text, '') AS title, {_rules(_key('text'), C.JOB_GROUPS, 'Other')} AS g FROM jdx), tg AS (SELECT list(DISTINCT g) AS there FROM cg),
+lg AS (SELECT jd_id, list_filter({_likely('title', 'g')}, lambda x: list_contains(there, x)) AS likely FROM jg, tg),
+pr AS (SELECT cv_id, jd_id FROM lg, cg WHERE len(likely) = 0 OR list_contains(likely, cg.g))"""
+_CONV_REQ = _REQ_TEXT.replace(_SECTIONED, f"jd AS (SELECT jd_id, {_clean('jd_text')} AS jd_text FROM (WITH {_SECTIONED} SELECT * FROM jd))")
+_POOLED = _match("concat_ws(chr(10), skills_experience, relevant, text)")
+_SAID = f"list_transform({_sentences('text')}, lambda x: {{'s': x, 'n': {_match('x')}}})"
+_ROWS = rf"""{_CV_COMPONENTS}, {_JD_COMPONENTS}, {_CONV_GROUPS}, rq AS (WITH {_CONV_REQ} SELECT * FROM r),
+vp AS MATERIALIZED (SELECT cv_id, {_POOLED} AS pool, {_SAID} AS said FROM cvx),
+rt AS (SELECT jd_id, printf('req_%03d', ord) AS requirement_id, requirement, requirement_type, {_YEARS.format(_match('requirement'))} AS needed, {_TOKENS} AS tokens FROM rq),
+m0 AS (SELECT cv_id, rt.*, pool, said, coalesce(list_max(list_transform(regexp_extract_all(pool, '(?i)(\d+)\+?\s*(?:years?|yrs?|metai|metų|metu)', 1), lambda x: TRY_CAST(x AS BIGINT))), 0) AS best, list_filter(tokens, lambda x: contains(pool, x)) AS found FROM pr JOIN rt USING (jd_id) JOIN vp USING (cv_id)),
+m1 AS (SELECT *, CASE WHEN needed IS NOT NULL THEN CASE WHEN best >= needed THEN 'yes' WHEN best >= greatest(1, needed - 1) THEN 'partial' ELSE 'no' END
+  WHEN len(tokens) = 0 THEN 'unknown' WHEN 4 * len(found) >= 3 * len(tokens) THEN 'yes' WHEN 20 * len(found) >= 7 * len(tokens) THEN 'partial' ELSE 'no' END AS status, CASE WHEN needed IS NOT NULL THEN [best::VARCHAR] ELSE list_distinct(found) END AS words FROM m0),
+m2 AS (SELECT *, CASE WHEN status IN ('yes', 'partial') THEN list_transform(said, lambda y: len(list_filter(words, lambda w: contains(y.n, w)))) ELSE [] END AS hits FROM m1),
+mr AS (SELECT cv_id, jd_id, requirement_id, requirement, requirement_type, status, CASE status WHEN 'yes' THEN 1.0 WHEN 'partial' THEN 0.5 ELSE 0.0 END::DOUBLE AS match_score,
+  CASE WHEN coalesce(list_max(hits), 0) > 0 THEN left(said[list_position(hits, list_max(hits))].s, 500) ELSE '' END AS evidence,
+  round(CASE WHEN needed IS NOT NULL THEN CASE status WHEN 'yes' THEN 0.9 WHEN 'partial' THEN 0.7 ELSE 0.8 END WHEN status = 'unknown' THEN 0 WHEN status = 'no' THEN 1 - len(found) / len(tokens)::DOUBLE ELSE len(found) / len(tokens)::DOUBLE END, 6)::DOUBLE AS confidence FROM m2)"""
+
+
+def _conversation_pairs(cv, jd):
+    """Each requirement text with the candidates of its likely pool, by the groups that follow from the texts."""
+    jobs = jd.select("jd_id", "jd_text", curation.job_group(F.col("jd_text")).alias("g"))
+    jobs = jobs.select("jd_id", curation.likely_groups(F.col("jd_text"), F.col("g")).alias("likely"), curation.medium_groups(F.col("g")).alias("medium"))
+    side = cv.select("cv_id", curation.resume_group(F.col("cv_text")).alias("g"))
+    return curation.candidate_pools(jobs, side, "jd_id", "cv_id", "likely", "medium", "g").filter("likely").select("cv_id", "jd_id")
+
+
+def _requirement_rows(spark, d):
+    cv, jd = _documents(spark, d)
+    views = cv.select("cv_id", "cv_text", *(documents.section(s).alias(s) for s in ("relevant", "skills_experience")))
+    pairs = _conversation_pairs(cv, jd)
+    return pairs, requirement_rows.requirement_rows(pairs, views, documents.requirement_table(jd, "jd_id"), "cv_id", "jd_id", "cv_text")
+
+
+@query(f"WITH {_ROWS} SELECT * FROM mr")
+def q_requirement_rows(spark, d):
+    """Every requirement of every pair of a pool, with status, evidence and confidence, from sectioned texts."""
+    return _requirement_rows(spark, d)[1]
+
+
+_MEANS = ", ".join(f"round(coalesce(avg(match_score) FILTER (requirement_type = '{k}'), 0.0), 6) AS {k}" for k in C.WEIGHTS)
+_EXACT = " + ".join(f"CAST({k} AS DECIMAL(9,6)) * CAST({w} AS DECIMAL(3,2))" for k, w in C.WEIGHTS.items())
+
+
+@query(f"""WITH {_ROWS}, g AS (SELECT pr.cv_id, pr.jd_id, {_MEANS}, count(*) FILTER (status = 'yes') AS y, count(*) FILTER (status = 'partial') AS p, count(requirement_id) AS n FROM pr LEFT JOIN mr USING (cv_id, jd_id) GROUP BY pr.cv_id, pr.jd_id)
+SELECT cv_id, jd_id, {', '.join(C.WEIGHTS)}, round(greatest(0.0, least(1.0, round({_EXACT}, 6)::DOUBLE)) * 100, 4) AS requirement_score,
+printf('Requirement-level score: %d matched, %d partial, %d extracted requirements.', y, p, n) AS explanation FROM g""")
+def q_requirement_match(spark, d):
+    pairs, rows = _requirement_rows(spark, d)
+    return requirement_rows.requirement_match(pairs, rows, "cv_id", "jd_id")
