@@ -4,18 +4,21 @@ Every line of at least LEAST words walks a tree of fixed depth: its number of wo
 words, where words with a digit stand for any value.  Within a leaf, lines that agree at SIMILAR or more of
 their positions are one template.  Lines of n words may differ at ``floor((1 - SIMILAR) * n)`` positions, so
 if the positions behind the lead are cut into one part more than that, two such lines have a part in common.
-Lines are therefore compared, word by word, only with those of their leaf that share a part: in each group
-of a shared part a line joins the first line, in the order of hashes, with which it agrees, or else waits for
-others to join it.  (Groups are dealt out by SALTS hashes, and the lines that joined none meet once more.)
-Templates are the components of these links.  A leaf of any size is dealt out by its parts, nothing is
-sampled, and no size changes the rule.
+Lines are therefore compared, word by word, only with those of their leaf that share a part.  In each group
+of a shared part a line is linked with every leader with which it agrees; one that agrees with none becomes a leader and is
+linked with all earlier lines that agree with it.  A part that more than SLOT_LINES lines share is divided by the words
+outside it: these are cut again into one piece more than may differ, so that agreeing lines still meet.
+Templates are the components of these links (two lines that agree, neither of them a leader of a group, may have
+their link only through others).  A leaf of any size is dealt out by its parts, nothing is sampled, and no
+size changes the rule.
 
 A template recurs if it stands in two or more different documents, wherever it stands there.  Copies and
-near copies of a document count as one: texts that share one of BANDS bands of ROWS minima of hashed
-five-word shingles (two texts with a Jaccard similarity of 0.8 share one with a chance of 0.997) are joined to
-groups.  So a document's lines do not recur because it was copied.  Recurring templates are dropped from all
-documents but the first (the smallest key) that holds them.  Whether there are two needs no count: the
-smallest and the largest group differ.
+near copies of a document count as one: texts whose five-word shingles have a Jaccard similarity of 0.8 or more are
+joined to groups.  Candidates share one of BANDS bands of ROWS minima with the group's first text, and each such
+pair is verified on its whole sets, so texts that only share boilerplate stay different documents (of two texts with
+similarity 0.8 about two in a thousand share no band).  So a document's lines do not recur because it was copied.  Recurring
+templates are dropped from all documents but the first (the smallest key) that holds them.  Whether there are
+two needs no count: the smallest and the largest group differ.
 
 Lines end at newlines.  Shorter lines are never dropped.  Null texts stay null.
 """
@@ -31,8 +34,10 @@ from . import core, jaccard
 from .core import U64
 
 LEAST, LEAD, SIMILAR = 4, 3, 0.7
-SHINGLE, BANDS, ROWS, SALTS = 5, 8, 3, 16
-#: Recurring lines that may be sent to every task (16 bytes each); more go by an exchange.
+SHINGLE, BANDS, ROWS, COPY = 5, 16, 4, 80
+#: Lines that share a part above which they are divided further, and near copies that are verified in one task.
+SLOT_LINES, HUB_TEXTS = 20_000, 20_000
+#: Recurring lines that may be sent to every task (a hash and a key each); more go by an exchange.
 SENT = 2_000_000
 #: Hashes that a task remembers so as not to give the same row twice; more only cost rows.
 REMEMBERED = 1_000_000
@@ -111,11 +116,58 @@ def _lines(batches):
             yield pa.RecordBatch.from_arrays([pa.nulls(n, key.type), whole.take(pa.array(texts)), *[pa.nulls(n, pa.int64())] * 2, bands], ["key", "whole", "leaf", "member", "bands"])
 
 
-def _groups(parsed: DataFrame) -> DataFrame:
-    """(whole, group) of the texts that have copies: ``group`` is the smallest hash of its texts."""
+def _sets(wanted):
+    """(whole, tokens): the sorted shingle hashes of wanted texts."""
+
+    def run(batches):
+        bits = np.frombuffer(wanted.value, np.uint8)
+        seen: set[int] = set()
+        for b in batches:
+            whole = b.column("whole").to_numpy()
+            x = whole.view(U64) % U64(jaccard.FILTER_BITS)
+            mine = (bits[(x >> U64(3)).astype(np.int64)] >> (x & U64(7)).astype(np.uint8) & 1) > 0
+            mine &= np.fromiter((w not in seen for w in whole.tolist()), bool, len(whole))
+            pick = np.flatnonzero(mine)
+            if len(seen) < REMEMBERED:
+                seen.update(whole[pick].tolist())
+            texts = b.column("text").take(pa.array(pick))
+            blobs = [t.tobytes() for t in jaccard.shingle_sets(texts, SHINGLE)]
+            yield pa.RecordBatch.from_arrays([pa.array(whole[pick]), pa.array(blobs, pa.binary())], ["whole", "tokens"])
+
+    return run
+
+
+def _verified(batches):
+    """Links (a, b) of hubs and texts whose sets are alike; rows sorted by hub and part, the hub's own set first."""
+    now, base = None, np.zeros(0, U64)
+    for b in batches:
+        out = []
+        for hub, part, side, whole, raw in zip(*(b.column(c).to_pylist() for c in ("hub", "part", "side", "whole", "tokens")), strict=True):
+            x = np.frombuffer(raw, U64)
+            if side == 0:
+                now, base = (hub, part), x
+            elif now == (hub, part) and len(base) and len(x):
+                common = int((base[np.minimum(np.searchsorted(base, x), len(base) - 1)] == x).sum())
+                if 100 * common >= COPY * (len(base) + len(x) - common):
+                    out.append((hub, whole))
+        cols = list(zip(*out, strict=True)) or [[], []]
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["a", "b"])
+
+
+def _groups(parsed: DataFrame, texts: DataFrame) -> DataFrame:
+    """(whole, group) of the texts that have near copies: ``group`` is the smallest hash of its texts."""
+    spark = parsed.sparkSession
     bands = parsed.filter("bands is not null").select("whole", "bands").dropDuplicates(["whole"]).select("whole", F.posexplode("bands").alias("band", "value"))
-    least = bands.groupBy("band", "value").agg(F.min("whole").alias("a"), F.max("whole").alias("last")).filter("a < last").drop("last")
-    edges = bands.join(least, ["band", "value"]).filter("whole <> a").select("a", F.col("whole").alias("b")).distinct()
+    least = bands.groupBy("band", "value").agg(F.min("whole").alias("hub"), F.max("whole").alias("last")).filter("hub < last").drop("last")
+    pairs = core.keep(bands.join(least, ["band", "value"]).filter("whole <> hub").select("hub", "whole").distinct(), "near")
+    parts = pairs.groupBy("hub").agg(F.ceil(F.count("*") / HUB_TEXTS).cast("int").alias("parts"))
+    hubs = parts.select("hub", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("side"), F.col("hub").alias("whole"))
+    others = pairs.join(parts, "hub").select("hub", F.pmod(F.xxhash64("whole"), F.col("parts")).cast("int").alias("part"), F.lit(1).alias("side"), "whole")
+    placed = hubs.union(others)
+    wanted = core.send(spark, jaccard.filter_bits(placed.select(F.col("whole").alias("sig")).distinct()))
+    sets = texts.select("whole", "text").mapInArrow(core.tidy(_sets(wanted)), "whole long, tokens binary").groupBy("whole").agg(F.first("tokens").alias("tokens"))
+    dealt = placed.join(sets.hint("merge"), "whole").repartition("hub", "part").sortWithinPartitions("hub", "part", "side", "whole")
+    edges = dealt.select("hub", "part", "side", "whole", "tokens").mapInArrow(core.tidy(_verified), "a long, b long")
     return jaccard.components(edges).select(F.col("node").alias("whole"), F.col("component").alias("group"))
 
 
@@ -147,55 +199,87 @@ def allowed(n: int) -> int:
     return int((1 - SIMILAR) * n + 1e-9)
 
 
+def _cut(w: np.ndarray, leaf: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where the parts of a line begin and end, and their hashes, which hold the leaf, the part's number and its words."""
+    k = allowed(len(w)) + 1
+    cut = LEAD + np.arange(k + 1) * (len(w) - LEAD) // k
+    with np.errstate(over="ignore"):
+        total = np.concatenate((np.zeros(1, U64), np.cumsum(core.mix64(w + np.arange(len(w), dtype=U64) * core._STEP))))
+        return cut, core.mix64(total[cut[1:]] - total[cut[:-1]] + np.int64(leaf).view(U64) + np.arange(1, k + 1, dtype=U64) * core._LEN)
+
+
 def _parts(batches):
-    """(part, member) for the parts of each line; a part's hash holds its leaf, its number and its words."""
+    """(part, member) for the parts of each line."""
     for b in batches:
-        parts, owners = [], []
-        for m, leaf, raw in zip(b.column("member").to_pylist(), b.column("leaf").to_numpy(), b.column("words").to_pylist(), strict=True):
-            w = np.frombuffer(raw, U64)
-            k = allowed(len(w)) + 1
-            cut = LEAD + np.arange(k + 1) * (len(w) - LEAD) // k
-            with np.errstate(over="ignore"):
-                total = np.concatenate((np.zeros(1, U64), np.cumsum(core.mix64(w + np.arange(len(w), dtype=U64) * core._STEP))))
-                h = core.mix64(total[cut[1:]] - total[cut[:-1]] + leaf.view(U64) + np.arange(1, k + 1, dtype=U64) * core._LEN)
+        parts, owners = [np.zeros(0, U64)], [np.zeros(0, np.int64)]
+        for m, leaf, raw in zip(*(b.column(c).to_pylist() for c in ("member", "leaf", "words")), strict=True):
+            h = _cut(np.frombuffer(raw, U64), leaf)[1]
             parts.append(h)
-            owners.append(np.full(k, m))
-        yield pa.RecordBatch.from_arrays([pa.array(core.signed(np.concatenate([np.zeros(0, U64), *parts]))), pa.array(np.concatenate([np.zeros(0, np.int64), *owners]))], ["part", "member"])
-
+            owners.append(np.full(len(h), m))
+        yield pa.RecordBatch.from_arrays([pa.array(core.signed(np.concatenate(parts))), pa.array(np.concatenate(owners))], ["part", "member"])
 
-_ALIKE = "a long, b long, part long, words binary"
 
+def _slots(batches):
+    """(slot, member, words): a line in the group of its part; where the part has many lines, in those of pieces of its other words.
 
-def _alike(batches):
-    """Links (a, b) of each line to the first line of its slot with which it agrees; rows sorted by slot.
-
-    Lines that agree with none before them come out with their part and words, and without b.
+    Lines whose other words are no more than may differ all agree, so their group stays whole.
     """
-    now, size, names, n = None, 0, [], 0
-    table = np.zeros((0, 0), U64)
     for b in batches:
         out = []
-        for slot, part, member, raw in zip(*(b.column(c).to_pylist() for c in ("slot", "part", "member", "words")), strict=True):
+        for part, n, member, leaf, raw in zip(*(b.column(c).to_pylist() for c in ("part", "n", "member", "leaf", "words")), strict=True):
             w = np.frombuffer(raw, U64)
-            if slot != now or size != len(w):
-                now, size, names, n = slot, len(w), [], 0
-                table = np.zeros((4, size), U64)
-            at = np.flatnonzero((table[:n] != w).sum(1) <= allowed(size)) if n else ()
-            if len(at):
-                out.append((names[at[0]], member, None, None))
+            may = allowed(len(w))
+            cut, parts = _cut(w, leaf)
+            i = int(np.flatnonzero(core.signed(parts) == part)[0])
+            rest = np.concatenate((w[LEAD : cut[i]], w[cut[i + 1] :]))
+            if n <= SLOT_LINES or len(rest) <= may:
+                out.append((part, member, raw))
                 continue
-            out.append((member, None, part, raw))
-            if n == len(table):
-                table = np.concatenate((table, np.zeros_like(table)))
-            table[n], n = w, n + 1
-            names.append(member)
-        cols = list(zip(*out, strict=True)) or [[]] * 4
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [*[pa.int64()] * 3, pa.binary()], strict=True)], ["a", "b", "part", "words"])
+            with np.errstate(over="ignore"):
+                total = np.concatenate((np.zeros(1, U64), np.cumsum(core.mix64(rest + np.arange(len(rest), dtype=U64) * core._STEP))))
+                at = np.arange(may + 2) * len(rest) // (may + 1)
+                pieces = core.mix64(total[at[1:]] - total[at[:-1]] + np.int64(part).view(U64) + np.arange(1, may + 2, dtype=U64) * core._LEN)
+            out += [(x, member, raw) for x in core.signed(pieces).tolist()]
+        cols = list(zip(*out, strict=True)) or [[]] * 3
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [pa.int64(), pa.int64(), pa.binary()], strict=True)], ["slot", "member", "words"])
 
 
-def _links(met: DataFrame, name: str) -> DataFrame:
-    dealt = met.repartition("slot").sortWithinPartitions("slot", F.octet_length("words"), "member")
-    return core.keep(dealt.select("slot", "part", "member", "words").mapInArrow(core.tidy(_alike), _ALIKE), name)
+class _Lines:
+    """Lines of one length with their names, for comparing another with all of them."""
+
+    def __init__(self, size: int):
+        self.table, self.names = np.zeros((4, size), U64), []
+
+    def alike(self, w: np.ndarray) -> list[int]:
+        n = len(self.names)
+        return [self.names[i] for i in np.flatnonzero((self.table[:n] != w).sum(1) <= allowed(len(w))).tolist()] if n else []
+
+    def add(self, name: int, w: np.ndarray) -> None:
+        if len(self.names) == len(self.table):
+            self.table = np.concatenate((self.table, np.zeros_like(self.table)))
+        self.table[len(self.names)] = w
+        self.names.append(name)
+
+
+def _alike(batches):
+    """Links (a, b) of the lines of each slot: of a line with all leaders that it agrees with, and of a new leader with all lines before it."""
+    now, size = None, 0
+    for b in batches:
+        out = []
+        for slot, member, raw in zip(*(b.column(c).to_pylist() for c in ("slot", "member", "words")), strict=True):
+            w = np.frombuffer(raw, U64)
+            if slot != now or size != len(w):
+                now, size = slot, len(w)
+                leaders, others = _Lines(size), _Lines(size)
+            found = leaders.alike(w)
+            if found:
+                others.add(member, w)
+            else:
+                found = others.alike(w)
+                leaders.add(member, w)
+            out += [(x, member) for x in found]
+        cols = list(zip(*out, strict=True)) or [[], []]
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["a", "b"])
 
 
 def recurring(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -205,7 +289,7 @@ def recurring(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
     kind = docs.schema[key].dataType.simpleString()
     texts = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("whole"))
     parsed = core.keep(texts.mapInArrow(core.tidy(_lines), _PARSED.format(kind=kind)), "parsed")
-    group = core.keep(_groups(parsed), "groups")
+    group = core.keep(_groups(parsed, texts), "groups")
     span = [F.min("low").alias("low"), F.max("high").alias("high"), F.min("first").alias("first")]
     held = parsed.filter("member is not null").groupBy("leaf", "member", "whole").agg(F.min("key").alias("first"))
     named = held.join(group.hint("merge"), "whole", "left").withColumn("low", F.coalesce("group", "whole"))
@@ -217,11 +301,10 @@ def recurring(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
     words = texts.select("text").mapInArrow(core.tidy(_words(wanted)), "member long, leaf long, words binary").groupBy("member", "leaf").agg(F.first("words").alias("words"))
     words = core.keep(words.join(mixed.select(F.col("sig").alias("leaf")), "leaf", "left_semi"), "words")
     parts = core.keep(words.mapInArrow(core.tidy(_parts), "part long, member long"), "line-parts")
-    shared = parts.groupBy("part").agg(F.min("member").alias("one"), F.max("member").alias("other")).filter("one < other").select("part")
-    met = parts.join(shared, "part").join(words.select("member", "words").hint("merge"), "member").withColumn("slot", F.xxhash64("part", F.pmod(F.xxhash64("member"), F.lit(SALTS))))
-    first = _links(met, "links")
-    second = _links(first.filter("b is null").select(F.col("part").alias("slot"), "part", F.col("a").alias("member"), "words"), "links")
-    links = first.union(second).filter("b is not null").select("a", "b")
+    shared = parts.groupBy("part").agg(F.count("*").alias("n")).filter("n > 1")
+    met = parts.join(shared, "part").join(words.hint("merge"), "member").select("part", "n", "member", "leaf", "words").mapInArrow(core.tidy(_slots), "slot long, member long, words binary")
+    dealt = met.repartition("slot").sortWithinPartitions("slot", F.octet_length("words"), "member")
+    links = core.keep(dealt.mapInArrow(core.tidy(_alike), "a long, b long"), "links")
     template = jaccard.components(links).select(F.col("node").alias("member"), F.col("component").alias("template"))
     core.drop_kept(parsed)
     busy = heads.join(leaves.select("leaf"), "leaf", "left_semi").join(template.hint("merge"), "member", "left").withColumn("template", F.coalesce("template", "member"))
@@ -257,12 +340,13 @@ def _strip(columns, at, schema, drop):
 
 
 def drop_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with recurring lines taken out of the text, and the columns n_lines and n_dropped.
+    """``docs`` with recurring lines taken out of the text, and the columns n_lines and n_dropped (in place of such columns of its own).
 
     Every row stays, also when all its lines went (its text is then empty); a null text has one line and is
     null.  Rows of the first key that holds a template keep it.  Null keys never are the first.
     """
     spark = docs.sparkSession
+    docs = docs.drop("n_lines", "n_dropped")
     gone = recurring(docs, key, text)
     names = docs.columns
     at = names.index(text)
@@ -276,7 +360,7 @@ def drop_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
         table = gone.toArrow()
         order = np.argsort(table.column("member").to_numpy())
         first = table.column("first").to_pylist()
-        shared = spark.sparkContext.broadcast((table.column("member").to_numpy()[order], [first[i] for i in order.tolist()]))
+        shared = core.send(spark, (table.column("member").to_numpy()[order], [first[i] for i in order.tolist()]))
 
         def drop(b, row, number, member):
             members, firsts = shared.value
