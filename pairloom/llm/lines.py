@@ -27,6 +27,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -225,14 +226,17 @@ def _slots(batches):
     Lines whose other words are no more than may differ all agree, so their group stays whole.
     """
     for b in batches:
+        few = pa.array(b.column("n").to_numpy() <= SLOT_LINES)
+        cold, hot = b.filter(few), b.filter(pc.invert(few))
+        yield pa.RecordBatch.from_arrays([cold.column(c) for c in ("part", "member", "words")], ["slot", "member", "words"])
         out = []
-        for part, n, member, leaf, raw in zip(*(b.column(c).to_pylist() for c in ("part", "n", "member", "leaf", "words")), strict=True):
+        for part, member, leaf, raw in zip(*(hot.column(c).to_pylist() for c in ("part", "member", "leaf", "words")), strict=True):
             w = np.frombuffer(raw, U64)
             may = allowed(len(w))
             cut, parts = _cut(w, leaf)
             i = int(np.flatnonzero(core.signed(parts) == part)[0])
             rest = np.concatenate((w[LEAD : cut[i]], w[cut[i + 1] :]))
-            if n <= SLOT_LINES or len(rest) <= may:
+            if len(rest) <= may:
                 out.append((part, member, raw))
                 continue
             with np.errstate(over="ignore"):
