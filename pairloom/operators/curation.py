@@ -37,23 +37,72 @@ def deduplicate(df: DataFrame, text: str, order: str) -> DataFrame:
     return first.select(*(F.col(f"r.row.c{i}").alias(c) for i, c in enumerate(df.columns)))
 
 
+def _quotas(sizes: DataFrame, n: int, cap: Column, order: list[Column]) -> DataFrame:
+    """Adds ``_quota``: how many rows each group gives if groups take turns until n rows are taken or all have given ``cap``.
+
+    Full rounds are found by filling the groups to a common level; what is left of n goes to the first groups, in
+    this order, that have more.  It works on the small table of groups (``_size`` rows each).
+    """
+    most = sizes.withColumn("_most", F.least(F.col("_size"), cap.cast("long")))
+    up = W.orderBy("_most", *order).rowsBetween(W.unboundedPreceding, -1)
+    level = most.select("_most", F.coalesce(F.sum("_most").over(up), F.lit(0)).alias("_under"), F.coalesce(F.count("*").over(up), F.lit(0)).alias("_passed"), F.count("*").over(W.partitionBy()).alias("_all"))
+    level = level.withColumn("_left", F.col("_all") - F.col("_passed")).filter(F.col("_under") + F.col("_most") * F.col("_left") >= n)
+    full = level.agg(F.min(F.struct("_passed", F.floor((F.lit(n) - F.col("_under")) / F.col("_left")).alias("level")))["level"].alias("_level"))
+    filled = most.crossJoin(F.broadcast(full)).withColumn("_quota", F.least(F.col("_most"), F.coalesce("_level", "_most")))
+    more = F.col("_most") > F.col("_quota")
+    turn = F.sum(more.cast("int")).over(W.orderBy(*order))
+    left = F.lit(n) - F.sum("_quota").over(W.partitionBy())
+    return filled.withColumn("_quota", F.col("_quota") + F.when(more & (turn <= left), 1).otherwise(0)).drop("_most", "_level")
+
+
+def _in_turn(df: DataFrame, n: int, group: str, order: list[Column], group_order: list[Column], cap: Column) -> DataFrame:
+    """The rows within their group's quota, with ``_turn``, ``_size`` and ``_groups``; group_order is over ``_group`` and ``_size``.
+
+    Each task keeps the first n rows of its part of a group, so that a large group is not sorted in one task.
+    """
+    sizes = df.groupBy(F.col(group).alias("_group")).agg(F.count("*").alias("_size")).withColumn("_groups", F.count("*").over(W.partitionBy()))
+    quotas = _quotas(sizes, n, cap, group_order)
+    parts = F.pmod(F.xxhash64(*(F.col(f"`{c}`") for c, t in df.dtypes if not t.startswith("map"))), F.lit(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    some = df.withColumn("_part", parts).withColumn("_turn", F.row_number().over(W.partitionBy(group, "_part").orderBy(*order))).filter(F.col("_turn") <= n).drop("_part")
+    some = some.withColumn("_turn", F.row_number().over(W.partitionBy(group).orderBy(*order)))
+    return some.join(quotas, F.col(group).eqNullSafe(F.col("_group"))).drop("_group").filter(F.col("_turn") <= F.col("_quota"))
+
+
 def select_diverse(df: DataFrame, n: int, group: str, quality: str, key: str) -> DataFrame:
     """n rows by rounds over groups (larger groups first), best quality first, at most a cap each; filled up by quality.
 
-    Rows without a group are a group of their own, the last of its size.
+    Adds ``selection_note``: how rows were chosen, or that there were no more than n.  Rows without a group are a
+    group of their own, the last of its size.
     """
-    sizes = df.groupBy(group).agg(F.count("*").alias("_size"))
-    groups = sizes.agg(F.count("*").alias("_groups"))
-    sizes = sizes.withColumnRenamed(group, "_group")
+    names = [c for c in df.columns if c != "selection_note"]
+    df = df.select(*(F.col(f"`{c}`") for c in names))
     cap = F.greatest(F.lit(1), F.ceil(F.lit(n) / F.col("_groups")) * 2)
-    ranked = df.withColumn("_rn", F.row_number().over(W.partitionBy(group).orderBy(F.desc(quality), key))).join(sizes, F.col(group).eqNullSafe(F.col("_group"))).drop("_group").crossJoin(F.broadcast(groups)).withColumn("_in", F.col("_rn") <= cap)
-    order = [F.desc("_in"), F.when(F.col("_in"), F.col("_rn")), F.when(F.col("_in"), -F.least("_size", F.lit(n))), F.when(F.col("_in"), F.col(group)).asc_nulls_last(), F.desc(quality), F.asc(key)]
-    return ranked.orderBy(*order).limit(n).drop("_rn", "_size", "_groups", "_in")
+    best = [F.desc(quality), F.asc(key)]
+    chosen = _in_turn(df, n, group, best, [F.desc(F.least("_size", F.lit(n))), F.col("_group").asc_nulls_last()], cap)
+    taken = chosen.agg(F.count("*").alias("_taken"))
+    # caps may leave places: of the best n rows of all, some are not chosen yet (n are enough, as at most n are chosen)
+    spare = df.orderBy(*best).limit(2 * n).join(chosen.select(F.col(key).alias("_key")), F.col(key).eqNullSafe(F.col("_key")), "left_anti")
+    spare = spare.withColumn("_place", F.row_number().over(W.orderBy(*best))).crossJoin(F.broadcast(taken)).filter(F.col("_place") <= n - F.col("_taken"))
+    total = df.agg(F.count("*").alias("_total"))
+    note = F.when(F.col("_total") <= n, "all_available_unique_rows_below_target").otherwise(f"quality_ranked_balanced_by_{group}")
+    both = chosen.select(names).unionByName(spare.select(names)).crossJoin(F.broadcast(total))
+    return both.withColumn("selection_note", note).select(*names, "selection_note")
 
 
 def round_robin(df: DataFrame, n: int, group: str, order: list[Column]) -> DataFrame:
-    """n rows by rounds over groups in alphabetical order."""
-    return df.withColumn("_rn", F.row_number().over(W.partitionBy(group).orderBy(*order))).orderBy("_rn", group).limit(n).drop("_rn")
+    """n rows by rounds over groups in alphabetical order, those without a group first."""
+    return _in_turn(df, n, group, order, [F.col("_group").asc_nulls_first()], F.col("_size")).select(df.columns)
+
+
+def sample_diverse(df: DataFrame, n: int, group: str, key: str, seed: int = 42) -> DataFrame:
+    """n random rows by rounds over groups in random order: both orders follow from the seed, key and group."""
+    by_group = [F.md5(F.concat_ws("|", F.lit(str(seed)), F.coalesce(F.col("_group").cast("string"), F.lit(""))).cast("binary")), F.col("_group").asc_nulls_first()]
+    return _in_turn(df, n, group, [seeded(seed, key), F.asc(key)], by_group, F.col("_size")).select(df.columns)
+
+
+def sample(df: DataFrame, n: int, key: str, seed: int = 42) -> DataFrame:
+    """n random rows of the table, by the seeded order of their keys; all of them if there are fewer."""
+    return df.orderBy(seeded(seed, key), key).limit(n)
 
 
 def seeded(seed: int, *keys: str) -> Column:

@@ -58,47 +58,86 @@ def classification(df: DataFrame, truth: str, predicted: str) -> DataFrame:
     return per.agg(F.round(F.sum("hit") / F.sum("actual"), 6).alias("accuracy"), F.round(F.avg("p"), 6).alias("macro_precision"), F.round(F.avg("r"), 6).alias("macro_recall"), F.round(F.avg("f"), 6).alias("macro_f1"))
 
 
-def _beta_share(x: float, a: float, b: float) -> float:
-    """The regularised incomplete beta function, by its continued fraction."""
-    if x <= 0 or x >= 1:
-        return float(x >= 1)
-    if x > (a + 1) / (a + b + 2):
-        return 1 - _beta_share(1 - x, b, a)
-    tiny, c, d = 1e-300, 1.0, 0.0
-    total = 1.0
-    for i in range(_TERMS):
-        m = i // 2
-        if i == 0:
-            step = 1.0
-        elif i % 2 == 0:
-            step = m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))
-        else:
-            step = -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
-        d = 1 / ((1 + step * d) or tiny)
-        c = (1 + step / c) or tiny
-        total *= c * d
-        if i and abs(c * d - 1) < 1e-15:
-            break
-    front = math.exp(a * math.log(x) + b * math.log1p(-x) + math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b))
+def _log_gamma(x: Column) -> Column:
+    """Logarithm of the gamma function for positive numbers, by Stirling's series from x + 8 on."""
+    y = x + 8
+    series = 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5) - 1 / (1680 * y**7)
+    shifted = (y - 0.5) * F.ln(y) - y + 0.5 * math.log(2 * math.pi) + series
+    return shifted - sum((F.ln(x + k) for k in range(1, 8)), F.ln(x))
+
+
+def _beta_fraction(x: Column, a: Column, b: Column) -> Column:
+    """The regularised incomplete beta function for x below (a + 1) / (a + b + 2), by its continued fraction."""
+    tiny = F.lit(1e-300)
+    one = F.lit(1.0)
+    some = lambda v: F.when(v == 0, tiny).otherwise(v)
+
+    def step(s, i):
+        m = F.floor(i / 2).cast("double")
+        even = m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))
+        odd = -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
+        k = F.when(i == 0, one).when(i % 2 == 0, even).otherwise(odd)
+        d = 1 / some(1 + k * s["d"])
+        c = some(1 + k / s["c"])
+        done = s["done"] | ((i > 0) & (F.abs(c * d - 1) < 1e-15))
+        keep = lambda new, old: F.when(s["done"], s[old]).otherwise(new).alias(old)
+        return F.struct(keep(c, "c"), keep(d, "d"), keep(s["t"] * c * d, "t"), done.alias("done"))
+
+    start = F.struct(one.alias("c"), F.lit(0.0).alias("d"), one.alias("t"), F.lit(False).alias("done"))
+    total = F.aggregate(F.sequence(F.lit(0), F.lit(_TERMS)), start, step, lambda s: s["t"])
+    front = F.exp(a * F.ln(x) + b * F.log1p(-x) + _log_gamma(a + b) - _log_gamma(a) - _log_gamma(b))
     return front * (total - 1) / a
 
 
-def spearman_p_value(rho: float, n: int) -> float:
-    """Two-sided p-value of a rank correlation of ``n`` rows, by Student's t with n - 2 degrees; 1 where undefined."""
-    if n < 3 or rho is None or math.isnan(rho):
-        return 1.0
-    return _beta_share(max(0.0, 1 - rho * rho), (n - 2) / 2, 0.5)
+def correlation_p_value(rho: Column, n: Column) -> Column:
+    """Two-sided p-value of a rank correlation of ``n`` rows, by Student's t with n - 2 degrees; 1 where undefined.
+
+    It is the incomplete beta function of 1 - rho squared with (n - 2) / 2 and 1 / 2.
+    """
+    x = F.greatest(F.lit(0.0), 1 - rho * rho)
+    a, b = (n - 2) / 2.0, F.lit(0.5)
+    inner = F.when(x >= (a + 1) / (a + b + 2), 1 - _beta_fraction(1 - x, b, a)).otherwise(_beta_fraction(x, a, b))
+    return F.when((n < 3) | rho.isNull() | F.isnan(rho), 1.0).when(x <= 0, 0.0).when(x >= 1, 1.0).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), inner)))
 
 
 def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
-    """Rank correlation with average ranks, from per-value counts; 0 where undefined (p-value: see spearman_p_value)."""
+    """(spearman, p_value): rank correlation with average ranks, from per-value counts; 0 and 1 where undefined.
+
+    Rows without one of the two values do not count.
+    """
+    df = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
 
     def ranks(c):
         counts = df.groupBy(c).agg(F.count("*").alias("n"))
         return not_above(counts, c).select(c, (F.col("upto") - F.col("n") + (F.col("n") + 1) / 2).alias(f"rank_{c}"))
 
     both = df.join(ranks(x), x).join(ranks(y), y)
-    return both.agg(F.round(F.coalesce(F.corr(f"rank_{x}", f"rank_{y}"), F.lit(0.0)), 6).alias("spearman"))
+    spread = F.stddev_pop(f"rank_{x}") * F.stddev_pop(f"rank_{y}")
+    one = both.agg(F.covar_pop(f"rank_{x}", f"rank_{y}").alias("cov"), spread.alias("spread"), F.count("*").alias("n"))
+    rho = F.when(F.col("spread") > 0, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.try_divide("cov", "spread"))))
+    one = one.select(rho.alias("rho"), "n")
+    return one.select(F.coalesce(F.round("rho", 6), F.lit(0.0)).alias("spearman"), correlation_p_value(F.col("rho"), F.col("n")).alias("p_value"))
+
+
+def judged(predictions: DataFrame, labels: DataFrame, keys: list[str]) -> DataFrame:
+    """Predictions with their labels, by key; ValueError if no row has one (one row is read to tell)."""
+    both = predictions.join(labels, keys)
+    if both.isEmpty():
+        raise ValueError("no prediction has a label")
+    return both
+
+
+def largest_disagreements(df: DataFrame, score: str, keys: list[str], n: int = 25, human_score: str = "human_score", human_label: str = "human_label") -> DataFrame:
+    """The n rows with the largest absolute_error of a score from the human score, or else from the label as a share of the highest one.
+
+    Ties by key; rows without an error come last.
+    """
+    if human_score in df.columns:
+        error = df.withColumn("absolute_error", F.abs(F.col(score) - F.col(human_score)))
+    else:
+        most = df.agg(F.greatest(F.lit(1), F.max(human_label)).alias("_most"))
+        error = df.crossJoin(F.broadcast(most)).withColumn("absolute_error", F.abs(F.col(score) - F.col(human_label) / F.col("_most"))).drop("_most")
+    return error.orderBy(F.col("absolute_error").desc_nulls_last(), *keys).limit(n)
 
 
 def ranking(df: DataFrame, group: str, score: str, relevance: str, key: str, k: int) -> DataFrame:

@@ -3,9 +3,14 @@
 from __future__ import annotations
 
 import json
+import random
+import time
 import urllib.request
+import uuid
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,7 +29,7 @@ def prompt(cv: Column, jd: Column, most: int = MAX_CHARS) -> Column:
 
 
 class HttpClient:
-    """Posts prompts to a local model server that answers in JSON mode; one request per row."""
+    """Posts prompts to a local model server that answers in JSON mode; one request per call."""
 
     def __init__(self, model: str, url: str = "http://localhost:11434/api/generate", timeout: float = 120.0):
         self.model, self.url, self.timeout = model, url, timeout
@@ -36,24 +41,87 @@ class HttpClient:
             return json.loads(r.read())["response"]
 
 
-def ask(df: DataFrame, keys: list[str], text: str, client: Callable[[str], str]) -> DataFrame:
-    """(keys, reply, error): the client's reply to every row; a failed call is a null with its error."""
-    kinds = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys)
-
-    def run(frames):
-        for f in frames:
-            replies, errors = [], []
-            for t in f[text]:
-                try:
-                    replies.append(client(t))
-                    errors.append(None)
-                except Exception as e:  # the error is a result here
-                    replies.append(None)
-                    errors.append(str(e))
-            f["reply"], f["error"] = replies, errors
-            yield f[[*keys, "reply", "error"]]
-
-    return df.select(*keys, text).mapInPandas(run, f"{kinds}, reply string, error string")
+class ReplyLog:
+    """Replies by the hash of their prompt, one small file each, in a folder that all executors see (any Arrow file system)."""
+
+    def __init__(self, folder: str):
+        self.folder = folder
+
+    def _place(self, digest: str):
+        from pyarrow import fs
+
+        files, root = fs.FileSystem.from_uri(self.folder) if "://" in self.folder else (fs.LocalFileSystem(), self.folder)
+        return files, f"{root}/{digest[:2]}", f"{root}/{digest[:2]}/{digest}.json"
+
+    def get(self, digest: str) -> str | None:
+        files, _, path = self._place(digest)
+        if not files.get_file_info(path).is_file:
+            return None
+        with files.open_input_stream(path) as f:
+            return json.loads(f.read())["reply"]
+
+    def put(self, digest: str, reply: str) -> None:
+        files, folder, path = self._place(digest)
+        files.create_dir(folder, recursive=True)
+        part = f"{path}.{uuid.uuid4().hex}"
+        with files.open_output_stream(part) as f:
+            f.write(json.dumps({"reply": reply}).encode())
+        files.move(part, path)  # readers see a whole reply or none
+
+
+def _patient(client: Callable[[str], str], attempts: int, wait: float) -> Callable[[str], str]:
+    """The client, tried up to ``attempts`` times with pauses that double, each a random part longer."""
+
+    def run(text: str) -> str:
+        for i in range(attempts):
+            try:
+                return client(text)
+            except Exception:  # noqa: BLE001  the last one is raised
+                if i + 1 == attempts:
+                    raise
+                time.sleep(wait * 2**i * (1 + random.random()))  # noqa: S311
+        raise AssertionError
+
+    return run
+
+
+def ask(df: DataFrame, keys: list[str], text: str, client: Callable[[str], str], log: str | None = None, workers: int = 1, attempts: int = 1, wait: float = 0.5, partitions: int | None = None) -> DataFrame:
+    """(keys, reply, error): the client's reply to every row; a call that fails each time is a null with its error.
+
+    Equal prompts are asked once.  Each task has ``workers`` requests under way and ``partitions`` bounds the
+    tasks, so that the server sees at most their product.  With a ``log`` folder, replies are kept as they
+    come and known prompts are not asked again, whether in a task that is tried again after a lost executor or in
+    a later run; failures are not kept.  A null prompt is an error and is not asked.
+    """
+    digest = F.sha2(F.col(text).cast("binary"), 256)
+    rows = df.select(*keys, digest.alias("_digest"), F.col(text).alias("_text"))
+    prompts = rows.filter(F.col("_text").isNotNull()).select("_digest", "_text").dropDuplicates(["_digest"])
+    prompts = prompts.repartition(partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "_digest")
+
+    def run(batches):
+        known, call = ReplyLog(log) if log else None, _patient(client, attempts, wait)
+
+        def one(item):
+            digest, prompt = item
+            try:
+                reply = known.get(digest) if known else None
+                if reply is None:
+                    reply = call(prompt)
+                    if known:
+                        known.put(digest, reply)
+                return reply, None
+            except Exception as e:  # the error is a result here
+                return None, str(e) or type(e).__name__
+
+        with ThreadPoolExecutor(workers) as pool:
+            for b in batches:
+                out = list(pool.map(one, zip(b.column("_digest").to_pylist(), b.column("_text").to_pylist(), strict=True)))
+                replies, errors = zip(*out, strict=True) if out else ((), ())
+                yield pa.RecordBatch.from_arrays([b.column("_digest"), pa.array(replies, pa.string()), pa.array(errors, pa.string())], ["_digest", "reply", "error"])
+
+    said = prompts.mapInArrow(run, "_digest string, reply string, error string")
+    met = rows.drop("_text").join(said, "_digest", "left")
+    return met.select(*keys, "reply", F.when(F.col("_digest").isNull(), "no prompt").otherwise(F.col("error")).alias("error"))
 
 
 def parsed(replies: DataFrame) -> DataFrame:

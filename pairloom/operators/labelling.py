@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scores as S
 from .curation import seeded
+from .judge import ask
 
 MAX_CHARS = 5500
 #: The empty columns of a labelling table and their types.
@@ -47,6 +48,22 @@ def parsed(replies: DataFrame, reply: str = "reply") -> DataFrame:
     return out.withColumn("error", F.when(~some & ~F.col("_bare"), F.concat(F.lit("no JSON in the reply: "), F.substring(text, 1, 500)))).drop("_f", "_bare")
 
 
+def label(pairs: DataFrame, cvs: DataFrame, jds: DataFrame, cv_key: str, jd_key: str, cv_text: str, jd_text: str, client, **how) -> DataFrame:
+    """``pairs`` with the model's labels in their llm_ columns and ``error``; ``how`` goes to :func:`.judge.ask`.
+
+    Pairs that share both texts are asked once; a pair without one of its documents is asked with an empty text.
+    """
+    keys = [cv_key, jd_key]
+    texts = pairs.select(keys).distinct().join(cvs.select(cv_key, F.col(cv_text).alias("_cv")), cv_key, "left").join(jds.select(jd_key, F.col(jd_text).alias("_jd")), jd_key, "left")
+    asked = ask(texts.select(*keys, prompt(F.col("_cv"), F.col("_jd")).alias("_prompt")), keys, "_prompt", client, **how)
+    told = parsed(asked.withColumnRenamed("error", "_failed"))
+    # a call that failed has no label: its reply is null, which is not a reply that explains itself
+    failed = F.col("_failed").isNotNull()
+    names = ["llm_fit_score", "llm_fit_category", "llm_missing_requirements", "llm_explanation"]
+    told = told.select(*keys, *(F.when(~failed, F.col(c)).alias(c) for c in names), F.coalesce("_failed", "error").alias("error"))
+    return pairs.drop(*names, "error").join(told, keys, "left")
+
+
 def surrogate_ids(df: DataFrame, name: str, prefix: str, *order: str) -> DataFrame:
     """Adds ``prefix_00001``, ... in this order; for tables of the size a person looks at."""
     return df.withColumn(name, F.format_string(f"{prefix}_%05d", F.row_number().over(W.orderBy(*order))))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import constants as C
 from ..functions import scores as S
 from ..functions import text as T
-from ..operators import calibration, curation, documents, evaluation, evidence, extraction, judge, labelling, matching, matrices, methods, requirement_rows
+from ..operators import calibration, curation, documents, evaluation, evidence, extraction, judge, labelling, matching, matrices, methods, requirement_rows, run
 from ..sources import writers
 
 QUERIES: dict = {}
@@ -134,24 +134,30 @@ def q_value_counts(spark, d):
 @query("""
 WITH g AS (SELECT lang, count(*) AS size FROM documents GROUP BY lang),
 r AS (SELECT d.doc_id, d.lang, d.n_chars, g.size, row_number() OVER (PARTITION BY d.lang ORDER BY d.n_chars DESC, d.doc_id) AS rn,
-      greatest(1, ceil(100.0 / (SELECT count(*) FROM g)) * 2) AS cap FROM documents d JOIN g ON d.lang = g.lang)
-SELECT doc_id, lang, n_chars FROM r ORDER BY (rn <= cap) DESC, CASE WHEN rn <= cap THEN rn END, CASE WHEN rn <= cap THEN -least(size, 100) END, CASE WHEN rn <= cap THEN lang END, n_chars DESC, doc_id LIMIT 100""")
+      greatest(1, ceil(100.0 / (SELECT count(*) FROM g)) * 2) AS cap FROM documents d JOIN g ON d.lang IS NOT DISTINCT FROM g.lang),
+s AS (SELECT doc_id, lang, n_chars FROM r ORDER BY (rn <= cap) DESC, CASE WHEN rn <= cap THEN rn END, CASE WHEN rn <= cap THEN -least(size, 100) END, CASE WHEN rn <= cap THEN lang END NULLS LAST, n_chars DESC, doc_id LIMIT 100)
+SELECT *, CASE WHEN (SELECT count(*) FROM documents) <= 100 THEN 'all_available_unique_rows_below_target' ELSE 'quality_ranked_balanced_by_lang' END AS selection_note FROM s""")
 def q_select_diverse(spark, d):
     return curation.select_diverse(_table(spark, d, "documents").select("doc_id", "lang", "n_chars"), 100, "lang", "n_chars", "doc_id")
 
 
 @query("""
 WITH r AS (SELECT doc_id, lang, source, n_chars, row_number() OVER (PARTITION BY lang ORDER BY source, n_chars DESC, doc_id) AS rn FROM documents)
-SELECT doc_id, lang, source, n_chars FROM r ORDER BY rn, lang LIMIT 50""")
+SELECT doc_id, lang, source, n_chars FROM r ORDER BY rn, lang NULLS FIRST LIMIT 50""")
 def q_select_diverse_jds(spark, d):
     return curation.round_robin(_table(spark, d, "documents").select("doc_id", "lang", "source", "n_chars"), 50, "lang", [F.asc("source"), F.desc("n_chars"), F.asc("doc_id")])
 
 
 @query("""
 WITH r AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY md5('42|' || doc_id), doc_id) AS rn FROM documents)
-SELECT doc_id, lang FROM r ORDER BY rn, lang LIMIT 100""")
+SELECT doc_id, lang FROM r ORDER BY rn, md5('42|' || coalesce(lang, '')), lang NULLS FIRST LIMIT 101""")
 def q_sample_diverse(spark, d):
-    return curation.round_robin(_table(spark, d, "documents").select("doc_id", "lang"), 100, "lang", [curation.seeded(42, "doc_id"), F.asc("doc_id")])
+    return curation.sample_diverse(_table(spark, d, "documents").select("doc_id", "lang"), 101, "lang", "doc_id")
+
+
+@query("SELECT doc_id, lang FROM documents ORDER BY md5('7|' || doc_id), doc_id LIMIT 30")
+def q_sample(spark, d):
+    return curation.sample(_table(spark, d, "documents").select("doc_id", "lang"), 30, "doc_id", 7)
 
 
 # ---------------------------------------------------------------- extraction
@@ -318,8 +324,8 @@ def _scored(spark, d):
 _SCORED = "p AS (SELECT doc_id, item_id, lang, (doc_id * 37 + item_id * 101) % 1000 / 10.0::DOUBLE AS score, lang = ['de', 'en', 'es', 'fr'][item_id % 4 + 1] AS likely, lang <> 'en' AS medium FROM documents, benchmark)"
 
 
-def _staged():
-    steps, taken = [_SCORED], []
+def _staged(scored):
+    steps, taken = [scored], []
     for i, kind in enumerate(C.PAIR_TYPES):
         rest = "p" if not taken else "(SELECT p.* FROM p ANTI JOIN (" + " UNION ALL ".join(f"SELECT doc_id, item_id FROM {t}" for t in taken) + ") USING (doc_id, item_id))"
         pool = {"likely_good": "likely", "medium": "medium"}.get(kind, "NOT likely")
@@ -330,7 +336,7 @@ def _staged():
     return ",\n".join(steps), " UNION ALL ".join(f"SELECT * FROM {t}" for t in taken)
 
 
-_STEPS, _ALL = _staged()
+_STEPS, _ALL = _staged(_SCORED)
 
 
 @query(f"WITH {_STEPS} {_ALL}")
@@ -416,10 +422,16 @@ def q_classification(spark, d):
     return evaluation.classification(_judged(spark, d), "human_label", "predicted")
 
 
-@query(f"""WITH {_JUDGED}, r AS (SELECT rank() OVER (ORDER BY human_label) + (count(*) OVER (PARTITION BY human_label) - 1) / 2.0 AS a, rank() OVER (ORDER BY final_score) + (count(*) OVER (PARTITION BY final_score) - 1) / 2.0 AS b FROM k)
-SELECT round(corr(a, b), 6) AS spearman FROM r""")
+#: Student's t by the finite series for a whole number of degrees: another way than the operator's.
+_STUDENT = """t AS (SELECT rho, n, n - 2 AS v, atan(rho * sqrt((n - 2) / (1 - rho * rho)) / sqrt(n - 2)) AS a FROM c),
+u AS (SELECT *, list_transform(range(1, CAST(v // 2 AS BIGINT)), lambda k: list_product(list_transform(range(1, k + 1), lambda j: CASE WHEN v % 2 = 0 THEN (2 * j - 1) / (2 * j)::DOUBLE ELSE 2 * j / (2 * j + 1)::DOUBLE END)) * pow(cos(a), 2 * k)) AS s FROM t),
+w AS (SELECT *, CASE WHEN v % 2 = 0 THEN abs(sin(a)) * (1 + coalesce(list_sum(s), 0)) WHEN v = 1 THEN abs(a) * 2 / pi() ELSE 2 / pi() * (abs(a) + abs(sin(a)) * cos(a) * (1 + coalesce(list_sum(list_filter(s, lambda x, i: i <= (v - 3) // 2)), 0))) END AS share FROM u)"""
+
+
+@query(f"""WITH {_JUDGED}, r AS (SELECT rank() OVER (ORDER BY human_label) + (count(*) OVER (PARTITION BY human_label) - 1) / 2.0 AS a, rank() OVER (ORDER BY final_score) + (count(*) OVER (PARTITION BY final_score) - 1) / 2.0 AS b FROM k),
+c AS (SELECT corr(a, b) AS rho, count(*) AS n FROM r), {_STUDENT} SELECT round(rho, 6) AS spearman, round(1 - share, 6) AS p_value FROM w""")
 def q_spearman(spark, d):
-    return evaluation.spearman(_judged(spark, d), "human_label", "final_score")
+    return evaluation.spearman(_judged(spark, d), "human_label", "final_score").withColumn("p_value", F.round("p_value", 6))
 
 
 @query(f"""WITH {_JUDGED}, a AS (SELECT *, sum((human_label > 0)::INT) OVER (PARTITION BY lang) AS al, row_number() OVER (PARTITION BY lang ORDER BY final_score DESC, doc_id) AS rn FROM k),
@@ -431,11 +443,10 @@ def q_ranking(spark, d):
     return evaluation.ranking(_judged(spark, d), "lang", "final_score", "human_label", "doc_id", 10)
 
 
-@query(f"WITH {_JUDGED} SELECT doc_id, human_label, round(abs(final_score - human_label / greatest(1, (SELECT max(human_label) FROM k))::DOUBLE), 6) AS error FROM k ORDER BY 3 DESC, doc_id LIMIT 25")
+@query(f"WITH {_JUDGED} SELECT doc_id, human_label, round(abs(final_score - human_label / greatest(1, (SELECT max(human_label) FROM k))::DOUBLE), 6) AS error FROM k ORDER BY abs(final_score - human_label / greatest(1, (SELECT max(human_label) FROM k))::DOUBLE) DESC, doc_id LIMIT 25")
 def q_top_errors(spark, d):
-    j = _judged(spark, d)
-    top = j.agg(F.greatest(F.lit(1), F.max("human_label")).alias("most"))
-    return j.crossJoin(F.broadcast(top)).select("doc_id", "human_label", F.round(F.abs(F.col("final_score") - F.col("human_label") / F.col("most")), 6).alias("error")).orderBy(F.desc("error"), "doc_id").limit(25)
+    out = evaluation.largest_disagreements(_judged(spark, d), "final_score", ["doc_id"], 25)
+    return out.select("doc_id", "human_label", F.round("absolute_error", 6).alias("error"))
 
 
 @query("SELECT l.doc_id FROM labels l SEMI JOIN documents d ON l.doc_id = d.doc_id AND d.lang = 'en'")
@@ -834,3 +845,97 @@ printf('Requirement-level score: %d matched, %d partial, %d extracted requiremen
 def q_requirement_match(spark, d):
     pairs, rows = _requirement_rows(spark, d)
     return requirement_rows.requirement_match(pairs, rows, "cv_id", "jd_id")
+
+
+# ---------------------------------------------------------------- listed pairs, errors of pairs
+def _each_with_one(spark, d):
+    """Every document with the requirement text whose place its id names."""
+    items = _table(spark, d, "benchmark").select("item_id")
+    n = items.agg(F.count("*").alias("n"))
+    return _table(spark, d, "documents").select("doc_id").crossJoin(F.broadcast(n)).select("doc_id", (F.col("doc_id") % F.col("n")).alias("item_id")).join(items, "item_id").select("doc_id", "item_id")
+
+
+_ONE_EACH = "o AS (SELECT doc_id, item_id FROM documents JOIN benchmark ON item_id = doc_id % (SELECT count(*) FROM benchmark))"
+
+
+def _listed_sql(limit):
+    return f"""WITH {_BOTH}, {_ONE_EACH}, e AS (SELECT o.doc_id, o.item_id, term, a.tf AS ta, 0 AS tb FROM o JOIN a USING (doc_id) UNION ALL SELECT o.doc_id, o.item_id, term, 0, b.tf FROM o JOIN b USING (item_id)),
+m AS (SELECT doc_id, item_id, term, sum(ta) AS ta, sum(tb) AS tb FROM e GROUP BY ALL), k AS (SELECT *, pow(ln(1.5::DOUBLE) + 1, 2) AS rare FROM m QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY ta + tb DESC, term) <= {limit}),
+s AS (SELECT doc_id, item_id, sum(ta * tb) AS dot, sqrt(sum(ta * ta * CASE WHEN tb > 0 THEN 1 ELSE rare END)) * sqrt(sum(tb * tb * CASE WHEN ta > 0 THEN 1 ELSE rare END)) AS norm FROM k GROUP BY doc_id, item_id)
+SELECT o.doc_id, o.item_id, coalesce(round(CASE WHEN norm > 0 THEN least(1.0, dot / norm) ELSE 0.0 END, 6), 0.0)::DOUBLE AS tfidf_score FROM o LEFT JOIN s USING (doc_id, item_id)"""
+
+
+@query(_listed_sql(20_000))
+def q_tfidf_listed(spark, d):
+    """Listed pairs only, each fitted alone; pairs without a shared term are 0."""
+    return matching.tfidf_listed(_each_with_one(spark, d), *_sides(spark, d), "doc_id", "item_id", "text", STOPS)
+
+
+@query(_listed_sql(200))
+def q_tfidf_listed_few(spark, d):
+    """The same with the 200 most frequent terms of each pair, which most pairs exceed."""
+    return matching.tfidf_listed(_each_with_one(spark, d), *_sides(spark, d), "doc_id", "item_id", "text", STOPS, max_features=200)
+
+
+@query(f"""WITH {_ONE_EACH}, x AS (SELECT o.*, length(d.text) AS n, l.quality, (o.doc_id + o.item_id) % 7 = 0 AS bad FROM o JOIN documents d USING (doc_id) LEFT JOIN (SELECT doc_id, min(quality) AS quality FROM labels GROUP BY doc_id) l USING (doc_id))
+SELECT doc_id, item_id, round(100 * coalesce(n, 0) / 100000.0::DOUBLE, 4) AS tfidf_score, NULL::DOUBLE AS bge_score, NULL::DOUBLE AS e5_score, NULL::DOUBLE AS gte_score, CASE WHEN NOT bad THEN 50.0::DOUBLE END AS sbert_score, NULL::DOUBLE AS section_score,
+CASE WHEN quality IS NOT NULL THEN 100.0 * quality END::DOUBLE AS requirement_score, NULL::DOUBLE AS llm_score,
+concat_ws('; ', 'gte: no trained model', CASE WHEN bad THEN 'sbert: bad pair ' || doc_id || ' ' || item_id END, CASE WHEN quality IS NULL THEN 'requirement: no label of ' || doc_id END) AS method_errors,
+round(list_avg(list_filter([round(100 * coalesce(n, 0) / 100000.0::DOUBLE, 4), CASE WHEN NOT bad THEN 50.0 END::DOUBLE, (100.0 * quality)::DOUBLE], lambda v: v IS NOT NULL)), 4) AS final_score FROM x""")
+def q_method_errors(spark, d):
+    """The wide table of a method of texts, one that fails on executors for every seventh pair, one whose documents are partly missing, and one without a model."""
+
+    def lengths(pairs):
+        return pairs.join(_table(spark, d, "documents").select("doc_id", "text"), "doc_id").select("doc_id", "item_id", (F.coalesce(F.char_length("text"), F.lit(0)) / 100000.0).alias("score"))
+
+    def fragile(pairs):
+        def score(rows):
+            for r in rows.itertuples():
+                if (r.doc_id + r.item_id) % 7 == 0:
+                    raise ValueError(f"bad pair {r.doc_id} {r.item_id}")
+            return rows["doc_id"] * 0 + 0.5
+
+        return methods.guarded(pairs, ["doc_id", "item_id"], score)
+
+    def labelled(pairs):
+        return methods.looked_up(pairs, _table(spark, d, "labels").groupBy("doc_id").agg(F.min("quality").alias("score")), "doc_id", ["score"], "label of")
+
+    return methods.score_all(_each_with_one(spark, d), {"tfidf": lengths, "sbert": fragile, "requirement": labelled, "gte": methods.supervised}, "doc_id", "item_id")
+
+
+# ---------------------------------------------------------------- the whole run
+def _run_sql():
+    flags = f"""ct AS (SELECT cv_id AS doc_id, text FROM cvx), jt AS (SELECT jd_id AS item_id, text FROM jdx),
+{_terms('a', 'ct', 'doc_id')}, {_terms('b', 'jt', 'item_id')}, n AS (SELECT (SELECT count(*) FROM ct) + (SELECT count(*) FROM jt) AS n),
+e AS (SELECT term, count(*) AS df, rank() OVER (ORDER BY sum(tf) DESC) AS place FROM (SELECT term, tf FROM a UNION ALL SELECT term, tf FROM b) GROUP BY term),
+i AS (SELECT term, ln((n + 1) / (df + 1)::DOUBLE) + 1 AS idf FROM e, n WHERE place <= 80000),
+x AS (SELECT doc_id, term, tf * idf AS x FROM a JOIN i USING (term)), y AS (SELECT item_id, term, tf * idf AS y FROM b JOIN i USING (term)),
+nx AS (SELECT doc_id, sqrt(sum(x * x)) AS na FROM x GROUP BY doc_id), ny AS (SELECT item_id, sqrt(sum(y * y)) AS nb FROM y GROUP BY item_id),
+tp AS (SELECT doc_id, item_id, round(100 * round(dot / na / nb, 6), 4) AS s FROM (SELECT doc_id, item_id, sum(x * y) AS dot FROM x JOIN y USING (term) GROUP BY doc_id, item_id) JOIN nx USING (doc_id) JOIN ny USING (item_id)),
+cg AS (SELECT cv_id AS doc_id, {_rules(_key('text'), C.RESUME_GROUPS, 'Other Technology')} AS g FROM cvx), jg AS (SELECT jd_id AS item_id, coalesce(text, '') AS title, {_rules(_key('text'), C.JOB_GROUPS, 'Other')} AS g FROM jdx), tg AS (SELECT list(DISTINCT g) AS there FROM cg),
+lk AS (SELECT item_id, list_filter({_likely('title', 'g')}, lambda z: list_contains(there, z)) AS lg, list_filter(CASE WHEN g = 'Technology' THEN {_list(C.MEDIUM_TECH)} ELSE {_list(C.MEDIUM_OTHER)} END, lambda z: list_contains(there, z)) AS mg FROM jg, tg),
+p AS MATERIALIZED (SELECT item_id, doc_id, coalesce(s, 0.0)::DOUBLE AS score, CASE WHEN len(lg) > 0 THEN list_contains(lg, g) ELSE true END AS likely, CASE WHEN len(mg) > 0 THEN list_contains(mg, g) WHEN len(lg) > 0 THEN list_contains(lg, g) ELSE true END AS medium
+  FROM (SELECT * FROM lk, cg) LEFT JOIN tp USING (doc_id, item_id))"""
+    steps, every = _staged(flags)
+    vectors = lambda t, k, side: f"SELECT {k} AS id, " + ", ".join(f"{_letters_sql(f'coalesce({q[side]}, {c}, text)')} AS {n}" for n, q in C.SECTION_PAIRS.items() for c in [("relevant", "requirements")[side]]) + f", {_letters_sql('text')} AS sbert, {_letters_sql(repr(('passage: ', 'query: ')[side]) + ' || text')} AS e5 FROM {t}"
+    unit = lambda d: f"round(greatest(0.0, least(1.0, {d})), 6)"
+    parts = " + ".join(f"CAST({unit(f'(list_inner_product(va.{k}, vb.{k}) + 1) / 2')} AS DECIMAL(9,6)) * CAST({w} AS DECIMAL(3,2))" for k, w in C.WEIGHTS.items())
+    rows = _ROWS[_ROWS.index("rq AS (WITH"):].replace("FROM pr JOIN rt", "FROM (SELECT doc_id AS cv_id, item_id AS jd_id FROM q) pr JOIN rt")
+    return f"""WITH {_CV_COMPONENTS}, {_JD_COMPONENTS}, {steps}, q AS MATERIALIZED ({every}), {rows},
+va AS MATERIALIZED ({vectors('cvx', 'cv_id', 0)}), vb AS MATERIALIZED ({vectors('jdx', 'jd_id', 1)}),
+sa AS (SELECT doc_id, sum(tf * tf) AS aa FROM a GROUP BY doc_id), sb AS (SELECT item_id, sum(tf * tf) AS bb FROM b GROUP BY item_id),
+sh AS (SELECT q.doc_id, q.item_id, sum(a.tf * b.tf) AS dot, sum(a.tf * a.tf) AS sa, sum(b.tf * b.tf) AS sb FROM q JOIN a ON a.doc_id = q.doc_id JOIN b ON b.item_id = q.item_id AND a.term = b.term GROUP BY ALL),
+tl AS (SELECT doc_id, item_id, round(least(1.0, dot / (sqrt(sa + pow(ln(1.5::DOUBLE) + 1, 2) * (aa - sa)) * sqrt(sb + pow(ln(1.5::DOUBLE) + 1, 2) * (bb - sb)))), 6) AS s FROM sh JOIN sa USING (doc_id) JOIN sb USING (item_id)),
+g1 AS (SELECT cv_id, jd_id, {_MEANS} FROM mr GROUP BY cv_id, jd_id), g2 AS (SELECT cv_id, jd_id, greatest(0.0, least(1.0, round({_EXACT}, 6)::DOUBLE)) AS s FROM g1),
+z AS (SELECT q.doc_id AS cv_id, q.item_id AS jd_id, pair_type, selection_rank, round(100 * coalesce(tl.s, 0.0), 4) AS tfidf_score, round(100 * {unit('list_inner_product(va.e5, vb.e5)')}, 4) AS e5_score, round(100 * {unit('list_inner_product(va.sbert, vb.sbert)')}, 4) AS sbert_score,
+  round(100 * greatest(0.0, least(1.0, round({parts}, 6)::DOUBLE)), 4) AS section_score, round(100 * coalesce(g2.s, 0.0), 4) AS requirement_score
+  FROM q JOIN va ON va.id = q.doc_id JOIN vb ON vb.id = q.item_id LEFT JOIN tl USING (doc_id, item_id) LEFT JOIN g2 ON g2.cv_id = q.doc_id AND g2.jd_id = q.item_id)
+SELECT *, NULL::DOUBLE AS bge_score, NULL::DOUBLE AS gte_score, NULL::DOUBLE AS llm_score, '' AS method_errors, round((tfidf_score + e5_score + sbert_score + section_score + requirement_score) / 5, 4) AS final_score FROM z"""
+
+
+@query(_run_sql())
+def q_match_run(spark, d):
+    """From sectioned texts to candidate pairs and all methods that need no trained model; letters stand for encoders."""
+    cvs = _cv_sectioned(spark, d).select("cv_id", F.col("cv_text").alias("text"), curation.resume_group(F.col("cv_text")).alias("resume_group"))
+    jds = _sectioned(spark, d).select("jd_id", F.col("jd_text").alias("text"), F.col("jd_text").alias("job_title"), curation.job_group(F.col("jd_text")).alias("occupation_group"))
+    return run.match_run(cvs, jds, STOPS, {"e5": matrices.letters, "sbert": matrices.letters}, matrices.letters)

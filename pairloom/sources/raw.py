@@ -18,7 +18,7 @@ def scored(df: DataFrame, text: str, kind: str, order: str) -> DataFrame:
     """``df`` with its text cleaned, one row of each text (the first by ``order``), word_count in bounds, quality_score."""
     least, target, most = C.QUALITY[kind]
     markers = C.CV_MARKERS if kind == "cv" else C.JD_MARKERS
-    cleaned = curation.deduplicate(df.withColumn(text, T.clean_text(F.col(text))), text, order)
+    cleaned = curation.deduplicate(df.withColumn(text, T.clean_text(F.col(text), compose=True)), text, order)
     kept = cleaned.withColumn("word_count", T.word_count(F.col(text))).filter(F.col("word_count").between(least, most))
     return kept.withColumn("quality_score", curation.quality_score(F.col(text), target, most, markers))
 

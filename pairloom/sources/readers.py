@@ -20,9 +20,9 @@ def first_existing_column(df: DataFrame, names: list[str], required: bool = True
     return found
 
 
-def read_csv(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
-    """A CSV with a header, quoted fields of several lines and doubled quotes; all columns are strings."""
-    df = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
+def read_csv(spark: SparkSession, path: str, columns: list[str] | None = None, infer: bool = False) -> DataFrame:
+    """A CSV with a header, quoted fields of several lines and doubled quotes; all columns are strings, or of the type their values have."""
+    df = spark.read.option("header", True).option("multiLine", True).option("escape", '"').option("inferSchema", infer).csv(path)
     return df.select(*(F.col(f"`{c}`") for c in columns)) if columns else df
 
 
@@ -39,6 +39,11 @@ def with_row_index(df: DataFrame, name: str) -> DataFrame:
     return placed.crossJoin(F.broadcast(counts)).withColumn(name, base + F.col("_at").bitwiseAND(low)).drop("_at", "all")
 
 
+def optional(df: DataFrame, name: str, default: Column) -> Column:
+    """A column, or the default where the table has none of that name or a row has no value."""
+    return F.coalesce(F.col(f"`{name}`"), default) if name in df.columns else default
+
+
 def _load(spark: SparkSession, path: str, aliases: dict, key: str, label: str, prefix: str, limit: int | None) -> DataFrame:
     df = read_csv(spark, path)
     text, ident, name = (first_existing_column(df, aliases[k], k == "text") for k in ("text", "id", "label"))
@@ -49,7 +54,7 @@ def _load(spark: SparkSession, path: str, aliases: dict, key: str, label: str, p
     if limit is not None:
         kept = kept.filter(F.col("_row") < limit)
     ids = F.coalesce(F.col("id"), F.lit("nan")) if ident else F.concat(F.lit(prefix), F.col("_row").cast("string"))
-    return kept.select(ids.alias(key), T.clean_text(F.coalesce("text", F.lit("nan"))).alias("text"), (F.col("label") if name else F.lit(None).cast("string")).alias(label))
+    return kept.select(ids.alias(key), T.clean_text(F.coalesce("text", F.lit("nan")), compose=True).alias("text"), (F.col("label") if name else F.lit(None).cast("string")).alias(label))
 
 
 def load_resumes(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
@@ -70,7 +75,7 @@ def load_text_files(spark: SparkSession, path: str, key: str) -> DataFrame:
     """(key, text, source_path): one document per file; its key is the file's name without its last suffix."""
     df = spark.read.text(path, wholetext=True).withColumn("source_path", F.col("_metadata.file_path"))
     stem = F.regexp_replace(F.element_at(F.split("source_path", "/"), -1), r"(?<=.)\.[^.]*$", "")
-    return df.select(F.url_decode(stem).alias(key), T.clean_text(F.col("value")).alias("text"), "source_path")
+    return df.select(F.url_decode(stem).alias(key), T.clean_text(F.col("value"), compose=True).alias("text"), "source_path")
 
 
 def load_pdf_files(spark: SparkSession, path: str, key: str, pages) -> DataFrame:
@@ -83,10 +88,4 @@ def load_pdf_files(spark: SparkSession, path: str, key: str, pages) -> DataFrame
 
     df = spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "path string, text string")
     stem = F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"(?<=.)\.[^.]*$", "")
-    return df.select(stem.alias(key), T.clean_text(F.col("text")).alias("text"))
-
-
-def adapt(df: DataFrame, columns: dict[str, Column | str | None], source: str) -> DataFrame:
-    """Renames a raw table to a common schema: target column to source column, expression, or None (empty text)."""
-    out = [(F.lit("") if c is None else F.coalesce((F.col(f"`{c}`") if isinstance(c, str) else c).cast("string"), F.lit(""))).alias(n) for n, c in columns.items()]
-    return df.select(F.lit(source).alias("source_dataset"), *out)
+    return df.select(stem.alias(key), T.clean_text(F.col("text"), compose=True).alias("text"))

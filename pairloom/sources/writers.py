@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.evaluation import describe
+
 
 def write_csv(df: DataFrame, path: str) -> None:
     """CSV with a header that read_csv reads back whole; arrays and maps must be joined to text before."""
@@ -24,6 +26,21 @@ def count_lines(df: DataFrame, by: str, title: str) -> DataFrame:
     return ordered.select(F.posexplode(lines).alias("position", "line"))
 
 
+def score_summary(results: DataFrame, scores: list[str], label: str | None = None, errors: str | None = None) -> list[DataFrame]:
+    """Parts of a report on scored pairs: rows by label, a table of each score's figures, and rows by error text."""
+    figures = describe(results, *scores)
+    columns = ["n", "mean", "std", "min", "p25", "p50", "p75", "max"]
+    place = F.array_position(F.array(*map(F.lit, scores)), F.col("name")).cast("int")
+    cells = [F.coalesce(F.col(c).cast("string") if c == "n" else F.format_string("%.4f", c), F.lit("")) for c in columns]
+    head = results.sparkSession.createDataFrame([(-3, "## Scores"), (-2, ""), (-1, "| score | " + " | ".join(columns) + " |"), (0, "|-" * (len(columns) + 1) + "|")], "position int, line string")
+    table = figures.select(place.alias("position"), F.concat(F.lit("| "), F.concat_ws(" | ", F.col("name"), *cells), F.lit(" |")).alias("line"))
+    parts = [count_lines(results, label, "Labels")] if label else []
+    parts.append(head.unionByName(table))
+    if errors:
+        parts.append(count_lines(results.filter(F.trim(F.coalesce(errors, F.lit(""))) != ""), errors, "Errors"))
+    return parts
+
+
 def markdown(parts: list[DataFrame], title: str) -> str:
     """A report from parts of bounded size (position, line), such as counts by group."""
     out = [f"# {title}"]
