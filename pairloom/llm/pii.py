@@ -11,8 +11,8 @@ The trees are fitted by :func:`train` on a bounded, generated set of labelled ex
 examples are computed by the same expressions as those of documents, and the trees become one SQL
 expression.  Nothing but built-in functions touches documents.
 
-Positions come from marking matches and summing the lengths of the parts between marks, so a text's cost
-is linear in it but for the copying of its list of spans.
+Positions come from marking matches and summing the lengths of the parts between marks, chunk by chunk, and overlaps are
+looked up by halving in sorted spans, so a text's cost is about linear in it and in its spans.
 """
 
 from __future__ import annotations
@@ -50,20 +50,70 @@ WIDE_NEEDS = {"secret": r"[A-Za-z0-9+\/_-]{16}", "email": r"@|[(\[]at[)\]]|\x20a
 #: Words that announce a kind.
 WORDS = {"email": r"mail|write to|contact", "ip": r"\bip\b|host|server|addr", "card": r"card|visa|pay|account", "phone": r"phone|call|\btel|mobile|fax", "secret": r"(?:token|secret|passw(?:or)?d|api[ _-]?key|access[ _-]?key|bearer)[\"']?\s*[:=]?\s*[\"']?$"}
 
-_SPAN = "array<struct<s:bigint,e:bigint,m:string>>"
+_SPAN = "array<struct<s:bigint,e:bigint,m:string,b:string,a:string>>"
+#: Parts of a text between marks that are gone through together; an even number, so that matches stay the odd ones.
+_CHUNK = 256
+#: Characters before a span that its features look at.
+_BEFORE = 24
 
 
-def _matches(text: Column, pattern: str, needs: str) -> Column:
-    """Array of (s, e, m) of the matches, code points, end exclusive."""
+def _let(x: Column, f) -> Column:
+    """``f(x)`` with ``x`` evaluated once."""
+    return F.transform(F.array(x), f)[0]
+
+
+def _matches(text: Column, pattern: str, needs: str, context: bool = False) -> Column:
+    """Array of (s, e, m, b, a) of the matches: code points, end exclusive; with ``context`` the characters before and after.
+
+    The parts between marks are gone through in chunks whose starts are summed first, so that no list grows with
+    the whole text while it is copied.
+    """
     marked = F.regexp_replace(F.translate(text, MARK, OTHER), F.lit(f"({pattern})"), F.lit(f"{MARK}$1{MARK}"))
     none = F.array().cast(_SPAN)
-    start = F.struct(F.lit(0).cast("long").alias("p"), F.lit(0).alias("i"), none.alias("o"))
+    tail = lambda before, x: F.right(F.concat(before, x), F.lit(_BEFORE)) if context else F.lit("")
+    heads = "array<struct<p:bigint,t:string,k:int>>"
 
-    def step(a, x):
-        e = a["p"] + F.char_length(x)
-        return F.struct(e.alias("p"), (a["i"] + 1).alias("i"), F.when(a["i"] % 2 == 1, F.concat(a["o"], F.array(F.struct(a["p"].alias("s"), e.alias("e"), x.alias("m"))))).otherwise(a["o"]).alias("o"))
+    def head(a, c):
+        joined = lambda j: F.struct((a["p"] + F.char_length(j)).alias("p"), tail(a["t"], j).alias("t"), (a["k"] + 1).alias("k"), F.concat(a["o"], F.array(F.struct(a["p"].alias("p"), a["t"].alias("t"), a["k"].alias("k")))).alias("o"))
+        return _let(F.array_join(c, ""), joined)
+
+    def spans(parts):
+        chunks = F.transform(F.sequence(F.lit(0), F.floor((F.size(parts) - 1) / _CHUNK).cast("int")), lambda i: F.slice(parts, i * _CHUNK + 1, F.lit(_CHUNK)))
+        zero = F.struct(F.lit(0).cast("long").alias("p"), F.lit("").alias("t"), F.lit(0).alias("k"), F.array().cast(heads).alias("o"))
+
+        def after(k, i):
+            follows = lambda n: F.coalesce(F.get(parts, k * _CHUNK + i + n), F.lit(""))
+            return F.substring(F.when(follows(1) == "", follows(2)).otherwise(follows(1)), 1, 1) if context else F.lit("")
+
+        def inner(c, h):
+            def step(a, x):
+                e = a["p"] + F.char_length(x)
+                one = F.struct(a["p"].alias("s"), e.alias("e"), x.alias("m"), a["t"].alias("b"), after(h["k"], a["i"]).alias("a"))
+                return F.struct(e.alias("p"), (a["i"] + 1).alias("i"), tail(a["t"], x).alias("t"), F.when(a["i"] % 2 == 1, F.concat(a["o"], F.array(one))).otherwise(a["o"]).alias("o"))
+
+            return F.aggregate(c, F.struct(h["p"].alias("p"), F.lit(0).alias("i"), h["t"].alias("t"), none.alias("o")), step, lambda a: a["o"])
+
+        return _let(chunks, lambda cs: F.flatten(F.zip_with(cs, F.aggregate(cs, zero, head, lambda a: a["o"]), inner)))
+
+    return F.when(text.rlike(needs), _let(F.split(marked, MARK), spans)).otherwise(none)
 
-    return F.when(text.rlike(needs), F.aggregate(F.split(marked, MARK), start, step, lambda a: a["o"])).otherwise(none)
+
+def _count(spans: Column, test) -> Column:
+    """How many elements at the start of a sorted array pass a test that no later one passes after one fails; by halving."""
+    n = F.size(spans)
+
+    def step(a, _):
+        middle = F.floor((a["lo"] + a["hi"]) / 2).cast("int")
+        above = F.struct((middle + 1).alias("lo"), a["hi"].alias("hi"))
+        return F.when(a["lo"] >= a["hi"], a).when(test(F.get(spans, middle)), above).otherwise(F.struct(a["lo"].alias("lo"), middle.alias("hi")))
+
+    return F.aggregate(F.sequence(F.lit(0), F.floor(F.log2(n + 1)).cast("int")), F.struct(F.lit(0).alias("lo"), n.alias("hi")), step, lambda a: a["lo"])
+
+
+def _touching(spans: Column, x: Column) -> Column:
+    """Those of sorted spans without overlap that overlap x; a few spans are left as they are, to be tested one by one."""
+    first = _count(spans, lambda y: y["e"] <= x["s"])
+    return F.when(F.size(spans) <= 16, spans).otherwise(_let(first, lambda i: F.slice(spans, i + 1, _count(spans, lambda y: y["s"] < x["e"]) - i)))
 
 
 def _digits(m: Column) -> Column:
@@ -98,11 +148,10 @@ def base_spans(text: Column, kind: str) -> Column:
 FEATURES = ["kind", "digits", "chars", "gaps", "luhn", "lead", "word", "letters", "octets", "glued", "zone"]
 
 
-def _features(text: Column, kind: str, x: Column) -> Column:
+def _features(kind: str, x: Column) -> Column:
     m = x["m"]
     d = _digits(m)
-    before = F.lower(F.substring(text, F.greatest(x["s"] - 23, F.lit(1)).cast("int"), F.least(x["s"], F.lit(24)).cast("int")))
-    after = F.substring(text, (x["e"] + 1).cast("int"), F.lit(1))
+    before, after = F.lower(x["b"]), x["a"]
     flag = lambda c: F.when(c, 1).otherwise(0)
     return F.struct(
         F.lit(ALL.index(kind)).alias("kind"),
@@ -122,9 +171,9 @@ def _features(text: Column, kind: str, x: Column) -> Column:
 def proposals(text: Column) -> Column:
     """Array of (k, s, e, f): kind number, span, features."""
     def of(i, kind):
-        return lambda x: F.struct(F.lit(i).alias("k"), x["s"].alias("s"), x["e"].alias("e"), _features(text, kind, x).alias("f"))
+        return lambda x: F.struct(F.lit(i).alias("k"), x["s"].alias("s"), x["e"].alias("e"), _features(kind, x).alias("f"))
 
-    each = [F.transform(_matches(text, WIDE[k], WIDE_NEEDS[k]), of(i, k)) for i, k in enumerate(ALL)]
+    each = [F.transform(_matches(text, WIDE[k], WIDE_NEEDS[k], context=True), of(i, k)) for i, k in enumerate(ALL)]
     return F.concat(*each)
 
 
@@ -280,21 +329,31 @@ def find(docs: DataFrame, model: Boosted | None = None, text: str = "text", into
     t = F.coalesce(F.col(text), F.lit(""))
     base = {k: F.transform(base_spans(t, k), lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"))) for k in KINDS}
     names = [c for c in docs.columns if c != into]
-    found, held, many = _fresh(docs.columns, 3)
+    found, many, lists = _fresh(docs.columns, 3)
     out = docs.withColumn(found, F.struct(*(base[k].alias(k) for k in KINDS)))
+    bound = F.array(*(F.lit(b if np.isfinite(b) else 1e9) for b in model.bounds))
+    over = lambda a, b: (a["s"] < b["e"]) & (b["s"] < a["e"])
+    any_of = lambda conditions: functools.reduce(lambda a, b: a | b, conditions)
 
-    def of(i):
-        return lambda x: F.struct(F.lit(i).alias("k"), x["s"].alias("s"), x["e"].alias("e"))
+    def free(p):
+        """No base span overlaps, but for those of its kind that it extends."""
+        def in_the_way(i):
+            return lambda b: over(b, p) & ~((p["k"] == i) & _extends(p, b))
 
-    each = [F.transform(F.col(found)[k], of(i)) for i, k in enumerate(KINDS)]
-    bound = F.array(*(F.lit(b if np.isfinite(b) else 1e9) for b in model.bounds))
-    scored = F.transform(F.filter(proposals(t), lambda p: ~F.exists(F.col(held), lambda b: (b["s"] < p["e"]) & (p["s"] < b["e"]) & ~_extends(p, b))), lambda p: F.struct(p["k"].alias("k"), p["s"].alias("s"), p["e"].alias("e"), model.expression(p["f"]).alias("v")))
+        return ~any_of(F.exists(_touching(F.col(found)[k], p), in_the_way(i)) for i, k in enumerate(KINDS))
+
+    scored = F.transform(F.filter(proposals(t), free), lambda p: F.struct(p["k"].alias("k"), p["s"].alias("s"), p["e"].alias("e"), model.expression(p["f"]).alias("v")))
     # proposals are made only where the wide patterns can match at all
-    any_wide = functools.reduce(lambda a, b: a | b, (t.rlike(x) for x in WIDE_NEEDS.values()))
+    any_wide = any_of(t.rlike(x) for x in WIDE_NEEDS.values())
     none = F.array().cast("array<struct<k:int,s:bigint,e:bigint,v:double>>")
-    out = out.withColumn(held, F.concat(*each)).withColumn(many, F.when(any_wide, F.filter(scored, lambda p: p["v"] >= F.element_at(bound, p["k"] + 1))).otherwise(none))
+    out = out.withColumn(many, F.when(any_wide, F.filter(scored, lambda p: p["v"] >= F.element_at(bound, p["k"] + 1))).otherwise(none))
+
+    def of_kind(i):
+        return lambda p: p["k"] == i
+
+    out = out.withColumn(lists, F.struct(*(F.filter(F.col(many), of_kind(i)).alias(k) for i, k in enumerate(ALL))))
     better = lambda a, b: (a["v"] > b["v"]) | (a["v"] == b["v"]) & ((a["k"] < b["k"]) | (a["k"] == b["k"]) & (a["s"] < b["s"]))
-    more = F.filter(F.col(many), lambda p: ~F.exists(F.col(many), lambda q: (q["s"] < p["e"]) & (p["s"] < q["e"]) & better(q, p)))
+    more = F.filter(F.col(many), lambda p: ~any_of(F.exists(_touching(F.col(lists)[k], p), lambda q: over(q, p) & better(q, p)) for k in ALL))
     added = F.array_sort(F.transform(more, lambda p: F.struct(p["k"].alias("k"), p["s"].alias("s"), p["e"].alias("e"))))
     return out.select(*(F.col(f"`{c}`") for c in names), F.struct(*(F.col(found)[k].alias(k) for k in KINDS), added.alias("added")).alias(into))
 
@@ -306,8 +365,8 @@ def _fresh(columns: list[str], n: int) -> list[str]:
 
 
 def _extends(p: Column, b: Column) -> Column:
-    """Whether the proposal holds a base span of its kind and more."""
-    return (p["k"] == b["k"]) & (p["s"] <= b["s"]) & (p["e"] >= b["e"]) & (p["e"] - p["s"] > b["e"] - b["s"])
+    """Whether the proposal holds the span and more."""
+    return (p["s"] <= b["s"]) & (p["e"] >= b["e"]) & (p["e"] - p["s"] > b["e"] - b["s"])
 
 
 def spans_text(spans: Column, kind: str) -> Column:

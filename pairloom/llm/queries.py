@@ -32,6 +32,7 @@ def op4_pii_boosting(spark: SparkSession, sf_dir: str) -> DataFrame:
         added = F.filter(F.col("pii")["added"], _is_kind(i))
         both = F.array_sort(F.concat(F.transform(F.col("pii")[k], _span), F.transform(added, _span)))
         every.append(pii.spans_text(both, k))
+    every.append(pii.spans_text(F.filter(F.col("pii")["added"], _is_kind(len(pii.KINDS))), pii.ALL[-1]))
     return found.select(
         "doc_id", *(F.size(F.col("pii")[k]).cast("long").alias(f"n_{k}") for k in pii.KINDS), F.sha2(F.array_join(base, ",").cast("binary"), 256).alias("base_sha256"), F.array_join(F.concat(*every), ",").alias("spans"),
         F.size(F.filter(F.col("pii")["added"], _is_kind(len(pii.KINDS)))).cast("long").alias("n_secret"),

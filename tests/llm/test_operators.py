@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from pairloom.llm import chat, core, decontam, digest, jaccard, langid, lm, packing, pii, store, tokens
+from pairloom.llm import chat, core, decontam, digest, jaccard, langid, lm, packing, pii, queries, store, tokens
 from pairloom.llm import lines as line_templates
 
 SF = "/root/testdata/sf0.001"
@@ -331,6 +331,22 @@ def test_pii(spark, docs):
     assert any("[EMAIL]" in x and "[CARD]" in x and "4111" not in x for x in clean)
 
 
+def test_pii_of_many_spans(spark, monkeypatch, tmp_path):
+    """Thousands of spans in one text, at any size of its chunks; secrets are among the query's spans."""
+    text = " ".join(f"u{i}@h{i}.org 10.0.{i % 250}.{i % 199}:80 call +1 415 555 {i:04d} mail bob{i} at acme dot com é" for i in range(700))
+    df = spark.createDataFrame([(1, text), (2, "x 10.0.0.1:8080 y"), (3, ""), (4, None)], "doc_id long, text string")
+    one = {r.doc_id: r.pii for r in pii.find(df).collect()}
+    for k in pii.KINDS:
+        assert [(x.s, x.e) for x in one[1][k]] == [m.span() for m in re.finditer(RULES[k], text) if rule_ok(k, m[0])]
+    assert len(one[1]["added"]) >= 700 and all("at acme dot com" in text[x.s : x.e] for x in one[1]["added"] if x.k == 0)
+    monkeypatch.setattr(pii, "_CHUNK", 4)
+    assert {r.doc_id: r.pii for r in pii.find(df).collect()} == one
+    secret = 'token = "' + "0a1B2c3D4e" * 4 + '"'
+    spark.createDataFrame([(1, f"say {secret} to me@x.org", "en", "s", 0)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    r = queries.op4_pii_boosting(spark, str(tmp_path)).collect()[0]
+    assert r.spans == "email:58:66,secret:13:53" and (r.n_secret, r.n_found, r.n_email) == (1, 2, 1)
+
+
 def test_pii_generators_are_not_narrowed(spark):
     """The test that spares texts without candidates holds wherever the pattern matches, and ports extend addresses."""
     texts = ["bob at acme.com", "bob at acme (dot) com", "bob at acme[dot]com", "bob (at) acme.com", "a@b dot c", "1.2.3.4:80", "fe80:0:0:1:2:3:4:5", "4111/1111/1111/1111", "(988) 555-2485", "token = " + "ab12" * 8]
