@@ -3,6 +3,7 @@
 import csv
 
 import pytest
+from pyspark.sql import functions as F
 
 from pairloom.operators import evaluation
 from pairloom.sources import raw
@@ -40,6 +41,6 @@ def test_resumes(spark, tmp_path):
 
 
 @pytest.mark.parametrize(("rho", "n", "p"), [(0.5, 10, 0.14111328125), (-0.3, 25, 0.145113081), (0.9, 4, 0.1), (0.01, 1000, 0.752123841), (1.0, 9, 0.0), (0.0, 9, 1.0), (0.4, 2, 1.0), (float("nan"), 9, 1.0)])
-def test_p_value(rho, n, p):
+def test_p_value(spark, rho, n, p):
     got = spark.createDataFrame([(rho, n)], "rho double, n long").select(evaluation.correlation_p_value(F.col("rho"), F.col("n")).alias("p")).collect()[0].p
     assert got == pytest.approx(p, abs=1e-9)
