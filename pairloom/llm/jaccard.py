@@ -15,7 +15,14 @@ of them have their sets intersected exactly.
 Documents with equal sets are one node from the start, so groups of exact copies cost one node.
 Posting lists of order 1 are not expanded into pairs: each joins its members, in order of
 set size, to their neighbours, which is enough to tell clusters, the components of the candidate graph.  Any two candidates of order 1 are in one
-cluster.  A cluster's sets are sent to one task (a large cluster is split to blocks of BLOCK_BYTES and
+cluster.
+
+Most clusters are chains of texts that share a rare passage and are no near duplicates, and their sets would be most of what is
+sent.  So clusters are first refined by *sketches*, about one or two bits for each token: bit ``token mod bits`` is the parity of the
+tokens there, so two sketches differ in at most as many bits as the sets do in tokens, and a pair whose sketches differ in
+more bits than a link allows is none.  The components of the pairs left are the clusters whose sets are sent.  No link is lost.
+
+A cluster's sets are sent to one task (a large cluster is split to blocks of BLOCK_BYTES and
 BLOCK_SETS at most, each pair of blocks a task), which intersects the three filters of every pair and the sets
 of the pairs left in memory, skips pairs that verified links have already joined, and returns a spanning
 forest of the links.
@@ -46,7 +53,9 @@ KNOWN = 1 << 21
 FILTER_BITS = 1 << 24
 #: Marks postings beyond the prefix of the smaller set of a pair.
 PROBE = np.uint32(1 << 31)
-#: Bytes and number of the sets of a block of a large cluster.
+#: Most bits of a sketch.
+SKETCH_BITS = 1 << 16
+#: Bytes and number of the sets (or sketches) of a block of a large cluster.
 BLOCK_BYTES, BLOCK_SETS = 32 << 20, 20_000
 
 
@@ -78,6 +87,12 @@ def signature(tokens: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(tokens.tobytes(), len(tokens))
 
 
+def sketch(tokens: np.ndarray) -> bytes:
+    """Parities of the tokens by their low bits, of 64 bits or the power of two from their number on, SKETCH_BITS at most."""
+    bits = min(SKETCH_BITS, max(64, 1 << (len(tokens) - 1).bit_length()))
+    return np.packbits(np.bincount((tokens & U64(bits - 1)).astype(np.int64), minlength=bits).astype(np.uint8) & 1, bitorder="little").tobytes()
+
+
 def _frequent(size: int):
     def run(batches):
         held, count = [], 0
@@ -272,6 +287,72 @@ def _prefixes(sets: list[np.ndarray], percent: int, seed: int) -> _Lists:
     return _Lists(out)
 
 
+def _alike(sigs: np.ndarray, side: np.ndarray, n: np.ndarray, sketches: list[bytes], percent: int, cross: bool):
+    """Edges that join what pairs of sketches that can belong to a link join; of two blocks (``cross``) only pairs of different sides count."""
+    o = np.lexsort((sigs, n))
+    sigs, side, n, sketches = sigs[o], side[o], n[o], [sketches[i] for i in o.tolist()]
+    width = np.array([len(x) // 8 for x in sketches])  # grows with n
+    first = np.searchsorted(width, np.unique(width)).tolist()
+    last = [*first[1:], len(n)]
+    words = {int(width[a]): np.frombuffer(b"".join(sketches[a:b]), U64).reshape(b - a, -1) for a, b in zip(first, last, strict=True)}
+    start = {int(width[a]): a for a in first}
+    folded = {w: words[2 * w][:, :w] ^ words[2 * w][:, w:] for w in words if 2 * w in words}
+    end = np.searchsorted(n, 100 * n // percent, "right").tolist()  # sizes up to there can link; they are of the same width or twice as wide
+    root = np.arange(len(n))
+    out = []
+    for i, (w, upto) in enumerate(zip(width.tolist(), end, strict=True)):
+        for at, m in ((start[w], words[w]), (start.get(2 * w), folded.get(w))):
+            if m is None or upto <= max(at, i + 1):
+                continue
+            lo = max(at, i + 1)
+            j = np.arange(lo, min(upto, at + len(m)))
+            ok = root[j] != root[i]
+            if cross:
+                ok &= side[j] != side[i]
+            j = j[ok]
+            if not len(j):
+                continue
+            both = n[i] + n[j]
+            apart = both - 2 * (-(-percent * both // (100 + percent)))
+            j = j[np.bitwise_count(m[j - at] ^ words[w][i - start[w]]).sum(axis=1, dtype=np.int64) <= apart]
+            if len(j):
+                met, at_first = np.unique(root[j], return_index=True)
+                out += [(int(sigs[i]), int(x)) for x in sigs[j[at_first]]]
+                root[np.isin(root, met)] = root[i]
+    return out
+
+
+def _refined(percent: int):
+    """Edges of the pairs of a task's sketches that can belong to a link; rows come sorted by their task's name."""
+    names = ("cluster", "i", "j", "sig", "side", "n", "sketch")
+
+    def run(batches):
+        def done(held):
+            sig, side, n, sketches = zip(*held, strict=True)
+            links = _alike(np.array(sig), np.array(side), np.array(n), list(sketches), percent, name[1] != name[2]) if len(held) > 1 else []
+            return pa.RecordBatch.from_arrays([pa.array([x for x, _ in links], pa.int64()), pa.array([y for _, y in links], pa.int64())], ["a", "b"])
+
+        name, held = None, []
+        for b in batches:
+            for c, i, j, *row in zip(*(b.column(k).to_pylist() for k in names), strict=True):
+                if (c, i, j) != name:
+                    if held:
+                        yield done(held)
+                    name, held = (c, i, j), []
+                held.append(row)
+        if held:
+            yield done(held)
+
+    return run
+
+
+def _placed(own: DataFrame, size) -> DataFrame:
+    """Rows of clusters dealt to tasks (cluster, i, j): a cluster of blocks of bounded ``size`` has one for each pair of its blocks."""
+    parts = own.groupBy("cluster").agg(F.greatest(F.ceil(F.sum(size) / BLOCK_BYTES), F.ceil(F.count("*") / BLOCK_SETS)).cast("int").alias("parts"))
+    dealt = own.join(parts.hint("merge"), "cluster").withColumn("own", F.pmod(F.xxhash64("sig"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    return dealt.select(*own.columns, F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.when(F.col("own") <= F.col("other"), 0).otherwise(1).alias("side"))
+
+
 def _joined(sigs: list[int], side: np.ndarray, sets: list[np.ndarray], percent: int, cross: bool, known: np.ndarray, counts: np.ndarray):
     """Links that join the sets of a cluster; of two blocks (``cross``) only pairs of different sides count."""
     n = np.array([len(x) for x in sets])
@@ -396,24 +477,27 @@ def near_components(docs: DataFrame, key: str = "doc_id", text: str = "text", si
 
     def rows(batches):
         for b in batches:
-            n, sig = [], []
+            n, sig, bits = [], [], []
             for x in shingle_sets(b.column("text"), size):
                 n.append(len(x))
                 sig.append(signature(x) if len(x) else 0)
-            yield pa.RecordBatch.from_arrays([b.column("key"), pa.array(n, pa.int64()), pa.array(core.signed(np.array(sig, U64)))], ["key", "n_shingles", "sig"])
+                bits.append(sketch(x) if len(x) else None)
+            yield pa.RecordBatch.from_arrays([b.column("key"), pa.array(n, pa.int64()), pa.array(core.signed(np.array(sig, U64))), pa.array(bits, pa.binary())], ["key", "n_shingles", "sig", "sketch"])
 
     kind = docs.schema[key].dataType.simpleString()
-    nodes = core.keep(docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(core.tidy(rows), f"key {kind}, n_shingles long, sig long"), "nodes")
+    nodes = core.keep(docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(core.tidy(rows), f"key {kind}, n_shingles long, sig long, sketch binary"), "nodes")
     shingles = nodes.agg(F.sum("n_shingles")).first()[0] or 0
     blocks = max(core.tasks(spark), math.ceil(shingles * (101 - percent) / 100 / 1_000_000))
     postings = texts.mapInArrow(core.tidy(_postings(size, percent, blocks, table)), "block int, tokens binary, sigs binary, sizes binary")
     found = core.keep(postings.repartitionById(blocks, "block").mapInArrow(core.tidy(_lists(percent)), "a long, b long").distinct(), "pairs")
-    cluster = components(found).select(F.col("node").alias("sig"), F.col("component").alias("cluster"))
+    chained = components(found).select(F.col("node").alias("sig"), F.col("component").alias("cluster"))
+    sketched = nodes.filter("n_shingles > 0").select("sig", F.col("n_shingles").alias("n"), "sketch").join(chained.hint("merge"), "sig").dropDuplicates(["sig"])
+    near = _placed(core.keep(sketched, "sketched"), F.octet_length("sketch")).repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j")
+    near = near.select("cluster", "i", "j", "side", "sig", "n", "sketch").mapInArrow(core.tidy(_refined(percent)), "a long, b long")
+    cluster = components(core.keep(near, "near")).select(F.col("node").alias("sig"), F.col("component").alias("cluster"))
     wanted = core.send(spark, filter_bits(cluster))
     own = nodes.filter("n_shingles > 0").groupBy("sig").agg(F.max("n_shingles").alias("n")).join(cluster.hint("merge"), "sig")
-    parts = own.groupBy("cluster").agg(F.greatest(F.ceil(F.sum("n") * 8 / BLOCK_BYTES), F.ceil(F.count("*") / BLOCK_SETS)).cast("int").alias("parts"))
-    placed = own.join(parts.hint("merge"), "cluster").withColumn("own", F.pmod(F.xxhash64("sig"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    placed = placed.select("sig", "cluster", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.when(F.col("own") <= F.col("other"), 0).otherwise(1).alias("side"))
+    placed = _placed(own, F.col("n") * 8).select("sig", "cluster", "i", "j", "side")
     dealt = texts.mapInArrow(core.tidy(_sets(size, wanted)), "sig long, tokens binary").join(core.keep(placed, "placed").hint("merge"), "sig")
     links = dealt.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "side", "sig").mapInArrow(core.tidy(_clusters(percent, table)), "a long, b long")
     labels = components(core.keep(links, "links"))
@@ -430,10 +514,13 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", **options
     Rows without words stay.  Of rows that share a key the one with the smallest hash of its text comes first,
     and of rows that repeat both one stays.  A row with a null key stays if its group has no key at all.
     """
-    name = F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("key"), F.sha2(F.coalesce(text, F.lit("")), 256).alias("digest"))
+    digest = lambda t: F.unhex(F.sha2(F.coalesce(t, F.lit("")), 256))
+    name = F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("key"), digest(F.col(text)).alias("digest"))
     near = near_components(docs.select(name.alias("name"), F.col(text).alias("text")), "name", "text", **options)
-    stay = near.filter("component_id = name").select(F.col("name.key").alias("stay_key"), F.col("name.digest").alias("stay_digest")).distinct()
+    # key and digest as one column: texts are sent once, for the join and for what repeats
+    whole = lambda k, d: F.sha2(F.concat(F.when(k.isNull(), "-").otherwise(F.concat(F.lit("+"), k.cast("string"))).cast("binary"), d), 256)
+    stay = near.filter("component_id = name").select(whole(F.col("name.key"), F.col("name.digest")).alias("stay")).distinct()
     inner = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))
     k, t = (f"c{docs.columns.index(x)}" for x in (key, text))
-    same = F.col(k).eqNullSafe(F.col("stay_key")) & (F.sha2(F.coalesce(t, F.lit("")), 256) == F.col("stay_digest"))
-    return inner.join(stay, same, "left_semi").dropDuplicates([k, t]).toDF(*docs.columns)
+    named = inner.withColumn("stay", whole(F.col(k), digest(F.col(t)))).withColumn("none", F.col(t).isNull())
+    return named.join(stay.hint("merge"), "stay", "left_semi").dropDuplicates(["stay", "none"]).drop("stay", "none").toDF(*docs.columns)

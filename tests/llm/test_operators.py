@@ -576,3 +576,27 @@ def test_rows_that_share_a_key(spark):
     text = "alpha beta gamma delta epsilon zeta eta theta"
     df = spark.createDataFrame([(1, text), (1, "quite another text of some seven words"), (2, text), (None, text), (None, "words that stand only here and nowhere else")], "doc_id long, text string")
     assert sorted((str(r.doc_id), r.text[:5]) for r in jaccard.keep_one(df).collect()) == [("1", "alpha"), ("1", "quite"), ("None", "words")]
+
+
+@pytest.mark.parametrize("cross", [False, True])
+def test_sketches_lose_no_link_and_part_chains(cross):
+    r = np.random.default_rng(1)
+    draw = lambda n: r.integers(0, 1 << 63, n, dtype=np.uint64)
+    sets = []
+    for n in (1, 2, 5, 60, 63, 64, 65, 130, 300, 1000):
+        base = draw(n)
+        sets += [np.unique(np.concatenate([base[int(n * 0.3 * r.random()) :], draw(int(r.integers(0, n // 8 + 1)))])) for _ in range(8)]
+    passage = draw(40)
+    chained = len(sets)
+    sets += [np.unique(np.concatenate([passage, draw(400)])) for _ in range(30)]  # a shared passage and no near duplicates
+    sigs, n, side = np.array([jaccard.signature(x) for x in sets], np.uint64).view(np.int64), np.array([len(x) for x in sets]), r.integers(0, 2, len(sets))
+    root = {x: x for x in sigs.tolist()}
+    for a, b in jaccard._alike(sigs, side, n, [jaccard.sketch(x) for x in sets], 80, cross):
+        old, new = root[a], root[b]
+        root = {k: new if v == old else v for k, v in root.items()}
+    for i in range(len(sets)):
+        for j in range(i):
+            c = len(np.intersect1d(sets[i], sets[j]))
+            if 100 * c >= 80 * (n[i] + n[j] - c) and (not cross or side[i] != side[j]):
+                assert root[sigs[i]] == root[sigs[j]]
+    assert all(root[x] == x for x in sigs[chained:].tolist())
