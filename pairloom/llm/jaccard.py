@@ -431,29 +431,34 @@ def _contract(batches):
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, component) for every node of the edges (a, b); component is the smallest node reached.
 
-    Each round every node takes the smallest label beside it, labels in use take the smallest that their
-    holders met, and every node takes the label of its label, so paths contract.  Tables of a round go to
-    the shared folder.
+    Each round every node points to the smallest node beside it (or itself), and on to where that points; edges between what their
+    ends point to go to the next round, so a round works on what the one before left of the graph and not on all nodes.
+    The smallest node of a component points to itself and stays.  Pointers are then followed from the last round
+    back to the first.  Tables of a round go to the shared folder.
     """
     edges = core.keep(edges.select("a", "b").mapInArrow(core.tidy(_contract), "a long, b long"), "edges")
-    both = edges.union(edges.select("b", "a")).distinct()
-    labels = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("component"))
-    labels = core.keep(labels, "labels")
+    pointers = []
     for _ in range(rounds):
-        near = both.join(labels.select(F.col("node").alias("b"), "component"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("m"))
-        new = labels.join(near, "node").select("node", F.col("component").alias("old"), F.least("component", "m").alias("component"))
-        # a label's own node takes the smallest label that any holder of it has met
-        hook = new.groupBy(F.col("old").alias("node")).agg(F.min("component").alias("h"))
-        new = new.join(hook, "node", "left").select("node", "old", F.least("component", F.coalesce("h", "component")).alias("component"))
-        jump = new.select(F.col("node").alias("component"), F.col("component").alias("further"))
-        new = new.join(jump, "component", "left").select("node", "old", F.least("component", F.coalesce("further", "component")).alias("component"))
-        new = core.keep(new, "labels")
-        done = new.filter("old <> component").isEmpty()
-        core.drop_kept(labels)
-        labels = new.select("node", "component")
-        if done:
-            return labels
-    raise RuntimeError("components did not settle")
+        both = edges.union(edges.select("b", "a"))
+        beside = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("to"))
+        beside = core.keep(beside, "beside")
+        on = beside.select(F.col("node").alias("to"), F.col("to").alias("component"))
+        pointers.append(core.keep(beside.join(on, "to").select("node", "component"), "labels"))
+        core.drop_kept(beside)
+        ends = [pointers[-1].select(F.col("node").alias(x), F.col("component").alias(f"_{x}")) for x in ("a", "b")]
+        left = edges.join(ends[0], "a").join(ends[1], "b").filter("_a <> _b").select(F.col("_a").alias("a"), F.col("_b").alias("b"))
+        left = core.keep(left.mapInArrow(core.tidy(_contract), "a long, b long").distinct(), "edges")
+        core.drop_kept(edges)
+        edges = left
+        if left.isEmpty():
+            break
+    else:
+        raise RuntimeError("components did not settle")
+    labels = pointers.pop()
+    while pointers:  # a node whose pointer is in no later edge has arrived
+        own, later = pointers.pop(), labels.select(F.col("node").alias("component"), F.col("component").alias("further"))
+        labels = core.keep(own.join(later, "component", "left").select("node", F.coalesce("further", "component").alias("component")), "labels")
+    return labels
 
 
 def near_components(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
