@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .calibration import QuantileCalibrator, not_above
 from .curation import seeded
-from .ranks import order_statistics, ranked
+from .ranks import order_statistics, quantiles_of, ranked, value_counts
 
 #: Most terms of the continued fraction of a p-value.
 _TERMS = 10_000
@@ -31,10 +31,16 @@ def pseudo_labels(df: DataFrame, group: str, key: str, score: str, spread: str)
 
 
 def describe(df: DataFrame, *columns: str) -> DataFrame:
-    """(name, n, mean, std, min, p25, p50, p75, max): one row for each of these numeric columns; std is the sample's."""
-    one = F.explode(F.array(*(F.struct(F.lit(c).alias("name"), F.col(f"`{c}`").cast("double").alias("v")) for c in columns)))
-    moments = df.select(one.alias("x")).select("x.*").filter(~F.isnan("v")).groupBy("name").agg(F.avg("v").alias("mean"), F.stddev_samp("v").alias("std"))
-    at = order_statistics(df, list(columns), [0.25, 0.5, 0.75])
+    """(name, n, mean, std, min, p25, p50, p75, max): one row for each of these numeric columns; std is the sample's.
+
+    ``df`` is computed once: all follows from its distinct values and how often they occur.
+    """
+    counts = value_counts(df, list(columns))
+    means = counts.groupBy("name").agg(F.sum("c").alias("_n"), (F.sum(F.col("v") * F.col("c")) / F.sum("c")).alias("mean"))
+    apart = F.col("v") - F.col("mean")
+    moments = counts.join(F.broadcast(means), "name").groupBy("name", "mean", "_n").agg(F.sum(apart * apart * F.col("c")).alias("_s"))
+    moments = moments.select("name", "mean", F.when(F.col("_n") > 1, F.sqrt(F.col("_s") / (F.col("_n") - 1))).alias("std"))
+    at = quantiles_of(counts, list(columns), [0.25, 0.5, 0.75])
     return at.join(moments, "name", "left").select("name", "n", "mean", "std", F.col("low").alias("min"), F.col("q0").alias("p25"), F.col("q1").alias("p50"), F.col("q2").alias("p75"), F.col("high").alias("max"))
 
 
