@@ -22,6 +22,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SLICE_BYTES = 1 << 20
+#: Bytes of text that are looked at at once where each byte takes tens of bytes of arrays, so that a worker stays small.
+WORK_BYTES = 1 << 18
 U64 = np.uint64
 _ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
@@ -64,7 +66,7 @@ _powers: dict[str, np.ndarray] = {}
 def _power(base: np.uint64, name: str, n: int) -> np.ndarray:
     have = _powers.get(name)
     if have is None or len(have) < n:
-        size = max(n, SLICE_BYTES + 65536)
+        size = 1 << max(19, (n - 1).bit_length())
         steps = np.full(size, base, U64)
         steps[0] = 1
         have = np.multiply.accumulate(steps)
@@ -99,13 +101,12 @@ def word_spans(data: np.ndarray, offs: np.ndarray, kind: np.ndarray = WORD_BYTES
     n = len(data)
     if not n:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(offs), np.int64)
-    word = kind[data]
-    edge = np.zeros(n + 1, bool)
-    edge[offs] = True
-    start = word.copy()
-    start[1:] &= ~word[:-1] | edge[1:n]
-    stop = word.copy()
-    stop[:-1] &= ~word[1:] | edge[1:n]
+    word = np.frombuffer(data.tobytes().translate(kind.tobytes()), bool)
+    start, stop = word.copy(), word.copy()
+    np.greater(word[1:], word[:-1], out=start[1:])
+    np.greater(word[:-1], word[1:], out=stop[:-1])
+    begin, end = offs[offs < n], offs[offs > 0] - 1  # words end with their row
+    start[begin], stop[end] = word[begin], word[end]
     first = np.flatnonzero(start)
     return first, np.flatnonzero(stop) + 1, np.searchsorted(first, offs)
 
@@ -125,7 +126,9 @@ def span_hashes(data: np.ndarray, first: np.ndarray, stop: np.ndarray) -> np.nda
     n = len(data)
     with np.errstate(over="ignore"):
         total = np.zeros(n + 1, U64)
-        np.cumsum(_BYTE[data] * _power(_STEP, "step", n), out=total[1:])
+        terms = np.take(_BYTE, data, mode="wrap")  # a quicker look-up than by index
+        terms *= _power(_STEP, "step", n)
+        np.cumsum(terms, out=total[1:])
         h = (total[stop] - total[first]) * _power(_BACK, "back", n)[first]
         return mix64(h + (stop - first).astype(U64) * _LEN)
 

@@ -42,6 +42,8 @@ SLOT_LINES, HUB_TEXTS = 20_000, 20_000
 SENT = 2_000_000
 #: Hashes that a task remembers so as not to give the same row twice; more only cost rows.
 REMEMBERED = 1_000_000
+#: Lines of a group up to which all its pairs are compared at once.
+TOGETHER = 16
 _ANY = U64(0x5F3759DF5F3759DF)
 _SEEDS = core._stream(61, BANDS * ROWS)
 
@@ -51,7 +53,7 @@ def parse(data: np.ndarray, offs: np.ndarray):
     first, stop, rows = core.word_spans(data, offs)
     exact = core.span_hashes(data, first, stop)
     words = exact.copy()
-    digits = np.flatnonzero((data >= 48) & (data <= 57))
+    digits = np.flatnonzero(data - np.uint8(48) < 10)
     words[np.searchsorted(first, digits, "right") - 1] = _ANY
     newlines = np.flatnonzero(data == 10)
     base = np.searchsorted(newlines, offs[:-1])
@@ -60,7 +62,8 @@ def parse(data: np.ndarray, offs: np.ndarray):
     row = np.repeat(np.arange(len(count)), count)
     number = np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - count, count)
     owner = np.repeat(np.arange(len(count)), np.diff(rows))
-    line = (ends - count - base)[owner] + np.searchsorted(newlines, first)
+    before = np.cumsum(np.bincount(np.searchsorted(first, newlines), minlength=len(first) + 1))[: len(first)]  # newlines before each word
+    line = (ends - count - base)[owner] + before
     size = np.bincount(line, minlength=len(row))
     begin = np.cumsum(size) - size
     at = np.arange(len(words)) - begin[line]
@@ -87,11 +90,14 @@ def _bands(words: np.ndarray, first: np.ndarray, rows: np.ndarray) -> np.ndarray
         # runs [begin, begin + size - 4) of the shingles, those across texts left out
         edges = np.stack([begin, begin + size[long] - SHINGLE + 1], 1).ravel()
         padded = np.append(grams, U64(0))
+        mixed = np.empty_like(padded)
         for band in range(BANDS):
             with np.errstate(over="ignore"):
                 h = np.zeros(len(long), U64)
                 for k in range(ROWS):
-                    h = core.mix64(h * core._STEP + np.minimum.reduceat((padded ^ _SEEDS[band * ROWS + k]) * core._LEN, edges)[::2])
+                    np.bitwise_xor(padded, _SEEDS[band * ROWS + k], out=mixed)
+                    np.multiply(mixed, core._LEN, out=mixed)
+                    h = core.mix64(h * core._STEP + np.minimum.reduceat(mixed, edges)[::2])
             out[long, band] = h
     return out
 
@@ -102,7 +108,7 @@ _PARSED = "key {kind}, whole long, leaf long, member long, bands array<long>"
 def _lines(batches):
     """Lines, and for each text with such lines its bands (leaf and member null)."""
     for b in batches:
-        for at, end, data, offs in core.text_slices(b.column("text")):
+        for at, end, data, offs in core.text_slices(b.column("text"), core.WORK_BYTES):
             (row, _, size, leaf, member, _), (words, first) = parse(data, offs)
             pick = np.flatnonzero(size >= LEAST)
             if not len(pick):
@@ -158,9 +164,10 @@ def _verified(batches):
 def _groups(parsed: DataFrame, texts: DataFrame) -> DataFrame:
     """(whole, group) of the texts that have near copies: ``group`` is the smallest hash of its texts."""
     spark = parsed.sparkSession
-    bands = parsed.filter("bands is not null").select("whole", "bands").dropDuplicates(["whole"]).select("whole", F.posexplode("bands").alias("band", "value"))
-    least = bands.groupBy("band", "value").agg(F.min("whole").alias("hub"), F.max("whole").alias("last")).filter("hub < last").drop("last")
-    pairs = core.keep(bands.join(least, ["band", "value"]).filter("whole <> hub").select("hub", "whole").distinct(), "near")
+    # the hash of a band holds its number; both sides of the join read one exchange
+    bands = parsed.filter("bands is not null").select("whole", "bands").dropDuplicates(["whole"]).select("whole", F.explode("bands").alias("value")).repartition("value")
+    least = bands.groupBy("value").agg(F.min("whole").alias("hub"), F.max("whole").alias("last")).filter("hub < last").drop("last")
+    pairs = core.keep(bands.join(least, "value").filter("whole <> hub").select("hub", "whole").distinct(), "near")
     parts = pairs.groupBy("hub").agg(F.ceil(F.count("*") / HUB_TEXTS).cast("int").alias("parts"))
     hubs = parts.select("hub", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("side"), F.col("hub").alias("whole"))
     others = pairs.join(parts, "hub").select("hub", F.pmod(F.xxhash64("whole"), F.col("parts")).cast("int").alias("part"), F.lit(1).alias("side"), "whole")
@@ -180,7 +187,7 @@ def _words(wanted):
         seen: set[int] = set()
         for b in batches:
             out = []
-            for _, _, data, offs in core.text_slices(b.column("text")):
+            for _, _, data, offs in core.text_slices(b.column("text"), core.WORK_BYTES):
                 _, _, size, leaf, member, (words, begin) = parse(data, offs)[0]
                 x = leaf % U64(jaccard.FILTER_BITS)
                 pick = np.flatnonzero((size >= LEAST) & ((bits[(x >> U64(3)).astype(np.int64)] >> (x & U64(7)).astype(np.uint8) & 1) > 0))
@@ -265,12 +272,60 @@ class _Lines:
         self.names.append(name)
 
 
+def _small(b: pa.RecordBatch) -> tuple[list[tuple[int, int]], np.ndarray]:
+    """Links of the groups of at most TOGETHER lines that begin and end in the batch, and which rows are theirs."""
+    slot, member, raw = (b.column(c) for c in ("slot", "member", "words"))
+    slot, rows = slot.to_numpy(), len(slot)
+    small = np.zeros(rows, bool)
+    if rows < 3:
+        return [], small
+    offs = np.frombuffer(raw.buffers()[1], np.int32)[raw.offset : raw.offset + rows + 1].astype(np.int64)
+    flat = np.frombuffer(raw.buffers()[2], np.uint8)[offs[0] : offs[-1]].view(U64)
+    begin, size = (offs[:-1] - offs[0]) // 8, np.diff(offs) // 8
+    first = np.flatnonzero(np.concatenate(([True], (slot[1:] != slot[:-1]) | (size[1:] != size[:-1]))))
+    many = np.diff(np.append(first, rows))
+    inside = many <= TOGETHER
+    inside[[0, -1]] = False  # these may go on in the batches beside
+    small[np.repeat(inside, many)] = True
+    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for k in range(2, TOGETHER + 1):
+        at = first[inside & (many == k)][:, None]
+        i, j = np.triu_indices(k, 1)
+        left.append((at + i).ravel())
+        right.append((at + j).ravel())
+    left, right = np.concatenate(left), np.concatenate(right)
+    agree = np.zeros(len(left), bool)
+    for n in np.unique(size[left]).tolist():
+        mine, step = np.flatnonzero(size[left] == n), max(1, (1 << 18) // n)
+        for x in range(0, len(mine), step):
+            own = mine[x : x + step]
+            p, q = (begin[side[own]][:, None] + np.arange(n) for side in (left, right))
+            agree[own] = (flat[p] != flat[q]).sum(1) <= allowed(n)
+    left, right = left[agree], right[agree]
+    order = np.lexsort((left, right))
+    earlier: dict[int, list[int]] = {}
+    for i, j in zip(left[order].tolist(), right[order].tolist(), strict=True):
+        earlier.setdefault(j, []).append(i)
+    names, follows, out = member.to_pylist(), set(), []
+    for j, found in earlier.items():
+        leaders = [i for i in found if i not in follows]
+        if leaders:
+            follows.add(j)
+        out += [(names[i], names[j]) for i in leaders or found]
+    return out, small
+
+
 def _alike(batches):
-    """Links (a, b) of the lines of each slot: of a line with all leaders that it agrees with, and of a new leader with all lines before it."""
+    """Links (a, b) of the lines of each slot: of a line with all leaders that it agrees with, and of a new leader with all lines before it.
+
+    Small groups that lie inside a batch are compared together; others line by line, with what is known of the group.
+    """
     now, size = None, 0
     for b in batches:
-        out = []
-        for slot, member, raw in zip(*(b.column(c).to_pylist() for c in ("slot", "member", "words")), strict=True):
+        linked, small = _small(b)
+        out = linked
+        rest = b.filter(pa.array(~small))
+        for slot, member, raw in zip(*(rest.column(c).to_pylist() for c in ("slot", "member", "words")), strict=True):
             w = np.frombuffer(raw, U64)
             if slot != now or size != len(w):
                 now, size = slot, len(w)
@@ -295,11 +350,12 @@ def recurring(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
     parsed = core.keep(texts.mapInArrow(core.tidy(_lines), _PARSED.format(kind=kind)), "parsed")
     group = core.keep(_groups(parsed, texts), "groups")
     span = [F.min("low").alias("low"), F.max("high").alias("high"), F.min("first").alias("first")]
-    held = parsed.filter("member is not null").groupBy("leaf", "member", "whole").agg(F.min("key").alias("first"))
+    held = parsed.filter("member is not null").select("key", "whole", "leaf", "member")
     named = held.join(group.hint("merge"), "whole", "left").withColumn("low", F.coalesce("group", "whole"))
-    heads = core.keep(named.groupBy("leaf", "member").agg(F.min("low").alias("low"), F.max("low").alias("high"), F.min("first").alias("first")), "heads")
+    heads = core.keep(named.groupBy("leaf", "member").agg(F.min("low").alias("low"), F.max("low").alias("high"), F.min("key").alias("first")), "heads")
     leaves = heads.groupBy("leaf").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.min("member").alias("one"), F.max("member").alias("other")).filter("low < high")
-    mixed = core.keep(leaves.filter("one < other").select(F.col("leaf").alias("sig")), "mixed")
+    leaves = core.keep(leaves.select("leaf", F.expr("one < other").alias("mixed")), "leaves")
+    mixed = leaves.filter("mixed").select(F.col("leaf").alias("sig"))
     wanted = core.send(spark, jaccard.filter_bits(mixed))
     # lines of leaves that hold different lines, with all their words
     words = texts.select("text").mapInArrow(core.tidy(_words(wanted)), "member long, leaf long, words binary").groupBy("member", "leaf").agg(F.first("words").alias("words"))
@@ -324,21 +380,23 @@ def _strip(columns, at, schema, drop):
     def run(batches):
         for b in batches:
             texts = b.column(at)
-            new, lines, gone = [], [], []
-            for a, e, data, offs in core.text_slices(texts):
+            lines, gone, new = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64), {}
+            for a, e, data, offs in core.text_slices(texts, core.WORK_BYTES):
                 row, number, size, _, member, _ = parse(data, offs)[0]
                 away = np.flatnonzero((size >= LEAST) & drop(b, row + a, number, member))
                 per: dict[int, set] = {}
                 for r, k in zip(row[away].tolist(), number[away].tolist(), strict=True):
                     per.setdefault(r, set()).add(k)
-                lines += np.bincount(row, minlength=e - a).tolist()
-                for r in range(e - a):
-                    g = per.get(r)
-                    gone.append(len(g) if g else 0)
-                    t = texts[a + r].as_py()
-                    new.append("\n".join(x for k, x in enumerate(t.split("\n")) if k not in g) if g else t)
-            cols = [pa.array(new, pa.string()) if i == at else b.column(i) for i in range(columns)]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(lines, pa.int64()), pa.array(gone, pa.int64())], schema)
+                lines[a:e] = np.bincount(row, minlength=e - a)
+                for r, g in per.items():
+                    gone[a + r] = len(g)
+                    new[a + r] = "\n".join(x for k, x in enumerate(texts[a + r].as_py().split("\n")) if k not in g)
+            if new:
+                changed = np.zeros(len(texts), bool)
+                changed[list(new)] = True
+                texts = pc.replace_with_mask(texts, pa.array(changed), pa.array([new[r] for r in sorted(new)], texts.type))
+            cols = [texts if i == at else b.column(i) for i in range(columns)]
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(lines), pa.array(gone)], schema)
 
     return run
 
@@ -383,7 +441,7 @@ def drop_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
 
         def where(batches):
             for b in batches:
-                for a, e, data, offs in core.text_slices(b.column("text")):
+                for a, e, data, offs in core.text_slices(b.column("text"), core.WORK_BYTES):
                     row, number, size, _, member, _ = parse(data, offs)[0]
                     pick = np.flatnonzero(size >= LEAST)
                     yield pa.RecordBatch.from_arrays([b.column("key").slice(a, e - a).take(pa.array(row[pick])), b.column("whole").slice(a, e - a).take(pa.array(row[pick])), pa.array(core.signed(member[pick]))], ["key", "whole", "member"])
