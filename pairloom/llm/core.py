@@ -269,10 +269,26 @@ def held(key, modulus: int, remainder: int):
     return F.coalesce(F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")) % modulus == remainder, F.lit(False))
 
 
-def tidy(run):
-    """``run`` of mapInArrow, after which the worker, which lives on, gives its free memory back."""
+#: What a worker remembers from one task to the next.
+_remembered: list[dict] = []
+
+
+def forget() -> None:
+    """Drops what this worker remembers from tasks of another kind."""
+    for x in _remembered:
+        x.clear()
+
+
+def tidy(run, remember: bool = False):
+    """``run`` of mapInArrow, after which the worker, which lives on, gives its free memory back.
+
+    Idle workers are reused, so what earlier tasks remember (a tokenizer and the pieces it has seen) is dropped unless
+    ``remember`` says that these tasks need it.
+    """
 
     def out(batches):
+        if not remember:
+            forget()
         try:
             yield from run(batches)
         finally:

@@ -41,7 +41,7 @@ class Phrases:
         column = pa.array([t for _, t in items], pa.string())
         owner, spans, words = [], [], []
         base = 0
-        for at, _, data, offs in core.text_slices(column):
+        for at, _, data, offs in core.text_slices(column, core.WORK_BYTES):
             w, rows = core.word_hashes(data, offs, core.ALNUM_BYTES)
             words.append(w)
             for r in range(len(rows) - 1):

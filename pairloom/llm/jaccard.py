@@ -70,7 +70,7 @@ def index_length(n: int, percent: int) -> int:
 
 def shingle_sets(column: pa.Array, size: int):
     """For each row its sorted distinct shingle hashes (empty without words)."""
-    for _, _, data, offs in core.text_slices(column):
+    for _, _, data, offs in core.text_slices(column, core.WORK_BYTES):
         words, rows = core.word_hashes(data, offs)
         grams = core.gram_hashes(words, size)
         for a, b in zip(rows[:-1].tolist(), rows[1:].tolist(), strict=True):

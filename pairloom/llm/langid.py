@@ -30,7 +30,7 @@ UNKNOWN = "und"
 
 def _grams(column: pa.Array):
     """(first row, row starts among the grams, grams as uint32) by slices; grams do not cross rows."""
-    for at, _, data, offs in core.text_slices(pc.utf8_lower(pc.fill_null(column, ""))):
+    for at, _, data, offs in core.text_slices(pc.utf8_lower(pc.fill_null(column, "")), core.WORK_BYTES):
         n = len(data)
         if n < 4:
             yield at, np.zeros(len(offs), np.int64), np.zeros(0, np.uint32)

@@ -125,7 +125,7 @@ def pack(docs: DataFrame, limit: int = 4096, vocabulary: str = tokens.VOCABULARY
     kind = docs.schema[key].dataType.simpleString()
     columns = ["key", "piece", "start", "length", "ids_crc32", "part", "own"]
     cut = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(
-        core.tidy(_cut(limit, vocabulary, columns)), f"key {kind}, piece int, start long, length long, ids_crc32 long, part int, own long"
+        core.tidy(_cut(limit, vocabulary, columns), remember=True), f"key {kind}, piece int, start long, length long, ids_crc32 long, part int, own long"
     )
     cut = core.keep(cut, "pieces")
     per = cut.groupBy("length", "part").agg(F.count("*").alias("n"))

@@ -153,7 +153,7 @@ def write_store(docs: DataFrame, path: str, vocabulary: str = tokens.VOCABULARY,
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(c, types, strict=True)], ["key", "part", "own", "n_tokens", "digests", "digest", "n", "payload"])
 
     both = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(
-        core.tidy(cut), f"key {kind}, part int, own long, n_tokens long, digests array<binary>, digest binary, n long, payload binary"
+        core.tidy(cut, remember=True), f"key {kind}, part int, own long, n_tokens long, digests array<binary>, digest binary, n long, payload binary"
     )
     # one pass over the texts: chunks go out by digest, recipes by the hash of their place
     where = F.when(F.col("payload").isNotNull(), F.col("digest")).otherwise(F.concat_ws(":", "part", "own").cast("binary"))

@@ -216,10 +216,11 @@ class _Table:
 
 
 _encoders: dict[str, Encoder] = {}
+core._remembered.append(_encoders)
 
 
 def encoder(name: str = VOCABULARY) -> Encoder:
-    """The encoder of this worker process; it outlives a task."""
+    """The encoder of this worker process; it outlives a task, until one comes that does not ``remember``."""
     if name not in _encoders:
         _encoders[name] = Encoder(name)
     return _encoders[name]
@@ -229,7 +230,7 @@ def encoded(column: pa.Array, name: str = VOCABULARY, end: int | None = END):
     """For each row the packed ids of its text, with the end id; a null text is empty."""
     enc = encoder(name)
     tail = b"" if end is None else np.array([end], "<u4").tobytes()
-    for _, _, data, offs in core.text_slices(column):
+    for _, _, data, offs in core.text_slices(column, core.WORK_BYTES):
         if len(data) > 2 * core.SLICE_BYTES:  # one very long text, part by part
             yield b"".join(enc.encode_rows(x, np.array([0, len(x)]))[0] for x in _parts(data)) + tail
         else:

@@ -4,7 +4,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from pairloom.llm import core, lines
+from pairloom.llm import core, jaccard, langid, lines, tokens
 
 
 def slots(seed):
@@ -64,3 +64,32 @@ def test_words_end_with_their_row(kind):
         expected.append([w.encode("latin-1") for w in word.split(" ") if w])
     raw = data.tobytes()
     assert [[raw[first[i] : stop[i]] for i in range(rows[r], rows[r + 1])] for r in range(len(column))] == expected
+
+
+def test_stages_look_at_bounded_pieces_of_text(monkeypatch):
+    """pipeline: a worker's arrays follow WORK_BYTES and not the batch, of which each byte would take tens of bytes."""
+    sizes = []
+    real = core.text_slices
+
+    def seen(*args):
+        for x in real(*args):
+            sizes.append(len(x[2]))
+            yield x
+
+    monkeypatch.setattr(core, "text_slices", seen)
+    column = pa.array(["some words of a text that a stage reads " * 25] * 3000)
+    b = pa.RecordBatch.from_arrays([pa.array(range(len(column))), pa.array(range(len(column))), column], ["key", "whole", "text"])
+    model = langid.Filter(["a", "b"], np.arange(4000, dtype=np.uint32), np.arange(4000) % 2)
+    n, _ = model.hits(column)
+    assert n.tolist() == [25 * 40 - 3] * len(column)
+    list(lines._lines([b]))
+    list(jaccard.shingle_sets(column, 5))
+    list(tokens.encoded(column))
+    assert sum(sizes) == 4 * 3000 * 1000 and max(sizes) <= 1 << 18
+
+
+def test_tasks_of_another_kind_forget_the_tokenizer():
+    """pipeline: idle workers are reused, so a tokenizer that pack left in them would stay through all later stages."""
+    tokens.encoder()
+    assert list(core.tidy(iter, remember=True)([1, 2])) == [1, 2] and tokens._encoders
+    assert list(core.tidy(iter)([1, 2])) == [1, 2] and not tokens._encoders
