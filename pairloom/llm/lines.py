@@ -9,8 +9,8 @@ of a shared part a line is linked with every leader with which it agrees; one th
 linked with all earlier lines that agree with it.  A part that more than SLOT_LINES lines share is divided by the words
 outside it: these are cut again into one piece more than may differ, so that agreeing lines still meet.
 Templates are the components of these links (two lines that agree, neither of them a leader of a group, may have
-their link only through others).  A leaf of any size is dealt out by its parts, nothing is sampled, and no
-size changes the rule.
+their link only through others).  A leaf of up to LEAF_LINES lines is sent whole, each line once; a larger one is dealt
+out by its parts, a line to each of them.  Nothing is sampled, and no size changes the rule.
 
 A template recurs if it stands in two or more different documents, wherever it stands there.  Copies and
 near copies of a document count as one: texts whose five-word shingles have a Jaccard similarity of 0.8 or more are
@@ -38,6 +38,9 @@ LEAST, LEAD, SIMILAR = 4, 3, 0.7
 SHINGLE, BANDS, ROWS, COPY = 5, 16, 4, 80
 #: Lines that share a part above which they are divided further, and near copies that are verified in one task.
 SLOT_LINES, HUB_TEXTS = 20_000, 20_000
+#: Lines of a leaf, and bytes of their words, up to which one task looks at the whole leaf; bytes and rows that it makes of them at once.
+LEAF_LINES, LEAF_BYTES = 1_000, 4 << 20
+_MADE_BYTES, _MADE_ROWS = 2 << 20, 1 << 12
 #: Recurring lines that may be sent to every task (a hash and a key each); more go by an exchange.
 SENT = 2_000_000
 #: Hashes that a task remembers so as not to give the same row twice; more only cost rows.
@@ -207,13 +210,18 @@ def allowed(n: int) -> int:
     return int((1 - SIMILAR) * n + 1e-9)
 
 
-def _cut(w: np.ndarray, leaf: int) -> tuple[np.ndarray, np.ndarray]:
-    """Where the parts of a line begin and end, and their hashes, which hold the leaf, the part's number and its words."""
-    k = allowed(len(w)) + 1
-    cut = LEAD + np.arange(k + 1) * (len(w) - LEAD) // k
+def _cut(w: np.ndarray, leaf) -> tuple[np.ndarray, np.ndarray]:
+    """Where the parts of a line begin and end, and their hashes, which hold the leaf, the part's number and its words.
+
+    ``w`` may be a table of lines of one length, with a column of leaves.
+    """
+    n = w.shape[-1]
+    k = allowed(n) + 1
+    cut = LEAD + np.arange(k + 1) * (n - LEAD) // k
     with np.errstate(over="ignore"):
-        total = np.concatenate((np.zeros(1, U64), np.cumsum(core.mix64(w + np.arange(len(w), dtype=U64) * core._STEP))))
-        return cut, core.mix64(total[cut[1:]] - total[cut[:-1]] + np.int64(leaf).view(U64) + np.arange(1, k + 1, dtype=U64) * core._LEN)
+        total = np.zeros((*w.shape[:-1], n + 1), U64)
+        np.cumsum(core.mix64(w + np.arange(n, dtype=U64) * core._STEP), -1, out=total[..., 1:])
+        return cut, core.mix64(total[..., cut[1:]] - total[..., cut[:-1]] + np.int64(leaf).view(U64) + np.arange(1, k + 1, dtype=U64) * core._LEN)
 
 
 def _parts(batches):
@@ -255,6 +263,57 @@ def _slots(batches):
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [pa.int64(), pa.int64(), pa.binary()], strict=True)], ["slot", "member", "words"])
 
 
+def _flat(raw: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The words of all lines, and where each line's begin and how many they are."""
+    offs = np.frombuffer(raw.buffers()[1], np.int32)[raw.offset : raw.offset + len(raw) + 1].astype(np.int64)
+    return np.frombuffer(raw.buffers()[2], np.uint8)[offs[0] : offs[-1]].view(U64), (offs[:-1] - offs[0]) // 8, np.diff(offs) // 8
+
+
+def _shared(b: pa.RecordBatch):
+    """(slot, member, words) of whole leaves: their lines in the groups of all parts that two or more share, sorted as for :func:`_alike`."""
+    member, raw = b.column("member"), b.column("words")
+    flat, begin, size = _flat(raw)
+    leaf, names = b.column("leaf").to_numpy(), member.to_numpy()
+    slot, owner = [], []
+    for n in np.unique(size).tolist():
+        mine, step = np.flatnonzero(size == n), max(1, (1 << 18) // n)
+        for x in range(0, len(mine), step):
+            own = mine[x : x + step]
+            parts = _cut(flat[begin[own][:, None] + np.arange(n)], leaf[own][:, None])[1]
+            slot.append(parts.ravel())
+            owner.append(np.repeat(own, parts.shape[1]))
+    slot, owner = core.signed(np.concatenate(slot)), np.concatenate(owner)
+    order = np.lexsort((names[owner], size[owner], slot))
+    slot, owner = slot[order], owner[order]
+    first = np.flatnonzero(np.concatenate(([True], slot[1:] != slot[:-1])))
+    many = np.diff(np.append(first, len(slot)))
+    pick = np.repeat(many > 1, many)
+    slot, owner = slot[pick], owner[pick]
+    upto, at = np.cumsum(size[owner] * 8), 0
+    while at < len(slot):
+        most = (upto[at - 1] if at else 0) + _MADE_BYTES
+        end = max(at + 1, min(at + _MADE_ROWS, int(np.searchsorted(upto, most, "right"))))
+        own = pa.array(owner[at:end])
+        yield pa.RecordBatch.from_arrays([pa.array(slot[at:end]), member.take(own), raw.take(own)], ["slot", "member", "words"])
+        at = end
+
+
+def _leaf_slots(batches):
+    """:func:`_shared` for lines sorted by leaf: the last leaf of a batch waits for the next."""
+    held = None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        b = b if held is None else pa.Table.from_batches([held, b]).combine_chunks().to_batches()[0]
+        leaf = b.column("leaf").to_numpy()
+        last = int(np.searchsorted(leaf, leaf[-1]))
+        if last:
+            yield from _shared(b.slice(0, last))
+        held = b.slice(last)
+    if held is not None:
+        yield from _shared(held)
+
+
 class _Lines:
     """Lines of one length with their names, for comparing another with all of them."""
 
@@ -279,9 +338,7 @@ def _small(b: pa.RecordBatch) -> tuple[list[tuple[int, int]], np.ndarray]:
     small = np.zeros(rows, bool)
     if rows < 3:
         return [], small
-    offs = np.frombuffer(raw.buffers()[1], np.int32)[raw.offset : raw.offset + rows + 1].astype(np.int64)
-    flat = np.frombuffer(raw.buffers()[2], np.uint8)[offs[0] : offs[-1]].view(U64)
-    begin, size = (offs[:-1] - offs[0]) // 8, np.diff(offs) // 8
+    flat, begin, size = _flat(raw)
     first = np.flatnonzero(np.concatenate(([True], (slot[1:] != slot[:-1]) | (size[1:] != size[:-1]))))
     many = np.diff(np.append(first, rows))
     inside = many <= TOGETHER
@@ -341,6 +398,30 @@ def _alike(batches):
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["a", "b"])
 
 
+def _within(batches):
+    """Links of the lines of whole leaves, sorted by leaf."""
+    yield from _alike(_leaf_slots(batches))
+
+
+def _by_part(words: DataFrame) -> DataFrame:
+    """Links of lines of large leaves, each sent to all parts that it shares."""
+    parts = core.keep(words.mapInArrow(core.tidy(_parts), "part long, member long"), "line-parts")
+    shared = parts.groupBy("part").agg(F.count("*").alias("n")).filter("n > 1")
+    met = parts.join(shared, "part").join(words.hint("merge"), "member").select("part", "n", "member", "leaf", "words").mapInArrow(core.tidy(_slots), "slot long, member long, words binary")
+    dealt = met.repartition("slot").sortWithinPartitions("slot", F.octet_length("words"), "member")
+    return dealt.mapInArrow(core.tidy(_alike), "a long, b long")
+
+
+def _links(words: DataFrame) -> DataFrame:
+    """(a, b): the lines that agree, of lines (member, leaf, words)."""
+    sizes = words.groupBy("leaf").agg(F.count("*").alias("n"), F.sum(F.octet_length("words")).alias("bytes"))
+    large = core.keep(sizes.filter((F.col("n") > min(LEAF_LINES, SLOT_LINES)) | (F.col("bytes") > LEAF_BYTES)).select("leaf"), "large-leaves")
+    some = bool(large.take(1))
+    small = words.join(large, "leaf", "left_anti") if some else words
+    links = small.select("leaf", "member", "words").repartition("leaf").sortWithinPartitions("leaf").mapInArrow(core.tidy(_within), "a long, b long")
+    return links.union(_by_part(core.keep(words.join(large, "leaf", "left_semi"), "large-words"))) if some else links
+
+
 def recurring(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(member, template, first): the lines of recurring templates and the smallest key that holds each."""
     spark = docs.sparkSession
@@ -360,11 +441,7 @@ def recurring(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
     # lines of leaves that hold different lines, with all their words
     words = texts.select("text").mapInArrow(core.tidy(_words(wanted)), "member long, leaf long, words binary").groupBy("member", "leaf").agg(F.first("words").alias("words"))
     words = core.keep(words.join(mixed.select(F.col("sig").alias("leaf")), "leaf", "left_semi"), "words")
-    parts = core.keep(words.mapInArrow(core.tidy(_parts), "part long, member long"), "line-parts")
-    shared = parts.groupBy("part").agg(F.count("*").alias("n")).filter("n > 1")
-    met = parts.join(shared, "part").join(words.hint("merge"), "member").select("part", "n", "member", "leaf", "words").mapInArrow(core.tidy(_slots), "slot long, member long, words binary")
-    dealt = met.repartition("slot").sortWithinPartitions("slot", F.octet_length("words"), "member")
-    links = core.keep(dealt.mapInArrow(core.tidy(_alike), "a long, b long"), "links")
+    links = core.keep(_links(words), "links")
     template = jaccard.components(links).select(F.col("node").alias("member"), F.col("component").alias("template"))
     core.drop_kept(parsed)
     busy = heads.join(leaves.select("leaf"), "leaf", "left_semi").join(template.hint("merge"), "member", "left").withColumn("template", F.coalesce("template", "member"))

@@ -53,6 +53,70 @@ def test_small_groups_inside_a_batch_are_compared_together(monkeypatch):
     assert len(made) == 4
 
 
+def template_lines():
+    """(member, leaf, words) of lines of several lengths and leaves, most with lines alike."""
+    rng = np.random.default_rng(11)
+    out = []
+    for leaf in range(-20, 20):
+        n = int(rng.integers(4, 40))
+        base = rng.integers(0, 1 << 60, n).astype(np.uint64)
+        for _ in range(int(rng.integers(1, 30))):
+            w = base.copy()
+            for i in rng.integers(3, n, int(rng.integers(0, n))) if rng.random() < 0.8 else range(3, n):
+                w[i] = rng.integers(0, 4)
+            out.append((len(out) * 7919 % 10007, leaf, w))
+    return out
+
+
+@pytest.mark.parametrize(("step", "made"), [(1, (1, 1)), (7, (4096, 64)), (10_000, (2 << 20, 1 << 12))])
+def test_whole_leaves_meet_in_all_shared_parts(monkeypatch, step, made):
+    """op8: groups made where the whole leaf is are those that its parts make by an exchange."""
+    rows = template_lines()
+    dealt = {}
+    for m, leaf, w in rows:
+        for p in core.signed(lines._cut(w, leaf)[1]).tolist():
+            dealt.setdefault(p, []).append((len(w), m, w.tobytes()))
+    expected = [(p, m, w) for p in sorted(dealt) if len(dealt[p]) > 1 for _, m, w in sorted(dealt[p])]
+    rows.sort(key=lambda x: x[1])
+    b = pa.RecordBatch.from_arrays([pa.array([x[1] for x in rows]), pa.array([x[0] for x in rows]), pa.array([x[2].tobytes() for x in rows], pa.binary())], ["leaf", "member", "words"])
+    for name, n in zip(("_MADE_BYTES", "_MADE_ROWS"), made, strict=True):
+        monkeypatch.setattr(lines, name, n)
+    got = [tuple(x.values()) for x in lines._leaf_slots(b.slice(i, step) for i in range(0, len(rows), step)) for x in x.to_pylist()]
+    assert sorted(got) == sorted(expected) and len(expected) > 1000
+    leaf_of = {m: leaf for m, leaf, _ in rows}
+    runs = {}
+    for at, (p, m, _) in enumerate(got):
+        runs.setdefault((p, leaf_of[m]), []).append((at, m))
+    assert all([m for _, m in r] == [m for q, m, _ in expected if q == p] and r[-1][0] - r[0][0] == len(r) - 1 for (p, _), r in runs.items())
+
+
+@pytest.mark.parametrize(("most", "bytes_"), [(1_000, 4 << 20), (8, 4 << 20), (1_000, 2_000), (0, 0)])
+def test_lines_of_small_leaves_are_sent_once(spark, monkeypatch, most, bytes_):
+    """op8: only lines of large leaves go to their parts by an exchange; links are the same wherever the bound lies."""
+    rows = template_lines()
+    expected = set()
+    dealt = {}
+    for m, leaf, w in rows:
+        for p in core.signed(lines._cut(w, leaf)[1]).tolist():
+            dealt.setdefault(p, []).append((len(w), m, w))
+    for p, found in dealt.items():
+        expected |= set(one_by_one([(p, m, w) for _, m, w in sorted(found, key=lambda x: x[:2])]))
+    sent = []
+    real = lines._by_part
+    monkeypatch.setattr(lines, "_by_part", lambda words: sent.append(words.select("leaf").distinct().count()) or real(words))
+    monkeypatch.setattr(lines, "LEAF_LINES", most)
+    monkeypatch.setattr(lines, "LEAF_BYTES", bytes_)
+    core.prepare(spark)
+    words = spark.createDataFrame([(m, leaf, w.tobytes()) for m, leaf, w in rows], "member long, leaf long, words binary")
+    links = lines._links(words)
+    assert {tuple(r) for r in links.collect()} == expected and len(expected) > 100
+    leaves = {}
+    for _, leaf, w in rows:
+        leaves.setdefault(leaf, []).append(w.nbytes)
+    large = sum(len(x) > most or sum(x) > bytes_ for x in leaves.values())
+    assert sent == ([large] if large else [])
+
+
 @pytest.mark.parametrize("kind", [core.WORD_BYTES, core.ALNUM_BYTES])
 def test_words_end_with_their_row(kind):
     column = pa.array(["", "a\n", "\n", "b c1 É 漢", None, "d", "e\tf ", "", "g"])
